@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriatim.operators import intervals
+from seriatim.operators import intervals, unify
 from seriatim.sources.tables import table
 
 
@@ -16,7 +16,20 @@ def p3_periods(spark: SparkSession, root: str) -> DataFrame:
     return intervals.ventilation_periods(table(spark, root, "ventilation"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_periods)}
+def _unit_inputs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = unify.records(table(spark, root, "labevents"), table(spark, root, "chartevents"), table(spark, root, "inputevents"))
+    return rows, table(spark, root, "quantity_units"), table(spark, root, "d_items")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return unify.foreign(*_unit_inputs(spark, root))
+
+
+def p2_common(spark: SparkSession, root: str) -> DataFrame:
+    return unify.unified(*_unit_inputs(spark, root)).drop("scale", "offset", "dims")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_common, p3_found, p3_periods)}
 
 _ISLANDS = """
 with v as (select stay_id, lower(regexp_replace(ventilation_status, '^\\s+|\\s+$', '', 'g')) as ventilation_status, least(starttime, endtime) as s, greatest(starttime, endtime) as e
