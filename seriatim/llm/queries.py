@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriatim.llm import nearest, survivor
+from seriatim.llm import bpe, nearest, packing, residue, survivor
 from seriatim.sources.tables import table
 
 
@@ -20,4 +20,16 @@ def p7_survivors(spark: SparkSession, root: str) -> DataFrame:
     return survivor.survivors(table(spark, root, "chartevents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_found, p7_survivors)}
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.encoded(table(spark, root, "documents"))
+
+
+def p9_containers(spark: SparkSession, root: str) -> DataFrame:
+    return packing.packed(bpe.lengths(table(spark, root, "documents")), "doc_id", "n_tokens")
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue(table(spark, root, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p7_found, p7_survivors, p8_ids, p9_containers, p10_found)}
