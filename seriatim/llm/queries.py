@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriatim.llm import bpe, nearest, packing, residue, survivor
+from seriatim.llm import bpe, nearest, packing, residue, spans, survivor
 from seriatim.sources.tables import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return spans.found(table(spark, root, "discharge"))
+
+
+def p1_coverage(spark: SparkSession, root: str) -> DataFrame:
+    return spans.coverage(table(spark, root, "discharge"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return nearest.oxygen(table(spark, root, "labevents"), table(spark, root, "chartevents"))
 
@@ -32,4 +40,4 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue(table(spark, root, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_found, p7_survivors, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p4_found, p7_found, p7_survivors, p8_ids, p9_containers, p10_found)}
