@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriatim.llm import bpe, nearest, packing, residue, spans, survivor
+from seriatim.llm import bpe, knn, nearest, packing, residue, spans, survivor
 from seriatim.sources.tables import table
 
 
@@ -20,6 +20,10 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return nearest.oxygen(table(spark, root, "labevents"), table(spark, root, "chartevents"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return knn.found(table(spark, root, "chunk_vec"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return survivor.found(table(spark, root, "chartevents"))
 
@@ -40,4 +44,4 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.residue(table(spark, root, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p4_found, p7_found, p7_survivors, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p4_found, p6_found, p7_found, p7_survivors, p8_ids, p9_containers, p10_found)}
