@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriatim.functions import units
 from seriatim.sources.tables import require
@@ -17,7 +18,10 @@ from seriatim.sources.tables import require
 #: Most rows of a dictionary that is still broadcast.
 DICTIONARY = 10_000
 
-_RESULT = "number double, scale double, offset double, dims array<int>, common_value double, same boolean"
+_RESULT = T.StructType(
+    [T.StructField(c, T.DoubleType()) for c in ("number", "scale", "offset")]
+    + [T.StructField("dims", T.ArrayType(T.IntegerType())), T.StructField("common_value", T.DoubleType()), T.StructField("same", T.BooleanType())]
+)
 
 
 @F.pandas_udf(_RESULT)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriatim.operators import intervals, unify
+from seriatim.operators import intervals, spikes, unify
 from seriatim.sources.tables import table
 
 
@@ -29,7 +29,11 @@ def p2_common(spark: SparkSession, root: str) -> DataFrame:
     return unify.unified(*_unit_inputs(spark, root)).drop("scale", "offset", "dims")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_common, p3_found, p3_periods)}
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return spikes.found(table(spark, root, "chartevents"), table(spark, root, "d_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_common, p3_found, p3_periods, p5_found)}
 
 _ISLANDS = """
 with v as (select stay_id, lower(regexp_replace(ventilation_status, '^\\s+|\\s+$', '', 'g')) as ventilation_status, least(starttime, endtime) as s, greatest(starttime, endtime) as e
