@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriatim.plans import core
+from seriatim.plans import core, inference
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**core.QUERIES}
+    return {**core.QUERIES, **inference.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**core.ORACLE}
+    return {**core.ORACLE, **inference.ORACLE}
