@@ -176,8 +176,8 @@ select by_value, by_rank, count(*) as n, round((select avg((by_value = by_rank):
 select doc_id, genre from d where k <= (select min(n) from (select count(*) as n from d group by genre))""",
     "cem_length_matched": """with d as (select doc_id, genre, n_chars from documents where genre is not null and n_chars is not null),
 e as (select list_distinct(quantile_cont(n_chars, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) as es from d),
-inner_e as (select list_filter(es, x -> x > (select min(n_chars) from d) and x < (select max(n_chars) from d)) as es from e),
-b as (select doc_id, genre, 1 + len(list_filter(es, x -> n_chars > x)) as bin from d, inner_e),
+inner_e as (select list_filter(es, lambda x: x > lo and x < hi) as es from e, (select min(n_chars) as lo, max(n_chars) as hi from d)),
+b as (select doc_id, genre, 1 + len(list_filter(es, lambda x: n_chars > x)) as bin from d, inner_e),
 cells as (select bin, genre, count(*) as n from b group by 1, 2),
 t as (select bin, min(n) as take from cells group by 1 having count(*) = (select count(distinct genre) from d)),
 k as (select b.*, take, row_number() over (partition by b.bin, genre order by md5(concat('s:', doc_id)), doc_id) as k from b join t using (bin))
