@@ -35,4 +35,27 @@ select subject_id, itemid, minute, n_copies, first_row_id, row_id as kept_row_id
 from x where k = 1
 """
 
-ORACLE = {"p4_found": P4, "p7_found": P7, "p7_survivors": P7_SURVIVORS}
+P1 = """
+with d as (select distinct note_id, text from discharge where text is not null and length(text) >= 240),
+w as (select distinct note_id, md5(substr(text, i + 1, 240)) as h from (select note_id, text, unnest(range(length(text) - 239)) as i from d))
+select distinct a.note_id as note_id_a, b.note_id as note_id_b from w a join w b on a.h = b.h and a.note_id < b.note_id
+"""
+
+P1_COVERAGE = """
+with d as (select distinct note_id, text from discharge where text is not null),
+w as (select note_id, i, md5(substr(text, i + 1, 240)) as h from (select note_id, text, unnest(range(greatest(0, length(text) - 239))) as i from d where length(text) >= 240)),
+r as (select h from w group by 1 having count(distinct note_id) > 1), s as (select distinct note_id, i from w join r using (h)),
+n as (select *, case when lag(i) over (partition by note_id order by i) + 240 >= i then 0 else 1 end as nw from s), k as (select *, sum(nw) over (partition by note_id order by i rows unbounded preceding) as k from n),
+p as (select note_id, k, min(i) as a, max(i) + 240 as z from k group by 1, 2), c as (select note_id, sum(z - a)::bigint as shared_chars, count(*) as n_passages from p group by 1)
+select x.note_id, (select max(length(text))::int from d where d.note_id = x.note_id) as n_chars, coalesce(shared_chars, 0) as shared_chars, coalesce(n_passages, 0) as n_passages
+from (select distinct note_id from discharge where note_id is not null) x left join c using (note_id)
+"""
+
+P6 = """
+with v as (select chunk_id, did, list_transform(dv::double[], lambda x: x / sqrt(list_dot_product(dv::double[], dv::double[]))) as v from chunk_vec where dv is not null and chunk_id is not null and did is not null and list_dot_product(dv::double[], dv::double[]) > 0),
+s as (select a.chunk_id as a, b.chunk_id as b, round(list_dot_product(a.v, b.v), 9) as s from v a join v b on a.did <> b.did),
+k as (select a, b, row_number() over (partition by a order by s desc, b) as k from s)
+select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from k where k <= 5
+"""
+
+ORACLE = {"p1_found": P1, "p1_coverage": P1_COVERAGE, "p6_found": P6, "p4_found": P4, "p7_found": P7, "p7_survivors": P7_SURVIVORS}
