@@ -13,12 +13,12 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriatim.session import cut
 from seriatim.sources.tables import require
 
 #: The labelled exemplars. @ stands for an unfilled placeholder of any syntax.
@@ -171,22 +171,24 @@ RETRIEVED = 0.5
 HOLE, NUMBER, LATIN, CROSS = "\x01", "#", "\x02", "\x03"
 
 
+@lru_cache(200_000)
+def _term(t: str) -> str:
+    """The term of a token: words in lower case; placeholders, numbers, pseudo-Latin and runs of x as one term each."""
+    low = t.lower()
+    if t == HOLE:
+        return HOLE
+    if any(c.isdigit() for c in t) and low != "h1":
+        return NUMBER
+    if len(t) > 1 and set(low) == {"x"}:
+        return CROSS
+    if low in ("lorem", "ipsum") or len(t) > 5 and SYLLABLE.fullmatch(low):
+        return LATIN
+    return low
+
+
 def terms(window: str) -> list[str]:
-    """Terms of a window: words in lower case, with placeholders, numbers, pseudo-Latin and runs of x as one term each."""
-    out = []
-    for t in _TERM.findall(window):
-        low = t.lower()
-        if t == HOLE:
-            out.append(HOLE)
-        elif any(c.isdigit() for c in t) and low != "h1":
-            out.append(NUMBER)
-        elif len(t) > 1 and set(low) == {"x"}:
-            out.append(CROSS)
-        elif low in ("lorem", "ipsum") or len(t) > 5 and SYLLABLE.fullmatch(low):
-            out.append(LATIN)
-        else:
-            out.append(low)
-    return out
+    """Terms of a window, in order."""
+    return [_term(t) for t in _TERM.findall(window)]
 
 
 def sections(text: str) -> list[list[list[str]]]:
@@ -216,57 +218,69 @@ def index() -> tuple[dict[str, list[int]], list[str], list[str]]:
 
 def _short_latin(windows: list[list[str]]) -> list[list[str]]:
     """Short syllable words count as pseudo-Latin inside a section that is pseudo-Latin otherwise."""
+    if not any(LATIN in w for w in windows):
+        return windows
     flat = [t for w in windows for t in w]
     latin = sum(t == LATIN or bool(SYLLABLE.fullmatch(t)) for t in flat)
-    if latin < 0.8 * len(flat) or LATIN not in flat:
+    if latin < 0.8 * len(flat):
         return windows
     return [[LATIN if SYLLABLE.fullmatch(t) else t for t in w] for w in windows]
 
 
-def retrieved(windows: list[list[str]]) -> list[tuple[int, list[str]]]:
-    """(best exemplar by number of shared terms or -1, terms) of each window."""
+def retrieved(windows: list[list[str]]) -> list[int]:
+    """For each window the exemplar that shares most of its terms, or -1 below RETRIEVED of them."""
     by, _, _ = index()
     out = []
-    for w in _short_latin(windows):
-        votes: Counter[int] = Counter()
-        for t, n in Counter(w).items():
-            for e in by.get(t, ()):
-                votes[e] += n
-        best = max(votes.items(), key=lambda p: (p[1], -p[0]), default=(-1, 0))
-        out.append((best[0] if best[1] >= RETRIEVED * len(w) else -1, w))
+    for w in windows:
+        best, most = -1, 0
+        if sum(t in by for t in w) >= RETRIEVED * len(w):
+            votes: Counter[int] = Counter()
+            for t, n in Counter(w).items():
+                for e in by.get(t, ()):
+                    votes[e] += n
+            best, most = max(votes.items(), key=lambda p: (p[1], -p[0]))
+        out.append(best if most >= RETRIEVED * len(w) else -1)
     return out
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of one batch of texts, as partial counts."""
-    for b in batches:
-        df: Counter[str] = Counter()
-        for text in b.column(0).to_pylist():
-            if text:
-                df.update({t for s in sections(text) for w in _short_latin(s) for t in w})
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(df), pa.string()), "n": pa.array(list(df.values()), pa.int64())})
+#: Terms whose counts a task holds before it hands them on.
+HELD_TERMS = 200_000
 
+_READ = "section int, window int, exemplar int, term string, n bigint"
+
+
+def _read(id_type: pa.DataType):
+    """One pass over texts: term counts of windows in candidate sections, and document frequencies.
+
+    A candidate section is one whose retrieved windows hold half of its terms or more. Frequency
+    rows have no id and section -1; the empty term counts the texts.
+    """
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * 6
+        types = [id_type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "section", "window", "exemplar", "term", "n"])
 
-def _candidates(id_type: pa.DataType):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows' term counts of the sections in which retrieved windows hold half of the terms or more."""
+        df: Counter[str] = Counter()
         for b in batches:
-            ids, secs, wins, best, word, tf = [], [], [], [], [], []
+            rows: list[tuple] = []
             for doc, text in zip(b.column(0), b.column(1).to_pylist()):
-                for k, s in enumerate(sections(text) if text else ()):
-                    got = retrieved(s)
-                    size = sum(len(w) for _, w in got)
-                    if sum(len(w) for e, w in got if e >= 0) < RETRIEVED * size:
-                        continue
-                    for n, (e, w) in enumerate(got):
-                        for t, c in Counter(w).items():
-                            ids.append(doc.as_py())
-                            secs.append(k)
-                            wins.append(n)
-                            best.append(e)
-                            word.append(t)
-                            tf.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(secs, pa.int32()), pa.array(wins, pa.int32()), pa.array(best, pa.int32()), pa.array(word, pa.string()), pa.array(tf, pa.int32())], ["id", "section", "window", "exemplar", "term", "tf"])
+                seen: set[str] = {""}
+                for k, windows in enumerate(sections(text)):
+                    windows = _short_latin(windows)
+                    for w in windows:
+                        seen.update(w)
+                    best = retrieved(windows)
+                    if sum(len(w) for e, w in zip(best, windows) if e >= 0) >= RETRIEVED * sum(map(len, windows)):
+                        rows += [(doc.as_py(), k, i, e, t, n) for i, (e, w) in enumerate(zip(best, windows)) for t, n in Counter(w).items()]
+                df.update(seen)
+            if len(df) > HELD_TERMS:
+                rows += [(None, -1, -1, -1, t, n) for t, n in df.items()]
+                df.clear()
+            if rows:
+                yield batch(rows)
+        yield batch([(None, -1, -1, -1, t, n) for t, n in df.items()])
 
     return of
 
@@ -276,10 +290,11 @@ def scored(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     require(df, [id_column, text])
     kind = df.schema[id_column].dataType.simpleString()
     texts = df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
-    total = texts.count()
-    frequency = texts.select("text").mapInArrow(_frequencies, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    cand = texts.mapInArrow(_candidates(arrow), f"id {kind}, section int, window int, exemplar int, term string, tf int")
+    read = cut(texts.mapInArrow(_read(arrow), f"id {kind}, {_READ}"))
+    frequency = read.where("section < 0").groupBy("term").agg(F.sum("n").alias("df"))
+    total = frequency.where("term = ''").agg(F.sum("df")).first()[0] or 0
+    cand = read.where("section >= 0").withColumnRenamed("n", "tf")
     weighted = cand.join(frequency, "term").withColumn("weight", F.when(F.col("term") == NUMBER, 0.0).otherwise(F.col("tf") * F.log((F.lit(float(total)) + 1) / F.col("df"))))
     by, labels, _ = index()
     pairs = F.create_map(*[x for t, es in by.items() for x in (F.lit(t), F.array(*[F.lit(e) for e in es]))])
