@@ -30,8 +30,11 @@ from seriatim.sources.tables import micros, require
 CHUNK, HALO, MEDIAN = 4096, 64, 11
 #: Usual changes from the running median at which spike and normal are equally likely, and the steepness.
 SPIKE, STEEP = 6.6, 3.0
-#: Shortest stuck run; least share of changes elsewhere in a source whose readings keep changing.
-STUCK, CHANGING = 10, 0.4
+#: Shortest stuck run.
+STUCK = 10
+#: Shares of changes between neighbours of a source that keeps changing and of one that holds still
+#: (a setpoint), and the log likelihood ratio from which the pairs outside its longest run show the first.
+MOVES, STILL, EVIDENCE = 0.75, 0.2, 4.0
 #: Fewest readings of a source that can tell what is usual.
 ENOUGH = 8
 
@@ -82,10 +85,11 @@ def evidence(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     e[:, O] = -1e4
     run = run_lengths(x)
     d = np.abs(np.diff(x))
-    outside = np.minimum(run[1:], run[:-1]) < STUCK
-    outside |= x[1:] != x[:-1]
+    longest = int(np.argmax(run))
+    outside = np.ones(n - 1, bool)
+    outside[longest : longest + run[longest] - 1] = False
     changes, pairs = int((d[outside] > 0).sum()), int(outside.sum())
-    moving = pairs >= ENOUGH // 2 and changes >= CHANGING * pairs
+    moving = changes * np.log(MOVES / STILL) + (pairs - changes) * np.log((1 - MOVES) / (1 - STILL)) >= EVIDENCE
     equal = np.r_[False, x[1:] == x[:-1]]
     natural = (pairs - changes + 1) / (pairs + 3)
     e[:, N] = np.where(equal, np.log(natural), np.log1p(-natural))
@@ -104,7 +108,7 @@ def evidence(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     e[:, K] = np.where(run < STUCK, -60.0, np.where(equal, -0.01, np.log1p(-natural)))
     if not moving:
         e[:, K] = -60.0
-    return e, run, moving
+    return e, run, bool(moving)
 
 
 def posteriors(e: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -142,7 +146,7 @@ def flags(series: list[tuple[np.ndarray, np.ndarray, float | None, float | None]
         done[i] = np.where(out, np.int8(3), np.int8(0))
         if len(x) >= 2:
             e, run, _ = evidence(x)
-            todo.append((i, np.flatnonzero(~out), e, run, len(lo)))
+            todo.append((i, np.flatnonzero(~out), e, run, len(lo), x[1:] != x[:-1]))
     todo.sort(key=lambda p: p[4])
     at = 0
     while at < len(todo):
@@ -154,14 +158,17 @@ def flags(series: list[tuple[np.ndarray, np.ndarray, float | None, float | None]
         width = max(p[4] for p in part)
         e = np.full((len(part), width, 10), -1e4)
         e[:, :, O] = 0.0  # readings out of range, and the padding
-        for k, (_, inside, own, _, _) in enumerate(part):
+        for k, (_, inside, own, *_) in enumerate(part):
             e[k, inside] = own
         p = posteriors(e, np.array([x[4] for x in part]))
-        for k, (i, inside, _, run, _) in enumerate(part):
+        for k, (i, inside, _, run, _, changes) in enumerate(part):
             q = p[k, inside]
             own = np.zeros(len(inside), np.int8)
             own[q[:, S1] + q[:, S2] + q[:, S3] > 0.5] = 1
-            own[(q[:, K] > 0.5) & (run >= STUCK)] = 2
+            if (run >= STUCK).any():  # a run is frozen as a whole or not at all
+                edge = np.flatnonzero(np.r_[True, changes])
+                frozen = np.add.reduceat(q[:, K], edge) / run[edge] > 0.5
+                own[(run >= STUCK) & np.repeat(frozen, run[edge])] = 2
             done[i][inside] = own
     return done
 
