@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from seriatim.functions.stats import Z95, chi2_sf, normal_p
 from seriatim.operators.ranking import cumulative
+from seriatim.session import cut
 
 
 @dataclass
@@ -135,42 +136,48 @@ def holm(df: DataFrame, p: str, family: Sequence[str] = (), name: str = "p_holm"
     return df.withColumn("_s", F.when(F.col(p).isNotNull(), step)).withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("_s").over(order)))).drop("_s")
 
 
-def logrank_table(df: DataFrame, time: str, group: str) -> DataFrame:
-    """Mantel-Cox sums of uncensored times: group, n, observed, expected, variance (own diagonal entry).
-
-    Times are reduced to counts per distinct time and group first; the at-risk sums then run over
-    distinct times.
-    """
+def _logrank_sums(df: DataFrame, time: str, group: str) -> tuple[list, dict]:
+    """Groups, and the sums over distinct times: totals, expected counts and covariances."""
     rows = df.select(F.col(time).alias("t"), F.col(group).alias("g")).dropna()
     groups = sorted(r["g"] for r in rows.select("g").distinct().collect())  # the strata: a handful
-    d = [F.sum(F.when(F.col("g") == v, 1).otherwise(0)).alias(f"d{i}") for i, v in enumerate(groups)]
-    c = cumulative(rows, "t", *d)
-    total = c.agg(F.sum("n").alias("N"), *[F.sum(f"d{i}").alias(f"N{i}") for i in range(len(groups))]).first()
-    out = None
-    for i, v in enumerate(groups):
-        below = cumulative(rows.where(F.col("g") == v), "t").select("t", F.col("below").alias("own_below"), F.col("n").alias("own_n"))
-        # the group's rows below a time at which it has none: running maximum of below + n
-        at = c.select("t", "n", "below", F.col(f"d{i}").alias("d"))
-        at = at.join(below, "t", "left").withColumn("seen", F.col("own_below") + F.col("own_n"))
-        filled = _running_max(at, "t", "seen")
-        own_risk = F.lit(total[f"N{i}"]) - (F.coalesce("seen_so_far", F.lit(0)) - F.col("d"))
-        risk = F.lit(total["N"]) - F.col("below")
-        f = F.when(risk > 1, F.col("n") * (risk - F.col("n")) / (risk - 1) / (risk * risk)).otherwise(0.0)
-        one = filled.agg(F.sum(F.col("n") * own_risk / risk).alias("expected"), F.sum(f * own_risk * (risk - own_risk)).alias("variance"))
-        row = one.select(F.lit(v).alias("stratum"), F.lit(total[f"N{i}"]).alias("n"), F.lit(total[f"N{i}"]).cast("double").alias("observed"), "expected", "variance")
-        out = row if out is None else out.unionByName(row)
-    return out
+    k = range(len(groups))
+    d = [F.sum(F.when(F.col("g") == v, 1).otherwise(0)).alias(f"d{i}") for i, v in zip(k, groups)]
+    c = cut(cumulative(rows, "t", *d, running=[f"d{i}" for i in k]))
+    total = c.agg(F.sum("n").alias("N"), *[F.sum(f"d{i}").alias(f"N{i}") for i in k]).first().asDict()
+    risk = F.lit(total["N"] or 0) - F.col("below")
+    own = [F.lit(total[f"N{i}"]) - F.col(f"below_d{i}") for i in k]
+    f = F.when(risk > 1, F.col("n") * (risk - F.col("n")) / (risk - 1) / (risk * risk)).otherwise(0.0)
+    e = [F.sum(F.col("n") * own[i] / risk).alias(f"e{i}") for i in k]
+    v = [F.sum(f * own[i] * (risk - own[i] if i == j else -own[j])).alias(f"v{i}_{j}") for i in k for j in k if i <= j]
+    return groups, total | (c.agg(*e, *v).first().asDict() if groups else {})
 
 
-def _running_max(df: DataFrame, order: str, value: str) -> DataFrame:
-    """value's maximum up to and including each row, over range partitions."""
-    from seriatim.operators.ranking import _placed
+def logrank_table(df: DataFrame, time: str, group: str) -> DataFrame:
+    """Mantel-Cox sums of uncensored times: stratum, n, observed, expected, variance (own diagonal entry).
 
-    p = _placed(df, [order])
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.broadcast(p.groupBy("__part").agg(F.max(value).alias("_m")).select("__part", F.max("_m").over(w).alias("_before")))
-    own = F.max(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return p.withColumn("_own", own).join(before, "__part").withColumn(f"{value}_so_far", F.greatest("_own", "_before")).drop("__part", "_own", "_before")
+    Times are reduced to counts per distinct time and group; the at-risk numbers are running sums
+    over distinct times in range partitions.
+    """
+    groups, s = _logrank_sums(df, time, group)
+    rows = [(g, int(s[f"N{i}"]), float(s[f"N{i}"]), float(s[f"e{i}"]), float(s[f"v{i}_{i}"])) for i, g in enumerate(groups)]
+    return df.sparkSession.createDataFrame(rows, "stratum int, n bigint, observed double, expected double, variance double")
+
+
+def logrank(df: DataFrame, time: str, group: str, scores: Sequence[float] | None = None) -> dict:
+    """k-sample log-rank: x2, df, p, and with scores the trend z and its P."""
+    groups, s = _logrank_sums(df, time, group)
+    k = len(groups)
+    gap = np.array([s[f"N{i}"] - s[f"e{i}"] for i in range(k)], float)
+    v = np.array([[s[f"v{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    x2 = float(gap[:-1] @ np.linalg.pinv(v[:-1, :-1]) @ gap[:-1])
+    out = {"x2": x2, "df": k - 1, "p": chi2_sf(x2, k - 1), "z": None, "p_trend": None}
+    if scores is not None:
+        w = np.asarray(scores, float)
+        spread = float(w @ v @ w)
+        if spread > 0:
+            out["z"] = float(w @ gap) / spread**0.5
+            out["p_trend"] = normal_p(out["z"])
+    return out
 
 
 def auroc(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -33,13 +33,20 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame
     return p.withColumn("__k", k).join(_offset(p, F.count("*")), "__part").withColumn(name, F.col("__before") + F.col("__k")).drop("__part", "__k", "__before")
 
 
-def cumulative(df: DataFrame, value: str, *more: Column) -> DataFrame:
-    """Distinct non-null values with n (rows) and below (rows of smaller values), and more aggregates."""
+def cumulative(df: DataFrame, value: str, *more: Column, running: Sequence[str] = ()) -> DataFrame:
+    """Distinct non-null values with n (rows) and below (rows of smaller values), and more aggregates.
+
+    running names further aggregates that get a below_<name> too.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), *more)
     p = _placed(counts, [value])
+    names = {"n": "below", **{c: f"below_{c}" for c in running}}
     w = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("n").over(w), F.lit(0))
-    return p.withColumn("__in", inside).join(_offset(p, F.sum("n")), "__part").withColumn("below", F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
+    over = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = p.groupBy("__part").agg(*[F.sum(c).alias(f"__s_{c}") for c in names])
+    before = F.broadcast(sums.select("__part", *[F.coalesce(F.sum(f"__s_{c}").over(over), F.lit(0)).alias(f"__b_{c}") for c in names]))  # one row per partition
+    inside = p.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"__i_{c}") for c in names])
+    return inside.join(before, "__part").select(*p.columns, *[(F.col(f"__b_{c}") + F.col(f"__i_{c}")).alias(b) for c, b in names.items()]).drop("__part")
 
 
 def mid_ranks(df: DataFrame, value: str, name: str = "midrank") -> DataFrame:

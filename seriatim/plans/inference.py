@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriatim.operators import infer, resample, strata
+from seriatim.operators import infer, resample, strata, studies
 from seriatim.sources.tables import table
 
 REPLICATES = 200
@@ -144,7 +144,59 @@ def boot_paired_clusters(spark, root):
     return resample.paired_slopes(o, "q", "y", "other", "o_custkey", REPLICATES).select("contrast", r("point"), "b", r("lo", 5), r("hi", 5), r("sd", 5), r("p"))
 
 
-QUERIES = {f.__name__: f for f in (quartile_by_value, quartile_by_rank, crosstab_agreement, equal_n_sample, cem_length_matched, slope_cr1, slope_cr1_by_group, stratum_means_cr1, ols2_cr1, ols_many_cr1, linearity_wald, pooled_wald, holm_adjust, logrank_ranks, auroc_midrank, spearman_midrank, kendall_tau, logit_hit, eta2_cube, vif, attenuation, boot_cluster_mean, boot_paired_clusters)}
+def logrank_trend(spark, root):
+    g = infer.logrank(_orders(spark, root), "day", "q", (1, 2, 3, 4))
+    return spark.createDataFrame([(round(g["x2"], 4), g["df"], round(g["z"], 4))], "x2 double, df int, z double")
+
+
+def series_summary(spark, root):
+    s = studies.series(_orders(spark, root), "y", "q", "o_custkey")
+    return s.select("n", *[r(c, 5) for c in ("q1", "q2", "q3", "q4", "decline", "beta", "se", "relative")])
+
+
+def series_by_month(spark, root):
+    s = studies.series(_orders(spark, root), "y", "q", "o_custkey", ["month"])
+    return s.select("month", "n", *[r(c, 5) for c in ("q1", "q4", "decline", "beta")])
+
+
+def mediation_triple(spark, root):
+    m = studies.mediation(_orders(spark, root), "y", "q", "day", "o_custkey")
+    return spark.createDataFrame([(round(m["stratum"], 6), round(m["mediator"], 6), round(m["joint"][0], 6), round(m["correlation"], 6))], "stratum double, mediator double, joint double, correlation double")
+
+
+def retriever_interaction(spark, root):
+    o = _orders(spark, root)
+    stacked = o.select(F.col("y").alias("v"), "q", "o_custkey", F.lit("a").alias("model")).unionByName(o.select(F.col("day").alias("v"), "q", "o_custkey", F.lit("b").alias("model"))).unionByName(o.select((F.col("month") * 20).alias("v"), "q", "o_custkey", F.lit("c").alias("model")))
+    _, (w, df, p) = studies.retrievers(stacked, "v", "model", "q", "o_custkey")
+    return spark.createDataFrame([(w, df, p)], "wald double, df int, p double")
+
+
+def exposure_contrast(spark, root):
+    return studies.exposures_compared(_orders(spark, root), "y", "q", "month", "o_custkey", REPLICATES).select("contrast", r("point"), "b", r("lo", 5), r("hi", 5))
+
+
+def best_in_replicate(spark, root):
+    o = _orders(spark, root).withColumn("m20", F.col("month") * 20)
+    return studies.best_in_replicate(o, "y", ["day", "m20"], "o_custkey", REPLICATES).select("contrast", r("point"), "b", r("lo", 5), r("hi", 5))
+
+
+def auroc_interval(spark, root):
+    o = _orders(spark, root).withColumn("hit", (F.col("q") >= 3).cast("int"))
+    return studies.auroc_interval(o, "hit", "day", "o_orderkey", 20)
+
+
+def endpoints_by_quartile(spark, root):
+    s = table(spark, root, "icustays", ["stay_id", "los", "outtime"]).where("stay_id is not null").groupBy("stay_id").agg(F.max("los").alias("los"), F.max(F.col("outtime").isNull().cast("int")).alias("open"))
+    q = strata.bins_by_rank(s, "los", "stay_id", 4, "quartile")
+    return studies.endpoints(q, "quartile", "open", "los").select("quartile", "n", r("share"), r("median", 4), r("p25", 4), r("p75", 4))
+
+
+def score_without_part(spark, root):
+    o = _orders(spark, root).withColumn("score", F.floor(F.col("y") / 50) + F.col("q"))
+    return studies.without_part(o, "o_orderkey", "score", "q").select("whole", "rest", "n", r("agree"))
+
+
+QUERIES = {f.__name__: f for f in (logrank_trend, series_summary, series_by_month, mediation_triple, retriever_interaction, exposure_contrast, best_in_replicate, auroc_interval, endpoints_by_quartile, score_without_part, quartile_by_value, quartile_by_rank, crosstab_agreement, equal_n_sample, cem_length_matched, slope_cr1, slope_cr1_by_group, stratum_means_cr1, ols2_cr1, ols_many_cr1, linearity_wald, pooled_wald, holm_adjust, logrank_ranks, auroc_midrank, spearman_midrank, kendall_tau, logit_hit, eta2_cube, vif, attenuation, boot_cluster_mean, boot_paired_clusters)}
 
 _EDGES = "select quantile_cont(c_acctbal, 0.25) as a, quantile_cont(c_acctbal, 0.5) as b, quantile_cont(c_acctbal, 0.75) as c, min(c_acctbal) as lo, max(c_acctbal) as hi from customer"
 _MEANS = """, per as (select q, o_custkey, count(*) as n, sum(y) as sy from o group by 1, 2),
@@ -167,7 +219,32 @@ def _ci(point: str, reps: str, name: str, digits: int) -> str:
     return f"select '{name}' as contrast, round({point}, 6) as point, count(v) as b, round(quantile_cont(v, 0.025), {digits}) as lo, round(quantile_cont(v, 0.975), {digits}) as hi, round(stddev_samp(v), {digits}) as sd{{p}} from {reps}"
 
 
+_TREND = """, ts as (select distinct day as t from o), gs as (select distinct q as g from o),
+ats as (select t, g, (select count(*) from o where day >= t and q = g)::double as nr, (select count(*) from o where day = t and q = g) as d, (select count(*) from o where day = t)::double as dt, (select count(*) from o where day >= t)::double as nt from ts, gs),
+f as (select *, case when nt > 1 then dt * (nt - dt) / (nt - 1) / (nt * nt) else 0 end as f from ats), oe as (select g, sum(d) - sum(dt * nr / nt) as gap from ats group by 1),
+v as (select a.g as i, b.g as j, sum(a.f * a.nr * ((case when a.g = b.g then a.nt else 0 end) - b.nr)) as v from f a join f b using (t) group by 1, 2),
+m as (select max(v) filter (where i = 1 and j = 1) as a, max(v) filter (where i = 1 and j = 2) as b, max(v) filter (where i = 1 and j = 3) as c, max(v) filter (where i = 2 and j = 2) as d, max(v) filter (where i = 2 and j = 3) as e, max(v) filter (where i = 3 and j = 3) as f from v),
+x as (select max(gap) filter (where g = 1) as x, max(gap) filter (where g = 2) as y, max(gap) filter (where g = 3) as z from oe)
+select round((x * x * (d * f - e * e) + y * y * (a * f - c * c) + z * z * (a * d - b * b) + 2 * x * y * (c * e - b * f) + 2 * x * z * (b * e - c * d) + 2 * y * z * (b * c - a * e)) / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)), 4) as x2, 3 as df,
+  round((select sum(g * gap) from oe) / sqrt((select sum(i * j * v) from v)), 4) as z from m, x"""
+_QM = ", ".join(f"avg(case when q = {k} then y end) as q{k}" for k in (1, 2, 3, 4))
+
 ORACLE = {
+    "logrank_trend": f"with {ORDERS}" + _TREND,
+    "series_summary": f"with {ORDERS}" + _SLOPE.format(**_ONE) + f", q as (select {_QM} from o) select tn::bigint as n, round(q1, 5) as q1, round(q2, 5) as q2, round(q3, 5) as q3, round(q4, 5) as q4, round((q4 - q1) / q1, 5) as decline, round(beta, 5) as beta, round(sqrt(g / (g - 1.0) * (tn - 1) / (tn - 2) * meat) / xx, 5) as se, round(beta / q1, 5) as relative from t, m, q",
+    "series_by_month": f"with {ORDERS}, q as (select month, count(*) as n, {_QM}, regr_slope(y, q) as beta from o group by 1) select month, n, round(q1, 5) as q1, round(q4, 5) as q4, round((q4 - q1) / q1, 5) as decline, round(beta, 5) as beta from q",
+    "mediation_triple": f"with {ORDERS}, s as (select covar_pop(q, day) as qd, var_pop(q) as qq, var_pop(day) as dd, covar_pop(q, y) as qy, covar_pop(day, y) as dy from o) select round(qy / qq, 6) as stratum, round(dy / sqrt(dd), 6) as mediator, round((qy * dd - dy * qd) / (qq * dd - qd * qd), 6) as joint, round(qd / sqrt(qq * dd), 6) as correlation from s",
+    "exposure_contrast": f"""with {ORDERS}, {_DRAWS}, per as (select c.k, count(*)::double as n, sum(y) as sy, sum(q) as a, sum(q * q) as aa, sum(q * y) as ay, sum(month) as b, sum(month * month) as bb, sum(month * y) as by_ from o join c using (o_custkey) group by 1),
+bb as (select rep, (sum(by_ * mult) - sum(b * mult) * sum(sy * mult) / sum(n * mult)) / (sum(bb * mult) - sum(b * mult) * sum(b * mult) / sum(n * mult)) - (sum(ay * mult) - sum(a * mult) * sum(sy * mult) / sum(n * mult)) / (sum(aa * mult) - sum(a * mult) * sum(a * mult) / sum(n * mult)) as v from w join per using (k) group by 1)
+select 'b - a' as contrast, round((select regr_slope(y, month) - regr_slope(y, q) from o), 6) as point, count(v) as b, round(quantile_cont(v, 0.025), 5) as lo, round(quantile_cont(v, 0.975), 5) as hi from bb""",
+    "best_in_replicate": f"""with {ORDERS}, {_DRAWS}, per as (select c.k, count(*)::double as n, sum(y) as sy, sum(day) as sd, sum(month * 20) as sm from o join c using (o_custkey) group by 1),
+bb as (select rep, (sum(sy * mult) - greatest(sum(sd * mult), sum(sm * mult))) / sum(n * mult) as v from w join per using (k) group by 1)
+select 'reference - best' as contrast, round((select avg(y) - greatest(avg(day), avg(month * 20)) from o), 6) as point, count(v) as b, round(quantile_cont(v, 0.025), 5) as lo, round(quantile_cont(v, 0.975), 5) as hi from bb""",
+    "endpoints_by_quartile": """with s as (select stay_id, max(los) as los, max((outtime is null)::int) as open from icustays where stay_id is not null group by 1), q as (select *, greatest(1, ceil(4.0 * (row_number() over (order by los, stay_id) - 1) / (count(*) over () - 1)))::int as quartile from s where los is not null)
+select quartile, count(*) as n, round(avg(open), 6) as share, round(quantile_cont(los, 0.5), 4) as median, round(quantile_cont(los, 0.25), 4) as p25, round(quantile_cont(los, 0.75), 4) as p75 from q group by 1""",
+    "score_without_part": f"""with {ORDERS}, s as (select floor(y / 50) + q as score, q from o), e as (select list_distinct(quantile_cont(score, [0.25, 0.5, 0.75])) as e, min(score) as lo, max(score) as hi, list_distinct(quantile_cont(score - q, [0.25, 0.5, 0.75])) as e2, min(score - q) as lo2, max(score - q) as hi2 from s),
+b as (select 1 + len(list_filter(e, lambda x: x > lo and x < hi and score > x)) as whole, 1 + len(list_filter(e2, lambda x: x > lo2 and x < hi2 and score - q > x)) as rest from s, e)
+select whole, rest, count(*) as n, round((select avg((whole = rest)::int) from b), 6) as agree from b group by 1, 2""",
     "quartile_by_value": f"with e as ({_EDGES}) select c_custkey, 1 + (c_acctbal > a)::int + (case when b > a then c_acctbal > b else false end)::int + (case when c > b then c_acctbal > c else false end)::int as bin from customer, e",
     "quartile_by_rank": "select o_orderkey, greatest(1, ceil(4.0 * (r - 1) / (n - 1)))::int as bin from (select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) as r, count(*) over () as n from orders)",
     "crosstab_agreement": f"""with e as ({_EDGES}), x as (select 1 + (c_acctbal > a)::int + (c_acctbal > b)::int + (c_acctbal > c)::int as by_value, greatest(1, ceil(4.0 * (row_number() over (order by c_acctbal, c_custkey) - 1) / (count(*) over () - 1)))::int as by_rank from customer, e)
