@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriatim.functions.text import word_windows
+from seriatim.session import cut, partitions
 
 #: Queries of a block, documents of a matrix product, decimals of a score before any comparison.
 QUERIES, DOCUMENTS, DIGITS = 512, 256, 9
@@ -114,7 +115,7 @@ def outcomes(docs: DataFrame, queries: DataFrame, once: bool = False, window: tu
     times the vocabulary's mean. A document that shares no term scores 0. Scores are rounded to
     nine decimals before they are compared. Queries without a target in docs are left out.
     """
-    docs = docs.select(F.col("doc").cast("bigint").alias("doc"), "tokens")
+    docs = cut(docs.select(F.col("doc").cast("bigint").alias("doc"), "tokens").repartition(partitions(docs), "doc"))  # read once for statistics, targets and counts
     units = docs.select(F.explode(window_tokens("tokens", *window)).alias("tokens")) if window else docs
     df, n, mean, average = statistics(units)
     if window and document_idf:

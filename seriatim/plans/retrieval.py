@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriatim.operators import dense, infer, lexical, strata, text
+from seriatim.session import partitions
 from seriatim.sources.tables import table
 
 
@@ -43,7 +44,9 @@ def leak_flag(spark, root):
 
 
 def _notes(spark, root):
-    return table(spark, root, "discharge", ["note_id", "text"]).where("text is not null").dropDuplicates(["note_id"])
+    """Notes once each; the explicit width keeps the Python stage that follows parallel on small files."""
+    notes = table(spark, root, "discharge", ["note_id", "text"]).where("text is not null")
+    return notes.repartition(partitions(notes), "note_id").dropDuplicates(["note_id"])
 
 
 def query_extract(spark, root):
