@@ -36,8 +36,10 @@ def sound(df: DataFrame, vector: str, dim: int = 64) -> DataFrame:
 
 
 def by_document(chunks: DataFrame) -> DataFrame:
-    """Chunks (doc, grp, v) partitioned and sorted by document."""
-    return chunks.repartition(partitions(chunks), "doc").sortWithinPartitions("doc")
+    """Chunks (doc, grp, v and, if there is one, chunk) partitioned and sorted by document."""
+    chunk = F.col("chunk").cast("bigint") if "chunk" in chunks.columns else F.lit(None).cast("bigint")
+    c = chunks.select(F.col("doc").cast("bigint").alias("doc"), F.col("grp").cast("double").alias("grp"), "v", F.coalesce(chunk, F.lit(-1)).alias("chunk"))
+    return c.repartition(partitions(chunks), "doc").sortWithinPartitions("doc")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], value) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -47,7 +49,7 @@ def _runs(batches: Iterator[pa.RecordBatch], value) -> Iterator[tuple[np.ndarray
         if not b.num_rows:
             continue
         doc, grp = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-        s = value(_matrix(b.column(2)))
+        s = value(_matrix(b.column(2)), b.column(3).to_numpy(), doc)
         edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         best = np.maximum.reduceat(s, edge, axis=0)
         d, g = doc[edge], grp[edge]
@@ -64,14 +66,28 @@ def _runs(batches: Iterator[pa.RecordBatch], value) -> Iterator[tuple[np.ndarray
 
 
 class Block:
-    def __init__(self, rows: list):
+    """A block of queries. A query that is a chunk itself (same id) does not see that chunk.
+
+    pooled: documents come as sums of their unit chunks, and a query's own chunk is taken out of
+    its target's sum.
+    """
+
+    def __init__(self, rows: list, pooled: bool):
         self.ids = [r["query"] for r in rows]
+        self.queries, self.pooled = np.array(self.ids, np.int64), pooled
         self.targets = np.array([r["target"] for r in rows], np.int64)
         self.groups = np.array([np.nan if r["grp"] is None else r["grp"] for r in rows], float)
         self.vectors = unit(np.array([r["v"] for r in rows], np.float64))
 
-    def scores(self, v: np.ndarray) -> np.ndarray:
-        return np.round(unit(v) @ self.vectors.T, DIGITS)
+    def scores(self, v: np.ndarray, chunk: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        s = np.round(unit(v) @ self.vectors.T, DIGITS)
+        s[chunk[:, None] == self.queries[None, :]] = -np.inf
+        if self.pooled:
+            at, j = np.nonzero(doc[:, None] == self.targets[None, :])
+            rest = v[at] - self.vectors[j]
+            there = np.sqrt((rest * rest).sum(axis=1)) > 1e-6
+            s[at, j] = np.where(there, np.round((unit(rest) * self.vectors[j]).sum(axis=1), DIGITS), -np.inf)
+        return s
 
 
 def _targets(block: Block):
@@ -83,12 +99,14 @@ def _targets(block: Block):
     return of
 
 
-def _counts(block: Block, target: np.ndarray, masked: bool):
+def _counts(block: Block, target: np.ndarray, masked: bool, within: bool):
     def of(batches):
         n = len(target)
         above, equal, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
         for d, g, s in _runs(batches, block.scores):
             out = d[:, None] == block.targets[None, :]
+            if within:
+                out = out | (np.asarray(g, float)[:, None] != block.groups[None, :])
             if masked:
                 out = out | (np.asarray(g, float)[:, None] == block.groups[None, :])
             above += ((s > target) & ~out).sum(axis=0)
@@ -99,14 +117,18 @@ def _counts(block: Block, target: np.ndarray, masked: bool):
     return of
 
 
-def outcomes(chunks: DataFrame, queries: DataFrame, masked: bool = False) -> DataFrame:
+def outcomes(chunks: DataFrame, queries: DataFrame, masked: bool = False, pooled: bool = False, within: bool = False) -> DataFrame:
     """Each query's target among all documents, a document scoring as its best chunk.
 
-    chunks: doc (bigint), grp (double, null allowed), v; queries: query, target, grp, v. masked
-    leaves out other documents of the query's group. Cosines rounded to nine decimals. Result:
-    query, target, target_score, n_above, n_equal, best_other (null if there is none).
+    chunks: doc (bigint), grp (double, null allowed), v, and chunk where queries may be chunks;
+    queries: query, target, grp, v. A query never meets the chunk of its own id, as a known item's
+    query is removed from its target. masked leaves out other documents of the query's group,
+    within those of any other group (an index per cell).
+    pooled: v is the sum of a document's unit chunks. Cosines rounded to nine decimals. Result:
+    query, target, target_score, n_above, n_equal, best_other (null if there is none); queries
+    whose target has no (other) chunk are left out.
     """
-    ordered = cut(by_document(chunks.select(F.col("doc").cast("bigint").alias("doc"), F.col("grp").cast("double").alias("grp"), "v")))
+    ordered = cut(by_document(chunks))
     blocks = max(1, -(-queries.count() // QUERIES))
     asked = queries.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     out = None
@@ -114,11 +136,11 @@ def outcomes(chunks: DataFrame, queries: DataFrame, masked: bool = False) -> Dat
         rows = asked.where(F.col("_b") == b).collect()
         if not rows:
             continue
-        block = Block(rows)
+        block = Block(rows, pooled)
         first = {r["j"]: r["target_score"] for r in ordered.mapInArrow(_targets(block), "j int, target_score double").collect()}
         scores = np.array([first.get(j, np.nan) for j in range(len(rows))])
-        counted = ordered.mapInArrow(_counts(block, scores, masked), "j int, n_above bigint, n_equal bigint, best_other double").groupBy("j").agg(F.sum("n_above").alias("n_above"), F.sum("n_equal").alias("n_equal"), F.max("best_other").alias("best_other"))
-        head = chunks.sparkSession.createDataFrame([(j, q, int(t), float(s)) for j, (q, t, s) in enumerate(zip(block.ids, block.targets, scores)) if s == s], "j int, query bigint, target bigint, target_score double")
+        counted = ordered.mapInArrow(_counts(block, scores, masked, within), "j int, n_above bigint, n_equal bigint, best_other double").groupBy("j").agg(F.sum("n_above").alias("n_above"), F.sum("n_equal").alias("n_equal"), F.max("best_other").alias("best_other"))
+        head = chunks.sparkSession.createDataFrame([(j, q, int(t), float(s)) for j, (q, t, s) in enumerate(zip(block.ids, block.targets, scores)) if s > -2], "j int, query bigint, target bigint, target_score double")
         part = head.join(counted, "j").drop("j").withColumn("best_other", F.when(F.col("best_other") > F.lit(float("-inf")), F.col("best_other")))
         out = part if out is None else out.unionByName(part)
     return out
@@ -151,10 +173,9 @@ def _sums(dim: int, second: bool):
     return of
 
 
-def mean_pooled(chunks: DataFrame, dim: int = 64) -> DataFrame:
-    """One vector per document, the mean of its unit chunks: doc, grp, v."""
-    c = by_document(chunks.select(F.col("doc").cast("bigint").alias("doc"), F.col("grp").cast("double").alias("grp"), "v"))
-    s = c.mapInArrow(_sums(dim, False), "doc bigint, n bigint, s array<double>").select("doc", F.col("s").alias("v"))
+def summed(chunks: DataFrame, dim: int = 64) -> DataFrame:
+    """One vector per document, the sum of its unit chunks (its direction is that of their mean): doc, grp, v."""
+    s = by_document(chunks).mapInArrow(_sums(dim, False), "doc bigint, n bigint, s array<double>").select("doc", F.col("s").alias("v"))
     return s.join(chunks.groupBy("doc").agg(F.max("grp").alias("grp")), "doc").select("doc", "grp", "v")
 
 
@@ -173,9 +194,9 @@ def centred(v: Column, mean: list[float]) -> Column:
 
 
 def random_chunk(chunks: DataFrame, chunk: str, seed: str = "s") -> DataFrame:
-    """One chunk of each document, the first by hash: doc, grp, v."""
+    """One chunk of each document, the first by hash: doc, grp, v, chunk."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(chunk).cast("string")))
-    return chunks.groupBy("doc").agg(F.min_by(F.struct("grp", "v"), order).alias("x")).select("doc", "x.grp", "x.v")
+    return chunks.groupBy("doc").agg(F.min_by(F.struct("grp", "v", F.col(chunk).alias("chunk")), order).alias("x")).select("doc", "x.grp", "x.v", "x.chunk")
 
 
 def dispersion(chunks: DataFrame, dim: int = 64) -> DataFrame:
@@ -184,8 +205,7 @@ def dispersion(chunks: DataFrame, dim: int = 64) -> DataFrame:
     From the sum of vectors and the sum of outer products, which add up, so no pair is formed.
     """
     require(chunks, ["doc", "v"])
-    c = by_document(chunks.select(F.col("doc").cast("bigint").alias("doc"), F.lit(0.0).alias("grp"), "v"))
-    s = c.mapInArrow(_sums(dim, True), "doc bigint, n bigint, s array<double>, f double")
+    s = by_document(chunks.select("doc", F.lit(0.0).alias("grp"), "v")).mapInArrow(_sums(dim, True), "doc bigint, n bigint, s array<double>, f double")
     q = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
     n = F.col("n")
     many = lambda x: F.when(n > 1, x)

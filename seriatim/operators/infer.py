@@ -266,7 +266,7 @@ def attenuation(raw: float, adjusted: float, signed: bool = False) -> float | No
     """Share of a slope that a covariate takes away: 1 - |adjusted| / |raw|, or signed."""
     if not raw:
         return None
-    return 1 - (adjusted / raw if signed else abs(adjusted) / abs(raw))
+    return float(1 - (adjusted / raw if signed else abs(adjusted) / abs(raw)))
 
 
 def conditioned(df: DataFrame, y: str, x: str, covariates: Sequence[str], cluster: str, least: int = 200, sample_sd: bool = False) -> list[dict]:

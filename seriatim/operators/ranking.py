@@ -49,6 +49,16 @@ def cumulative(df: DataFrame, value: str, *more: Column, running: Sequence[str]
     return inside.join(before, "__part").select(*p.columns, *[(F.col(f"__b_{c}") + F.col(f"__i_{c}")).alias(b) for c, b in names.items()]).drop("__part")
 
 
+def ranked_within(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """Rows with their position (from 1) inside their group; a group of any size spreads over range partitions.
+
+    The group's first global rank is one number per group, joined back.
+    """
+    r = cut(ranked(df, [*group, *order], "__r"))
+    first = r.groupBy(*group).agg(F.min("__r").alias("__f"))
+    return r.join(first, list(group)).withColumn(name, F.col("__r") - F.col("__f") + 1).drop("__r", "__f")
+
+
 def mid_ranks(df: DataFrame, value: str, name: str = "midrank") -> DataFrame:
     """Rows with the average rank of their value (ties share it); null values have none."""
     c = cumulative(df, value).select(F.col(value), (F.col("below") + (F.col("n") + 1) / 2).alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriatim.operators.ranking import quantiles, ranked
+from seriatim.operators.ranking import quantiles, ranked, ranked_within
 
 
 def bins_by_value(df: DataFrame, value: str, k: int = 4, name: str = "bin") -> DataFrame:
@@ -34,12 +34,15 @@ def lottery(seed: str, key: str) -> Column:
 
 
 def equal_n(df: DataFrame, stratum: str | list[str], key: str, n: int | None = None, seed: str = "s") -> DataFrame:
-    """The same number of rows of every stratum (the smallest stratum's, or n), drawn without replacement."""
+    """The same number of rows of every stratum (the smallest stratum's, or n), drawn without replacement.
+
+    Rows without a stratum belong to none and are left out.
+    """
     by = [stratum] if isinstance(stratum, str) else stratum
     if n is None:
-        n = df.groupBy(*by).count().agg(F.min("count")).first()[0] or 0
-    w = Window.partitionBy(*by).orderBy("_l", key)
-    return df.withColumn("_l", lottery(seed, key)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_l", "_k")
+        n = df.dropna(subset=by).groupBy(*by).count().agg(F.min("count")).first()[0] or 0
+    known = df.dropna(subset=by).withColumn("_l", lottery(seed, key))
+    return ranked_within(known, by, ["_l", key], "_k").where(F.col("_k") <= n).drop("_l", "_k")
 
 
 def matched(df: DataFrame, stratum: str, covariate: str, key: str, k: int = 10, seed: str = "s") -> DataFrame:
@@ -48,8 +51,7 @@ def matched(df: DataFrame, stratum: str, covariate: str, key: str, k: int = 10,
     strata = df.select(stratum).dropna().distinct().count()
     cells = binned.groupBy("_bin", stratum).count()
     take = cells.groupBy("_bin").agg(F.min("count").alias("_take"), F.count("*").alias("_has")).where(F.col("_has") == strata).select("_bin", "_take")
-    w = Window.partitionBy("_bin", stratum).orderBy("_l", key)
-    drawn = binned.join(F.broadcast(take), "_bin").withColumn("_l", lottery(seed, key)).withColumn("_k", F.row_number().over(w)).where("_k <= _take")
+    drawn = ranked_within(binned.withColumn("_l", lottery(seed, key)), ["_bin", stratum], ["_l", key], "_k").join(F.broadcast(take), "_bin").where("_k <= _take")  # k rows of take
     return drawn.withColumnRenamed("_bin", "bin").drop("_take", "_l", "_k")
 
 

@@ -121,8 +121,8 @@ def signed_sums(spark, root):
 
 
 def set_equality(spark, root):
-    o = table(spark, root, "orders", ["o_orderkey", "o_orderstatus"])
-    return relational.same_rows(o.where("o_orderstatus <> 'P'"), o.where("o_orderkey % 7 <> 0"))
+    o = table(spark, root, "orders", ["o_orderkey", "o_orderstatus", "o_orderdate"])
+    return relational.same_rows(o.where("o_orderstatus <> 'P'").drop("o_orderdate"), o.where("o_orderstatus <> 'F' or o_orderdate >= '1996-01-01'").drop("o_orderdate"))
 
 
 def topk_overlap(spark, root):
@@ -193,7 +193,7 @@ select l_orderkey, (a + (case when d = 1 then 0 else 2 * b end) + 3 * c + 6 * d)
     "distinct_covariates": "select l_orderkey, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers, round(max((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3600000000.0), 4) as max_lag_hours from lineitem join orders on l_orderkey = o_orderkey group by 1",
     "value_counts": "select genre, lang, count(*) as n from documents group by 1, 2",
     "signed_sums": "select l_linestatus, round(sum(case when l_returnflag = 'R' then -l_quantity else l_quantity end), 2) as signed, round(avg((l_quantity > 25)::int), 6) as share, max((l_returnflag = 'A')::int) as any_a from lineitem group by 1",
-    "set_equality": "select (select count(*) from (select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P' except all select o_orderkey, o_orderstatus from orders where o_orderkey % 7 <> 0)) as only_left, (select count(*) from (select o_orderkey, o_orderstatus from orders where o_orderkey % 7 <> 0 except all select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P')) as only_right",
+    "set_equality": "select (select count(*) from (select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P' except all select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'F' or o_orderdate >= '1996-01-01')) as only_left, (select count(*) from (select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'F' or o_orderdate >= '1996-01-01' except all select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'P')) as only_right",
     "topk_overlap": f"with {_SEG}, t as (select * from (select *, row_number() over (partition by c_mktsegment order by m desc, c_nationkey) as k from c) where k <= 5) select x.c_mktsegment as a, y.c_mktsegment as b, count(*) / 5.0 as overlap from t x join t y on x.c_nationkey = y.c_nationkey and x.c_mktsegment < y.c_mktsegment group by 1, 2",
     "selection_regret": f"with {_SEG}, b as (select c_mktsegment as source, c_nationkey from (select *, row_number() over (partition by c_mktsegment order by m desc, c_nationkey) as k from c) where k = 1), o as (select c_mktsegment as target, max(m) as top from c group by 1) select source, target, round(top - m, 2) as regret from b join c using (c_nationkey) join o on o.target = c.c_mktsegment where source <> target",
 }

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriatim.plans import core, exposures, inference, retrieval
+from seriatim.plans import analyses, core, exposures, inference, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**core.QUERIES, **exposures.QUERIES, **inference.QUERIES, **retrieval.QUERIES}
+    return {**core.QUERIES, **exposures.QUERIES, **inference.QUERIES, **retrieval.QUERIES, **analyses.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**core.ORACLE, **exposures.ORACLE, **inference.ORACLE, **retrieval.ORACLE}
+    return {**core.ORACLE, **exposures.ORACLE, **inference.ORACLE, **retrieval.ORACLE, **analyses.ORACLE}

@@ -5,6 +5,7 @@ The query set of a search is every row whose id is divisible by 100, against all
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriatim.operators import dense, infer, lexical, strata, text
@@ -33,14 +34,17 @@ def sentence_df(spark, root):
 
 
 def word_df_idf(spark, root):
+    """Each text as a query on all texts: mean idf of its words."""
     d = table(spark, root, "documents", ["doc_id", "text"]).where("text is not null")
-    q = d.select("doc_id", F.substring("text", 1, 200).alias("q"))
-    return text.mean_idf(q, "doc_id", "q", text.word_frequency(d, "doc_id", "text"), d.count()).select("doc_id", r("mean_idf"), r("missing"))
+    return text.mean_idf(d, "doc_id", "text", text.word_frequency(d, "doc_id", "text"), d.count()).select("doc_id", r("mean_idf"), r("missing"))
 
 
 def leak_flag(spark, root):
-    n = table(spark, root, "discharge", ["note_id", "text"]).where("text is not null").dropDuplicates(["note_id"])
-    return n.select("note_id", text.leaks(F.substring("text", 1, 300), F.expr("substring(text, 301)")).alias("leak"))
+    """Whether a patient's next note still holds the beginning of a note."""
+    n = table(spark, root, "discharge", ["note_id", "subject_id", "text", "charttime"]).where("text is not null")
+    n = n.groupBy("note_id").agg(F.min("subject_id").alias("subject_id"), F.min("charttime").alias("charttime"), F.max("text").alias("text"))
+    after = F.lead("text").over(Window.partitionBy("subject_id").orderBy(F.col("charttime").asc_nulls_last(), "note_id"))
+    return n.withColumn("after", after).where("after is not null").select("note_id", text.leaks(F.col("text"), F.col("after")).alias("leak"))
 
 
 def _notes(spark, root):
@@ -118,11 +122,11 @@ def _chunks(spark, root):
     owner = table(spark, root, "documents", ["doc_id", "subject_id"]).select(F.col("doc_id").alias("did"), F.col("subject_id").cast("double").alias("grp"))
     c = c.join(owner, "did", "left")
     asked = c.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query"), F.col("did").alias("target"), "grp", F.col("dv").alias("v"))
-    return c.where("chunk_id % 100 <> 0").select("chunk_id", F.col("did").alias("doc"), "grp", F.col("dv").alias("v")), asked
+    return c.select(F.col("chunk_id").alias("chunk"), F.col("did").alias("doc"), "grp", F.col("dv").alias("v")), asked
 
 
-def _dense(chunks, asked, masked: bool = False):
-    o = lexical.ranked(dense.outcomes(chunks, asked, masked))
+def _dense(chunks, asked, **how):
+    o = lexical.ranked(dense.outcomes(chunks, asked, **how))
     return o.select("query", "target", "rank", r("target_score", 5), r("margin", 5), "hit")
 
 
@@ -136,7 +140,7 @@ def dense_same_group_masked(spark, root):
 
 def dense_mean_pool(spark, root):
     c, asked = _chunks(spark, root)
-    return _dense(dense.mean_pooled(c), asked)
+    return _dense(dense.summed(c), asked, pooled=True)
 
 
 def dense_centered(spark, root):
@@ -147,7 +151,7 @@ def dense_centered(spark, root):
 
 def dense_random_chunk(spark, root):
     c, asked = _chunks(spark, root)
-    return _dense(dense.random_chunk(c, "chunk_id"), asked)
+    return _dense(dense.random_chunk(c, "chunk"), asked)
 
 
 def dispersion(spark, root):
@@ -183,19 +187,20 @@ _WHOLE = "select doc, 0 as u, tokens from dt"
 _WINDOWS = "select doc, i as u, tokens[i * 48 + 1 : i * 48 + 64] as tokens from (select doc, tokens, unnest(range(greatest(0, ceil((len(tokens) - 64) / 48.0))::int + 1)) as i from dt)"
 _UNIT = "list_transform({v}::double[], lambda x: x / sqrt(list_dot_product({v}::double[], {v}::double[])))"
 _VECTORS = f"""c0 as (select chunk_id, did, {_UNIT.format(v='dv')} as v, subject_id as grp from chunk_vec left join documents on doc_id = did where dv is not null and len(dv) = 64 and list_dot_product(dv::double[], dv::double[]) > 0 and did is not null),
-qs as (select chunk_id as q, did as target, v, grp from c0 where chunk_id % 100 = 0), ch as (select chunk_id, did as doc, v, grp from c0 where chunk_id % 100 <> 0)"""
+qs as (select chunk_id as q, did as target, v, grp from c0 where chunk_id % 100 = 0), ch as (select chunk_id, did as doc, v, grp from c0)"""
 
 
-def _dense_sql(prepare: str = "", chunks: str = "ch", asked: str = "qs", masked: bool = False) -> str:
+def _dense_sql(prepare: str = "", chunks: str = "ch", asked: str = "qs", masked: bool = False, score: str = "list_dot_product({asked}.v, {chunks}.v)", where: str = "{chunks}.chunk_id <> q") -> str:
     skip = "doc <> target" + (" and (qg is null or dg is null or qg <> dg)" if masked else "")
     return f"""with {_VECTORS}{prepare},
-s as (select q, target, doc, any_value({asked}.grp) as qg, any_value({chunks}.grp) as dg, max(round(list_dot_product({asked}.v, {chunks}.v), 9)) as s from {asked}, {chunks} group by 1, 2, 3),
+s as (select q, target, doc, any_value({asked}.grp) as qg, any_value({chunks}.grp) as dg, max(round({score.format(asked=asked, chunks=chunks)}, 9)) as s from {asked}, {chunks} where {where.format(chunks=chunks)} group by 1, 2, 3),
 tg as (select q, s as ts from s where doc = target),
 o as (select q as query, target, ts, count(*) filter (where s > ts and {skip}) + 1 as rank, max(s) filter (where {skip}) as bo from s join tg using (q) group by 1, 2, 3)
 select query, target, rank, round(ts, 5) as target_score, round(ts - bo, 5) as margin, (rank <= 10)::int as hit from o"""
 
 
-_SUM = "(select doc, any_value(grp) as grp, list(x order by k) as v from (select doc, k, sum(v[k]) / count(*) as x, any_value(grp) as grp from ch, range(1, 65) as r(k) group by 1, 2) group by 1)"
+_SUM = "(select doc, any_value(grp) as grp, list(x order by k) as v from (select doc, k, sum(v[k]) as x, any_value(grp) as grp from ch, range(1, 65) as r(k) group by 1, 2) group by 1)"
+_REST = "list_transform(list_zip(sm, qs.v), lambda x: x[1] - x[2])"
 _CENTRE = "(select list(x order by k) as m from (select k, avg(v[k]) as x from ch, range(1, 65) as r(k) group by 1))"
 
 ORACLE = {
@@ -203,9 +208,9 @@ ORACLE = {
     "sentence_df": """with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \\n\\t]+', '\\1' || chr(1), 'g'), chr(1))) as s from documents where text is not null),
 k as (select distinct doc_id, trim(regexp_replace(regexp_replace(lower(s), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')) as key from s where len(regexp_split_to_array(trim(s), ' +')) >= 6) select key, count(*) as documents from k group by 1""",
     "word_df_idf": """with d as (select doc_id, text from documents where text is not null), f as (select word, count(*) as documents from (select unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) as word from d) group by 1),
-q as (select doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{3,}')) as word from d)
+q as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as word from d)
 select doc_id, round(avg(ln((select count(*) from d)::double / (1 + coalesce(documents, 0)))), 6) as mean_idf, round(avg((documents is null)::int), 6) as missing from q left join f using (word) group by 1""",
-    "leak_flag": f"with n as (select note_id, any_value(text) as text from discharge where text is not null group by 1), k as (select note_id, substr({_KEY.format(c='substr(text, 1, 300)')}, 1, 60) as h, {_KEY.format(c='substr(text, 301)')} as t from n) select note_id, h <> '' and contains(t, h) as leak from k",
+    "leak_flag": f"with n as (select note_id, min(subject_id) as subject_id, min(charttime) as charttime, max(text) as text from discharge where text is not null group by 1), a as (select note_id, text, lead(text) over (partition by subject_id order by charttime nulls last, note_id) as aft from n), k as (select note_id, substr({_KEY.format(c='text')}, 1, 60) as h, {_KEY.format(c='aft')} as t from a where aft is not null) select note_id, h <> '' and contains(t, h) as leak from k",
     "bm25_rank_optimistic": _bm25_sql(_WHOLE),
     "bm25_rank_pessimistic": _bm25_sql(_WHOLE, True, True),
     "bm25_windowed": _bm25_sql(_WINDOWS),
@@ -214,9 +219,9 @@ select doc_id, round(avg(ln((select count(*) from d)::double / (1 + coalesce(doc
 m as (select q, count(*) as n, avg(ln(rank)) as m from b group by 1) select q as stratum, n, round(exp(m), 5) as geo_mean, round(exp(m - (select arg_min(m, q) from m)), 5) as ratio from m"""),
     "dense_rank_margin": _dense_sql(),
     "dense_same_group_masked": _dense_sql(masked=True),
-    "dense_mean_pool": _dense_sql(f", p0 as {_SUM}, p as (select doc, grp, {_UNIT.format(v='v')} as v from p0)", "p"),
-    "dense_centered": _dense_sql(f", mn as {_CENTRE}, c1 as (select doc, grp, list_transform(list_zip(v, m), lambda x: x[1] - x[2]) as v from ch, mn), q1 as (select q, target, grp, list_transform(list_zip(v, m), lambda x: x[1] - x[2]) as v from qs, mn), c2 as (select doc, grp, {_UNIT.format(v='v')} as v from c1), q2 as (select q, target, grp, {_UNIT.format(v='v')} as v from q1)", "c2", "q2"),
-    "dense_random_chunk": _dense_sql(", p as (select doc, arg_min(grp, md5(concat('s:', chunk_id))) as grp, arg_min(v, md5(concat('s:', chunk_id))) as v from ch group by 1)", "p"),
+    "dense_mean_pool": _dense_sql(f", p0 as {_SUM}, p as (select doc, grp, v as sm, {_UNIT.format(v='v')} as v from p0)", "p", score="case when doc = target then list_dot_product(qs.v, " + _REST + ") / sqrt(list_dot_product(" + _REST + ", " + _REST + ")) else list_dot_product(qs.v, p.v) end", where="(doc <> target or list_dot_product(" + _REST + ", " + _REST + ") > 1e-12)"),
+    "dense_centered": _dense_sql(f", mn as {_CENTRE}, c1 as (select chunk_id, doc, grp, list_transform(list_zip(v, m), lambda x: x[1] - x[2]) as v from ch, mn), q1 as (select q, target, grp, list_transform(list_zip(v, m), lambda x: x[1] - x[2]) as v from qs, mn), c2 as (select chunk_id, doc, grp, {_UNIT.format(v='v')} as v from c1), q2 as (select q, target, grp, {_UNIT.format(v='v')} as v from q1)", "c2", "q2"),
+    "dense_random_chunk": _dense_sql(", p as (select doc, arg_min(chunk_id, md5(concat('s:', chunk_id))) as chunk_id, arg_min(grp, md5(concat('s:', chunk_id))) as grp, arg_min(v, md5(concat('s:', chunk_id))) as v from ch group by 1)", "p"),
     "dispersion": f"""with {_VECTORS}, g as (select x.doc, list_dot_product(x.v, y.v) as d from ch x join ch y on x.doc = y.doc), a as (select doc, sqrt(count(*))::bigint as n, sum(d) as s, sum(d * d) as f from g group by 1)
 select doc, n, case when n > 1 then round((s - n) / (n * (n - 1)), 6) end as pair_cosine, case when n > 1 then round(sqrt(s) / n, 6) end as centroid_cosine, case when n > 1 then round(n * n / f, 6) end as effective_rank from a""",
 }

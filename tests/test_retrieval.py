@@ -107,6 +107,16 @@ def test_best_chunk_and_masks(spark):
     assert dense.outcomes(chunks.limit(0), q).count() == 0
 
 
+def test_a_query_never_meets_its_own_chunk(spark):
+    v = np.array([[1.0, 0], [0.8, 0.6], [0.9, 0.1], [0.5, 0.5]])
+    chunks = spark.createDataFrame([(i, d, None, [float(x) for x in r]) for i, (d, r) in enumerate(zip([1, 1, 2, 3], v))], "chunk bigint, doc bigint, grp double, v array<float>")
+    asked = spark.createDataFrame([(0, 1, None, [1.0, 0.0]), (3, 3, None, [0.5, 0.5])], "query bigint, target bigint, grp double, v array<float>")
+    got = dense.outcomes(chunks, asked).collect()
+    assert [(r["query"], r["target_score"], r["n_above"]) for r in got] == [(0, pytest.approx(0.8, abs=1e-6), 1)]
+    pooled = dense.outcomes(dense.summed(chunks, 2), asked, pooled=True).collect()
+    assert [(r["query"], r["target_score"]) for r in pooled] == [(0, pytest.approx(0.8, abs=1e-6))]
+
+
 def test_dispersion_equals_the_gram_matrix(spark):
     v = np.random.default_rng(2).normal(size=(12, 64))
     doc = [1] * 5 + [2] * 6 + [3]
