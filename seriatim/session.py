@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,23 +32,20 @@ def build(app: str = "seriatim", master: str | None = None, cores: int = 8, part
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers.
+    """Make the package importable in Python workers wherever they run.
 
-    Workers find it through PYTHONPATH or their working folder; where neither names the
-    repository, the sources are sent once per context through Spark's own file server.
+    The sources, some hundred kilobytes, go out once per context through Spark's own file server;
+    executors need no path of the driver's machine.
     """
     sc = spark.sparkContext
-    home = str(ROOT.parent)
     if getattr(sc, "_seriatim_shipped", False):
         return
-    sc._seriatim_shipped = True
-    if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == home:
-        return
     archive = Path(tempfile.mkdtemp()) / "seriatim_src.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in ROOT.rglob("*.py"):
             z.write(p, p.relative_to(ROOT.parent))
     sc.addPyFile(str(archive))
+    sc._seriatim_shipped = True
 
 
 def cut(df: DataFrame) -> DataFrame:
