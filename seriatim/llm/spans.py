@@ -152,16 +152,27 @@ def records(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def shared(recs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All windows of the given length that occur in more than one record: doc, pos, h1, h2."""
+    """All windows of the given length that occur in more than one record, with what their group is.
+
+    Result: doc, pos, h1, h2, and of the group of equal windows n (occurrences), s1, s2 (sums of
+    record hashes, the group's signature) and head (whether this is its first occurrence).
+    """
     size = max(1, length // 4)
     docs = recs.select("doc", "text").where(F.length("text") >= length)
     alive = _repeated(docs.mapInArrow(_windows(_at_anchors(size), size), _WINDOWS))
     # A span of the length holds an anchor among its first `size` starts, the same in each copy:
     # the doubled window at that anchor lies inside the span, and the span starts at most size - 1 before it.
-    for width, reach in ((2 * size, 0), (length, size - 1)):
-        starts = alive.groupBy("doc").agg(F.collect_set("pos").alias("alive"))
-        alive = _repeated(docs.join(starts, "doc").mapInArrow(_windows(_around(reach), width), _WINDOWS).distinct())
-    return cut(alive)
+    alive = _repeated(_extended(docs, alive, 2 * size, 0))
+    dense = cut(_extended(docs, alive, length, size - 1))
+    mark = lambda seed: F.sum(F.hash(F.lit(seed), "doc").cast("bigint"))
+    group = dense.groupBy("h1", "h2").agg(F.count("*").alias("n"), mark(1).alias("s1"), mark(2).alias("s2"), F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("z")).where("first.doc <> z")
+    return cut(dense.join(group, ["h1", "h2"]).select("doc", "pos", "h1", "h2", "n", "s1", "s2", (F.col("first") == F.struct("doc", "pos")).alias("head")))
+
+
+def _extended(docs: DataFrame, alive: DataFrame, width: int, reach: int) -> DataFrame:
+    """Windows of a width at the surviving starts of each text and up to `reach` before them."""
+    starts = alive.groupBy("doc").agg(F.collect_set("pos").alias("alive"))  # at most a text's length
+    return docs.join(starts, "doc").mapInArrow(_windows(_around(reach), width), _WINDOWS)
 
 
 def pairs(recs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -171,13 +182,10 @@ def pairs(recs: DataFrame, windows: DataFrame) -> DataFrame:
     expanded only at windows whose first occurrence does not follow, one character before, a
     window of the same group.
     """
-    bound = windows.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("sig"))
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"))
-    rows = windows.join(bound, ["h1", "h2"]).join(first, ["h1", "h2"])
     w = Window.partitionBy("doc").orderBy("pos")
-    follows = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("sig").over(w) == F.col("sig")) & (F.lag("n").over(w) == F.col("n"))
-    heads = rows.withColumn("follows", F.coalesce(follows, F.lit(False))).where((F.col("first") == F.struct("doc", "pos")) & ~F.col("follows")).select("h1", "h2")
-    members = windows.join(heads, ["h1", "h2"], "left_semi").select("h1", "h2", "doc").distinct()
+    before = F.struct(F.col("pos") - 1, "n", "s1", "s2") == F.lag(F.struct("pos", "n", "s1", "s2")).over(w)
+    heads = windows.withColumn("follows", F.coalesce(before, F.lit(False))).where("head and not follows").select("h1", "h2")
+    members = windows.join(heads.distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "doc").distinct()
     a, b = members.withColumnRenamed("doc", "a"), members.withColumnRenamed("doc", "b")
     linked = a.join(b, ["h1", "h2"]).where("a < b").select("a", "b").distinct()
     name = recs.select("doc", "id").distinct()
