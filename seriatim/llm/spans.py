@@ -17,9 +17,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriatim.operators.ranking import ranked
 from seriatim.session import cut
 from seriatim.sources.tables import require
 
@@ -77,7 +78,17 @@ def anchors(roll: Rolling, starts: np.ndarray, stops: np.ndarray, size: int) ->
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-_WINDOWS = "doc bigint, pos int, h1 bigint, h2 bigint"
+#: A place is doc * 2**PLACE + position: one number that orders by record, then position.
+PLACE = 30
+_WINDOWS = "at bigint, h1 bigint, h2 bigint"
+
+
+def _doc() -> Column:
+    return F.shiftright("at", PLACE)
+
+
+def _pos() -> Column:
+    return F.col("at").bitwiseAND((1 << PLACE) - 1)
 
 
 def _windows(pick: Callable[[Rolling, np.ndarray, np.ndarray, list], np.ndarray], length: int):
@@ -94,8 +105,8 @@ def _windows(pick: Callable[[Rolling, np.ndarray, np.ndarray, list], np.ndarray]
         inside = at + length <= stops[of] if len(at) else np.zeros(0, bool)
         at, of = at[inside], of[inside]
         two = Rolling(joined, BASES[1]).at(at, length)
-        arrays = [pa.array(np.asarray(docs, np.int64)[of]), pa.array((at - starts[of]).astype(np.int32)), pa.array(roll.at(at, length).view(np.int64)), pa.array(two.view(np.int64))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc", "pos", "h1", "h2"])
+        place = (np.asarray(docs, np.int64)[of] << PLACE) + (at - starts[of])
+        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(roll.at(at, length).view(np.int64)), pa.array(two.view(np.int64))], ["at", "h1", "h2"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,7 +114,7 @@ def _windows(pick: Callable[[Rolling, np.ndarray, np.ndarray, list], np.ndarray]
             for k, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 docs.append(d)
                 texts.append(t.as_py())
-                extra.append(b.column(2)[k].values.to_numpy(zero_copy_only=False) if b.num_columns > 2 else None)
+                extra.append([c[k].values.to_numpy(zero_copy_only=False) for c in b.columns[2:]])
                 held += len(texts[-1])
                 if held >= BLOCK:
                     yield part(docs, texts, extra)
@@ -118,17 +129,35 @@ def _at_anchors(size: int):
     return lambda roll, starts, stops, _: anchors(roll, starts, stops, size)
 
 
-def _around(reach: int):
-    """The surviving starts of each text, and those up to `reach` before them."""
+def _at_alive(roll: Rolling, starts: np.ndarray, stops: np.ndarray, alive: list) -> np.ndarray:
+    """The surviving starts of each text."""
+    return np.concatenate([a + np.sort(np.asarray(own[0], np.int64)) for a, own in zip(starts, alive)])
+
+
+def _marked(places: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
+    """Which of n positions lie from `before` before a place to `after` after it."""
+    flags = np.zeros(n + 1, np.int32)
+    np.add.at(flags, np.clip(places - before, 0, n), 1)
+    np.add.at(flags, np.clip(places + after + 1, 0, n), -1)
+    return np.cumsum(flags)[:-1] > 0
+
+
+def _around(size: int, length: int):
+    """Starts at which a span of the length can begin: near a surviving doubled window, and without a dead anchor inside.
 
-    def pick(_: Rolling, starts: np.ndarray, stops: np.ndarray, alive: list) -> np.ndarray:
+    An anchor that lies `size` or more inside a span on both sides is one in every copy, so its
+    window repeats; where one is dead no span can begin.
+    """
+
+    def pick(roll: Rolling, starts: np.ndarray, stops: np.ndarray, alive: list) -> np.ndarray:
         out = []
-        for a, z, own in zip(starts, stops, alive):
-            flags = np.zeros(z - a + 1, np.int32)
-            own = np.sort(np.asarray(own, np.int64))
-            np.add.at(flags, np.maximum(own - reach, 0), 1)
-            np.add.at(flags, own + 1, -1)
-            out.append(a + np.flatnonzero(np.cumsum(flags)[:-1] > 0))
+        for a, z, (doubled, single) in zip(starts, stops, alive):
+            n = int(z - a)
+            near = _marked(np.asarray(doubled, np.int64), size - 1, 0, n)
+            dead = np.setdiff1d(anchors(roll, np.array([a]), np.array([z]), size) - a, np.asarray(single, np.int64))
+            if length - 3 * size + 1 >= 0 and len(dead):
+                near &= ~_marked(dead, length - 2 * size + 1, -(size - 1), n)
+            out.append(a + np.flatnonzero(near))
         return np.concatenate(out)
 
     return pick
@@ -137,7 +166,7 @@ def _around(reach: int):
 def _repeated(windows: DataFrame) -> DataFrame:
     """The windows that occur in more than one record."""
     windows = cut(windows)
-    seen = windows.groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("h1", "h2")
+    seen = windows.groupBy("h1", "h2").agg(F.min("at").alias("a"), F.max("at").alias("z")).where(F.shiftright("a", PLACE) != F.shiftright("z", PLACE)).select("h1", "h2")
     return windows.join(seen, ["h1", "h2"], "left_semi")
 
 
@@ -148,31 +177,35 @@ def records(df: DataFrame, id_column: str, text: str) -> DataFrame:
     is searched, under the same number. Rows without id or text are left out.
     """
     require(df, [id_column, text])
-    return df.select(F.col(id_column).cast("string").alias("id"), F.col(text).alias("text")).dropna().distinct().withColumn("doc", F.xxhash64("id"))
+    rows = df.select(F.col(id_column).cast("string").alias("id"), F.col(text).alias("text")).dropna().distinct()
+    numbers = ranked(rows.select("id").distinct(), ["id"], "doc")
+    return rows.join(numbers, "id")
+
+
+def _starts(alive: DataFrame, name: str) -> DataFrame:
+    """Surviving positions of each record, at most a text's length."""
+    return alive.groupBy(_doc().alias("doc")).agg(F.collect_set(_pos()).alias(name))
 
 
 def shared(recs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All windows of the given length that occur in more than one record, with what their group is.
 
-    Result: doc, pos, h1, h2, and of the group of equal windows n (occurrences), s1, s2 (sums of
-    record hashes, the group's signature) and head (whether this is its first occurrence).
+    Result: at (record and position), h1, h2, and of the group of equal windows n (occurrences),
+    s1, s2 (sums of record hashes, the group's signature) and first (its first occurrence).
     """
     size = max(1, length // 4)
     docs = recs.select("doc", "text").where(F.length("text") >= length)
-    alive = _repeated(docs.mapInArrow(_windows(_at_anchors(size), size), _WINDOWS))
+    single = cut(_repeated(docs.mapInArrow(_windows(_at_anchors(size), size), _WINDOWS)))
     # A span of the length holds an anchor among its first `size` starts, the same in each copy:
     # the doubled window at that anchor lies inside the span, and the span starts at most size - 1 before it.
-    alive = _repeated(_extended(docs, alive, 2 * size, 0))
-    dense = cut(_extended(docs, alive, length, size - 1))
-    mark = lambda seed: F.sum(F.hash(F.lit(seed), "doc").cast("bigint"))
-    group = dense.groupBy("h1", "h2").agg(F.count("*").alias("n"), mark(1).alias("s1"), mark(2).alias("s2"), F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("z")).where("first.doc <> z")
-    return cut(dense.join(group, ["h1", "h2"]).select("doc", "pos", "h1", "h2", "n", "s1", "s2", (F.col("first") == F.struct("doc", "pos")).alias("head")))
-
-
-def _extended(docs: DataFrame, alive: DataFrame, width: int, reach: int) -> DataFrame:
-    """Windows of a width at the surviving starts of each text and up to `reach` before them."""
-    starts = alive.groupBy("doc").agg(F.collect_set("pos").alias("alive"))  # at most a text's length
-    return docs.join(starts, "doc").mapInArrow(_windows(_around(reach), width), _WINDOWS)
+    own = _starts(single, "single")
+    doubled = _repeated(docs.join(own, "doc").select("doc", "text", "single").mapInArrow(_windows(_at_alive, 2 * size), _WINDOWS))
+    both = docs.join(_starts(doubled, "doubled"), "doc").join(own, "doc").select("doc", "text", "doubled", "single")
+    dense = cut(both.mapInArrow(_windows(_around(size, length), length), _WINDOWS))
+    mark = lambda seed: F.sum(F.hash(F.lit(seed), _doc()).cast("bigint"))
+    group = dense.groupBy("h1", "h2").agg(F.count("*").alias("n"), mark(1).alias("s1"), mark(2).alias("s2"), F.min("at").alias("first"), F.max("at").alias("z"))
+    group = group.where(F.shiftright("first", PLACE) != F.shiftright("z", PLACE)).drop("z")
+    return cut(dense.join(group, ["h1", "h2"]))
 
 
 def pairs(recs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -182,22 +215,21 @@ def pairs(recs: DataFrame, windows: DataFrame) -> DataFrame:
     expanded only at windows whose first occurrence does not follow, one character before, a
     window of the same group.
     """
-    w = Window.partitionBy("doc").orderBy("pos")
-    before = F.struct(F.col("pos") - 1, "n", "s1", "s2") == F.lag(F.struct("pos", "n", "s1", "s2")).over(w)
-    heads = windows.withColumn("follows", F.coalesce(before, F.lit(False))).where("head and not follows").select("h1", "h2")
-    members = windows.join(heads.distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "doc").distinct()
+    w = Window.partitionBy(_doc()).orderBy("at")
+    before = F.struct(F.col("at") - 1, "n", "s1", "s2") == F.lag(F.struct("at", "n", "s1", "s2")).over(w)
+    heads = windows.withColumn("follows", F.coalesce(before, F.lit(False))).where("at = first and not follows").select("h1", "h2")
+    members = windows.join(heads.distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", _doc().alias("doc")).distinct()
     a, b = members.withColumnRenamed("doc", "a"), members.withColumnRenamed("doc", "b")
     linked = a.join(b, ["h1", "h2"]).where("a < b").select("a", "b").distinct()
     name = recs.select("doc", "id").distinct()
-    named = linked.join(name.select(F.col("doc").alias("a"), F.col("id").alias("x")), "a").join(name.select(F.col("doc").alias("b"), F.col("id").alias("y")), "b")
-    return named.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return linked.join(name.select(F.col("doc").alias("a"), F.col("id").alias("id_a")), "a").join(name.select(F.col("doc").alias("b"), F.col("id").alias("id_b")), "b").select("id_a", "id_b")
 
 
 def passages(windows: DataFrame, length: int = LENGTH) -> DataFrame:
     """The shared passages of each record, overlapping windows joined: doc, start, stop."""
     w = Window.partitionBy("doc").orderBy("pos")
     new = F.when(F.lag("pos").over(w) + length >= F.col("pos"), 0).otherwise(1)
-    spans = windows.select("doc", "pos").distinct().withColumn("new", new).withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = windows.select(_doc().alias("doc"), _pos().alias("pos")).distinct().withColumn("new", new).withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return spans.groupBy("doc", "k").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("stop")).drop("k")
 
 
