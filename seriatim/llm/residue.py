@@ -161,7 +161,12 @@ SECTIONS = (
 )
 
 _TERM = regex.compile(r"\x01|(?<!\p{L})[0-9a-f]*\d[0-9a-f]*(?:[.,:/]\d+)*(?!\p{L})|[\p{L}\p{M}][\p{L}\p{M}']*\d*|\d+")
-_HEADING = regex.compile(r"(?:^|(?<=\n)|(?<=[.!?>\]})%@\x01] ))[ \t﻿]*\p{Lu}[\p{L}'’-]*(?: [\p{L}'’-]+){0,4} ?:(?=\s|$)|(?<=\s)(?:" + SECTIONS + "|" + SECTIONS.upper() + r") ?:(?=\s|$)")
+_COLON = regex.compile(r" ?:(?=\s|$)")
+#: What stands before a heading's colon; a heading is at most HEADING characters long.
+_HEADING = regex.compile(
+    r"(?:^|(?<=\n)|(?<=[.!?>\]})%@\x01] ))[ \t\ufeff]*\p{Lu}[\p{L}'’-]*(?: [\p{L}'’-]+){0,4}$|(?<=\s)(?:" + SECTIONS + "|" + SECTIONS.upper() + ")$"
+)
+HEADING = 120
 _WINDOW = regex.compile(r"[\n\r]+|[<>{}\"]+|(?<=[.!?…])\s+")
 
 #: A window is contained from this share of its weight on; a section is residue from this share of contained weight on.
@@ -194,8 +199,15 @@ def terms(window: str) -> list[str]:
 def sections(text: str) -> list[list[list[str]]]:
     """Sections of a text, each a list of windows, each a list of terms; without headings and empty windows."""
     plain = PLACEHOLDER.sub(f" {HOLE} ", text)
+    parts, last = [], 0
+    for colon in _COLON.finditer(plain):
+        heading = _HEADING.search(plain, max(last, colon.start() - HEADING), colon.start())
+        if heading:
+            parts.append(plain[last : heading.start()])
+            last = colon.end()
+    parts.append(plain[last:])
     out = []
-    for part in _HEADING.split(plain):
+    for part in parts:
         windows = [t for w in _WINDOW.split(part) if (t := terms(w))]
         if windows:
             out.append(windows)
