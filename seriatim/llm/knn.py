@@ -29,7 +29,7 @@ CURVES, DIMS, BITS, BLOCK, BLOCKS = 8, 6, 10, 4096, 16
 #: Rows of the sample on which the directions are fitted, and the seed of the rotations.
 FIT_ROWS, SEED = 20_000, 20
 #: Candidates that a block keeps for exact ranking, and queries compared at once.
-KEPT, AT_ONCE, GROUP = 24, 512, 128
+KEPT, AT_ONCE, GROUP = 24, 512, 16
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -105,18 +105,24 @@ def _ordered(fit: tuple, dim: int):
 
 
 def top_columns(s: np.ndarray, most: int) -> np.ndarray:
-    """Columns of the `most` largest entries of each row, in no order; whole groups of columns are ruled out first."""
+    """Columns of the `most` largest entries of each row, in no order.
+
+    Columns form groups of GROUP (equal modulo the number of groups, so maxima run over whole
+    rows); the largest entries lie in the groups of largest maximum, and only those are sorted.
+    """
     n, w = s.shape
     if w <= most:
         return np.tile(np.arange(w), (n, 1))
-    if w > 4 * GROUP and -(-w // GROUP) > most:
-        pad = -w % GROUP
-        p = np.concatenate([s, np.full((n, pad), -9, s.dtype)], axis=1).reshape(n, -1, GROUP) if pad else s.reshape(n, -1, GROUP)
-        groups = np.argpartition(-p.max(axis=2), most - 1, axis=1)[:, :most]
-        columns = (groups[:, :, None] * GROUP + np.arange(GROUP)).reshape(n, -1)
-        part = np.take_along_axis(p, groups[:, :, None], axis=1).reshape(n, -1)
-        return np.take_along_axis(columns, np.argpartition(-part, most - 1, axis=1)[:, :most], axis=1)
-    return np.argpartition(-s, most - 1, axis=1)[:, :most]
+    groups = -(-w // GROUP)
+    if groups <= 2 * most:
+        return np.argpartition(s, w - most, axis=1)[:, w - most :]
+    pad = groups * GROUP - w
+    p = (np.concatenate([s, np.full((n, pad), -9, s.dtype)], axis=1) if pad else s).reshape(n, GROUP, groups)
+    chosen = np.argpartition(p.max(axis=1), groups - most, axis=1)[:, groups - most :]
+    part = np.take_along_axis(p, chosen[:, None, :], axis=2).reshape(n, -1)
+    columns = (chosen[:, None, :] + np.arange(GROUP)[None, :, None] * groups).reshape(n, -1)
+    k = part.shape[1]
+    return np.take_along_axis(columns, np.argpartition(part, k - most, axis=1)[:, k - most :], axis=1)
 
 
 def _rank(sim: np.ndarray, chunk: np.ndarray, did: np.ndarray, own: int | None, k: int) -> np.ndarray:
