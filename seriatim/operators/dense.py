@@ -129,6 +129,7 @@ def outcomes(chunks: DataFrame, queries: DataFrame, masked: bool = False, pooled
     whose target has no (other) chunk are left out.
     """
     ordered = cut(by_document(chunks))
+    queries = cut(queries)
     blocks = max(1, -(-queries.count() // QUERIES))
     asked = queries.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     out = None

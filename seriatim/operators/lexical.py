@@ -33,7 +33,7 @@ def window_tokens(tokens: Column | str, size: int, stride: int) -> Column:
 def statistics(units: DataFrame) -> tuple[DataFrame, int, float, float]:
     """Term frequencies over units (tokens column): (term, df), number of units, mean length, mean raw idf of the vocabulary."""
     n, mean = units.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-    df = units.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = cut(units.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))  # the vocabulary, read twice
     raw = df.agg(F.avg(raw_idf("df", n))).first()[0]
     return df, n, float(mean or 0.0), float(raw or 0.0)
 
@@ -122,11 +122,13 @@ def outcomes(docs: DataFrame, queries: DataFrame, once: bool = False, window: tu
         df, n, _, average = statistics(docs)
     value = raw_idf("df", n)
     idf = df.select("term", F.when(value < 0, FLOOR * average).otherwise(value).alias("idf"))
-    asked = queries.select("query", F.col("target").cast("bigint").alias("target"), "tokens").withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // QUERIES)))))
+    asked = cut(queries.select("query", F.col("target").cast("bigint").alias("target"), "tokens"))
+    blocks = -(-asked.count() // QUERIES)
+    asked = asked.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(max(1, blocks))))
     out = None
-    for b in range(asked.agg(F.max("_b")).first()[0] + 1 if asked.take(1) else 0):  # blocks of a bounded number of queries
+    for b in range(max(1, blocks)):  # blocks of a bounded number of queries
         own = asked.where(F.col("_b") == b)
-        terms = own.select(F.explode("tokens").alias("term")).distinct().join(idf, "term")
+        terms = own.select(F.explode("tokens").alias("term")).distinct().join(idf, "term")  # the terms of a block
         block = Block([(r["query"], r["target"], r["tokens"]) for r in own.collect()], {r["term"]: r["idf"] for r in terms.collect()}, mean, once, window)
         mine = docs.join(F.broadcast(own.select(F.col("target").alias("doc")).distinct()), "doc", "left_semi")  # at most QUERIES rows
         first = {r["j"]: r["target_score"] for r in mine.mapInArrow(_targets(block), "j int, target_score double").collect()}
