@@ -36,7 +36,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_common, p3_found, p3_periods, p5_found)}
 
 _ISLANDS = """
-with v as (select stay_id, lower(regexp_replace(ventilation_status, '^\\s+|\\s+$', '', 'g')) as ventilation_status, least(starttime, endtime) as s, greatest(starttime, endtime) as e
+with v as (select distinct stay_id, lower(regexp_replace(ventilation_status, '^\\s+|\\s+$', '', 'g')) as ventilation_status, least(starttime, endtime) as s, greatest(starttime, endtime) as e
   from ventilation where stay_id is not null and ventilation_status is not null and starttime is not null and endtime is not null),
 m as (select *, max(e) over (partition by stay_id, ventilation_status order by s, e rows between unbounded preceding and 1 preceding) as before from v)
 """
