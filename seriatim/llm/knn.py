@@ -7,12 +7,17 @@ to it, and the best of each curve merge into one ranking. Copies are handled as
 one vector: a class brings to the curves only the few members that any ranking can need, so a
 class of a third of all rows fills no window, and every member gets the ranking of its class.
 
+The share of a table that a row meets on one curve falls as the table grows. A sample of rows is
+therefore compared with every vector, and rounds of further curves, with other rotations, go on
+until the rankings found so far hold TARGET of the sample's true neighbours.
+
 The projection's directions are fitted on a bounded sample of the vectors (FIT_ROWS); every
 vector is ordered, compared and ranked.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,8 @@ K = 5
 CURVES, DIMS, BITS, BLOCK, BLOCKS = 8, 6, 10, 4096, 16
 #: Rows of the sample on which the directions are fitted, and the seed of the rotations.
 FIT_ROWS, SEED = 20_000, 20
+#: Share of the true neighbours of ASKED sampled rows from which no further round of curves is needed.
+TARGET, ASKED = 0.95, 512
 #: Candidates that a block keeps for exact ranking, and queries compared at once.
 KEPT, AT_ONCE, GROUP = 24, 512, 16
 
@@ -242,13 +249,52 @@ def representatives(rows: DataFrame, k: int) -> DataFrame:
     return few.select("c1", "c2", "chunk_id", "did", "dv", (F.col("q") == 1).alias("query"), (F.min("did").over(whole) != F.max("did").over(whole)).alias("multi"))
 
 
-def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
+def _true_sims(asked: np.ndarray, own: np.ndarray, dim: int, k: int):
+    """Rows of a partition -> for each asked vector, its k largest similarities among them, without its own did."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(asked), k), -9.0)
+        for b in batches:
+            for a in range(0, b.num_rows, BLOCK):
+                part = b.slice(a, BLOCK)
+                s = asked @ unit_rows(_vectors(part.column("dv"), dim)).T
+                s[own[:, None] == part.column("did").to_numpy()[None, :]] = -9
+                best = -np.sort(-np.concatenate([best, s], axis=1), axis=1)[:, :k]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), k)), pa.array(best.ravel())], ["asked", "s"])
+
+    return of
+
+
+def _sampled(reps: DataFrame, dim: int, k: int) -> tuple[list, np.ndarray]:
+    """Sampled rows (c1, c2, did) and their k largest similarities by comparison with every vector; -9 where there are fewer."""
+    t = reps.where("query").orderBy(F.xxhash64("chunk_id", "c2"), "chunk_id").select("c1", "c2", "did", "dv").limit(ASKED).toArrow().combine_chunks()
+    asked, own = unit_rows(_vectors(t["dv"].combine_chunks(), dim)), t["did"].to_numpy()
+    sims = reps.select("did", "dv").mapInArrow(_true_sims(asked, own, dim, k), "asked bigint, s double").groupBy("asked").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, k).alias("s"))
+    true = np.full((len(own), k), -9.0)
+    for r in sims.collect():
+        true[r["asked"]] = r["s"]
+    return t.select(["c1", "c2", "did"]).to_pylist(), true
+
+
+def _recall(merged: DataFrame, sample: list, true: np.ndarray, k: int) -> float:
+    """Share of the sampled rows' true neighbours that are found; one as similar as the k-th is as good."""
+    s = merged.sparkSession.createDataFrame([(i, r["c1"], r["c2"], r["did"]) for i, r in enumerate(sample)], "asked int, c1 bigint, c2 bigint, did bigint")
+    got = merged.join(F.broadcast(s), ["c1", "c2"]).select("asked", F.transform(F.slice(F.filter("l", lambda x: x["did"] != F.col("did")), 1, k), lambda x: -x["s"]).alias("s")).collect()
+    wanted = (true > -9).sum(axis=1)
+    if not wanted.any():
+        return 1.0
+    hits = sum(min(int(wanted[r["asked"]]), sum(x >= true[r["asked"], wanted[r["asked"]] - 1] - 1e-6 for x in r["s"])) for r in got if wanted[r["asked"]])
+    return hits / int(wanted.sum())
+
+
+def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, block: int = BLOCK, target: float = TARGET) -> DataFrame:
     """For every vector the k most similar chunks of other documents: chunk_id, near, rank (1..k), similarity.
 
     Cosine similarity rounded to nine decimals, ties to the smaller chunk_id. Rows with a null
     id, did or vector, with null or non-finite numbers, of another length, or all zero are left
     out. Copies are ranked like any other chunk of another document. Chunks with fewer than k
-    others get fewer. Approximate: see the README for the recall measured.
+    others get fewer. Approximate: rounds of `curves` curves follow each other until `target` of
+    the true neighbours of a sample are found.
     """
     rows = cut(members(df, dim))
     reps = cut(representatives(rows, k))
@@ -256,18 +302,36 @@ def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, bloc
     sample = reps.orderBy(F.xxhash64("c1", "chunk_id")).select("dv").limit(FIT_ROWS).toArrow()
     if not total:
         return df.sparkSession.createDataFrame([], "chunk_id bigint, near bigint, rank int, similarity double")
-    fit = directions(unit_rows(_vectors(sample["dv"].combine_chunks(), dim)), curves)
-    parts = max(partitions(df), -(-curves * total // (block * BLOCKS)))
+    vectors = unit_rows(_vectors(sample["dv"].combine_chunks(), dim))
+    asked, true = _sampled(reps, dim, k)
+    merged, recall, turn = None, -1.0, 0
+    while recall < target:
+        lists = _round(reps, directions(vectors, curves, seed=SEED + turn), total, k, dim, block)
+        merged = cut(_merged(lists if merged is None else lists.unionByName(merged), k))
+        before, recall, turn = recall, _recall(merged, asked, true, k), turn + 1
+        if before >= recall:
+            warnings.warn(f"further curves find nothing more: recall {recall:.3f} on the sample after {turn} rounds", stacklevel=2)
+            break
+    joined = rows.select("chunk_id", "did", "c1", "c2").join(merged, ["c1", "c2"])
+    mine = joined.select("chunk_id", F.posexplode(F.slice(F.filter("l", lambda x: x["did"] != F.col("did")), 1, k)).alias("p", "x"))
+    return mine.select("chunk_id", F.col("x.chunk").alias("near"), (F.col("p") + 1).alias("rank"), (-F.col("x.s")).alias("similarity"))
+
+
+def _round(reps: DataFrame, fit: tuple, total: int, k: int, dim: int, block: int) -> DataFrame:
+    """The best of each class on each of a round's curves: c1, c2, multi, l."""
+    parts = max(partitions(reps), -(-len(fit[0]) * total // (block * BLOCKS)))
     schema = "curve int, key bigint, c1 bigint, c2 bigint, chunk_id bigint, did bigint, query boolean, multi boolean, dv binary"
     ordered = reps.mapInArrow(_ordered(fit, dim), schema).repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key", "chunk_id")
     ranked = ordered.mapInArrow(_windows(dim, k, block), _RANKED)
     entry = F.transform(F.arrays_zip("near", "dids", "sims"), lambda x: F.struct((-x["sims"]).alias("s"), x["near"].alias("chunk"), x["dids"].alias("did")))
-    merged = ranked.select("c1", "c2", "multi", entry.alias("l")).groupBy("c1", "c2").agg(F.first("multi").alias("multi"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("l")))).alias("l"))  # at most 2k of each curve
+    return ranked.select("c1", "c2", "multi", entry.alias("l"))
+
+
+def _merged(lists: DataFrame, k: int) -> DataFrame:
+    """One ranking of each class: k entries; of a class of several documents 2k, at most k of a did."""
+    one = lists.groupBy("c1", "c2").agg(F.first("multi").alias("multi"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("l")))).alias("l"))  # at most 2k of each curve
     capped = F.filter("l", lambda x, i: F.size(F.filter(F.slice("l", 1, F.greatest(i, F.lit(0))), lambda y: y["did"] == x["did"])) < k)
-    best = merged.select("c1", "c2", F.when(F.col("multi"), F.slice(capped, 1, 2 * k)).otherwise(F.slice("l", 1, k)).alias("l"))
-    joined = rows.select("chunk_id", "did", "c1", "c2").join(best, ["c1", "c2"])
-    mine = joined.select("chunk_id", F.posexplode(F.slice(F.filter("l", lambda x: x["did"] != F.col("did")), 1, k)).alias("p", "x"))
-    return mine.select("chunk_id", F.col("x.chunk").alias("near"), (F.col("p") + 1).alias("rank"), (-F.col("x.s")).alias("similarity"))
+    return one.select("c1", "c2", "multi", F.when(F.col("multi"), F.slice(capped, 1, 2 * k)).otherwise(F.slice("l", 1, k)).alias("l"))
 
 
 def found(df: DataFrame, k: int = K, dim: int = 64) -> DataFrame:

@@ -84,3 +84,16 @@ def test_top_columns():
         s = rng.normal(size=(7, w)).astype(np.float32)
         got = np.sort(np.take_along_axis(s, knn.top_columns(s, 24), axis=1), axis=1)
         assert np.array_equal(got, np.sort(s, axis=1)[:, -24:])
+
+
+def test_recall_does_not_fall_with_size(spark):
+    """Windows of a tenth of the table on a curve: further curves are added until the recall is reached."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(4000, 64)).astype(np.float32)
+    did, ids = np.arange(4000) // 2, np.arange(4000)
+    from pyspark.sql import functions as F
+
+    n = knn.nearest(_frame(spark, _rows(ids, did, v)), block=128)
+    got = {tuple(r) for r in n.select(F.least("chunk_id", "near"), F.greatest("chunk_id", "near")).distinct().collect()}
+    want = brute(ids, did, v.astype(float))
+    assert len(got & want) / len(want) >= 0.9
