@@ -1,9 +1,10 @@
 """The most similar vectors of every vector, by shifted space-filling curves.
 
 Several rotations project the vectors to a few dimensions; each projection, shifted by its own
-offset, is ordered along a Hilbert curve. Spark range-partitions the rows of every curve by key;
-inside a partition each block of neighbouring keys is compared with itself and the blocks next
-to it, and the best of each curve merge into one ranking. Copies are handled as classes of
+offset, is ordered along a Hilbert curve and cut into blocks of neighbouring keys. Each block is
+compared with itself and the blocks next to it, and the best of each curve merge into one ranking.
+Stretches of BLOCKS blocks form a part, the unit of a task; the blocks on its borders are copied
+into the parts beside it. Blocks and parts follow from the rows' places on the curve alone. Copies are handled as classes of
 one vector: a class brings to the curves only the few members that any ranking can need, so a
 class of a third of all rows fills no window, and every member gets the ranking of its class.
 
@@ -93,9 +94,81 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _ordered(fit: tuple, dim: int):
+def _keyed(fit: tuple, dim: int):
+    """Rows -> their keys on every curve, with the chunk_id that orders equal keys."""
     projections, spread, shift = fit
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u = unit_rows(_vectors(b.column("dv"), dim))
+                for c in range(len(projections)):
+                    key = keys(u, projections[c], spread[c], shift[c])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), b.column("chunk_id")], ["curve", "key", "chunk_id"])
+
+    return of
+
+
+def _marks(before: dict[tuple[int, int], int], size: int, block: int):
+    """Sorted keys of a partition -> the rows at which parts of `size` rows and their borders of a block begin or end."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = dict(before)
+        for b in batches:
+            part, curve = b.column("part").to_numpy(), b.column("curve").to_numpy()
+            edge = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(curve) != 0)]) if b.num_rows else []
+            for x, y in zip(edge, [*edge[1:], b.num_rows]):
+                at = (int(part[x]), int(curve[x]))
+                rank = seen[at] + np.arange(y - x)
+                seen[at] += y - x
+                keep = x + np.flatnonzero(np.isin(rank % size, (0, block, size - block)))
+                yield pa.RecordBatch.from_arrays([b.column("curve").take(pa.array(keep)), pa.array(rank[keep - x]), b.column("key").take(pa.array(keep)), b.column("chunk_id").take(pa.array(keep))], ["curve", "place", "key", "chunk_id"])
+
+    return of
+
+
+def _cuts(rows: DataFrame, fit: tuple, total: int, dim: int, block: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each curve, the (key, chunk_id) at which its parts start, and a block before and after that; of nothing but the rows.
+
+    Keys without vectors are sorted, and counts per partition give every row its place.
+    """
+    blocks = -(-total // block)
+    size = -(-blocks // -(-blocks // BLOCKS)) * block  # parts of about one size
+    if total <= size:
+        return [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 3 for _ in fit[0]]
+    order = ["curve", "key", "chunk_id"]
+    placed = cut(rows.mapInArrow(_keyed(fit, dim), "curve int, key bigint, chunk_id bigint").repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    before, last = {}, dict.fromkeys(range(len(fit[0])), 0)
+    for r in placed.groupBy("curve", "part").count().orderBy("curve", "part").collect():
+        before[(r["part"], r["curve"])] = last[r["curve"]]
+        last[r["curve"]] += r["count"]
+    t = placed.mapInArrow(_marks(before, size, block), "curve int, place bigint, key bigint, chunk_id bigint").toArrow()
+    curve, place, key, chunk = (t[n].to_numpy() for n in ("curve", "place", "key", "chunk_id"))
+    out = []
+    for c in range(len(fit[0])):
+        three = []
+        for off in (0, -block, block):
+            on = np.flatnonzero((curve == c) & ((place - off) % size == 0) & (place - off > 0) & (place - off < total))
+            on = on[np.argsort(place[on])]
+            three.append((key[on], chunk[on]))
+        out.append(three)
+    return out
+
+
+def passed(key: np.ndarray, chunk: np.ndarray, marks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the sorted marks (key, chunk_id) are at or before each row."""
+    n, m = len(key), len(marks[0])
+    order = np.lexsort((np.r_[np.ones(n, bool), np.zeros(m, bool)], np.r_[chunk, marks[1]], np.r_[key, marks[0]]))
+    out = np.empty(n + m, np.int64)
+    out[order] = np.cumsum(order >= n)
+    return out[:n]
+
+
+def _ordered(fit: tuple, cuts: list, dim: int):
+    """Rows -> their part on every curve; rows of a border once more, as no query, for the part beside it."""
+    projections, spread, shift = fit
+    first = np.cumsum([0, *(len(c[0][0]) + 1 for c in cuts)])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -103,10 +176,17 @@ def _ordered(fit: tuple, dim: int):
             v = _vectors(b.column("dv"), dim)
             u = unit_rows(v)
             raw = pa.array([r.tobytes() for r in v], pa.binary())
-            for c in range(len(projections)):
+            query, chunk = b.column("query").to_numpy(zero_copy_only=False), b.column("chunk_id").to_numpy()
+            for c, (start, early, late) in enumerate(cuts):
                 key = keys(u, projections[c], spread[c], shift[c])
-                own = [b.column(n) for n in ("c1", "c2", "chunk_id", "did", "query", "multi")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), *own, raw], ["curve", "key", "c1", "c2", "chunk_id", "did", "query", "multi", "dv"])
+                part = passed(key, chunk, start)
+                left = np.flatnonzero((part > 0) & (passed(key, chunk, late) < part))  # in the first block of a part
+                right = np.flatnonzero(passed(key, chunk, early) > part)  # in the last one
+                at = np.r_[np.arange(len(key)), left, right]
+                to = first[c] + np.r_[part, part[left] - 1, part[right] + 1]
+                asks = np.r_[query, np.zeros(len(left) + len(right), bool)]
+                own = [b.column(n).take(pa.array(at)) for n in ("c1", "c2", "chunk_id", "did", "multi")]
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(key[at]), *own, pa.array(asks), raw.take(pa.array(at))], ["part", "key", "c1", "c2", "chunk_id", "did", "multi", "query", "dv"])
 
     return of
 
@@ -152,7 +232,7 @@ _RANKED = "c1 bigint, c2 bigint, multi boolean, near array<bigint>, dids array<b
 
 
 def _windows(dim: int, k: int, block: int):
-    """Sorted rows of a partition -> the best of each query in its block and the blocks next to it."""
+    """Sorted rows of parts -> the best of each query in its block and the blocks next to it."""
 
     def compare(queries: pa.Table, qv: np.ndarray, around: list[tuple[pa.Table, np.ndarray]]) -> pa.RecordBatch:
         cand = np.concatenate([v for _, v in around])
@@ -192,7 +272,7 @@ def _windows(dim: int, k: int, block: int):
             return t.drop_columns(["dv"]), unit_rows(_vectors(t["dv"].combine_chunks(), dim))
 
         def step(t: pa.Table | None) -> Iterator[pa.RecordBatch]:
-            """Takes the next block of the curve, or None at its end."""
+            """Takes the next block of the part, or None at its end."""
             if t is not None:
                 blocks.append(load(t))
                 if len(blocks) == 3:
@@ -204,20 +284,20 @@ def _windows(dim: int, k: int, block: int):
                 yield compare(*blocks[-1], blocks)
                 blocks.clear()
 
-        def curves(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            at = np.flatnonzero(np.diff(b.column("curve").to_numpy())) + 1
+        def stretches(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(np.diff(b.column("part").to_numpy())) + 1
             for x, y in zip([0, *at], [*at, b.num_rows]):
                 yield b.slice(x, y - x)
 
-        curve = None
+        part = None
         for batch in batches:
-            for b in curves(batch) if batch.num_rows else ():
-                if curve is not None and b.column("curve")[0].as_py() != curve:
+            for b in stretches(batch) if batch.num_rows else ():
+                if part is not None and b.column("part")[0].as_py() != part:
                     if held:
                         yield from step(pa.Table.from_batches(held))
                         held = []
                     yield from step(None)
-                curve = b.column("curve")[0].as_py()
+                part = b.column("part")[0].as_py()
                 held.append(b)
                 while sum(x.num_rows for x in held) >= block:
                     t = pa.Table.from_batches(held)
@@ -319,9 +399,10 @@ def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, bloc
 
 def _round(reps: DataFrame, fit: tuple, total: int, k: int, dim: int, block: int) -> DataFrame:
     """The best of each class on each of a round's curves: c1, c2, multi, l."""
-    parts = max(partitions(reps), -(-len(fit[0]) * total // (block * BLOCKS)))
-    schema = "curve int, key bigint, c1 bigint, c2 bigint, chunk_id bigint, did bigint, query boolean, multi boolean, dv binary"
-    ordered = reps.mapInArrow(_ordered(fit, dim), schema).repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key", "chunk_id")
+    cuts = _cuts(reps, fit, total, dim, block)
+    schema = "part int, key bigint, c1 bigint, c2 bigint, chunk_id bigint, did bigint, multi boolean, query boolean, dv binary"
+    parts = sum(len(c[0][0]) + 1 for c in cuts)
+    ordered = reps.mapInArrow(_ordered(fit, cuts, dim), schema).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "chunk_id")
     ranked = ordered.mapInArrow(_windows(dim, k, block), _RANKED)
     entry = F.transform(F.arrays_zip("near", "dids", "sims"), lambda x: F.struct((-x["sims"]).alias("s"), x["near"].alias("chunk"), x["dids"].alias("did")))
     return ranked.select("c1", "c2", "multi", entry.alias("l"))

@@ -97,3 +97,35 @@ def test_recall_does_not_fall_with_size(spark):
     got = {tuple(r) for r in n.select(F.least("chunk_id", "near"), F.greatest("chunk_id", "near")).distinct().collect()}
     want = brute(ids, did, v.astype(float))
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_shuffle_width_changes_nothing(spark):
+    """More partitions than blocks: no window is cut, and the result is that of a few partitions."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 64)).astype(np.float32)
+    df = _frame(spark, _rows(np.arange(3000), np.arange(3000) // 2, v))
+    got, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for width in ("3", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            got.append({tuple(r) for r in knn.nearest(df, block=64, curves=3, target=0.0).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1]
+
+
+def test_parts_hold_their_borders(spark):
+    """Cut into parts or not, every row meets its own block and both neighbours."""
+    rng = np.random.default_rng(7)
+    key, chunk = rng.integers(0, 50, 900), rng.permutation(900)
+    marks = np.lexsort((chunk, key))[[100, 300, 301, 899]]
+    want = [sum((key[m], chunk[m]) <= (a, b) for m in marks) for a, b in zip(key, chunk)]
+    assert np.array_equal(knn.passed(key, chunk, (key[marks], chunk[marks])), want)
+    v = rng.normal(size=(900, 64)).astype(np.float32)
+    df = _frame(spark, _rows(np.arange(900), np.arange(900), v))
+    whole, knn.BLOCKS = knn.BLOCKS, 2
+    try:
+        cut = {tuple(r) for r in knn.nearest(df, block=50, curves=2, target=0.0).collect()}
+    finally:
+        knn.BLOCKS = whole
+    assert cut == {tuple(r) for r in knn.nearest(df, block=50, curves=2, target=0.0).collect()}
