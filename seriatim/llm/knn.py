@@ -38,6 +38,10 @@ FIT_ROWS, SEED = 20_000, 20
 TARGET, ASKED = 0.95, 512
 #: Candidates that a block keeps for exact ranking, and queries compared at once.
 KEPT, AT_ONCE, GROUP = 24, 512, 16
+#: More than the error of a float32 similarity.
+NEAR = 1e-6
+#: Side and shifts of the cells in which scaled copies of a vector meet; much wider than float32's error.
+CELL, SHIFTS = 1e-4, (0.0, 0.37)
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -250,6 +254,10 @@ def _windows(dim: int, k: int, block: int):
             for r, t, e, row in zip(rows, top, exact, s):
                 mine = None if multi[r] else int(own[r])
                 got = _rank(e, chunk[t], did[t], mine, k)
+                if len(got) and len(t) < len(chunk) and e[got[-1]] <= row[t].min() + NEAR:
+                    t = np.flatnonzero(row >= e[got[-1]] - NEAR)  # the last similarity may tie with others of the window: rank them too
+                    e = np.round((qv[r] * cand[t]).sum(axis=1), 9)
+                    got = _rank(e, chunk[t], did[t], mine, k)
                 if len(got) < (k if mine is not None else 2 * k) and len(t) < len(chunk):
                     t = np.arange(len(chunk))  # one document fills the nearest: rank the whole window
                     e = np.round((qv[r] * cand).sum(axis=1), 9)
@@ -384,10 +392,10 @@ def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, bloc
         return df.sparkSession.createDataFrame([], "chunk_id bigint, near bigint, rank int, similarity double")
     vectors = unit_rows(_vectors(sample["dv"].combine_chunks(), dim))
     asked, true = _sampled(reps, dim, k)
-    merged, recall, turn = None, -1.0, 0
+    merged, recall, turn = _directions_shared(reps, k, dim), -1.0, 0
     while recall < target:
         lists = _round(reps, directions(vectors, curves, seed=SEED + turn), total, k, dim, block)
-        merged = cut(_merged(lists if merged is None else lists.unionByName(merged), k))
+        merged = cut(_merged(lists.unionByName(merged), k))
         before, recall, turn = recall, _recall(merged, asked, true, k), turn + 1
         if before >= recall:
             warnings.warn(f"further curves find nothing more: recall {recall:.3f} on the sample after {turn} rounds", stacklevel=2)
@@ -397,6 +405,50 @@ def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, bloc
     return mine.select("chunk_id", F.col("x.chunk").alias("near"), (F.col("p") + 1).alias("rank"), (-F.col("x.s")).alias("similarity"))
 
 
+def _celled(dim: int):
+    """Class representatives -> the hash of the cell of their direction, in each shifted grid."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u = unit_rows(_vectors(b.column("dv"), dim))
+                for g, shift in enumerate(SHIFTS):
+                    cell = [r.tobytes() for r in np.floor(u / CELL + shift).astype(np.int32)]
+                    own = [b.column(n) for n in ("c1", "c2", "chunk_id", "did", "multi", "query", "dv")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), g, np.int32)), pa.array(cell, pa.binary()), *own], ["grid", "cell", "c1", "c2", "chunk_id", "did", "multi", "query", "dv"])
+
+    return of
+
+
+def _paired(dim: int):
+    """Rows with a member of their cell -> their similarity."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = np.round((unit_rows(_vectors(b.column("dv"), dim)) * unit_rows(_vectors(b.column("ov"), dim))).sum(axis=1), 9)
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("c1", "c2", "multi", "chunk", "other")], pa.array(-s)], ["c1", "c2", "multi", "chunk", "other", "s"])
+
+    return of
+
+
+def _directions_shared(reps: DataFrame, k: int, dim: int) -> DataFrame:
+    """Of vectors of one direction and different norms, the smallest chunks, whatever the size of the group: c1, c2, multi, l.
+
+    Their similarities to each other tie at one, so k of a did and 2k in all hold every ranking inside a group.
+    """
+    cells = cut(reps.mapInArrow(_celled(dim), "grid int, cell binary, c1 bigint, c2 bigint, chunk_id bigint, did bigint, multi boolean, query boolean, dv array<float>").withColumn("cell", F.xxhash64("cell")))
+    classes = cells.groupBy("grid", "cell").agg(F.min("c1").alias("a"), F.max("c1").alias("z")).where("a <> z").select("grid", "cell")
+    shared = cells.join(classes, ["grid", "cell"])
+    by_did = Window.partitionBy("grid", "cell", "did").orderBy("chunk_id")
+    by_cell = Window.partitionBy("grid", "cell").orderBy("chunk_id")
+    few = shared.withColumn("r", F.row_number().over(by_did)).where(F.col("r") <= k).withColumn("q", F.row_number().over(by_cell)).where(F.col("q") <= 2 * k)
+    few = few.select("grid", "cell", F.col("chunk_id").alias("chunk"), F.col("did").alias("other"), F.col("dv").alias("ov"))
+    pairs = shared.where("query").join(few, ["grid", "cell"]).where("multi or did <> other").select("c1", "c2", "multi", "dv", "ov", "chunk", "other")
+    sims = pairs.mapInArrow(_paired(dim), "c1 bigint, c2 bigint, multi boolean, chunk bigint, other bigint, s double")
+    return sims.groupBy("c1", "c2", "multi").agg(F.collect_set(F.struct("s", "chunk", F.col("other").alias("did"))).alias("l"))
+
+
 def _round(reps: DataFrame, fit: tuple, total: int, k: int, dim: int, block: int) -> DataFrame:
     """The best of each class on each of a round's curves: c1, c2, multi, l."""
     cuts = _cuts(reps, fit, total, dim, block)

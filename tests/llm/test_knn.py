@@ -129,3 +129,27 @@ def test_parts_hold_their_borders(spark):
     finally:
         knn.BLOCKS = whole
     assert cut == {tuple(r) for r in knn.nearest(df, block=50, curves=2, target=0.0).collect()}
+
+
+def test_scaled_copies(spark):
+    """A third of all rows has one direction and norms of its own, more than a window or KEPT hold: ties go to the smaller chunk."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(900, 64)).astype(np.float32)
+    v[:300] = v[0] * rng.uniform(0.2, 5, 300).astype(np.float32)[:, None]
+    did, ids = np.r_[np.repeat(7, 12), np.arange(1000, 1888)], rng.permutation(4000)[:900]
+    got = {tuple(r) for r in knn.nearest(_frame(spark, _rows(ids, did, v)), block=32, target=0.0).select("chunk_id", "near").collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    for i in range(300):
+        s = np.round(u @ u[i], 9)
+        s[did == did[i]] = -9
+        assert {b for a, b in got if a == ids[i]} == {ids[j] for j in np.lexsort((ids, -s))[:5]}
+
+
+def test_ties_beyond_the_kept(spark):
+    """Forty scaled copies in one window: rows beside them rank all of them."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(200, 64)).astype(np.float32)
+    v[:40] = v[0] * rng.uniform(0.2, 5, 40).astype(np.float32)[:, None]
+    v[40:60] = v[0] + rng.normal(size=(20, 64)).astype(np.float32) * 0.2
+    did, ids = np.arange(200), rng.permutation(1000)[:200]
+    assert {tuple(r) for r in knn.found(_frame(spark, _rows(ids, did, v))).collect()} == brute(ids, did, v.astype(float))
