@@ -180,17 +180,17 @@ def _ordered(fit: tuple, cuts: list, dim: int):
             v = _vectors(b.column("dv"), dim)
             u = unit_rows(v)
             raw = pa.array([r.tobytes() for r in v], pa.binary())
-            query, chunk = b.column("query").to_numpy(zero_copy_only=False), b.column("chunk_id").to_numpy()
+            query, cand, chunk = *(b.column(n).to_numpy(zero_copy_only=False) for n in ("query", "cand")), b.column("chunk_id").to_numpy()
             for c, (start, early, late) in enumerate(cuts):
                 key = keys(u, projections[c], spread[c], shift[c])
                 part = passed(key, chunk, start)
-                left = np.flatnonzero((part > 0) & (passed(key, chunk, late) < part))  # in the first block of a part
-                right = np.flatnonzero(passed(key, chunk, early) > part)  # in the last one
+                left = np.flatnonzero(cand & (part > 0) & (passed(key, chunk, late) < part))  # in the first block of a part
+                right = np.flatnonzero(cand & (passed(key, chunk, early) > part))  # in the last one
                 at = np.r_[np.arange(len(key)), left, right]
                 to = first[c] + np.r_[part, part[left] - 1, part[right] + 1]
                 asks = np.r_[query, np.zeros(len(left) + len(right), bool)]
-                own = [b.column(n).take(pa.array(at)) for n in ("c1", "c2", "chunk_id", "did", "multi")]
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(key[at]), *own, pa.array(asks), raw.take(pa.array(at))], ["part", "key", "c1", "c2", "chunk_id", "did", "multi", "query", "dv"])
+                own = [b.column(n).take(pa.array(at)) for n in ("c1", "c2", "chunk_id", "did", "multi", "cand")]
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(key[at]), *own, pa.array(asks), raw.take(pa.array(at))], ["part", "key", "c1", "c2", "chunk_id", "did", "multi", "cand", "query", "dv"])
 
     return of
 
@@ -239,9 +239,10 @@ def _windows(dim: int, k: int, block: int):
     """Sorted rows of parts -> the best of each query in its block and the blocks next to it."""
 
     def compare(queries: pa.Table, qv: np.ndarray, around: list[tuple[pa.Table, np.ndarray]]) -> pa.RecordBatch:
-        cand = np.concatenate([v for _, v in around])
-        chunk = np.concatenate([t["chunk_id"].to_numpy() for t, _ in around])
-        did = np.concatenate([t["did"].to_numpy() for t, _ in around])
+        met = np.concatenate([t["cand"].to_numpy() for t, _ in around])
+        cand = np.concatenate([v for _, v in around])[met]
+        chunk = np.concatenate([t["chunk_id"].to_numpy() for t, _ in around])[met]
+        did = np.concatenate([t["did"].to_numpy() for t, _ in around])[met]
         ask = np.flatnonzero(queries["query"].to_numpy())
         own, multi = queries["did"].to_numpy(), queries["multi"].to_numpy()
         near, dids, sims, ends = [], [], [], [0]
@@ -307,10 +308,11 @@ def _windows(dim: int, k: int, block: int):
                     yield from step(None)
                 part = b.column("part")[0].as_py()
                 held.append(b)
-                while sum(x.num_rows for x in held) >= block:
+                while sum(x.column("cand").true_count for x in held) >= block:
                     t = pa.Table.from_batches(held)
-                    yield from step(t.slice(0, block))
-                    held = t.slice(block).to_batches()
+                    end = int(np.flatnonzero(t["cand"].to_numpy())[block - 1]) + 1
+                    yield from step(t.slice(0, end))
+                    held = t.slice(end).to_batches()
         if held:
             yield from step(pa.Table.from_batches(held))
         yield from step(None)
@@ -334,7 +336,7 @@ def representatives(rows: DataFrame, k: int) -> DataFrame:
     by_class = Window.partitionBy("c1", "c2").orderBy("chunk_id")
     few = rows.withColumn("r", F.row_number().over(by_did)).where(F.col("r") <= k).withColumn("q", F.row_number().over(by_class)).where(F.col("q") <= 2 * k)
     whole = Window.partitionBy("c1", "c2")
-    return few.select("c1", "c2", "chunk_id", "did", "dv", (F.col("q") == 1).alias("query"), (F.min("did").over(whole) != F.max("did").over(whole)).alias("multi"))
+    return few.select("c1", "c2", "chunk_id", "did", "dv", (F.col("q") == 1).alias("query"), (F.col("r") == 1).alias("first"), (F.min("did").over(whole) != F.max("did").over(whole)).alias("multi"))
 
 
 def _true_sims(asked: np.ndarray, own: np.ndarray, dim: int, k: int):
@@ -392,9 +394,10 @@ def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, bloc
         return df.sparkSession.createDataFrame([], "chunk_id bigint, near bigint, rank int, similarity double")
     vectors = unit_rows(_vectors(sample["dv"].combine_chunks(), dim))
     asked, true = _sampled(reps, dim, k)
+    crowded = _crowded(reps, block)
     merged, recall, turn = _directions_shared(reps, k, dim), -1.0, 0
     while recall < target:
-        lists = _round(reps, directions(vectors, curves, seed=SEED + turn), total, k, dim, block)
+        lists = _round(reps, directions(vectors, curves, seed=SEED + turn), total, crowded, k, dim, block)
         merged = cut(_merged(lists.unionByName(merged), k))
         before, recall, turn = recall, _recall(merged, asked, true, k), turn + 1
         if before >= recall:
@@ -449,10 +452,32 @@ def _directions_shared(reps: DataFrame, k: int, dim: int) -> DataFrame:
     return sims.groupBy("c1", "c2", "multi").agg(F.collect_set(F.struct("s", "chunk", F.col("other").alias("did"))).alias("l"))
 
 
-def _round(reps: DataFrame, fit: tuple, total: int, k: int, dim: int, block: int) -> DataFrame:
-    """The best of each class on each of a round's curves: c1, c2, multi, l."""
-    cuts = _cuts(reps, fit, total, dim, block)
-    schema = "part int, key bigint, c1 bigint, c2 bigint, chunk_id bigint, did bigint, multi boolean, query boolean, dv binary"
+def _crowded(reps: DataFrame, block: int) -> list[tuple[int, int]]:
+    """The documents that could fill half a window, with their rows.
+
+    A window is at least a block, so rows of any other document meet half a block of others.
+    """
+    hot = reps.groupBy("did").count().where(F.col("count") > block // 2).orderBy("did").collect()
+    return [(r["did"], r["count"]) for r in hot]
+
+
+def _round(reps: DataFrame, fit: tuple, total: int, crowded: list[tuple[int, int]], k: int, dim: int, block: int) -> DataFrame:
+    """The best of each class on each of a round's curves: c1, c2, multi, l.
+
+    The rows of a document that fills windows also ask curves on which it has no rows.
+    """
+    lists = _asked(reps.withColumn("cand", F.lit(True)), fit, total, k, dim, block)
+    for did, own in crowded:
+        if own < total:
+            without = reps.withColumn("cand", F.col("did") != did).withColumn("query", (F.col("did") == did) & F.col("first"))
+            lists = lists.unionByName(_asked(without.where("cand or query"), fit, total - own, k, dim, block))
+    return lists
+
+
+def _asked(reps: DataFrame, fit: tuple, total: int, k: int, dim: int, block: int) -> DataFrame:
+    """Curves of the rows that are candidates (total of them), asked by those that are queries."""
+    cuts = _cuts(reps.where("cand"), fit, total, dim, block)
+    schema = "part int, key bigint, c1 bigint, c2 bigint, chunk_id bigint, did bigint, multi boolean, cand boolean, query boolean, dv binary"
     parts = sum(len(c[0][0]) + 1 for c in cuts)
     ordered = reps.mapInArrow(_ordered(fit, cuts, dim), schema).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "chunk_id")
     ranked = ordered.mapInArrow(_windows(dim, k, block), _RANKED)

@@ -153,3 +153,23 @@ def test_ties_beyond_the_kept(spark):
     v[40:60] = v[0] + rng.normal(size=(20, 64)).astype(np.float32) * 0.2
     did, ids = np.arange(200), rng.permutation(1000)[:200]
     assert {tuple(r) for r in knn.found(_frame(spark, _rows(ids, did, v))).collect()} == brute(ids, did, v.astype(float))
+
+
+def test_one_document_fills_the_windows(spark):
+    """A third of all rows is one document in one region: its rows still get five of other documents."""
+    rng = np.random.default_rng(10)
+    centre = rng.normal(size=(12, 64))
+    v = (centre[rng.integers(0, 12, 1800)] + rng.normal(size=(1800, 64)) * 0.5).astype(np.float32)
+    v[:600] = centre[0] + rng.normal(size=(600, 64)) * 0.1
+    did, ids = np.r_[np.repeat(7, 600), np.arange(100, 1300)], rng.permutation(5000)[:1800]
+    df = _frame(spark, _rows(ids, did, v))
+    one_round = knn.nearest(df, block=64, target=0.0)
+    assert one_round.groupBy("chunk_id").count().where("count = 5").count() == 1800
+    got = {tuple(r) for r in one_round.select("chunk_id", "near").collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    hits = 0
+    for i in range(600):
+        s = np.round(u @ u[i], 9)
+        s[did == did[i]] = -9
+        hits += sum((ids[i], ids[j]) in got for j in np.lexsort((ids, -s))[:5])
+    assert hits / 3000 >= 0.8
