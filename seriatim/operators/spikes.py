@@ -9,7 +9,8 @@ hard bounds on a stuck run assign the flags.
 
 Readings are numbered within their source from counts per day, and a source is cut into chunks
 of about CHUNK readings with HALO readings of either neighbour, so a source of any size spreads
-over tasks; every source takes this way.
+over tasks; every source takes this way. What is usual in a source and whether it keeps changing
+is of the whole source: where there are several chunks, it is gathered from them first.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seriatim.operators.intervals import _edges
 from seriatim.operators.unify import small
-from seriatim.session import partitions
+from seriatim.session import cut, partitions
 from seriatim.sources.tables import micros, require
 
 #: Readings of a chunk and of its overlap on either side; readings of the running median.
@@ -78,28 +79,47 @@ def run_lengths(x: np.ndarray) -> np.ndarray:
     return np.repeat(n, n)
 
 
-def evidence(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Log emissions (n, 10) of a series within its limits, its run lengths, and whether its readings keep changing."""
+def calm_changes(x: np.ndarray, usual: float) -> np.ndarray:
+    """Which pairs of neighbours change, but not beside what may be a spike."""
+    far = np.abs(x - running(x)) > 5 * usual  # what may be spikes does not tell what is usual
+    return (np.diff(x) != 0) & ~(far[1:] | far[:-1])
+
+
+def running(x: np.ndarray) -> np.ndarray:
+    """The running median; near its ends the series has the window of its first or last readings."""
+    n = len(x)
+    w = min(MEDIAN, n)
+    return np.median(np.lib.stride_tricks.sliding_window_view(x, w), axis=1)[np.clip(np.arange(n) - w // 2, 0, n - w)]
+
+
+def evidence(x: np.ndarray, source: tuple[int, int, float] | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Log emissions (n, 10) of a series within its limits, its run lengths, and whether its readings keep changing.
+
+    source: changes and pairs outside the longest run, and the usual change, of the whole source
+    of which x is a chunk.
+    """
     n = len(x)
     e = np.full((n, 10), -60.0)
     e[:, O] = -1e4
     run = run_lengths(x)
     d = np.abs(np.diff(x))
-    longest = int(np.argmax(run))
-    outside = np.ones(n - 1, bool)
-    outside[longest : longest + run[longest] - 1] = False
-    changes, pairs = int((d[outside] > 0).sum()), int(outside.sum())
+    if source:
+        changes, pairs, usual = source
+    else:
+        longest = int(np.argmax(run))
+        outside = np.ones(n - 1, bool)
+        outside[longest : longest + run[longest] - 1] = False
+        changes, pairs = int((d[outside] > 0).sum()), int(outside.sum())
+        usual = np.median(d[d > 0]) if (d > 0).any() else 0.0
     moving = changes * np.log(MOVES / STILL) + (pairs - changes) * np.log((1 - MOVES) / (1 - STILL)) >= EVIDENCE
     equal = np.r_[False, x[1:] == x[:-1]]
     natural = (pairs - changes + 1) / (pairs + 3)
     e[:, N] = np.where(equal, np.log(natural), np.log1p(-natural))
-    usual = np.median(d[d > 0]) if (d > 0).any() else 0.0
-    if n >= ENOUGH and usual > 0:
-        w = min(MEDIAN, n)  # near its ends the series has the window of its first or last readings
-        base = np.median(np.lib.stride_tricks.sliding_window_view(x, w), axis=1)[np.clip(np.arange(n) - w // 2, 0, n - w)]
-        far = np.abs(x - base) > 5 * usual  # what may be spikes does not tell what is usual
-        calm = d[(d > 0) & ~(far[1:] | far[:-1])]
-        usual = np.median(calm) if len(calm) >= ENOUGH // 2 else usual
+    if (source or n >= ENOUGH) and usual > 0:
+        base = running(x)
+        if not source:
+            calm = d[calm_changes(x, usual)]
+            usual = np.median(calm) if len(calm) >= ENOUGH // 2 else usual
         away = STEEP * (np.abs(x - base) / usual - SPIKE)
         prior = -np.log(T[N, S1] * T[S1, N])  # a lone reading at SPIKE is as likely spike as normal
         e[:, N] -= np.clip(away, 0, 50)
@@ -133,19 +153,24 @@ def posteriors(e: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-def flags(series: list[tuple[np.ndarray, np.ndarray, float | None, float | None]]) -> list[np.ndarray]:
-    """For each (lo, hi, low limit, high limit) series: 0 normal, 1 spike, 2 stuck, 3 out of range."""
+def inside(lo: np.ndarray, hi: np.ndarray, low: float | None, high: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which readings are out of range, and the settled values of the others."""
+    low, high = -np.inf if low is None else low, np.inf if high is None else high
+    a_in, b_in = (lo >= low) & (lo <= high), (hi >= low) & (hi <= high)
+    out = ~(a_in | b_in)
+    a, b = np.where(a_in, lo, hi), np.where(b_in, hi, lo)
+    return out, settle(a[~out], b[~out])
+
+
+def flags(series: list[tuple]) -> list[np.ndarray]:
+    """For each (lo, hi, low limit, high limit) series, of a chunk with its source: 0 normal, 1 spike, 2 stuck, 3 out of range."""
     done: list[np.ndarray] = [np.zeros(0, np.int8)] * len(series)
     todo = []
-    for i, (lo, hi, low, high) in enumerate(series):
-        low, high = -np.inf if low is None else low, np.inf if high is None else high
-        a_in, b_in = (lo >= low) & (lo <= high), (hi >= low) & (hi <= high)
-        out = ~(a_in | b_in)
-        a, b = np.where(a_in, lo, hi), np.where(b_in, hi, lo)
-        x = settle(a[~out], b[~out])
+    for i, (lo, hi, low, high, *source) in enumerate(series):
+        out, x = inside(lo, hi, low, high)
         done[i] = np.where(out, np.int8(3), np.int8(0))
         if len(x) >= 2:
-            e, run, _ = evidence(x)
+            e, run, _ = evidence(x, *source)
             todo.append((i, np.flatnonzero(~out), e, run, len(lo), x[1:] != x[:-1]))
     todo.sort(key=lambda p: p[4])
     at = 0
@@ -158,47 +183,128 @@ def flags(series: list[tuple[np.ndarray, np.ndarray, float | None, float | None]
         width = max(p[4] for p in part)
         e = np.full((len(part), width, 10), -1e4)
         e[:, :, O] = 0.0  # readings out of range, and the padding
-        for k, (_, inside, own, *_) in enumerate(part):
-            e[k, inside] = own
+        for k, (_, within, own, *_) in enumerate(part):
+            e[k, within] = own
         p = posteriors(e, np.array([x[4] for x in part]))
-        for k, (i, inside, _, run, _, changes) in enumerate(part):
-            q = p[k, inside]
-            own = np.zeros(len(inside), np.int8)
+        for k, (i, within, _, run, _, changes) in enumerate(part):
+            q = p[k, within]
+            own = np.zeros(len(within), np.int8)
             own[q[:, S1] + q[:, S2] + q[:, S3] > 0.5] = 1
             if (run >= STUCK).any():  # a run is frozen as a whole or not at all
                 edge = np.flatnonzero(np.r_[True, changes])
                 frozen = np.add.reduceat(q[:, K], edge) / run[edge] > 0.5
                 own[(run >= STUCK) & np.repeat(frozen, run[edge])] = 2
-            done[i][inside] = own
+            done[i][within] = own
     return done
 
 
-def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(done):
+    """Calls done with tables of sorted chunks, each chunk whole in one."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < 100_000:
+                continue
+            t = pa.Table.from_batches(held)
+            last = int(np.flatnonzero(_edges(t.select(CHUNKS)))[-1])
+            if last:
+                yield done(t.slice(0, last))
+                held = t.slice(last).to_batches()
+        if sum(x.num_rows for x in held):
+            yield done(pa.Table.from_batches(held))
+
+    return of
+
+
+CHUNKS = ["entity", "kind", "chunk"]
+
+
+def _series(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Start and end of each chunk of a table, and its (lo, hi, low limit, high limit)."""
+    edge = np.flatnonzero(_edges(t.select(CHUNKS)))
+    stop = np.r_[edge[1:], t.num_rows]
+    lo, hi = t["lo"].to_numpy(), t["hi"].to_numpy()
+    low, high = t["low_limit"].take(pa.array(edge)).to_pylist(), t["high_limit"].take(pa.array(edge)).to_pylist()
+    return edge, stop, [(lo[a:z], hi[a:z], p, q) for a, z, p, q in zip(edge, stop, low, high)]
+
+
+def _flagged(t: pa.Table) -> pa.RecordBatch:
     """Sorted chunks -> the minutes of their own readings that are flagged."""
-    names = ["entity", "kind", "chunk"]
-
-    def done(t: pa.Table) -> pa.RecordBatch:
-        edge = np.flatnonzero(_edges(t.select(names)))
-        stop = np.r_[edge[1:], t.num_rows]
-        lo, hi = t["lo"].to_numpy(), t["hi"].to_numpy()
-        low, high = t["low_limit"].take(pa.array(edge)).to_pylist(), t["high_limit"].take(pa.array(edge)).to_pylist()
-        got = np.concatenate(flags([(lo[a:z], hi[a:z], p, q) for a, z, p, q in zip(edge, stop, low, high)]))
-        keep = np.flatnonzero((got > 0) & t["own"].to_numpy())
-        t = t.select(["entity", "kind", "minute"]).take(pa.array(keep)).append_column("flag", pa.array(got[keep].astype(np.int32))).combine_chunks()
-        return t.to_batches()[0] if t.num_rows else pa.RecordBatch.from_pylist([], schema=t.schema)
-
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) < 100_000:
-            continue
-        t = pa.Table.from_batches(held)
-        last = int(np.flatnonzero(_edges(t.select(names)))[-1])
-        if last:
-            yield done(t.slice(0, last))
-            held = t.slice(last).to_batches()
-    if sum(x.num_rows for x in held):
-        yield done(pa.Table.from_batches(held))
+    edge, _, series = _series(t)
+    sources = t.select(["changes", "pairs", "usual"]).take(pa.array(edge)).to_pylist()
+    got = np.concatenate(flags([x if q["pairs"] is None else (*x, (q["changes"], q["pairs"], q["usual"] or 0.0)) for x, q in zip(series, sources)]))
+    keep = np.flatnonzero((got > 0) & t["own"].to_numpy())
+    t = t.select(["entity", "kind", "minute"]).take(pa.array(keep)).append_column("flag", pa.array(got[keep].astype(np.int32))).combine_chunks()
+    return t.to_batches()[0] if t.num_rows else pa.RecordBatch.from_pylist([], schema=t.schema)
+
+
+def _own(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each chunk its start, its settled readings within limits, and which of them are its own."""
+    own = t["own"].to_numpy()
+    for a, z, x in zip(*_series(t)):
+        out, values = inside(*x)
+        yield a, values, own[a:z][~out]
+
+
+def _changed(t: pa.Table) -> pa.RecordBatch:
+    """Sorted chunks -> the changes up to their own readings, calm ones only where the usual change is given."""
+    at, d = [], []
+    usual = t["usual"].to_numpy() if "usual" in t.column_names else None
+    for a, x, own in _own(t):
+        if len(x) >= 2:
+            on = own[1:] & ((np.diff(x) != 0) if usual is None else calm_changes(x, usual[a]))
+            d.append(np.abs(np.diff(x))[on])
+            at.append(np.full(len(d[-1]), a))
+    at, d = (np.concatenate(v) if v else np.zeros(0) for v in (at, d))
+    rows = t.select(["entity", "kind"]).take(pa.array(at.astype(np.int64))).append_column("d", pa.array(d)).combine_chunks()
+    return rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
+
+
+def _runs(t: pa.Table) -> pa.RecordBatch:
+    """Sorted chunks -> of their own readings the number, changes, first and last value with their runs, and the longest run."""
+    rows = []
+    for a, x, own in _own(t):
+        x = x[own]
+        if len(x):
+            run = run_lengths(x)
+            rows.append((a, len(x), int((np.diff(x) != 0).sum()), float(x[0]), float(x[-1]), int(run[0]), int(run[-1]), int(run.max())))
+    at, *columns = zip(*rows) if rows else [()] * 8
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    keys = t.select(CHUNKS).take(pa.array(at, pa.int64())).combine_chunks()
+    keys = [keys[n].combine_chunks() if keys.num_rows else pa.array([], keys.schema.field(n).type) for n in CHUNKS]
+    return pa.RecordBatch.from_arrays([*keys, *(pa.array(c, k) for c, k in zip(columns, types))], [*CHUNKS, "n", "turns", "first", "last", "head", "tail", "longest"])
+
+
+def _joined_runs(key: tuple, t: pa.Table) -> pa.Table:
+    """A source's chunks -> changes and pairs outside its longest run; a run may go through chunks."""
+    rows = t.sort_by("chunk").to_pylist()
+    n, turns, open_, longest, last = 0, 0, 0, 0, None
+    for r in rows:
+        same = n > 0 and r["first"] == last
+        turns += r["turns"] + (n > 0 and not same)
+        head = r["head"] + (open_ if same else 0)
+        longest = max(longest, head, r["longest"])
+        open_ = head if r["turns"] == 0 else r["tail"]
+        n, last = n + r["n"], r["last"]
+    return pa.table({"entity": pa.array([key[0].as_py()], pa.int64()), "kind": pa.array([key[1].as_py()], pa.int32()), "changes": [turns], "pairs": [n - longest]})
+
+
+def of_sources(chunks: DataFrame) -> DataFrame:
+    """Of each source of several chunks: changes and pairs outside its longest run, and its usual change."""
+    source = ["entity", "kind"]
+    width = partitions(chunks)
+    order = lambda df: df.repartition(width, *CHUNKS).sortWithinPartitions(*CHUNKS, "minute")
+    chunks = cut(chunks.where("chunks > 1"))
+    many = order(chunks)
+    runs = many.mapInArrow(_whole(_runs), "entity bigint, kind int, chunk bigint, n bigint, turns bigint, first double, last double, head bigint, tail bigint, longest bigint")
+    moves = runs.groupBy(*source).applyInArrow(_joined_runs, "entity bigint, kind int, changes bigint, pairs bigint")
+    change = "entity bigint, kind int, d double"
+    every = many.mapInArrow(_whole(_changed), change).groupBy(*source).agg(F.expr("percentile(d, 0.5)").alias("usual"))
+    calm = order(chunks.join(every, source)).mapInArrow(_whole(_changed), change).groupBy(*source).agg(F.expr("percentile(d, 0.5)").alias("calm"), F.count("*").alias("m"))
+    usual = F.when(F.col("m") >= ENOUGH // 2, F.col("calm")).otherwise(F.col("usual"))
+    return moves.join(every, source, "left").join(calm, source, "left").select(*source, "changes", "pairs", F.coalesce(usual, F.lit(0.0)).alias("usual"))
 
 
 def reading(valuenum: str = "valuenum", value: str = "value") -> Column:
@@ -232,6 +338,12 @@ def chunked(minutes: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFra
     return r.withColumn("chunk", F.explode(F.array_compact(near))).withColumn("own", F.col("chunk") == F.col("c"))
 
 
+def _chunks(rows: DataFrame) -> DataFrame:
+    """Readings by the minute, in chunks."""
+    minutes = rows.groupBy("entity", "kind", "minute").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.first("low_limit").alias("low_limit"), F.first("high_limit").alias("high_limit"))
+    return chunked(minutes).select("entity", "kind", F.col("chunk").cast("bigint").alias("chunk"), "chunks", "minute", "lo", "hi", "low_limit", "high_limit", "own")
+
+
 def flagged(chart: DataFrame, items: DataFrame) -> DataFrame:
     """Every implausible reading: row_id, flag (spike, stuck or out of range).
 
@@ -241,10 +353,12 @@ def flagged(chart: DataFrame, items: DataFrame) -> DataFrame:
     fewer than ENOUGH readings have no spikes. A row can have two flags. Repeated rows stay.
     """
     rows = readings(chart, items)
-    minutes = rows.groupBy("entity", "kind", "minute").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.first("low_limit").alias("low_limit"), F.first("high_limit").alias("high_limit"))
-    chunks = chunked(minutes).select("entity", "kind", "chunk", "minute", "lo", "hi", "low_limit", "high_limit", "own")
+    chunks = _chunks(rows)
+    long = F.broadcast(chart.groupBy("stay_id", "itemid").count().where(F.col("count") > CHUNK).drop("count"))  # a row for every CHUNK rows at most; no other source has several chunks
+    sources = F.broadcast(cut(of_sources(_chunks(readings(chart.join(long, ["stay_id", "itemid"]), items)))))
+    chunks = chunks.join(sources, ["entity", "kind"], "left").drop("chunks")
     ordered = chunks.repartition(partitions(chart), "entity", "kind", "chunk").sortWithinPartitions("entity", "kind", "chunk", "minute")
-    marks = ordered.mapInArrow(_flagged, "entity bigint, kind int, minute bigint, flag int").where("flag < 3")
+    marks = ordered.mapInArrow(_whole(_flagged), "entity bigint, kind int, minute bigint, flag int").where("flag < 3")
     name = F.when(F.col("flag") == 1, "spike").otherwise("stuck")
     beyond = rows.where("x < low_limit or x > high_limit").select("row_id", F.lit("out of range").alias("flag"))
     return rows.select("row_id", "entity", "kind", "minute").join(marks, ["entity", "kind", "minute"]).select("row_id", name.alias("flag")).unionByName(beyond)

@@ -116,3 +116,14 @@ def test_chunks_cover_every_reading_once(spark):
     for r in got:
         sizes.setdefault((r["entity"], r["chunk"]), [0, 0])[0 if r["own"] else 1] += 1
     assert sizes[(1, 0)] == [100, 10] and sizes[(1, 5)] == [100, 20] and sizes[(3, 0)] == [5, 0]
+
+
+def test_a_freeze_as_long_as_a_chunk(spark):
+    """The source changes before and after, so every reading of the freeze is stuck, in whatever chunk it lies."""
+    t0 = datetime(2150, 1, 1)
+    x = np.r_[series(4000), np.full(10_000, 81.0), series(4000, seed=2)]
+    x[[3999, 14_000]] = 85, 78
+    rows = [(i, 5, 220045, t0 + timedelta(minutes=7 * i), None, float(v), "e", 0) for i, v in enumerate(x)]
+    items = spark.createDataFrame(ITEMS, "itemid int, category string, low_limit double, high_limit double")
+    got = {r["row_id"] for r in spikes.flagged(_chart(spark, rows), items).where("flag = 'stuck'").collect()}
+    assert got == set(range(4000, 14_000))
