@@ -36,8 +36,9 @@ STUCK = 10
 #: Shares of changes between neighbours of a source that keeps changing and of one that holds still
 #: (a setpoint), and the log likelihood ratio from which the pairs outside its longest run show the first.
 MOVES, STILL, EVIDENCE = 0.75, 0.2, 4.0
-#: Fewest readings of a source that can tell what is usual.
-ENOUGH = 8
+#: Readings from which the median of all changes tells what is usual; with fewer, down to FEWEST, a
+#: spike's own two changes weigh too much, and the two largest are left out.
+ENOUGH, FEWEST = 8, 4
 
 N, S1, S2, S3, A1, A2, A3, A4, K, O = range(10)
 
@@ -110,14 +111,16 @@ def evidence(x: np.ndarray, source: tuple[int, int, float] | None = None) -> tup
         outside = np.ones(n - 1, bool)
         outside[longest : longest + run[longest] - 1] = False
         changes, pairs = int((d[outside] > 0).sum()), int(outside.sum())
-        usual = np.median(d[d > 0]) if (d > 0).any() else 0.0
+        moves = np.sort(d[d > 0])
+        moves = moves if n >= ENOUGH else moves[:-2]
+        usual = np.median(moves) if len(moves) else 0.0
     moving = changes * np.log(MOVES / STILL) + (pairs - changes) * np.log((1 - MOVES) / (1 - STILL)) >= EVIDENCE
     equal = np.r_[False, x[1:] == x[:-1]]
     natural = (pairs - changes + 1) / (pairs + 3)
     e[:, N] = np.where(equal, np.log(natural), np.log1p(-natural))
-    if (source or n >= ENOUGH) and usual > 0:
+    if (source or n >= FEWEST) and usual > 0:
         base = running(x)
-        if not source:
+        if not source and n >= ENOUGH:
             calm = d[calm_changes(x, usual)]
             usual = np.median(calm) if len(calm) >= ENOUGH // 2 else usual
         away = STEEP * (np.abs(x - base) / usual - SPIKE)
@@ -350,7 +353,7 @@ def flagged(chart: DataFrame, items: DataFrame) -> DataFrame:
     Readings of one source in one minute are one reading; all its rows are flagged with it,
     and rows out of range by their own reading. Rows with a null id, stay, item, time or without
     a number are no readings; items without limits have no readings out of range. Sources of
-    fewer than ENOUGH readings have no spikes. A row can have two flags. Repeated rows stay.
+    fewer than FEWEST readings have no spikes. A row can have two flags. Repeated rows stay.
     """
     rows = readings(chart, items)
     chunks = _chunks(rows)

@@ -127,3 +127,10 @@ def test_a_freeze_as_long_as_a_chunk(spark):
     items = spark.createDataFrame(ITEMS, "itemid int, category string, low_limit double, high_limit double")
     got = {r["row_id"] for r in spikes.flagged(_chart(spark, rows), items).where("flag = 'stuck'").collect()}
     assert got == set(range(4000, 14_000))
+
+
+def test_spike_among_few_readings():
+    assert flag(np.array([80.0, 82, 150, 81, 79])) == [0, 0, 1, 0, 0]
+    assert flag(np.array([80.0, 81, 150, 82, 80, 83, 81])) == [0, 0, 1, 0, 0, 0, 0]
+    assert not any(flag(np.array([80.0, 84, 81, 79, 82])))
+    assert not any(flag(np.array([80.0, 81, 82, 150, 151, 150])))
