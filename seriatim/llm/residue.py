@@ -239,39 +239,52 @@ def _short_latin(windows: list[list[str]]) -> list[list[str]]:
     return [[LATIN if SYLLABLE.fullmatch(t) else t for t in w] for w in windows]
 
 
-def retrieved(windows: list[list[str]]) -> list[int]:
-    """For each window the exemplar that shares most of its terms, or -1 below RETRIEVED of them."""
+def weighing(window: list[str]) -> int:
+    """Terms of a window that have weight; numbers have none."""
+    return sum(t != NUMBER for t in window)
+
+
+def retrieved(windows: list[list[str]]) -> list[list[int]]:
+    """For each window the exemplars that share RETRIEVED of its terms or more, numbers apart.
+
+    Of exemplars that share the same terms the first stands for all; one that shares only a part
+    of another's has no more weight and is left out.
+    """
     by, _, _ = index()
     out = []
     for w in windows:
-        best, most = -1, 0
-        if sum(t in by for t in w) >= RETRIEVED * len(w):
-            votes: Counter[int] = Counter()
-            for t, n in Counter(w).items():
+        need = RETRIEVED * weighing(w)
+        shared: dict[int, set[str]] = defaultdict(set)
+        counts = Counter(w)
+        if need and sum(t in by for t in w) >= need:
+            for t in counts:
                 for e in by.get(t, ()):
-                    votes[e] += n
-            best, most = max(votes.items(), key=lambda p: (p[1], -p[0]))
-        out.append(best if most >= RETRIEVED * len(w) else -1)
+                    shared[e].add(t)
+        first: dict[frozenset[str], int] = {}
+        for e in sorted(shared):
+            if sum(counts[t] for t in shared[e]) >= need:
+                first.setdefault(frozenset(shared[e]), e)
+        out.append([e for terms_, e in first.items() if not any(terms_ < other for other in first)])
     return out
 
 
 #: Terms whose counts a task holds before it hands them on.
 HELD_TERMS = 200_000
 
-_READ = "section int, window int, exemplar int, term string, n bigint"
+_READ = "section int, window int, exemplars array<int>, term string, n bigint"
 
 
 def _read(id_type: pa.DataType):
     """One pass over texts: term counts of windows in candidate sections, and document frequencies.
 
-    A candidate section is one whose retrieved windows hold half of its terms or more. Frequency
+    A candidate section is one whose retrieved windows hold half of its terms or more, numbers apart. Frequency
     rows have no id and section -1; the empty term counts the texts.
     """
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [()] * 6
-        types = [id_type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "section", "window", "exemplar", "term", "n"])
+        types = [id_type, pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "section", "window", "exemplars", "term", "n"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: Counter[str] = Counter()
@@ -284,15 +297,15 @@ def _read(id_type: pa.DataType):
                     for w in windows:
                         seen.update(w)
                     best = retrieved(windows)
-                    if sum(len(w) for e, w in zip(best, windows) if e >= 0) >= RETRIEVED * sum(map(len, windows)):
+                    if any(best) and sum(weighing(w) for e, w in zip(best, windows) if e) >= RETRIEVED * sum(map(weighing, windows)):
                         rows += [(doc.as_py(), k, i, e, t, n) for i, (e, w) in enumerate(zip(best, windows)) for t, n in Counter(w).items()]
                 df.update(seen)
             if len(df) > HELD_TERMS:
-                rows += [(None, -1, -1, -1, t, n) for t, n in df.items()]
+                rows += [(None, -1, -1, None, t, n) for t, n in df.items()]
                 df.clear()
             if rows:
                 yield batch(rows)
-        yield batch([(None, -1, -1, -1, t, n) for t, n in df.items()])
+        yield batch([(None, -1, -1, None, t, n) for t, n in df.items()])
 
     return of
 
@@ -306,12 +319,14 @@ def scored(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     read = cut(texts.mapInArrow(_read(arrow), f"id {kind}, {_READ}"))
     frequency = read.where("section < 0").groupBy("term").agg(F.sum("n").alias("df"))
     total = frequency.where("term = ''").agg(F.sum("df")).first()[0] or 0
-    cand = read.where("section >= 0").withColumnRenamed("n", "tf")
+    cand = read.where("section >= 0").withColumnRenamed("n", "tf").withColumn("exemplar", F.explode_outer("exemplars")).withColumn("exemplar", F.coalesce("exemplar", F.lit(-1)))
     weighted = cand.join(frequency, "term").withColumn("weight", F.when(F.col("term") == NUMBER, 0.0).otherwise(F.col("tf") * F.log((F.lit(float(total)) + 1) / F.col("df"))))
     by, labels, _ = index()
     pairs = F.create_map(*[x for t, es in by.items() for x in (F.lit(t), F.array(*[F.lit(e) for e in es]))])
     inside = F.when(F.array_contains(F.coalesce(pairs[F.col("term")], F.array().cast("array<int>")), F.col("exemplar")), F.col("weight")).otherwise(0.0)
-    windows = weighted.groupBy("id", "section", "window", "exemplar").agg(F.sum("weight").alias("mass"), F.sum(inside).alias("held"))
+    each = weighted.groupBy("id", "section", "window", "exemplar").agg(F.sum("weight").alias("mass"), F.sum(inside).alias("held"))
+    best = each.groupBy("id", "section", "window").agg(F.max("mass").alias("mass"), F.max(F.struct("held", (-F.col("exemplar")).alias("minus"))).alias("b"))  # the greatest containment
+    windows = best.select("id", "section", "window", "mass", "b.held", (-F.col("b.minus")).alias("exemplar"))
     label = F.array(*[F.lit(x) for x in labels])
     held = F.when((F.col("exemplar") >= 0) & (F.col("held") >= CONTAINED * F.col("mass")), F.col("mass")).otherwise(0.0)
     return (

@@ -69,3 +69,20 @@ def test_empty(spark):
 def test_long_text(spark):
     df = spark.createDataFrame([(1, REAL * 5000 + "\nFollow-up: {{x}} {{y}}"), (2, "TBD " * 50000)], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in residue.residue(df).collect()) == [1, 2]
+
+
+def test_numbers_do_not_hide_an_error():
+    """A section of mostly ids and timestamps beside an error message is a candidate."""
+    text = "Service Unavailable 24175f8a 12:40:11 99 17 2024.11.26 5 6 7 8"
+    (windows,) = residue.sections(text)
+    assert residue.retrieved(windows)[0]
+
+
+def test_the_exemplar_of_most_weight(spark):
+    """Most shared tokens are not most weight: all exemplars past the gate are scored."""
+    ids = "Reference: 24175f8a 12:40:11 99 17 5 6 7 8 9"
+    texts = [REAL + f" Sample {i}." for i in range(300)] + [f"Service Unavailable. {ids}"]
+    got = residue.residue(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert [r["doc_id"] for r in got.collect()] == [300]
+    by = residue.retrieved([["not", "found", "bad", "request"]])[0]
+    assert len(by) > 1
