@@ -3,10 +3,12 @@
 Several rotations project the vectors to a few dimensions; each projection, shifted by its own
 offset, is ordered along a Hilbert curve and cut into blocks of neighbouring keys. Each block is
 compared with itself and the blocks next to it, and the best of each curve merge into one ranking.
-Stretches of BLOCKS blocks form a part, the unit of a task; the blocks on its borders are copied
-into the parts beside it. Blocks and parts follow from the rows' places on the curve alone. Copies are handled as classes of
-one vector: a class brings to the curves only the few members that any ranking can need, so a
-class of a third of all rows fills no window, and every member gets the ranking of its class.
+A curve is cut into parts, the unit of a task, where counts of keys say so; the stretches on a
+part's borders are copied into the parts beside it. Parts and blocks follow from the rows alone.
+Rows travel in packed arrays of a part, and rankings in packed arrays of a share of the rows.
+Copies are handled as classes of one vector: a class brings to the curves only the few members
+that any ranking can need, so a class of a third of all rows fills no window, and every member
+gets the ranking of its class.
 
 The share of a table that a row meets on one curve falls as the table grows. A sample of rows is
 therefore compared with every vector, and rounds of further curves, with other rotations, go on
@@ -26,22 +28,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriatim.operators.skew import spread_join
 from seriatim.session import cut, partitions
 from seriatim.sources.tables import require
 
 K = 5
-#: Curves, their dimensions and bits per dimension, rows of a block, and blocks of a partition.
-CURVES, DIMS, BITS, BLOCK, BLOCKS = 8, 6, 10, 4096, 16
+#: Curves of a round, their dimensions and bits per dimension, and rows of a block.
+CURVES, DIMS, BITS, BLOCK = 32, 10, 6, 320
+#: Rows of a part, and stretches of keys that a part has; a stretch beyond a part's rows is split by hash.
+PART, STRETCHES = 65_536, 64
 #: Rows of the sample on which the directions are fitted, and the seed of the rotations.
 FIT_ROWS, SEED = 20_000, 20
 #: Share of the true neighbours of ASKED sampled rows from which no further round of curves is needed.
-TARGET, ASKED = 0.95, 512
-#: Candidates that a block keeps for exact ranking, and queries compared at once.
-KEPT, AT_ONCE, GROUP = 24, 512, 16
+TARGET, ASKED = 0.94, 1024
+#: Candidates that are ranked exactly, of a single vector and of a class of several documents.
+KEPT, KEPT_CLASS, GROUP = 8, 24, 16
 #: More than the error of a float32 similarity.
 NEAR = 1e-6
 #: Side and shifts of the cells in which scaled copies of a vector meet; much wider than float32's error.
 CELL, SHIFTS = 1e-4, (0.0, 0.37)
+#: Bytes that a task packs before it hands them on, and rankings of a share.
+PACKED, SHARE = 64_000_000, 400_000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -98,99 +105,131 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _keyed(fit: tuple, dim: int):
-    """Rows -> their keys on every curve, with the chunk_id that orders equal keys."""
+class Parts:
+    """Where a curve is cut: the part of each stretch of keys, its shares, and the parts that get a copy of it."""
+
+    def __init__(self, counts: np.ndarray, low: int, size: int, block: int):
+        """counts: rows of each stretch; low: bits of a key below its stretch; size, block: rows of a part and of its borders."""
+        self.low = low
+        n = len(counts)
+        self.part, self.shares = np.zeros(n, np.int64), np.ones(n, np.int64)
+        self.before, self.after = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        part, held, borders = 0, 0, []
+        for i, c in enumerate(counts):
+            hot = c > size
+            if held and (hot or held + c > size):
+                part, held = part + 1, 0
+                borders += [] if hot else [i]
+            self.part[i] = part
+            if hot:
+                self.shares[i] = -(-c // size)
+                part += int(self.shares[i])
+            else:
+                held += int(c)
+        self.total = part + 1
+        for i in borders:
+            for beside, step, to in ((range(i - 1, -1, -1), self.after, self.part[i]), (range(i, n), self.before, self.part[i - 1])):
+                seen, own = 0, self.part[beside[0]]
+                for j in beside:
+                    if seen >= block or self.part[j] != own or self.shares[j] > 1:
+                        break
+                    step[j] = to
+                    seen += int(counts[j])
+
+    def of(self, key: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Part of each row, and the parts before and after that also see it (-1: none)."""
+        at = key >> self.low
+        part, shares = self.part[at], self.shares[at]
+        many = shares > 1
+        if many.any():
+            part[many] += (chunk[many] * 0x9E3779B1 >> 7) % shares[many]
+        return part, self.before[at], self.after[at]
+
+
+def _counted(fit: tuple, dim: int, low: int, n: int):
+    """Rows -> counts of keys in each stretch of each curve."""
     projections, spread, shift = fit
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(projections), n), np.int64)
         for b in batches:
             if b.num_rows:
                 u = unit_rows(_vectors(b.column("dv"), dim))
                 for c in range(len(projections)):
-                    key = keys(u, projections[c], spread[c], shift[c])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), b.column("chunk_id")], ["curve", "key", "chunk_id"])
+                    seen[c] += np.bincount(keys(u, projections[c], spread[c], shift[c]) >> low, minlength=n)
+        curve, at = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(curve.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(seen[curve, at])], ["curve", "at", "n"])
 
     return of
 
 
-def _marks(before: dict[tuple[int, int], int], size: int, block: int):
-    """Sorted keys of a partition -> the rows at which parts of `size` rows and their borders of a block begin or end."""
+def _cuts(rows: DataFrame, fit: tuple, total: int, dim: int, block: int) -> list[Parts]:
+    """Each curve's parts, from counts of keys per stretch; the counts are bounded by curves and stretches."""
+    bits = DIMS * BITS
+    want = min(16, max(1, int(np.ceil(np.log2(max(2, STRETCHES * total / PART))))))
+    n = 1 << want
+    counts = np.zeros((len(fit[0]), n), np.int64)
+    if total > PART:
+        for r in rows.mapInArrow(_counted(fit, dim, bits - want, n), "curve int, at int, n bigint").groupBy("curve", "at").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+            counts[r["curve"], r["at"]] = r["n"]
+    else:
+        counts[:, 0] = total
+        return [Parts(counts[c, :1], bits, PART, block) for c in range(len(counts))]
+    return [Parts(c, bits - want, PART, block) for c in counts]
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = dict(before)
-        for b in batches:
-            part, curve = b.column("part").to_numpy(), b.column("curve").to_numpy()
-            edge = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(curve) != 0)]) if b.num_rows else []
-            for x, y in zip(edge, [*edge[1:], b.num_rows]):
-                at = (int(part[x]), int(curve[x]))
-                rank = seen[at] + np.arange(y - x)
-                seen[at] += y - x
-                keep = x + np.flatnonzero(np.isin(rank % size, (0, block, size - block)))
-                yield pa.RecordBatch.from_arrays([b.column("curve").take(pa.array(keep)), pa.array(rank[keep - x]), b.column("key").take(pa.array(keep)), b.column("chunk_id").take(pa.array(keep))], ["curve", "place", "key", "chunk_id"])
-
-    return of
 
+def _row_type(dim: int) -> np.dtype:
+    return np.dtype([("key", "i8"), ("chunk", "i8"), ("did", "i8"), ("q", "i8"), ("kind", "i8"), ("v", "f4", (dim,))])
 
-def _cuts(rows: DataFrame, fit: tuple, total: int, dim: int, block: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each curve, the (key, chunk_id) at which its parts start, and a block before and after that; of nothing but the rows.
 
-    Keys without vectors are sorted, and counts per partition give every row its place.
-    """
-    blocks = -(-total // block)
-    size = -(-blocks // -(-blocks // BLOCKS)) * block  # parts of about one size
-    if total <= size:
-        return [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 3 for _ in fit[0]]
-    order = ["curve", "key", "chunk_id"]
-    placed = cut(rows.mapInArrow(_keyed(fit, dim), "curve int, key bigint, chunk_id bigint").repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    before, last = {}, dict.fromkeys(range(len(fit[0])), 0)
-    for r in placed.groupBy("curve", "part").count().orderBy("curve", "part").collect():
-        before[(r["part"], r["curve"])] = last[r["curve"]]
-        last[r["curve"]] += r["count"]
-    t = placed.mapInArrow(_marks(before, size, block), "curve int, place bigint, key bigint, chunk_id bigint").toArrow()
-    curve, place, key, chunk = (t[n].to_numpy() for n in ("curve", "place", "key", "chunk_id"))
-    out = []
-    for c in range(len(fit[0])):
-        three = []
-        for off in (0, -block, block):
-            on = np.flatnonzero((curve == c) & ((place - off) % size == 0) & (place - off > 0) & (place - off < total))
-            on = on[np.argsort(place[on])]
-            three.append((key[on], chunk[on]))
-        out.append(three)
-    return out
+QUERY, CANDIDATE, MULTI = 1, 2, 4
 
 
-def passed(key: np.ndarray, chunk: np.ndarray, marks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """How many of the sorted marks (key, chunk_id) are at or before each row."""
-    n, m = len(key), len(marks[0])
-    order = np.lexsort((np.r_[np.ones(n, bool), np.zeros(m, bool)], np.r_[chunk, marks[1]], np.r_[key, marks[0]]))
-    out = np.empty(n + m, np.int64)
-    out[order] = np.cumsum(order >= n)
-    return out[:n]
-
-
-def _ordered(fit: tuple, cuts: list, dim: int):
-    """Rows -> their part on every curve; rows of a border once more, as no query, for the part beside it."""
+def _packed_parts(fit: tuple, cuts: list[Parts], dim: int):
+    """Rows -> packed rows of each part of each curve; border rows once more, as candidates, for the part beside."""
     projections, spread, shift = fit
-    first = np.cumsum([0, *(len(c[0][0]) + 1 for c in cuts)])
+    first = np.cumsum([0, *(c.total for c in cuts)])
+    kind_of = _row_type(dim)
+
+    def flush(held: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+        at = sorted(held)
+        blobs = [b"".join(x.tobytes() for x in held[p]) for p in at]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
         for b in batches:
             if not b.num_rows:
                 continue
             v = _vectors(b.column("dv"), dim)
             u = unit_rows(v)
-            raw = pa.array([r.tobytes() for r in v], pa.binary())
-            query, cand, chunk = *(b.column(n).to_numpy(zero_copy_only=False) for n in ("query", "cand")), b.column("chunk_id").to_numpy()
-            for c, (start, early, late) in enumerate(cuts):
-                key = keys(u, projections[c], spread[c], shift[c])
-                part = passed(key, chunk, start)
-                left = np.flatnonzero(cand & (part > 0) & (passed(key, chunk, late) < part))  # in the first block of a part
-                right = np.flatnonzero(cand & (passed(key, chunk, early) > part))  # in the last one
-                at = np.r_[np.arange(len(key)), left, right]
-                to = first[c] + np.r_[part, part[left] - 1, part[right] + 1]
-                asks = np.r_[query, np.zeros(len(left) + len(right), bool)]
-                own = [b.column(n).take(pa.array(at)) for n in ("c1", "c2", "chunk_id", "did", "multi", "cand")]
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(key[at]), *own, pa.array(asks), raw.take(pa.array(at))], ["part", "key", "c1", "c2", "chunk_id", "did", "multi", "cand", "query", "dv"])
+            rows = np.zeros(len(v), kind_of)
+            query, cand, multi = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("query", "cand", "multi"))
+            rows["chunk"], rows["did"], rows["q"], rows["v"] = *(b.column(n).to_numpy() for n in ("chunk_id", "did", "q")), v
+            rows["kind"] = query * QUERY + cand * CANDIDATE + multi * MULTI
+            for c, parts in enumerate(cuts):
+                rows["key"] = keys(u, projections[c], spread[c], shift[c])
+                own, before, after = parts.of(rows["key"], rows["chunk"])
+                sent = [(own, rows)]
+                for beside in (before, after):
+                    on = np.flatnonzero((beside >= 0) & (cand > 0))
+                    if len(on):
+                        copy = rows[on]
+                        copy["kind"] = CANDIDATE
+                        sent.append((beside[on], copy))
+                for part, moved in sent:
+                    order = np.argsort(part, kind="stable")
+                    edge = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+                    for x, y in zip(edge, [*edge[1:], len(order)]):
+                        held.setdefault(int(first[c] + part[order[x]]), []).append(moved[order[x:y]].copy())
+                    size += moved.nbytes
+            if size >= PACKED:
+                yield flush(held)
+                size = 0
+        if held:
+            yield flush(held)
 
     return of
 
@@ -216,106 +255,225 @@ def top_columns(s: np.ndarray, most: int) -> np.ndarray:
     return np.take_along_axis(columns, np.argpartition(part, k - most, axis=1)[:, k - most :], axis=1)
 
 
-def _rank(sim: np.ndarray, chunk: np.ndarray, did: np.ndarray, own: int | None, k: int) -> np.ndarray:
-    """Order of candidates by similarity, then smaller chunk; at most k of a did; without the own did if given."""
-    order = np.lexsort((chunk, -sim))
+def _entry_type(k: int) -> np.dtype:
+    """One ranking: the first chunk of the query's class, and k chunks with their documents and similarities; a chunk of -1 is none."""
+    return np.dtype([("q", "i8"), ("multi", "i8"), ("chunk", "i8", (k,)), ("did", "i8", (k,)), ("s", "f8", (k,))])
+
+
+def _entries(n: int, k: int) -> np.ndarray:
+    out = np.zeros(n, _entry_type(k))
+    out["chunk"], out["s"] = -1, -9
+    return out
+
+
+def ranked_block(queries: np.ndarray, qv: np.ndarray, cand: np.ndarray, cv: np.ndarray, k: int) -> np.ndarray:
+    """The best of a window for each query, as entries of 2k places; a query of several documents fills them all, else k."""
+    out = _entries(len(queries), 2 * k)
+    out["q"], out["multi"] = queries["q"], (queries["kind"] & MULTI) > 0
+    if not len(queries) or not len(cand):
+        return out
+    chunk, did = cand["chunk"], cand["did"]
+    s = qv.astype(np.float32) @ cv.astype(np.float32).T
+    multi = out["multi"] > 0
+    by = np.argsort(did, kind="stable")  # the own document's rows are no candidates
+    lo, hi = (np.searchsorted(did[by], queries["did"], side=side) for side in ("left", "right"))
+    n = np.where(multi, 0, hi - lo)
+    at = np.repeat(np.arange(len(queries)), n)
+    s[at, by[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]] = -9
+    top = top_columns(s, KEPT)
+    near = np.take_along_axis(s, top, axis=1)
+    exact = np.where(near > -9, np.round(np.einsum("qd,qkd->qk", qv, cv[top]), 9), -9)
+    order = np.lexsort((chunk[top], -exact), axis=1)[:, :k]
+    best = np.take_along_axis(top, order, axis=1)
+    w = best.shape[1]
+    out["s"][:, :w] = np.take_along_axis(exact, order, axis=1)
+    out["chunk"][:, :w] = np.where(out["s"][:, :w] > -9, chunk[best], -1)
+    out["did"][:, :w] = did[best]
+    if len(chunk) > top.shape[1]:  # the last similarity may tie with others of the window: rank them too
+        last = out["s"][:, w - 1]
+        for r in np.flatnonzero(~multi & (last > -9) & (last <= near.min(axis=1) + NEAR)):
+            t = np.flatnonzero(s[r] >= last[r] - NEAR)
+            _fill(out[r], cv[t] @ qv[r], chunk[t], did[t], int(queries["did"][r]), k)
+    for r in np.flatnonzero(multi):
+        t = top_columns(s[r : r + 1], KEPT_CLASS)[0]
+        got = _fill(out[r], cv[t] @ qv[r], chunk[t], did[t], None, k)
+        if len(t) < len(chunk) and (got < 2 * k or out["s"][r].min() <= s[r][t].min() + NEAR):
+            _fill(out[r], cv @ qv[r], chunk, did, None, k)
+    return out
+
+
+def _fill(entry: np.void, sims: np.ndarray, chunk: np.ndarray, did: np.ndarray, own: int | None, k: int) -> int:
+    """Writes the best candidates into an entry: k of other documents, or without an own one 2k, at most k of a did."""
+    s = np.round(sims, 9)
     used: dict[int, int] = {}
-    out = []
-    for i in order:
+    n = 0
+    entry["chunk"], entry["did"], entry["s"] = -1, 0, -9
+    for i in np.lexsort((chunk, -s)):
         d = int(did[i])
-        if d == own or used.get(d, 0) >= k or chunk[i] < 0:
+        if d == own or used.get(d, 0) >= k:
             continue
         used[d] = used.get(d, 0) + 1
-        out.append(i)
-        if len(out) == (k if own is not None else 2 * k):
+        entry["chunk"][n], entry["did"][n], entry["s"][n] = chunk[i], d, s[i]
+        n += 1
+        if n == (2 * k if own is None else k):
             break
-    return np.array(out, np.int64)
-
-
-_RANKED = "c1 bigint, c2 bigint, multi boolean, near array<bigint>, dids array<bigint>, sims array<double>"
-
-
-def _windows(dim: int, k: int, block: int):
-    """Sorted rows of parts -> the best of each query in its block and the blocks next to it."""
-
-    def compare(queries: pa.Table, qv: np.ndarray, around: list[tuple[pa.Table, np.ndarray]]) -> pa.RecordBatch:
-        met = np.concatenate([t["cand"].to_numpy() for t, _ in around])
-        cand = np.concatenate([v for _, v in around])[met]
-        chunk = np.concatenate([t["chunk_id"].to_numpy() for t, _ in around])[met]
-        did = np.concatenate([t["did"].to_numpy() for t, _ in around])[met]
-        ask = np.flatnonzero(queries["query"].to_numpy())
-        own, multi = queries["did"].to_numpy(), queries["multi"].to_numpy()
-        near, dids, sims, ends = [], [], [], [0]
-        cand32 = cand.astype(np.float32)
-        for a in range(0, len(ask), AT_ONCE):
-            rows = ask[a : a + AT_ONCE]
-            s = qv[rows].astype(np.float32) @ cand32.T
-            top = top_columns(s, KEPT)
-            exact = np.round((qv[rows][:, None, :] * cand[top]).sum(axis=2), 9)
-            for r, t, e, row in zip(rows, top, exact, s):
-                mine = None if multi[r] else int(own[r])
-                got = _rank(e, chunk[t], did[t], mine, k)
-                if len(got) and len(t) < len(chunk) and e[got[-1]] <= row[t].min() + NEAR:
-                    t = np.flatnonzero(row >= e[got[-1]] - NEAR)  # the last similarity may tie with others of the window: rank them too
-                    e = np.round((qv[r] * cand[t]).sum(axis=1), 9)
-                    got = _rank(e, chunk[t], did[t], mine, k)
-                if len(got) < (k if mine is not None else 2 * k) and len(t) < len(chunk):
-                    t = np.arange(len(chunk))  # one document fills the nearest: rank the whole window
-                    e = np.round((qv[r] * cand).sum(axis=1), 9)
-                    got = _rank(e, chunk, did, mine, k)
-                near.append(chunk[t[got]])
-                dids.append(did[t[got]])
-                sims.append(e[got])
-                ends.append(ends[-1] + len(got))
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, d))) for x, d in ((near, np.int64), (dids, np.int64), (sims, np.float64))]
-        keep = queries.take(pa.array(ask)).combine_chunks()
-        own_columns = [keep[n].combine_chunks() if keep.num_rows else pa.array([], keep.schema.field(n).type) for n in ("c1", "c2", "multi")]
-        return pa.RecordBatch.from_arrays([*own_columns, *lists], ["c1", "c2", "multi", "near", "dids", "sims"])
+    return n
+
+
+def _shares(entries: list[np.ndarray], shares: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Entries, packed by the share of their query; entries of single vectors keep k places only."""
+    e = np.concatenate(entries)
+    e = e[e["chunk"][:, 0] >= 0]
+    short = np.zeros(len(e), _entry_type(k))
+    for n in ("q", "multi"):
+        short[n] = e[n]
+    for n in ("chunk", "did", "s"):
+        short[n] = e[n][:, :k]
+    multi = e["multi"] > 0
+    names, blobs, longs = [], [], []
+    share = (e["q"] * 0x9E3779B1 >> 11) % shares
+    order = np.argsort(share, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(share[order]) != 0]) if len(order) else []
+    for x, y in zip(edge, [*edge[1:], len(order)]):
+        own = order[x:y]
+        names.append(int(share[own[0]]))
+        blobs.append(short[own[~multi[own]]].tobytes())
+        longs.append(e[own[multi[own]]].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), pa.array(longs, pa.binary())], ["share", "one", "many"])
+
+
+_SHARES = "share int, one binary, many binary"
+
+
+def _windows(dim: int, k: int, block: int, shares: int):
+    """Packed rows of parts, in order of parts -> the best of each query in its block and the blocks next to it."""
+    kind_of = _row_type(dim)
+
+    def part(blobs: list[bytes]) -> Iterator[np.ndarray]:
+        rows = np.concatenate([np.frombuffer(b, kind_of) for b in blobs])
+        rows = rows[np.lexsort((rows["chunk"], rows["key"]))]
+        u = unit_rows(rows["v"])
+        is_cand = (rows["kind"] & CANDIDATE) > 0
+        cand, cv = rows[is_cand], u[is_cand]
+        place = np.maximum(np.cumsum(is_cand) - is_cand, 0)
+        last = max(0, (len(cand) - 1) // block)
+        of = np.minimum(place // block, last)
+        asks = np.flatnonzero(rows["kind"] & QUERY)
+        edge = np.flatnonzero(np.r_[True, np.diff(of[asks]) != 0]) if len(asks) else []
+        for x, y in zip(edge, [*edge[1:], len(asks)]):
+            b = int(of[asks[x]])
+            z = slice(max(0, (b - 1) * block), (b + 2) * block)
+            yield ranked_block(rows[asks[x:y]], u[asks[x:y]], cand[z], cv[z], k)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        blocks: list[tuple[pa.Table, np.ndarray]] = []
-
-        def load(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
-            t = t.combine_chunks()
-            return t.drop_columns(["dv"]), unit_rows(_vectors(t["dv"].combine_chunks(), dim))
-
-        def step(t: pa.Table | None) -> Iterator[pa.RecordBatch]:
-            """Takes the next block of the part, or None at its end."""
-            if t is not None:
-                blocks.append(load(t))
-                if len(blocks) == 3:
-                    yield compare(*blocks[1], blocks)
-                    blocks.pop(0)
-                elif len(blocks) == 2:
-                    yield compare(*blocks[0], blocks)
-            elif blocks:
-                yield compare(*blocks[-1], blocks)
-                blocks.clear()
-
-        def stretches(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            at = np.flatnonzero(np.diff(b.column("part").to_numpy())) + 1
-            for x, y in zip([0, *at], [*at, b.num_rows]):
-                yield b.slice(x, y - x)
-
-        part = None
-        for batch in batches:
-            for b in stretches(batch) if batch.num_rows else ():
-                if part is not None and b.column("part")[0].as_py() != part:
-                    if held:
-                        yield from step(pa.Table.from_batches(held))
-                        held = []
-                    yield from step(None)
-                part = b.column("part")[0].as_py()
-                held.append(b)
-                while sum(x.column("cand").true_count for x in held) >= block:
-                    t = pa.Table.from_batches(held)
-                    end = int(np.flatnonzero(t["cand"].to_numpy())[block - 1]) + 1
-                    yield from step(t.slice(0, end))
-                    held = t.slice(end).to_batches()
+        held, now, out, size = [], None, [], 0
+        for b in batches:
+            for p, blob in zip(b.column("part").to_pylist(), b.column("rows").to_pylist()):
+                if p != now and held:
+                    out += part(held)
+                    held = []
+                    size = sum(x.nbytes for x in out)
+                    if size >= PACKED:
+                        yield from _shares(out, shares, k)
+                        out = []
+                now = p
+                held.append(blob)
         if held:
-            yield from step(pa.Table.from_batches(held))
-        yield from step(None)
+            out += part(held)
+        if out:
+            yield from _shares(out, shares, k)
+
+    return of
+
+
+def _best(k: int):
+    """Packed rankings of a share, in order of shares -> one ranking per query: k entries; of several documents 2k, at most k of a did."""
+    short, long = _entry_type(k), _entry_type(2 * k)
+
+    def single(e: np.ndarray) -> np.ndarray:
+        q = np.repeat(e["q"], k)
+        chunk, did, s = e["chunk"].ravel(), e["did"].ravel(), e["s"].ravel()
+        keep = chunk >= 0
+        q, chunk, did, s = q[keep], chunk[keep], did[keep], s[keep]
+        order = np.lexsort((chunk, -s, q))
+        q, chunk, did, s = q[order], chunk[order], did[order], s[order]
+        new = np.r_[True, (q[1:] != q[:-1]) | (chunk[1:] != chunk[:-1])] if len(q) else np.zeros(0, bool)
+        q, chunk, did, s = q[new], chunk[new], did[new], s[new]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+        rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        keep = rank < k
+        of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(q)]))
+        out = np.zeros(len(start), short)
+        out["chunk"], out["s"], out["q"] = -1, -9, q[start]
+        for name, x in (("chunk", chunk), ("did", did), ("s", s)):
+            out[name][of[keep], rank[keep]] = x[keep]
+        return out
+
+    def several(e: np.ndarray) -> np.ndarray:
+        qs = np.unique(e["q"])
+        out = _entries(len(qs), 2 * k)
+        for i, q in enumerate(qs):
+            own = e[e["q"] == q]
+            chunk, did, s = own["chunk"].ravel(), own["did"].ravel(), own["s"].ravel()
+            _, one = np.unique(chunk, return_index=True)
+            one = one[chunk[one] >= 0]
+            _fill(out[i], s[one], chunk[one], did[one], None, k)
+            out["q"][i], out["multi"][i] = q, 1
+        return out
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[bytes], list[bytes]] = ([], [])
+        now = None
+
+        def row() -> pa.RecordBatch:
+            one, many = single(np.frombuffer(b"".join(held[0]), short)), several(np.frombuffer(b"".join(held[1]), long))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([one.tobytes()], pa.binary()), pa.array([many.tobytes()], pa.binary())], ["share", "one", "many"])
+
+        for b in batches:
+            for share, one, many in zip(b.column("share").to_pylist(), b.column("one").to_pylist(), b.column("many").to_pylist()):
+                if share != now and now is not None:
+                    yield row()
+                    held = ([], [])
+                now = share
+                held[0].append(one)
+                held[1].append(many)
+        if now is not None:
+            yield row()
+
+    return of
+
+
+def _unpacked(k: int, only: np.ndarray | None = None):
+    """Packed rankings -> rows q, chunk, did, s; of the queries in `only` if given."""
+    short, long = _entry_type(k), _entry_type(2 * k)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for column, kind, w in (("one", short, k), ("many", long, 2 * k)):
+                for blob in b.column(column).to_pylist():
+                    e = np.frombuffer(blob, kind)
+                    if only is not None:
+                        e = e[np.isin(e["q"], only)]
+                    q, chunk = np.repeat(e["q"], w), e["chunk"].ravel()
+                    keep = chunk >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (q, chunk, e["did"].ravel(), e["s"].ravel())], ["q", "chunk", "did", "s"])
+
+    return of
+
+
+def _packs(k: int, shares: int):
+    """Rows of lists (q, multi, l) -> packed rankings."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = _entries(b.num_rows, 2 * k)
+            for i, (q, multi, l) in enumerate(zip(*(b.column(n).to_pylist() for n in ("q", "multi", "l")))):
+                out["q"][i], out["multi"][i] = q, multi
+                s, chunk, did = (np.array([x[n] for x in l]) for n in ("s", "chunk", "did"))
+                _fill(out[i], -s, chunk, did, None if multi else -(1 << 62), k)
+                out["q"][i], out["multi"][i] = q, multi
+            if len(out):
+                yield from _shares([out], shares, k)
 
     return of
 
@@ -336,7 +494,7 @@ def representatives(rows: DataFrame, k: int) -> DataFrame:
     by_class = Window.partitionBy("c1", "c2").orderBy("chunk_id")
     few = rows.withColumn("r", F.row_number().over(by_did)).where(F.col("r") <= k).withColumn("q", F.row_number().over(by_class)).where(F.col("q") <= 2 * k)
     whole = Window.partitionBy("c1", "c2")
-    return few.select("c1", "c2", "chunk_id", "did", "dv", (F.col("q") == 1).alias("query"), (F.col("r") == 1).alias("first"), (F.min("did").over(whole) != F.max("did").over(whole)).alias("multi"))
+    return few.select("c1", "c2", "chunk_id", "did", "dv", (F.col("q") == 1).alias("query"), (F.col("r") == 1).alias("first"), F.min("chunk_id").over(whole).alias("q"), (F.min("did").over(whole) != F.max("did").over(whole)).alias("multi"))
 
 
 def _true_sims(asked: np.ndarray, own: np.ndarray, dim: int, k: int):
@@ -345,8 +503,8 @@ def _true_sims(asked: np.ndarray, own: np.ndarray, dim: int, k: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((len(asked), k), -9.0)
         for b in batches:
-            for a in range(0, b.num_rows, BLOCK):
-                part = b.slice(a, BLOCK)
+            for a in range(0, b.num_rows, 4096):
+                part = b.slice(a, 4096)
                 s = asked @ unit_rows(_vectors(part.column("dv"), dim)).T
                 s[own[:, None] == part.column("did").to_numpy()[None, :]] = -9
                 best = -np.sort(-np.concatenate([best, s], axis=1), axis=1)[:, :k]
@@ -355,25 +513,29 @@ def _true_sims(asked: np.ndarray, own: np.ndarray, dim: int, k: int):
     return of
 
 
-def _sampled(reps: DataFrame, dim: int, k: int) -> tuple[list, np.ndarray]:
-    """Sampled rows (c1, c2, did) and their k largest similarities by comparison with every vector; -9 where there are fewer."""
-    t = reps.where("query").orderBy(F.xxhash64("chunk_id", "c2"), "chunk_id").select("c1", "c2", "did", "dv").limit(ASKED).toArrow().combine_chunks()
+def _sampled(reps: DataFrame, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled rows (chunk_id, did) and their k largest similarities by comparison with every vector; -9 where there are fewer."""
+    t = reps.where("query").orderBy(F.xxhash64("chunk_id", "c2"), "chunk_id").select("chunk_id", "did", "dv").limit(ASKED).toArrow().combine_chunks()
     asked, own = unit_rows(_vectors(t["dv"].combine_chunks(), dim)), t["did"].to_numpy()
     sims = reps.select("did", "dv").mapInArrow(_true_sims(asked, own, dim, k), "asked bigint, s double").groupBy("asked").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, k).alias("s"))
     true = np.full((len(own), k), -9.0)
     for r in sims.collect():
         true[r["asked"]] = r["s"]
-    return t.select(["c1", "c2", "did"]).to_pylist(), true
+    return t["chunk_id"].to_numpy(), own, true
 
 
-def _recall(merged: DataFrame, sample: list, true: np.ndarray, k: int) -> float:
+def _recall(merged: DataFrame, asked: np.ndarray, own: np.ndarray, true: np.ndarray, k: int) -> float:
     """Share of the sampled rows' true neighbours that are found; one as similar as the k-th is as good."""
-    s = merged.sparkSession.createDataFrame([(i, r["c1"], r["c2"], r["did"]) for i, r in enumerate(sample)], "asked int, c1 bigint, c2 bigint, did bigint")
-    got = merged.join(F.broadcast(s), ["c1", "c2"]).select("asked", F.transform(F.slice(F.filter("l", lambda x: x["did"] != F.col("did")), 1, k), lambda x: -x["s"]).alias("s")).collect()
+    t = merged.mapInArrow(_unpacked(k, asked), "q bigint, chunk bigint, did bigint, s double").toArrow().to_pandas()
     wanted = (true > -9).sum(axis=1)
     if not wanted.any():
         return 1.0
-    hits = sum(min(int(wanted[r["asked"]]), sum(x >= true[r["asked"], wanted[r["asked"]] - 1] - 1e-6 for x in r["s"])) for r in got if wanted[r["asked"]])
+    got = {q: g for q, g in t.groupby("q")}
+    hits = 0
+    for i, q in enumerate(asked):
+        if wanted[i] and q in got:
+            s = np.sort(got[q]["s"].to_numpy()[got[q]["did"].to_numpy() != own[i]])[::-1][:k]
+            hits += min(int(wanted[i]), int((s >= true[i, wanted[i] - 1] - 1e-6).sum()))
     return hits / int(wanted.sum())
 
 
@@ -382,30 +544,41 @@ def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, bloc
 
     Cosine similarity rounded to nine decimals, ties to the smaller chunk_id. Rows with a null
     id, did or vector, with null or non-finite numbers, of another length, or all zero are left
-    out. Copies are ranked like any other chunk of another document. Chunks with fewer than k
-    others get fewer. Approximate: rounds of `curves` curves follow each other until `target` of
-    the true neighbours of a sample are found.
+    out; chunk ids are not negative. Copies are ranked like any other chunk of another document.
+    Chunks with fewer than k others get fewer. Approximate: rounds of `curves` curves follow each
+    other until `target` of the true neighbours of a sample are found.
     """
     rows = cut(members(df, dim))
     reps = cut(representatives(rows, k))
     total = reps.count()
-    sample = reps.orderBy(F.xxhash64("c1", "chunk_id")).select("dv").limit(FIT_ROWS).toArrow()
     if not total:
         return df.sparkSession.createDataFrame([], "chunk_id bigint, near bigint, rank int, similarity double")
+    sample = reps.orderBy(F.xxhash64("c1", "chunk_id")).select("dv").limit(FIT_ROWS).toArrow()
     vectors = unit_rows(_vectors(sample["dv"].combine_chunks(), dim))
-    asked, true = _sampled(reps, dim, k)
+    asked, own, true = _sampled(reps, dim, k)
     crowded = _crowded(reps, block)
-    merged, recall, turn = _directions_shared(reps, k, dim), -1.0, 0
+    shares = max(1, -(-total * curves // SHARE))
+    merged = _directions_shared(reps, k, dim).mapInArrow(_packs(k, shares), _SHARES)
+    recall, turn = -1.0, 0
     while recall < target:
-        lists = _round(reps, directions(vectors, curves, seed=SEED + turn), total, crowded, k, dim, block)
-        merged = cut(_merged(lists.unionByName(merged), k))
-        before, recall, turn = recall, _recall(merged, asked, true, k), turn + 1
+        lists = _round(reps, directions(vectors, curves, seed=SEED + turn), total, crowded, k, dim, block, shares)
+        ordered = lists.unionByName(merged).repartition(max(1, min(shares, 8 * partitions(reps))), "share").sortWithinPartitions("share")
+        merged = cut(ordered.mapInArrow(_best(k), _SHARES))
+        before, recall, turn = recall, _recall(merged, asked, own, true, k), turn + 1
         if before >= recall:
             warnings.warn(f"further curves find nothing more: recall {recall:.3f} on the sample after {turn} rounds", stacklevel=2)
             break
-    joined = rows.select("chunk_id", "did", "c1", "c2").join(merged, ["c1", "c2"])
-    mine = joined.select("chunk_id", F.posexplode(F.slice(F.filter("l", lambda x: x["did"] != F.col("did")), 1, k)).alias("p", "x"))
-    return mine.select("chunk_id", F.col("x.chunk").alias("near"), (F.col("p") + 1).alias("rank"), (-F.col("x.s")).alias("similarity"))
+    lists = merged.mapInArrow(_unpacked(k), "q bigint, chunk bigint, did bigint, s double")
+    # single vectors rank for themselves; of a class every member takes the ranking of its first chunk
+    classes = cut(rows.groupBy("c1", "c2").agg(F.min("chunk_id").alias("q"), F.count("*").alias("n")).where("n > 1"))
+    copies = cut(spread_join(rows.select("chunk_id", F.col("did").alias("own"), "c1", "c2"), classes, ["c1", "c2"], "n").select("chunk_id", "own", "q"))
+    alone = lists.join(copies.select("q").distinct(), "q", "left_anti").select(F.col("q").alias("chunk_id"), "chunk", "s")
+    listed = lists.join(copies.select("q").distinct(), "q", "left_semi").groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "chunk", "did"))).alias("l"), F.lit(0).alias("_"))  # at most 2k entries
+    sized = cut(listed.join(classes.select("q", F.col("n").alias("n")), "q").drop("_"))
+    mine = spread_join(copies, sized, ["q"], "n").select("chunk_id", F.explode(F.slice(F.filter("l", lambda x: x["did"] != F.col("own")), 1, k)).alias("x"))
+    every = alone.unionByName(mine.select("chunk_id", "x.chunk", (-F.col("x.s")).alias("s")))
+    rank = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("s").desc(), "chunk"))
+    return every.select("chunk_id", F.col("chunk").alias("near"), rank.alias("rank"), F.col("s").alias("similarity"))
 
 
 def _celled(dim: int):
@@ -430,26 +603,27 @@ def _paired(dim: int):
         for b in batches:
             if b.num_rows:
                 s = np.round((unit_rows(_vectors(b.column("dv"), dim)) * unit_rows(_vectors(b.column("ov"), dim))).sum(axis=1), 9)
-                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("c1", "c2", "multi", "chunk", "other")], pa.array(-s)], ["c1", "c2", "multi", "chunk", "other", "s"])
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("q", "multi", "chunk", "other")], pa.array(-s)], ["q", "multi", "chunk", "other", "s"])
 
     return of
 
 
 def _directions_shared(reps: DataFrame, k: int, dim: int) -> DataFrame:
-    """Of vectors of one direction and different norms, the smallest chunks, whatever the size of the group: c1, c2, multi, l.
+    """Of vectors of one direction and different norms, the smallest chunks, whatever the size of the group: q, multi, l.
 
     Their similarities to each other tie at one, so k of a did and 2k in all hold every ranking inside a group.
     """
     cells = cut(reps.mapInArrow(_celled(dim), "grid int, cell binary, c1 bigint, c2 bigint, chunk_id bigint, did bigint, multi boolean, query boolean, dv array<float>").withColumn("cell", F.xxhash64("cell")))
-    classes = cells.groupBy("grid", "cell").agg(F.min("c1").alias("a"), F.max("c1").alias("z")).where("a <> z").select("grid", "cell")
-    shared = cells.join(classes, ["grid", "cell"])
+    classes = cut(cells.groupBy("grid", "cell").agg(F.min("c1").alias("a"), F.max("c1").alias("z"), F.count("*").alias("n")).where("a <> z").select("grid", "cell", "n"))
+    shared = spread_join(cells, classes, ["grid", "cell"], "n")
     by_did = Window.partitionBy("grid", "cell", "did").orderBy("chunk_id")
     by_cell = Window.partitionBy("grid", "cell").orderBy("chunk_id")
     few = shared.withColumn("r", F.row_number().over(by_did)).where(F.col("r") <= k).withColumn("q", F.row_number().over(by_cell)).where(F.col("q") <= 2 * k)
-    few = few.select("grid", "cell", F.col("chunk_id").alias("chunk"), F.col("did").alias("other"), F.col("dv").alias("ov"))
-    pairs = shared.where("query").join(few, ["grid", "cell"]).where("multi or did <> other").select("c1", "c2", "multi", "dv", "ov", "chunk", "other")
-    sims = pairs.mapInArrow(_paired(dim), "c1 bigint, c2 bigint, multi boolean, chunk bigint, other bigint, s double")
-    return sims.groupBy("c1", "c2", "multi").agg(F.collect_set(F.struct("s", "chunk", F.col("other").alias("did"))).alias("l"))
+    few = few.select("grid", "cell", "n", F.struct(F.col("chunk_id").alias("chunk"), F.col("did").alias("other"), F.col("dv").alias("ov")).alias("x"))
+    few = cut(few.groupBy("grid", "cell").agg(F.max("n").alias("size"), F.collect_list("x").alias("xs")))  # at most 2k
+    pairs = spread_join(shared.where("query").drop("n"), few, ["grid", "cell"], "size").select(F.col("chunk_id").alias("q"), "did", "multi", "dv", F.explode("xs").alias("x"))
+    sims = pairs.where("multi or did <> x.other").select("q", "multi", "dv", "x.ov", "x.chunk", "x.other").mapInArrow(_paired(dim), "q bigint, multi boolean, chunk bigint, other bigint, s double")
+    return sims.groupBy("q", "multi").agg(F.collect_set(F.struct("s", "chunk", F.col("other").alias("did"))).alias("l"))
 
 
 def _crowded(reps: DataFrame, block: int) -> list[tuple[int, int]]:
@@ -461,35 +635,27 @@ def _crowded(reps: DataFrame, block: int) -> list[tuple[int, int]]:
     return [(r["did"], r["count"]) for r in hot]
 
 
-def _round(reps: DataFrame, fit: tuple, total: int, crowded: list[tuple[int, int]], k: int, dim: int, block: int) -> DataFrame:
-    """The best of each class on each of a round's curves: c1, c2, multi, l.
+def _round(reps: DataFrame, fit: tuple, total: int, crowded: list[tuple[int, int]], k: int, dim: int, block: int, shares: int) -> DataFrame:
+    """The best of each class on each of a round's curves, packed.
 
     The rows of a document that fills windows also ask curves on which it has no rows.
     """
-    lists = _asked(reps.withColumn("cand", F.lit(True)), fit, total, k, dim, block)
+    lists = _asked(reps.withColumn("cand", F.lit(True)), fit, total, k, dim, block, shares)
     for did, own in crowded:
         if own < total:
             without = reps.withColumn("cand", F.col("did") != did).withColumn("query", (F.col("did") == did) & F.col("first"))
-            lists = lists.unionByName(_asked(without.where("cand or query"), fit, total - own, k, dim, block))
+            lists = lists.unionByName(_asked(without.where("cand or query"), fit, total - own, k, dim, block, shares))
     return lists
 
 
-def _asked(reps: DataFrame, fit: tuple, total: int, k: int, dim: int, block: int) -> DataFrame:
+def _asked(reps: DataFrame, fit: tuple, total: int, k: int, dim: int, block: int, shares: int) -> DataFrame:
     """Curves of the rows that are candidates (total of them), asked by those that are queries."""
     cuts = _cuts(reps.where("cand"), fit, total, dim, block)
-    schema = "part int, key bigint, c1 bigint, c2 bigint, chunk_id bigint, did bigint, multi boolean, cand boolean, query boolean, dv binary"
-    parts = sum(len(c[0][0]) + 1 for c in cuts)
-    ordered = reps.mapInArrow(_ordered(fit, cuts, dim), schema).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "chunk_id")
-    ranked = ordered.mapInArrow(_windows(dim, k, block), _RANKED)
-    entry = F.transform(F.arrays_zip("near", "dids", "sims"), lambda x: F.struct((-x["sims"]).alias("s"), x["near"].alias("chunk"), x["dids"].alias("did")))
-    return ranked.select("c1", "c2", "multi", entry.alias("l"))
-
-
-def _merged(lists: DataFrame, k: int) -> DataFrame:
-    """One ranking of each class: k entries; of a class of several documents 2k, at most k of a did."""
-    one = lists.groupBy("c1", "c2").agg(F.first("multi").alias("multi"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("l")))).alias("l"))  # at most 2k of each curve
-    capped = F.filter("l", lambda x, i: F.size(F.filter(F.slice("l", 1, F.greatest(i, F.lit(0))), lambda y: y["did"] == x["did"])) < k)
-    return one.select("c1", "c2", "multi", F.when(F.col("multi"), F.slice(capped, 1, 2 * k)).otherwise(F.slice("l", 1, k)).alias("l"))
+    parts = sum(c.total for c in cuts)
+    width = max(1, min(parts, 8 * partitions(reps)))
+    packed = reps.mapInArrow(_packed_parts(fit, cuts, dim), "part int, rows binary")
+    ordered = packed.repartitionById(width, F.col("part") % width).sortWithinPartitions("part")
+    return ordered.mapInArrow(_windows(dim, k, block, shares), _SHARES)
 
 
 def found(df: DataFrame, k: int = K, dim: int = 64) -> DataFrame:

@@ -115,20 +115,30 @@ def test_shuffle_width_changes_nothing(spark):
 
 
 def test_parts_hold_their_borders(spark):
-    """Cut into parts or not, every row meets its own block and both neighbours."""
+    """Parts hold at most their rows, a hot stretch is shared out, and borders of a block are copied both ways."""
     rng = np.random.default_rng(7)
-    key, chunk = rng.integers(0, 50, 900), rng.permutation(900)
-    marks = np.lexsort((chunk, key))[[100, 300, 301, 899]]
-    want = [sum((key[m], chunk[m]) <= (a, b) for m in marks) for a, b in zip(key, chunk)]
-    assert np.array_equal(knn.passed(key, chunk, (key[marks], chunk[marks])), want)
+    counts = np.r_[rng.integers(0, 30, 60), 1000, rng.integers(0, 30, 60)]
+    parts = knn.Parts(counts, 4, 200, 50)
+    held = np.bincount(parts.part, weights=np.where(parts.shares > 1, 0, counts))
+    assert held.max() <= 200 and parts.shares.max() == 5 and (np.diff(parts.part) >= 0).all()
+    for b in np.flatnonzero(np.diff(parts.part)) + 1:
+        if parts.shares[b] > 1 or parts.shares[b - 1] > 1:
+            continue
+        left = np.flatnonzero((parts.part == parts.part[b - 1]) & (parts.after == parts.part[b]))
+        assert left.max() == b - 1 and (counts[left].sum() >= 50 or left.min() == np.flatnonzero(parts.part == parts.part[b - 1]).min())
+    key = np.repeat(np.arange(121), counts) << 4
+    chunk = rng.permutation(len(key))
+    own, before, after = parts.of(key, chunk)
+    assert np.bincount(own).max() <= 300 and own.max() < parts.total and (own[key >> 4 == 60] >= 0).all()
     v = rng.normal(size=(900, 64)).astype(np.float32)
     df = _frame(spark, _rows(np.arange(900), np.arange(900), v))
-    whole, knn.BLOCKS = knn.BLOCKS, 2
+    whole, knn.PART = knn.PART, 200
     try:
-        cut = {tuple(r) for r in knn.nearest(df, block=50, curves=2, target=0.0).collect()}
+        cut = {tuple(r) for r in knn.nearest(df, block=60, curves=8, target=0.0).collect()}
     finally:
-        knn.BLOCKS = whole
-    assert cut == {tuple(r) for r in knn.nearest(df, block=50, curves=2, target=0.0).collect()}
+        knn.PART = whole
+    plain = {tuple(r) for r in knn.nearest(df, block=60, curves=8, target=0.0).collect()}
+    assert len(cut & plain) / len(plain) > 0.9
 
 
 def test_scaled_copies(spark):
