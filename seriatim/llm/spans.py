@@ -1,14 +1,17 @@
 """Long exact spans shared between records, by level-wise doubling of repeated windows.
 
-The first level takes windows of a quarter of the length at content-chosen anchors (minima of
-a rolling hash), which every copy of a long span shares. A window that occurs in one record
-alone cannot lie in a shared span; windows that repeat are extended to twice their length and
-counted again, up to the length asked for. The last doubling looks at every start that a
-surviving window allows, so the result holds every span of at least that length. Windows are
-compared by two 64-bit hashes over mixed code points.
-
-Counting is a grouped minimum and maximum of record numbers, so a window that stands in a third
-of all records reaches its task as one partial row per map task.
+The first level takes windows of a quarter of the length at anchors (minima of a rolling hash),
+one of which lies in every window of the length, chosen by its content. A window that occurs in
+one record alone cannot lie in a shared span; windows that repeat are extended to twice their
+length, to the right and to the left, and counted again, until the next doubling would reach the
+length itself. Starts that may then begin a shared window of the length are cut into blocks at
+places of the text's own choosing. A block that repeats as a whole is counted as one row, whatever
+its number of starts, and the starts inside are looked at once for each different block, not for
+each occurrence; so a long copy costs few rows, and only the ends of spans are opened start by
+start. Windows are compared by two 64-bit hashes over mixed code points.
+
+Counts are sums and extremes of record numbers, combined before they are moved, and joins back to
+them split hot windows over tasks.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriatim.operators.ranking import ranked
+from seriatim.operators.skew import spread_join
 from seriatim.session import cut
 from seriatim.sources.tables import require
 
@@ -29,6 +32,10 @@ LENGTH = 240
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Code points handled at once, unless one text is longer.
 BLOCK = 1_000_000
+#: Starts among which one is a border of a block, and members of a group that one task pairs.
+APART, MEMBERS = 24, 4096
+#: Bits of a position; a text is shorter than 2**30 code points, as an Arrow string is.
+PLACE = 30
 
 
 def mixed(text: str) -> np.ndarray:
@@ -55,58 +62,63 @@ class Rolling:
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(codes * power, out=self.prefix[1:])
 
-    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of the windows of a length at the starts."""
+    def at(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        """Hashes of the windows of a length, or of one length each, at the starts."""
         return (self.prefix[starts + length] - self.prefix[starts]) * self.back[starts]
 
 
-def anchors(roll: Rolling, starts: np.ndarray, stops: np.ndarray, size: int) -> np.ndarray:
-    """Starts of the windows that are smallest among `size` neighbouring ones of their text, leftmost on ties.
+class Texts:
+    """Some texts laid end to end, with their hashes."""
 
-    Any stretch of 2 * size - 1 characters holds an anchored window, the same in every copy of
-    the stretch. starts and stops are the borders of the texts inside the hashed codes.
-    """
-    out = []
-    for a, z in zip(starts, stops):
-        n = z - a - size + 1
-        if n < 1:
-            continue
-        h = roll.at(np.arange(a, a + n), size)
+    def __init__(self, docs: list[int], texts: list[str]):
+        codes = [mixed(t) for t in texts]
+        self.docs = np.asarray(docs, np.int64)
+        self.stops = np.cumsum([len(c) for c in codes]).astype(np.int64)
+        self.starts = np.r_[np.int64(0), self.stops[:-1]]
+        joined = np.concatenate(codes)
+        self.n = len(joined)
+        self.one, self.two = (Rolling(joined, b) for b in BASES)
+
+    def inside(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        """Whether the window at each place ends in the text it starts in."""
+        of = np.searchsorted(self.stops, at, side="right")
+        return at + length <= self.stops[np.minimum(of, len(self.stops) - 1)]
+
+    def rows(self, at: np.ndarray, length: int | np.ndarray) -> list[pa.Array]:
+        """Record, position and the two hashes of windows."""
+        of = np.searchsorted(self.stops, at, side="right")
+        pos = (at - self.starts[of]).astype(np.int32)
+        return [pa.array(self.docs[of]), pa.array(pos), pa.array(self.one.at(at, length).view(np.int64)), pa.array(self.two.at(at, length).view(np.int64))]
+
+    def smallest(self, at: np.ndarray, size: int, among: int) -> np.ndarray:
+        """For each place the smallest of the `among` windows of a size that start from there on, leftmost on ties."""
+        last = self.n - size + 1
+        h = self.one.at(np.arange(last), size)
         h ^= h >> np.uint64(29)
-        view = np.lib.stride_tricks.sliding_window_view(h, min(size, n))
-        out.append(a + np.unique(np.arange(len(view)) + np.argmin(view, axis=1)))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
+        key = (h & ~np.uint64((1 << PLACE) - 1)) | np.arange(last, dtype=np.uint64)
+        step = 1
+        while 2 * step <= among:  # minima of 1, 2, 4, ... neighbours
+            key = np.minimum(key[:-step], key[step:])
+            step *= 2
+        rest = among - step
+        low = np.minimum(key[at], key[at + rest]) if rest else key[at]
+        return (low & np.uint64((1 << PLACE) - 1)).astype(np.int64)
 
-#: A place is doc * 2**PLACE + position: one number that orders by record, then position.
-PLACE = 30
-_WINDOWS = "at bigint, h1 bigint, h2 bigint"
+    def every(self, length: int) -> np.ndarray:
+        """All starts of windows of a length."""
+        return np.concatenate([np.arange(a, z - length + 1) for a, z in zip(self.starts, self.stops)]) if len(self.starts) else np.zeros(0, np.int64)
 
+    def anchors(self, length: int, size: int) -> np.ndarray:
+        """The smallest window of the size in each window of the length."""
+        return np.unique(self.smallest(self.every(length), size, length - size + 1))
 
-def _doc() -> Column:
-    return F.shiftright("at", PLACE)
+    def placed(self, own: list[np.ndarray]) -> np.ndarray:
+        """Positions of each text as places."""
+        return np.concatenate([a + np.asarray(p, np.int64) for a, p in zip(self.starts, own)])
 
 
-def _pos() -> Column:
-    return F.col("at").bitwiseAND((1 << PLACE) - 1)
-
-
-def _windows(pick: Callable[[Rolling, np.ndarray, np.ndarray, list], np.ndarray], length: int):
-    """Arrow function: (doc, text, ...) -> the windows of a length at the starts that pick chooses."""
-
-    def part(docs: list[int], texts: list[str], extra: list) -> pa.RecordBatch:
-        codes = [mixed(t) for t in texts]
-        stops = np.cumsum([len(c) for c in codes]).astype(np.int64)
-        starts = np.r_[np.int64(0), stops[:-1]]
-        joined = np.concatenate(codes)
-        roll = Rolling(joined, BASES[0])
-        at = pick(roll, starts, stops, extra)
-        of = np.searchsorted(stops, at, side="right")
-        inside = at + length <= stops[of] if len(at) else np.zeros(0, bool)
-        at, of = at[inside], of[inside]
-        two = Rolling(joined, BASES[1]).at(at, length)
-        place = (np.asarray(docs, np.int64)[of] << PLACE) + (at - starts[of])
-        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(roll.at(at, length).view(np.int64)), pa.array(two.view(np.int64))], ["at", "h1", "h2"])
+def _over(handle: Callable[[Texts, list], pa.RecordBatch]):
+    """Arrow function over (doc, text, lists ...): texts are handled some BLOCK code points at once."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,123 +126,181 @@ def _windows(pick: Callable[[Rolling, np.ndarray, np.ndarray, list], np.ndarray]
             for k, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 docs.append(d)
                 texts.append(t.as_py())
-                extra.append([c[k].values.to_numpy(zero_copy_only=False) for c in b.columns[2:]])
+                extra.append([c[k].values for c in b.columns[2:]])
                 held += len(texts[-1])
                 if held >= BLOCK:
-                    yield part(docs, texts, extra)
+                    yield handle(Texts(docs, texts), extra)
                     docs, texts, extra, held = [], [], [], 0
             if docs:
-                yield part(docs, texts, extra)
+                yield handle(Texts(docs, texts), extra)
 
     return of
 
 
-def _at_anchors(size: int):
-    return lambda roll, starts, stops, _: anchors(roll, starts, stops, size)
+_WINDOWS = "doc bigint, pos int, h1 bigint, h2 bigint"
 
 
-def _at_alive(roll: Rolling, starts: np.ndarray, stops: np.ndarray, alive: list) -> np.ndarray:
-    """The surviving starts of each text."""
-    return np.concatenate([a + np.sort(np.asarray(own[0], np.int64)) for a, own in zip(starts, alive)])
+def _anchored(length: int, size: int):
+    def handle(t: Texts, _: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(t.rows(t.anchors(length, size), size), ["doc", "pos", "h1", "h2"])
 
+    return _over(handle)
 
-def _marked(places: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
-    """Which of n positions lie from `before` before a place to `after` after it."""
-    flags = np.zeros(n + 1, np.int32)
-    np.add.at(flags, np.clip(places - before, 0, n), 1)
-    np.add.at(flags, np.clip(places + after + 1, 0, n), -1)
-    return np.cumsum(flags)[:-1] > 0
 
+def _doubled(size: int):
+    """Surviving windows -> windows of twice their length, to the right (side 0) and to the left (side 1)."""
 
-def _around(size: int, length: int):
-    """Starts at which a span of the length can begin: near a surviving doubled window, and without a dead anchor inside.
+    def handle(t: Texts, extra: list) -> pa.RecordBatch:
+        alive = t.placed([e[0].to_numpy() for e in extra])
+        own = np.searchsorted(t.stops, alive, side="right")
+        right = alive[t.inside(alive, 2 * size)]
+        left = alive[alive - size >= t.starts[own]]
+        columns = [pa.concat_arrays(c) for c in zip(t.rows(right, 2 * size), t.rows(left - size, 2 * size))]
+        columns[1] = pa.array(np.r_[columns[1].to_numpy()[: len(right)], columns[1].to_numpy()[len(right) :] + size].astype(np.int32))
+        side = pa.array(np.r_[np.zeros(len(right), np.int32), np.ones(len(left), np.int32)])
+        return pa.RecordBatch.from_arrays([*columns, side], ["doc", "pos", "h1", "h2", "side"])
 
-    An anchor that lies `size` or more inside a span on both sides is one in every copy, so its
-    window repeats; where one is dead no span can begin.
-    """
+    return _over(handle)
+
+
+def _blocks(length: int, size: int):
+    """Starts that may begin a shared window of the length, in blocks: doc, pos, len (starts), h1, h2 (of all that its windows cover).
 
-    def pick(roll: Rolling, starts: np.ndarray, stops: np.ndarray, alive: list) -> np.ndarray:
-        out = []
-        for a, z, (doubled, single) in zip(starts, stops, alive):
-            n = int(z - a)
-            near = _marked(np.asarray(doubled, np.int64), size - 1, 0, n)
-            dead = np.setdiff1d(anchors(roll, np.array([a]), np.array([z]), size) - a, np.asarray(single, np.int64))
-            if length - 3 * size + 1 >= 0 and len(dead):
-                near &= ~_marked(dead, length - 2 * size + 1, -(size - 1), n)
-            out.append(a + np.flatnonzero(near))
-        return np.concatenate(out)
+    Every window of the length holds its smallest window of the size; that one repeats in a shared
+    window, and so does each doubled one around it that lies inside.
+    """
 
-    return pick
+    def handle(t: Texts, extra: list) -> pa.RecordBatch:
+        starts = t.every(length)
+        low = t.smallest(starts, size, length - size + 1)
+        alive, right, left = (np.zeros(t.n + 1, bool) for _ in range(3))
+        alive[t.placed([e[0].to_numpy() for e in extra])] = True
+        right[t.placed([e[1].to_numpy() for e in extra])] = True
+        left[t.placed([e[2].to_numpy() for e in extra])] = True
+        may = alive[low] & (right[low] | (low + 2 * size > starts + length)) & (left[low] | (low - size < starts))
+        border = np.zeros(t.n + 1, bool)
+        wide = starts[t.inside(starts, length + APART - 1)]
+        if len(wide):
+            border[t.smallest(wide, size, APART)] = True
+        new = may & (np.r_[True, ~may[:-1]] | (np.diff(starts, prepend=-2) != 1) | border[starts])
+        first = np.flatnonzero(new)
+        block = np.cumsum(new)[may] - 1
+        n = np.bincount(block, minlength=len(first))
+        at = starts[first]
+        columns = t.rows(at, n + length - 1)
+        columns[3] = pa.array(columns[3].to_numpy() ^ (n * 0x9E3779B1))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int32))], ["doc", "pos", "h1", "h2", "len"])
+
+    return _over(handle)
+
+
+def _opened(length: int):
+    """Different blocks -> their windows of the length, with what is known of the block."""
+    names = ("a", "z", "n", "s1", "s2", "block")
+
+    def handle(t: Texts, extra: list) -> pa.RecordBatch:
+        pos, n = ([e[0].field(c).to_numpy() for e in extra] for c in ("pos", "len"))
+        at, size = t.placed(pos), np.concatenate(n).astype(np.int64)
+        # an id with several texts: a block lies in one of them
+        of = np.repeat(np.arange(len(t.starts)), [len(p) for p in pos])
+        fits = at + size + length - 1 <= t.stops[of]
+        fits[fits] = t.one.at(at[fits], size[fits] + length - 1).view(np.int64) == np.concatenate([e[0].field("h1").to_numpy() for e in extra])[fits]
+        known = [np.concatenate([e[0].field(c).to_numpy() for e in extra])[fits] for c in names]
+        at, size = at[fits], size[fits]
+        each = np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return pa.RecordBatch.from_arrays([*t.rows(each, length), *(pa.array(np.repeat(k, size)) for k in known)], ["doc", "pos", "h1", "h2", *names])
+
+    return _over(handle)
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
     """The windows that occur in more than one record."""
     windows = cut(windows)
-    seen = windows.groupBy("h1", "h2").agg(F.min("at").alias("a"), F.max("at").alias("z")).where(F.shiftright("a", PLACE) != F.shiftright("z", PLACE)).select("h1", "h2")
-    return windows.join(seen, ["h1", "h2"], "left_semi")
+    seen = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("h1", "h2", "n")
+    return spread_join(windows, cut(seen), ["h1", "h2"], "n", "left_semi")
 
 
-def records(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Distinct (id, text) with the record's number: id, text, doc.
+def records(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, text) of the rows with id and text, and (doc, id) of every id; doc is a hash that no two ids share.
 
     A record is an id, so repeated deliveries are one record; of an id with several texts each
-    is searched, under the same number. Rows without id or text are left out.
+    is searched, under the same number.
     """
     require(df, [id_column, text])
-    rows = df.select(F.col(id_column).cast("string").alias("id"), F.col(text).alias("text")).dropna().distinct()
-    numbers = ranked(rows.select("id").distinct(), ["id"], "doc")
-    return rows.join(numbers, "id")
-
-
-def _starts(alive: DataFrame, name: str) -> DataFrame:
-    """Surviving positions of each record, at most a text's length."""
-    return alive.groupBy(_doc().alias("doc")).agg(F.collect_set(_pos()).alias(name))
-
-
-def shared(recs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All windows of the given length that occur in more than one record, with what their group is.
-
-    Result: at (record and position), h1, h2, and of the group of equal windows n (occurrences),
-    s1, s2 (sums of record hashes, the group's signature) and first (its first occurrence).
+    rows = df.select(F.col(id_column).cast("string").alias("id"), F.col(text).alias("text")).dropna()
+    seed = 0
+    while True:
+        doc = F.xxhash64(F.lit(seed), "id").alias("doc")
+        ids = cut(rows.groupBy("id").agg(F.max(F.length("text")).alias("n_chars")).select(doc, "id", "n_chars"))
+        if not ids.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").head(1):
+            return rows.select(doc, "text"), ids
+        seed += 1
+
+
+def blocks(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of starts, their classes (equal blocks), and the windows of every different block.
+
+    Blocks: doc, pos, len, h1, h2. Classes: h1, h2, block (number), n (occurrences), a, z (smallest
+    and largest record), s1, s2 (sums of record hashes, the signature). Windows: doc, pos (of the
+    class's first occurrence), h1, h2 (of the window), and a, z, n, s1, s2, block of the class.
     """
+    long = docs.where(F.length("text") >= length)
     size = max(1, length // 4)
-    docs = recs.select("doc", "text").where(F.length("text") >= length)
-    single = cut(_repeated(docs.mapInArrow(_windows(_at_anchors(size), size), _WINDOWS)))
-    # A span of the length holds an anchor among its first `size` starts, the same in each copy:
-    # the doubled window at that anchor lies inside the span, and the span starts at most size - 1 before it.
-    own = _starts(single, "single")
-    doubled = _repeated(docs.join(own, "doc").select("doc", "text", "single").mapInArrow(_windows(_at_alive, 2 * size), _WINDOWS))
-    both = docs.join(_starts(doubled, "doubled"), "doc").join(own, "doc").select("doc", "text", "doubled", "single")
-    dense = cut(both.mapInArrow(_windows(_around(size, length), length), _WINDOWS))
-    mark = lambda seed: F.sum(F.hash(F.lit(seed), _doc()).cast("bigint"))
-    group = dense.groupBy("h1", "h2").agg(F.count("*").alias("n"), mark(1).alias("s1"), mark(2).alias("s2"), F.min("at").alias("first"), F.max("at").alias("z"))
-    group = group.where(F.shiftright("first", PLACE) != F.shiftright("z", PLACE)).drop("z")
-    return cut(dense.join(group, ["h1", "h2"]))
-
-
-def pairs(recs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Pairs of different records that share a window: id_a < id_b.
-
-    Along a span the windows bind one and the same group of records. A group is therefore
-    expanded only at windows whose first occurrence does not follow, one character before, a
-    window of the same group.
+    alive = _repeated(long.mapInArrow(_anchored(length, size), _WINDOWS))
+    texts = long.join(alive.groupBy("doc").agg(F.collect_set("pos").alias("alive")), "doc").select("doc", "text", "alive")  # at most a text's positions
+    texts = cut(texts)
+    sides = ["right", "left"]
+    if 2 * size < length:
+        doubled = _repeated(texts.mapInArrow(_doubled(size), f"{_WINDOWS}, side int"))
+        side = lambda k: F.collect_set(F.when(F.col("side") == k, F.col("pos")))
+        texts = cut(texts.join(doubled.groupBy("doc").agg(side(0).alias("right"), side(1).alias("left")), "doc").select("doc", "text", "alive", *sides))
+    else:
+        texts = texts.select("*", *[F.col("alive").alias(s) for s in sides])
+    found_blocks = cut(texts.mapInArrow(_blocks(length, size), f"{_WINDOWS}, len int"))
+    mark = lambda seed: F.sum(F.hash(F.lit(seed), "doc").cast("bigint"))
+    group = found_blocks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z"), mark(1).alias("s1"), mark(2).alias("s2"), F.min_by("pos", "doc").alias("pos"), F.max("len").alias("len"))
+    classes = cut(cut(group).withColumn("block", F.monotonically_increasing_id()))
+    firsts = classes.groupBy(F.col("a").alias("doc")).agg(F.collect_list(F.struct("h1", "pos", "len", "a", "z", "n", "s1", "s2", "block")).alias("own"))  # at most a text's starts
+    known = "a bigint, z bigint, n bigint, s1 bigint, s2 bigint, block bigint"
+    return found_blocks, classes, cut(texts.join(firsts, "doc").select("doc", "text", "own").mapInArrow(_opened(length), f"{_WINDOWS}, {known}"))
+
+
+def _shared(windows: DataFrame) -> DataFrame:
+    """Groups of equal windows that more than one record has: h1, h2, k (different blocks), n, s1, s2 (of all occurrences)."""
+    sums = [F.sum(c).alias(c) for c in ("n", "s1", "s2")]
+    return windows.groupBy("h1", "h2").agg(F.count("*").alias("k"), F.min("a").alias("a"), F.max("z").alias("z"), *sums).where("a <> z").drop("a", "z")
+
+
+def groups(found_blocks: DataFrame, classes: DataFrame, windows: DataFrame) -> DataFrame:
+    """Records that share a window, one group for each different set of them: grp, doc, size (its records, or more).
+
+    Along a span the windows bind one and the same set of records, so of the windows with equal
+    signature one stands for all. This is the compact form of the pairs.
     """
-    w = Window.partitionBy(_doc()).orderBy("at")
-    before = F.struct(F.col("at") - 1, "n", "s1", "s2") == F.lag(F.struct("at", "n", "s1", "s2")).over(w)
-    heads = windows.withColumn("follows", F.coalesce(before, F.lit(False))).where("at = first and not follows").select("h1", "h2")
-    members = windows.join(heads.distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", _doc().alias("doc")).distinct()
-    a, b = members.withColumnRenamed("doc", "a"), members.withColumnRenamed("doc", "b")
-    linked = a.join(b, ["h1", "h2"]).where("a < b").select("a", "b").distinct()
-    name = recs.select("doc", "id").distinct()
-    return linked.join(name.select(F.col("doc").alias("a"), F.col("id").alias("id_a")), "a").join(name.select(F.col("doc").alias("b"), F.col("id").alias("id_b")), "b").select("id_a", "id_b")
+    signed = _shared(windows).groupBy("n", "s1", "s2").agg(F.min_by("h2", "h1").alias("h2"), F.min_by("k", "h1").alias("k"), F.min("h1").alias("h1"))
+    heads = cut(cut(signed).withColumn("grp", F.monotonically_increasing_id()).select("h1", "h2", "k", "grp", F.col("n").alias("size")))
+    held = spread_join(windows.select("h1", "h2", "block"), heads, ["h1", "h2"], "k").select("block", "grp", "size").distinct()
+    of = cut(held.join(classes.select("block", "h1", "h2", "n"), "block").groupBy("h1", "h2", "n").agg(F.collect_list(F.struct("grp", "size")).alias("in")))  # the windows of one block
+    return spread_join(found_blocks.select("h1", "h2", "doc"), of, ["h1", "h2"], "n").select("doc", F.explode("in").alias("g")).select("g.grp", "g.size", "doc").distinct()
+
+
+def pairs(members: DataFrame) -> DataFrame:
+    """Pairs of the records of each group: a < b. A group is paired in squares of MEMBERS records."""
+    shares = F.ceil(F.col("size") / MEMBERS).cast("int")
+    left = members.select("grp", F.col("doc").alias("a"), F.pmod(F.xxhash64("doc"), shares).cast("int").alias("share"))
+    right = members.select("grp", F.col("doc").alias("b"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    return left.join(right, ["grp", "share"]).where("a < b").select("a", "b").distinct()
 
 
-def passages(windows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The shared passages of each record, overlapping windows joined: doc, start, stop."""
-    w = Window.partitionBy("doc").orderBy("pos")
-    new = F.when(F.lag("pos").over(w) + length >= F.col("pos"), 0).otherwise(1)
-    spans = windows.select(_doc().alias("doc"), _pos().alias("pos")).distinct().withColumn("new", new).withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return spans.groupBy("doc", "k").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("stop")).drop("k")
+def passages(found_blocks: DataFrame, classes: DataFrame, windows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The shared passages of each record, overlapping ones joined: doc, start, stop."""
+    whole = spread_join(found_blocks, classes.where("a <> z").select("h1", "h2", "n"), ["h1", "h2"], "n", "left_semi").select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("len") + (length - 1)).alias("stop"))
+    common = cut(_shared(windows).select("h1", "h2", "k"))
+    ends = spread_join(windows.where("a = z"), common, ["h1", "h2"], "k", "left_semi").select("doc", F.col("pos").alias("start"), (F.col("pos") + length).alias("stop"))
+    w = Window.partitionBy("doc").orderBy("start", "stop")
+    new = F.when(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start"), 0).otherwise(1)
+    runs = whole.unionByName(ends).withColumn("new", new).withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "k").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("k")
 
 
 def found(df: DataFrame, id_column: str = "note_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -239,8 +309,11 @@ def found(df: DataFrame, id_column: str = "note_id", text: str = "text", length:
     Case, blanks and line breaks count. Null and shorter texts share nothing; a record delivered
     twice is one record; copies of a text under different ids are pairs. Other columns are ignored.
     """
-    recs = cut(records(df, id_column, text))
-    return pairs(recs, shared(recs, length)).select(F.col("id_a").alias(f"{id_column}_a"), F.col("id_b").alias(f"{id_column}_b"))
+    docs, ids = records(df, id_column, text)
+    p = pairs(cut(groups(*blocks(docs, length))))
+    name = ids.select("doc", "id")
+    both = p.join(name.select(F.col("doc").alias("a"), F.col("id").alias("x")), "a").join(name.select(F.col("doc").alias("b"), F.col("id").alias("y")), "b")
+    return both.select(F.least("x", "y").alias(f"{id_column}_a"), F.greatest("x", "y").alias(f"{id_column}_b"))
 
 
 def coverage(df: DataFrame, id_column: str = "note_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -249,9 +322,8 @@ def coverage(df: DataFrame, id_column: str = "note_id", text: str = "text", leng
     Result: id, n_chars, shared_chars, n_passages; records without text have none (null n_chars).
     Of an id with several texts the longest counts, then the greatest.
     """
-    recs = cut(records(df, id_column, text))
-    longest = recs.groupBy("id", "doc").agg(F.max(F.length("text")).alias("n_chars"))
-    got = passages(shared(recs, length), length).groupBy("doc").agg(F.sum(F.col("stop") - F.col("start")).alias("shared_chars"), F.count("*").alias("n_passages"))
-    known = longest.join(got, "doc", "left").select(F.col("id").alias(id_column), "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
+    docs, ids = records(df, id_column, text)
+    got = passages(*blocks(docs, length), length).groupBy("doc").agg(F.sum((F.col("stop") - F.col("start")).cast("bigint")).alias("shared_chars"), F.count("*").alias("n_passages"))
+    known = ids.join(got, "doc", "left").select(F.col("id").alias(id_column), "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
     every = df.select(F.col(id_column).cast("string").alias(id_column)).dropna().distinct()
     return every.join(known, id_column, "left").fillna(0, ["shared_chars", "n_passages"])

@@ -57,3 +57,22 @@ def test_hot_window(spark):
     rows = [(f"n{i}", f"{i:05d}" * 30 + "s" * 200 + f"{i:05d}" * 10, 1, "") for i in range(40)]
     assert spans.found(_frame(spark, rows)).count() == 0
     assert spans.found(_frame(spark, rows), length=150).count() == 40 * 39 // 2
+
+
+def test_several_texts_of_one_id(spark):
+    """Each text of an id is searched, and no window of one is taken for the other's."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    one, two = noise(500), noise(500)
+    rows = [("a", noise(30) + one, 1, ""), ("a", noise(60) + two, 1, ""), ("b", one + noise(9), 1, ""), ("c", noise(44) + two[100:], 1, ""), ("d", two[:200] + noise(300), 1, "")]
+    assert {tuple(r) for r in spans.found(_frame(spark, rows)).collect()} == {("a", "b"), ("a", "c")}
+
+
+def test_blocks_are_few(spark):
+    """A long copy is carried in blocks, not start by start."""
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefghij klm") for _ in range(20000))
+    docs, _ = spans.records(_frame(spark, [(f"n{i}", long, 1, "") for i in range(20)]), "note_id", "text")
+    found, classes, windows = spans.blocks(docs)
+    assert found.count() < 20 * 20000 / 8 and windows.count() == 20000 - 239
+    assert spans.groups(found, classes, windows).count() == 20
