@@ -58,7 +58,8 @@ def nearest(left: DataFrame, right: DataFrame, entity: str, left_id: str, right_
     a = a.withColumn("s", slot)
     b = b.groupBy("e", "t").agg(F.min("id").alias("id"))
     b = b.withColumn("s", F.explode(F.sequence(F.floor((F.col("t") - tolerance) / SLOT).cast("bigint"), F.floor((F.col("t") + tolerance) / SLOT).cast("bigint"))))
-    groups = max(partitions(left), a.count() // GROUP_ROWS)
+    n = a.select(F.lit(0).alias("x")).unionAll(b.select(F.lit(0).alias("x"))).count()  # both sides: a group holds rows of either
+    groups = max(partitions(left), n // GROUP_ROWS)
     key = F.pmod(F.xxhash64("e", "s"), F.lit(groups)).alias("g")
     a, b = a.select(key, "e", "s", "t", "id"), b.select(key, "e", "s", "t", "id")
     return a.groupBy("g").cogroup(b.groupBy("g")).applyInArrow(_asof(tolerance), "left_id bigint, right_id bigint").select(F.col("left_id").alias(left_id), F.col("right_id").alias(right_id))

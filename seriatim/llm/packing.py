@@ -3,9 +3,11 @@
 A configuration is a multiset of sizes that fits one container. The program "fewest
 configurations covering the length histogram" is solved by multiplicative weights: sizes that
 are covered least gain price, and a knapsack dynamic program finds the configuration of most
-price. The averaged configurations are rounded down to whole containers, what remains is packed
-configuration by configuration, largest size first. All of this sees only the histogram, which
-has at most as many rows as the capacity has units, so it runs on the driver at any corpus size.
+price. The averaged configurations are rounded down to whole containers; what remains is a
+smaller histogram, for which the program is solved again, until rounding leaves it as it is; the
+rest is packed largest size first. Where packing largest first from the outset needs fewer
+containers, that plan is taken. All of this sees only the histogram, which has at most as many
+rows as the capacity has units, so it runs on the driver at any corpus size.
 
 Items are then numbered within their size, without gathering a size in one task, and the number
 alone tells an item's container.
@@ -22,42 +24,42 @@ from seriatim.session import cut, partitions
 from seriatim.sources.tables import require
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights, and their step.
-ROUNDS, STEP = 160, 0.35
+#: Rounds of multiplicative weights and their step, and programs solved one after the other.
+ROUNDS, STEP, PROGRAMS = 120, 0.35, 4
 
 Config = dict[int, int]
 
 
 def _price_best(price: np.ndarray, capacity: int) -> Config:
-    """The configuration of most price: unbounded knapsack by dynamic programming over capacities."""
+    """The configuration of most price: unbounded knapsack by dynamic programming over capacities; price is 0 where there is no item."""
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    sizes = np.flatnonzero(price)
-    worth = price[sizes]
+    falling = best[::-1]  # best[room - size] for size 1, 2, ... is a stretch of it
+    worth = price[1:]
     for room in range(1, capacity + 1):
-        n = np.searchsorted(sizes, room, side="right")
-        best[room] = best[room - 1]
-        if n:
-            gain = best[room - sizes[:n]] + worth[:n]
-            k = int(np.argmax(gain))
-            if gain[k] > best[room]:
-                best[room], pick[room] = gain[k], sizes[k]
+        gain = falling[capacity - room + 1 :] + worth[:room]
+        k = int(gain.argmax())
+        best[room], pick[room] = gain[k], k + 1
     out: Config = {}
     room = capacity
     while room > 0:
-        if pick[room]:
-            out[int(pick[room])] = out.get(int(pick[room]), 0) + 1
-            room -= int(pick[room])
-        else:
-            room -= 1
+        size = int(pick[room])
+        if price[size] > 0:
+            out[size] = out.get(size, 0) + 1
+        room -= size
     return out
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[Config, float]]:
-    """Configurations with fractional numbers of containers that together cover the histogram nearly evenly."""
+def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP, enough: float = np.inf) -> tuple[list[tuple[Config, float]], int]:
+    """Configurations with fractional numbers of containers that together cover the histogram nearly evenly, and how many containers are needed at least.
+
+    No container is worth more than the best configuration, so the prices of all items divided by
+    that bound the number of containers from below. With a bound of `enough` there is no need to go on.
+    """
     sizes = np.flatnonzero(counts)
     total = float((sizes * counts[sizes]).sum())
     if not len(sizes):
-        return []
+        return [], 0
+    least = 0
     share = counts[sizes] / (total / capacity)  # items of a size that an average container must hold
     seen = np.zeros(len(sizes))
     made: dict[tuple, int] = {}
@@ -66,11 +68,14 @@ def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: fl
         price = np.zeros(capacity + 1)
         price[sizes] = sizes / capacity * np.exp(np.clip(step * lag / np.maximum(1.0, 1 / share), -30, 30))
         config = _price_best(price, capacity)
+        least = max(least, int(np.ceil(float(price[sizes] @ counts[sizes]) / sum(price[s] * n for s, n in config.items()) - 1e-6)))
+        if least >= enough:
+            return [], least
         key = tuple(sorted(config.items()))
         made[key] = made.get(key, 0) + 1
         for s, n in config.items():
             seen[np.searchsorted(sizes, s)] += n
-    return [(dict(key), n * total / capacity / rounds) for key, n in made.items()]
+    return [(dict(key), n * total / capacity / rounds) for key, n in made.items()], least
 
 
 def _greedy(left: np.ndarray, capacity: int) -> Config:
@@ -92,6 +97,21 @@ def _greedy(left: np.ndarray, capacity: int) -> Config:
     return out
 
 
+def _take(left: np.ndarray, config: Config, n: int, out: list[tuple[Config, int]]) -> None:
+    out.append((config, n))
+    for s, m in config.items():
+        left[s] -= m * n
+
+
+def _finished(left: np.ndarray, capacity: int, out: list[tuple[Config, int]]) -> list[tuple[Config, int]]:
+    """The plan with everything that is left packed largest first."""
+    left, out = left.copy(), list(out)
+    while left.any():
+        config = _greedy(left, capacity)
+        _take(left, config, min(int(left[s] // m) for s, m in config.items()), out)
+    return out
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Config, int]]:
     """Whole configurations and how many containers each fills; together they hold exactly the histogram."""
     left = np.zeros(capacity + 1, np.int64)
@@ -99,20 +119,24 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Conf
         if not 0 < size <= capacity:
             raise ValueError(f"size {size} does not fit a container of {capacity}")
         left[size] = n
+    units = lambda p: sum(n for _, n in p)
+    best = _finished(left, capacity, [])
+    bound = -(-int((np.arange(capacity + 1) * left).sum()) // capacity)
     out: list[tuple[Config, int]] = []
-    for config, x in sorted(fractional(left, capacity), key=lambda p: -p[1]):
-        n = min([int(x), *(int(left[s] // m) for s, m in config.items())])
-        if n > 0:
-            out.append((config, n))
-            for s, m in config.items():
-                left[s] -= m * n
-    while left.any():
-        config = _greedy(left, capacity)
-        n = min(int(left[s] // m) for s, m in config.items())
-        out.append((config, n))
-        for s, m in config.items():
-            left[s] -= m * n
-    return out
+    for _ in range(PROGRAMS):
+        if units(best) <= bound or not left.any():
+            break
+        before = len(out)
+        solved, least = fractional(left, capacity, enough=units(best) - units(out))
+        bound = max(bound, least if not out else 0)
+        for config, x in sorted(solved, key=lambda p: -p[1]):
+            n = min([int(x), *(int(left[s] // m) for s, m in config.items())])
+            if n > 0:
+                _take(left, config, n, out)
+        best = min(best, _finished(left, capacity, out), key=units)
+        if len(out) == before:
+            break
+    return best
 
 
 def slots(chosen: list[tuple[Config, int]]) -> pd.DataFrame:

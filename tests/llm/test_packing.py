@@ -57,3 +57,32 @@ def test_hard_sizes_need_their_own_containers():
     assert sum(n for _, n in packing.plan({50: 10}, 100)) == 5
     with pytest.raises(ValueError):
         packing.plan({101: 1}, 100)
+
+
+def _histogram(kind, rng):
+    if kind == "uniform":
+        return Counter(rng.randint(1, 2048) for _ in range(20000))
+    if kind == "two sizes":
+        return Counter(rng.choice([700, 648]) for _ in range(9001))
+    if kind == "thirds":
+        return Counter(rng.randint(500, 900) for _ in range(20000))
+    return Counter(min(2048, max(1, int(rng.paretovariate(0.9) * 30))) for _ in range(20000))
+
+
+@pytest.mark.parametrize("kind", ["uniform", "two sizes", "thirds", "heavy tail"])
+def test_never_worse_than_largest_first(kind):
+    import numpy as np
+
+    h = _histogram(kind, random.Random(11))
+    left = np.zeros(2049, np.int64)
+    for s, n in h.items():
+        left[s] = n
+    greedy = sum(n for _, n in packing._finished(left, 2048, []))
+    used = sum(n for _, n in packing.plan(h))
+    bound = -(-sum(s * n for s, n in h.items()) // 2048)
+    assert bound <= used <= greedy
+    got = Counter()
+    for config, n in packing.plan(h):
+        for s, m in config.items():
+            got[s] += m * n
+    assert got == h
