@@ -1,10 +1,12 @@
 """Template residue, filler, error pages and script notices, by TF-IDF containment in labelled exemplars.
 
 Texts are cut into sections (heading to heading) and sections into passage windows (lines and
-sentences). A window's terms look up an inverted index of labelled exemplars; windows that share
-enough terms with one are scored by TF-IDF containment: the share of the window's term weight
-that the exemplar holds. Inverse document frequencies come from all documents. A document is
-excluded if contained windows make up nearly all the weight of one of its sections.
+sentences). Headings are found by form, and by the names that head lines in enough documents. A
+window's terms look up an inverted index of labelled exemplars (exemplars.py, or the caller's);
+windows that share enough terms with one are scored by TF-IDF containment: the share of the
+window's term weight that the exemplar holds. Inverse document frequencies come from all
+documents. A document is excluded if contained windows make up nearly all the weight of one of
+its sections.
 """
 
 from __future__ import annotations
@@ -18,192 +20,123 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriatim.llm.exemplars import EXEMPLARS, LATIN_PASSAGE, STOP
+from seriatim.operators.skew import spread_join
 from seriatim.session import cut
 from seriatim.sources.tables import require
 
-#: The labelled exemplars. @ stands for an unfilled placeholder of any syntax.
-EXEMPLARS = {
-    "template": """
-@
-Patient @ was admitted on @ for @.
-Dear @, we saw @ in clinic on @.
-Attending: @ Unit: @
-Allergies: @; medications: @.
-Exam: @. Labs: @.
-Diagnosis: @
-Course: @
-Follow up with @ on @.
-@ tolerated @ well and was sent to @.
-Name: @ Date of birth: @ Sex: @
-Admission date: @ Discharge date: @
-Sehr geehrte @, wir berichten über @.
-Patient @ wurde am @ wegen @ aufgenommen.
-Entlassung am @ mit @.
-Diagnose: @
-Estimado @, informamos sobre @.
-El paciente @ ingresó el @ por @.
-Diagnóstico: @
-Alta el @ con @.
-Cher @, nous avons vu @.
-Le patient @ a été admis le @ pour @.
-Diagnostic : @
-Sortie le @ avec @.
-""",
-    "filler": """
-lorem ipsum dolor sit amet consectetur
-xxx
-asdf qwer zxcv hjkl jkl asd fgh dfgdfg sdfsdf
-test test
-this is a test note please ignore
-dummy content
-dummy text
-sample text
-type note here
-text to be added later
-placeholder paragraph for layout review
-TBD
-to be determined
-TODO
-N/A
-""",
-    "error": """
-HTTP Status # Bad Request
-HTTP Status # Unauthorized
-HTTP Status # Forbidden
-HTTP Status # Not Found
-HTTP Status # Request Timeout
-HTTP Status # Gone
-HTTP Status # Too Many Requests
-HTTP Status # Internal Server Error
-HTTP Status # Bad Gateway
-HTTP Status # Service Unavailable
-HTTP Status # Gateway Timeout
-# Bad Request
-# Unauthorized
-# Forbidden
-# Not Found
-# Request Timeout
-# Gone
-# Too Many Requests
-# Internal Server Error
-# Bad Gateway
-# Service Unavailable
-# Gateway Timeout
-html head title body h1 p hr div span
-status error message trace
-Unhandled NullReferenceError value was null
-Unhandled TimeoutException read timed out
-Unhandled NoteRenderException template missing
-Unhandled ReportNotLoaded cursor closed
-Unhandled NullReferenceError template missing cursor closed
-Unhandled TimeoutException value was null cursor closed template missing
-Unhandled NoteRenderException read timed out value was null cursor closed
-Unhandled ReportNotLoaded read timed out value was null template missing
-Unhandled exception Traceback most recent call last
-at note print Load line #
-at note print Open line #
-at note print Fetch line #
-at note print Render line #
-at note view store merge Load Open Fetch Render line #
-We are sorry, something went wrong while loading this note.
-The note service is not available at this time. Try again in a few minutes.
-Your session has expired. Log in again to see this record.
-You do not have permission to view this report.
-The document you asked for could not be found.
-Der Dienst ist zurzeit nicht verfügbar.
-Die angeforderte Seite wurde nicht gefunden.
-Ihre Sitzung ist abgelaufen. Bitte melden Sie sich neu an.
-El servicio no está disponible en este momento.
-No se ha encontrado la página solicitada.
-Su sesión ha caducado. Vuelva a iniciar sesión.
-Le service est momentanément indisponible.
-La page demandée est introuvable.
-Votre session a expiré. Veuillez vous reconnecter.
-Oops! Report this problem. Return to the work list. Go back to the chart. Incident #
-Error Code Ref # Home Back Retry Contact the help desk
-Reference: #
-Menu | Chart | Results | Notes
-""",
-    "scripts": """
-Please enable JavaScript to view this report.
-This viewer requires JavaScript. Turn scripts on and reload.
-JavaScript is disabled in your browser; the note cannot be shown.
-You need to enable scripts to run this application.
-Your browser does not support this chart viewer. Allow scripts and cookies.
-Bitte aktivieren Sie JavaScript, um diesen Bericht anzuzeigen.
-Diese Anwendung benötigt Skripte und Cookies.
-Active JavaScript para ver este informe.
-Este visor necesita JavaScript; habilite los scripts de su navegador.
-Esta aplicación necesita scripts y cookies.
-Veuillez activer JavaScript pour afficher ce compte rendu.
-Cette application nécessite les scripts et les cookies.
-noscript
-Chart viewer #
-Loading
-Skip to main content
-Cookies help us run this site. Accept | Decline
-(c) records office
-""",
-}
-
 #: The syntaxes of unfilled placeholders.
 PLACEHOLDER = regex.compile(
     r"""\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|\$\{[^{}\n]{0,80}\}|\[\[[^\[\]\n]{0,80}\]\]|<<[^<>\n]{0,80}>>|&lt;[\w .-]{1,60}&gt;"""
-    r"""|\[(?i:insert|enter|type|add|select|choose)\b[^\[\]\n]{0,80}\]|<[^<>\n]{1,80} goes here>|@[A-Z][A-Z0-9_]{1,40}@|%[A-Z][A-Z0-9_]{1,40}%|\#[A-Z][A-Z0-9_]{2,40}\#|(?<!\w)__[A-Z][A-Z0-9_]{1,40}__(?!\w)"""
+    r"""|\[(?i:insert|enter|type|add|select|choose|your|fill|specify)\b[^\[\]\n]{0,80}\]|\[\p{Lu}[\p{Lu} _/'-]{2,40}\]|<[^<>\n]{1,80} goes here>|@[A-Z][A-Z0-9_]{1,40}@|%[A-Z][A-Z0-9_]{1,40}%|\#[A-Z][A-Z0-9_]{2,40}\#|(?<!\w)__[A-Z][A-Z0-9_]{1,40}__(?!\w)"""
 )
-#: Fixed value: the syllables of pseudo-Latin filler.
-SYLLABLE = regex.compile(r"(?:lorem|ipsum|dolor|lor|rem|sum|sit|met|con|sec|tur|dis|bi|pra|qua|vel|ven|mus|fe|no|li|lo|it|ip|do|at|er|te|a)+")
-
-#: Usual section names of reports, found even where no sentence ends before them.
-SECTIONS = (
-    "History of Present Illness|Hospital Course|Physical Exam|Pertinent Results|Medications|Assessment and Plan|Discharge Instructions|Follow-up"
-    "|Anamnese|Befunde|Verlauf|Therapie|Empfehlung|Motivo de ingreso|Pruebas|Evolución|Tratamiento|Recomendaciones|Motif|Examens|Évolution|Traitement|Conduite à tenir"
+_TERM = regex.compile(
+    r"\x01|(?<=Error: )'[^'\n]{1,80}'|(?:[\p{L}_$][\w$]*\.)+\w*(?:Error|Exception|Fault)\b|(?:/[\w.-]+){2,}|[\w$]+\.(?:java|kt|py|js|ts|cs|php|rb|go|cpp|c|sql)\b(?::\d+)?|[\p{L}_$][\w$]*(?:\.[\p{L}_$<][\w$>]*)+(?=\()"
+    r"|(?<!\p{L})[0-9a-f]*\d[0-9a-f]*(?:[.,:/]\d+)*(?!\p{L})|[\p{L}\p{M}][\p{L}\p{M}']*\d*|\d+"
 )
-
-_TERM = regex.compile(r"\x01|(?<!\p{L})[0-9a-f]*\d[0-9a-f]*(?:[.,:/]\d+)*(?!\p{L})|[\p{L}\p{M}][\p{L}\p{M}']*\d*|\d+")
 _COLON = regex.compile(r" ?:(?=\s|$)")
-#: What stands before a heading's colon; a heading is at most HEADING characters long.
-_HEADING = regex.compile(
-    r"(?:^|(?<=\n)|(?<=[.!?>\]})%@\x01] ))[ \t\ufeff]*\p{Lu}[\p{L}'’-]*(?: [\p{L}'’-]+){0,4}$|(?<=\s)(?:" + SECTIONS + "|" + SECTIONS.upper() + ")$"
-)
-HEADING = 120
+#: What stands before a heading's colon; a heading is at most HEADING characters and WORDS words long.
+_HEADING = regex.compile(r"(?:^|(?<=\n)|(?<=[.!?>\]})%@\x01] ))[ \t\ufeff]*\p{Lu}[\p{L}'’-]*(?: [\p{L}'’-]+){0,4}$")
+HEADING, WORDS = 120, 5
+#: Share of the documents in which a name must head a line to be a heading within a line too.
+HEADS = 0.001
+_LINE_HEAD = r"(?m)^[ \t\uFEFF]*(\p{Lu}[\p{L}'’-]*(?: [\p{L}'’-]+){0,4}) ?:(?=\s|$)"
 _WINDOW = regex.compile(r"[\n\r]+|[<>{}\"]+|(?<=[.!?…])\s+")
 
 #: A window is contained from this share of its weight on; a section is residue from this share of contained weight on.
 CONTAINED, COVERED = 0.7, 0.8
 #: Share of a window's terms that one exemplar must hold for the window to be scored, and of a section's windows.
 RETRIEVED = 0.5
-HOLE, NUMBER, LATIN, CROSS = "\x01", "#", "\x02", "\x03"
+#: Least share of pseudo-Latin among the different words of a section of filler, and how many it must have.
+LATIN_SHARE, LATIN_WORDS = 0.9, 8
+HOLE, NUMBER, LATIN, CROSS, KEYS, FAULT, PATH, FILE = "\x01", "#", "\x02", "\x03", "\x05", "\x06", "\x07", "\x08"
+#: The letters of a keyboard, row by row.
+ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_PLACE = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
+_CAMEL = regex.compile(r"(?:\p{Lu}\p{Ll}+){3,}|\p{Lu}\w*(?:Error|Exception|Fault)")
+_SYLLABLE = regex.compile(r"[^aeiouy]*[aeiouy]+(?:[^aeiouy]*$|[^aeiouy](?=[^aeiouy]))?")
+
+
+@lru_cache(1)
+def pieces() -> frozenset[str]:
+    """Syllables of the passage that filler is made from, and beginnings and ends of its words."""
+    words = LATIN_PASSAGE.split()
+    return frozenset({"a"} | {m for w in words for m in _SYLLABLE.findall(w)} | {x for w in words for n in (2, 3) for x in (w[:n], w[-n:])})
+
+
+@lru_cache(200_000)
+def latin(word: str) -> bool:
+    """Whether a word can be put together from the pieces of the passage."""
+    known = pieces()
+    reach = {0}
+    for i in range(len(word)):
+        if i in reach:
+            reach |= {i + n for n in (1, 2, 3, 4, 5) if word[i : i + n] in known and i + n <= len(word)}
+    return len(word) in reach
+
+
+def mashed(word: str) -> bool:
+    """Three or more letters that run along one row of the keyboard."""
+    at = [_PLACE.get(c) for c in word]
+    return len(word) >= 3 and None not in at and all(a[0] == b[0] and abs(a[1] - b[1]) <= 2 for a, b in zip(at, at[1:])) and len(set(word)) > 1
 
 
 @lru_cache(200_000)
 def _term(t: str) -> str:
-    """The term of a token: words in lower case; placeholders, numbers, pseudo-Latin and runs of x as one term each."""
-    low = t.lower()
+    """The term of a token: words in lower case; placeholders, numbers, runs of x, keyboard runs, error classes, calls and files as one term each."""
     if t == HOLE:
         return HOLE
-    if any(c.isdigit() for c in t) and low != "h1":
+    if t in ("FAULT", "PATH", "FILE"):
+        return {"FAULT": FAULT, "PATH": PATH, "FILE": FILE}[t]
+    if t[0] == "/" or regex.fullmatch(r"[\w$]+\.(?:java|kt|py|js|ts|cs|php|rb|go|cpp|c|sql)(?::\d+)?", t):
+        return FILE
+    if regex.fullmatch(r"(?:[\p{L}_$][\w$]*\.)+\w*(?:Error|Exception|Fault)", t):
+        return FAULT
+    if t[0] in "'<" or "." in t and not any(c in t for c in ",:/") and t[0].isalpha():
+        return PATH
+    low = t.lower()
+    if any(c.isdigit() for c in t) and low not in ("h1", "h2"):
         return NUMBER
     if len(t) > 1 and set(low) == {"x"}:
         return CROSS
-    if low in ("lorem", "ipsum") or len(t) > 5 and SYLLABLE.fullmatch(low):
-        return LATIN
+    if _CAMEL.fullmatch(t):
+        return FAULT
+    if mashed(low):
+        return KEYS
     return low
 
 
+_TRACED = regex.compile(r"(?<=\bline \d+, in )[\w<>]+")
+
+
 def terms(window: str) -> list[str]:
     """Terms of a window, in order."""
-    return [_term(t) for t in _TERM.findall(window)]
+    return [_term(t) for t in _TERM.findall(_TRACED.sub("PATH", window) if ", in " in window else window)]
 
 
-def sections(text: str) -> list[list[list[str]]]:
-    """Sections of a text, each a list of windows, each a list of terms; without headings and empty windows."""
+def _named(before: str, heads: frozenset[str]) -> int:
+    """How many characters of a known heading end the text before a colon; 0 if none does."""
+    words = before.split(" ")[-WORDS:]
+    for k in range(len(words)):
+        name = " ".join(words[k:])
+        if name[:1].isupper() and name.lower() in heads:
+            return len(name)
+    return 0
+
+
+def sections(text: str, heads: frozenset[str] = frozenset()) -> list[list[list[str]]]:
+    """Sections of a text, each a list of windows, each a list of terms; without headings and empty windows.
+
+    heads: names (in lower case) that are headings wherever they stand before a colon.
+    """
     plain = PLACEHOLDER.sub(f" {HOLE} ", text)
     parts, last = [], 0
     for colon in _COLON.finditer(plain):
-        heading = _HEADING.search(plain, max(last, colon.start() - HEADING), colon.start())
-        if heading:
-            parts.append(plain[last : heading.start()])
+        low = max(last, colon.start() - HEADING)
+        heading = _HEADING.search(plain, low, colon.start())
+        start = heading.start() if heading else colon.start() - _named(plain[low : colon.start()], heads)
+        if start < colon.start():
+            parts.append(plain[last:start])
             last = colon.end()
     parts.append(plain[last:])
     out = []
@@ -214,55 +147,66 @@ def sections(text: str) -> list[list[list[str]]]:
     return out
 
 
-@lru_cache(1)
-def index() -> tuple[dict[str, list[int]], list[str], list[str]]:
-    """Inverted index term -> exemplars, their labels and texts; a few hundred entries."""
-    by: dict[str, list[int]] = defaultdict(list)
-    labels, texts = [], []
-    for label, lines in EXEMPLARS.items():
-        for line in lines.strip().splitlines():
-            for t in set(terms(line.replace("@", f" {HOLE} "))):
-                by[t].append(len(labels))
-            labels.append(label)
-            texts.append(line)
-    return dict(by), labels, texts
-
-
-def _short_latin(windows: list[list[str]]) -> list[list[str]]:
-    """Short syllable words count as pseudo-Latin inside a section that is pseudo-Latin otherwise."""
-    if not any(LATIN in w for w in windows):
+class Index:
+    """Inverted index of labelled exemplars: term -> exemplars; a few hundred entries."""
+
+    def __init__(self, exemplars: list[tuple[str, str]]):
+        self.by: dict[str, list[int]] = defaultdict(list)
+        self.labels = [label for label, _ in exemplars]
+        for e, (label, text) in enumerate(exemplars):
+            for t in set(terms(text.replace("@", f" {HOLE} "))):
+                self.by[t].append(e)
+            if "lorem" in text:
+                self.by[LATIN].append(e)
+            if "qwerty" in text:
+                self.by[KEYS].append(e)
+        self.by.pop(NUMBER, None)
+        self.template = {e for e, label in enumerate(self.labels) if label == "template"}
+
+
+@lru_cache(4)
+def index(exemplars: tuple[tuple[str, str], ...] = tuple(EXEMPLARS)) -> Index:
+    return Index(list(exemplars))
+
+
+def _pseudo_latin(windows: list[list[str]]) -> list[list[str]]:
+    """The words of a section count as pseudo-Latin where nearly all of them can be put together from its pieces."""
+    words = {t for w in windows for t in w if t.isalpha()}
+    if len(words) < LATIN_WORDS and not {"lorem", "ipsum"} & words:
         return windows
-    flat = [t for w in windows for t in w]
-    latin = sum(t == LATIN or bool(SYLLABLE.fullmatch(t)) for t in flat)
-    if latin < 0.8 * len(flat):
+    if sum(map(latin, words)) < LATIN_SHARE * len(words):
         return windows
-    return [[LATIN if SYLLABLE.fullmatch(t) else t for t in w] for w in windows]
+    return [[LATIN if t.isalpha() and latin(t) else t for t in w] for w in windows]
+
+
+_STOP = frozenset(STOP)
 
 
 def weighing(window: list[str]) -> int:
-    """Terms of a window that have weight; numbers have none."""
-    return sum(t != NUMBER for t in window)
+    """Terms of a window that can retrieve an exemplar; numbers and function words cannot."""
+    return sum(t != NUMBER and t not in _STOP for t in window)
 
 
-def retrieved(windows: list[list[str]]) -> list[list[int]]:
-    """For each window the exemplars that share RETRIEVED of its terms or more, numbers apart.
+def retrieved(windows: list[list[str]], known: Index | None = None) -> list[list[int]]:
+    """For each window the exemplars that share RETRIEVED of its terms or more, numbers and function words apart.
 
-    Of exemplars that share the same terms the first stands for all; one that shares only a part
-    of another's has no more weight and is left out.
+    A template matches only a window with a placeholder. Of exemplars that share the same terms
+    the first stands for all; one that shares only a part of another's has no more weight and is left out.
     """
-    by, _, _ = index()
+    known = known or index()
+    by = known.by
     out = []
     for w in windows:
         need = RETRIEVED * weighing(w)
         shared: dict[int, set[str]] = defaultdict(set)
         counts = Counter(w)
-        if need and sum(t in by for t in w) >= need:
+        if need and sum(t in by for t in w if t not in _STOP) >= need:
             for t in counts:
                 for e in by.get(t, ()):
                     shared[e].add(t)
         first: dict[frozenset[str], int] = {}
         for e in sorted(shared):
-            if sum(counts[t] for t in shared[e]) >= need:
+            if (HOLE in counts or e not in known.template) and sum(counts[t] for t in shared[e] if t not in _STOP) >= need:
                 first.setdefault(frozenset(shared[e]), e)
         out.append([e for terms_, e in first.items() if not any(terms_ < other for other in first)])
     return out
@@ -274,10 +218,10 @@ HELD_TERMS = 200_000
 _READ = "section int, window int, exemplars array<int>, term string, n bigint"
 
 
-def _read(id_type: pa.DataType):
+def _read(id_type: pa.DataType, heads: frozenset[str], exemplars: tuple[tuple[str, str], ...]):
     """One pass over texts: term counts of windows in candidate sections, and document frequencies.
 
-    A candidate section is one whose retrieved windows hold half of its terms or more, numbers apart. Frequency
+    A candidate section is one whose retrieved windows hold half of its terms or more, numbers and function words apart. Frequency
     rows have no id and section -1; the empty term counts the texts.
     """
 
@@ -288,15 +232,16 @@ def _read(id_type: pa.DataType):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: Counter[str] = Counter()
+        known = index(exemplars)
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0), b.column(1).to_pylist()):
                 seen: set[str] = {""}
-                for k, windows in enumerate(sections(text)):
-                    windows = _short_latin(windows)
+                for k, windows in enumerate(sections(text, heads)):
+                    windows = _pseudo_latin(windows)
                     for w in windows:
                         seen.update(w)
-                    best = retrieved(windows)
+                    best = retrieved(windows, known)
                     if any(best) and sum(weighing(w) for e, w in zip(best, windows) if e) >= RETRIEVED * sum(map(weighing, windows)):
                         rows += [(doc.as_py(), k, i, e, t, n) for i, (e, w) in enumerate(zip(best, windows)) for t, n in Counter(w).items()]
                 df.update(seen)
@@ -310,20 +255,37 @@ def _read(id_type: pa.DataType):
     return of
 
 
-def scored(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Candidate sections with their share of weight in contained windows: id, section, covered, label."""
+def headings(texts: DataFrame) -> frozenset[str]:
+    """Names that stand before a colon at the head of a line in HEADS of the documents or more, in lower case; the share bounds their number."""
+    names = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_LINE_HEAD), F.lit(1)), F.lower))
+    seen = cut(texts.select(F.explode(F.concat(F.array(F.lit("")), names)).alias("name")).groupBy("name").agg(F.count("*").alias("n")))
+    total = seen.where("name = ''").agg(F.sum("n")).first()[0] or 0
+    return frozenset(r["name"] for r in seen.where((F.col("n") >= HEADS * total) & (F.col("name") != "")).select("name").collect())
+
+
+def scored(df: DataFrame, id_column: str = "doc_id", text: str = "text", exemplars: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Candidate sections with their share of weight in contained windows: id, section, covered, label.
+
+    exemplars: (label, text) pairs in place of EXEMPLARS.
+    """
     require(df, [id_column, text])
+    spark = df.sparkSession
     kind = df.schema[id_column].dataType.simpleString()
     texts = df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
     arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    read = cut(texts.mapInArrow(_read(arrow), f"id {kind}, {_READ}"))
+    labelled = tuple(exemplars or EXEMPLARS)
+    known = index(labelled)
+    read = cut(texts.mapInArrow(_read(arrow, headings(texts), labelled), f"id {kind}, {_READ}"))
     frequency = read.where("section < 0").groupBy("term").agg(F.sum("n").alias("df"))
     total = frequency.where("term = ''").agg(F.sum("df")).first()[0] or 0
-    cand = read.where("section >= 0").withColumnRenamed("n", "tf").withColumn("exemplar", F.explode_outer("exemplars")).withColumn("exemplar", F.coalesce("exemplar", F.lit(-1)))
-    weighted = cand.join(frequency, "term").withColumn("weight", F.when(F.col("term") == NUMBER, 0.0).otherwise(F.col("tf") * F.log((F.lit(float(total)) + 1) / F.col("df"))))
-    by, labels, _ = index()
-    pairs = F.create_map(*[x for t, es in by.items() for x in (F.lit(t), F.array(*[F.lit(e) for e in es]))])
-    inside = F.when(F.array_contains(F.coalesce(pairs[F.col("term")], F.array().cast("array<int>")), F.col("exemplar")), F.col("weight")).otherwise(0.0)
+    cand = read.where((F.col("section") >= 0) & (F.col("term") != NUMBER)).withColumnRenamed("n", "tf")
+    used = cut(cand.groupBy("term").agg(F.count("*").alias("rows")).join(frequency, "term"))  # terms of candidates only
+    cand = cand.withColumn("exemplar", F.explode_outer("exemplars")).withColumn("exemplar", F.coalesce("exemplar", F.lit(-1)))
+    weighted = spread_join(cand.drop("exemplars"), used, ["term"], "rows").withColumn("weight", F.col("tf") * F.log((F.lit(float(total)) + 1) / F.col("df")))
+    pairs = F.broadcast(spark.createDataFrame([(t, e) for t, es in known.by.items() for e in es], "term string, exemplar int").withColumn("there", F.lit(True)))  # the index
+    weighted = weighted.join(pairs, ["term", "exemplar"], "left")
+    labels = known.labels
+    inside = F.when(F.col("there"), F.col("weight")).otherwise(0.0)
     each = weighted.groupBy("id", "section", "window", "exemplar").agg(F.sum("weight").alias("mass"), F.sum(inside).alias("held"))
     best = each.groupBy("id", "section", "window").agg(F.max("mass").alias("mass"), F.max(F.struct("held", (-F.col("exemplar")).alias("minus"))).alias("b"))  # the greatest containment
     windows = best.select("id", "section", "window", "mass", "b.held", (-F.col("b.minus")).alias("exemplar"))
@@ -338,11 +300,11 @@ def scored(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def residue(df: DataFrame, id_column: str = "doc_id", text: str = "text", covered: float = COVERED) -> DataFrame:
+def residue(df: DataFrame, id_column: str = "doc_id", text: str = "text", covered: float = COVERED, exemplars: list[tuple[str, str]] | None = None) -> DataFrame:
     """The documents to leave out: id, covered (largest share of a section), label.
 
     Null, empty and blank texts are no cases, nor are texts whose sections have no weight (only
     numbers or marks). Repeated ids are judged together. Whole texts are read, of any length.
     """
-    s = scored(df, id_column, text).where(F.col("covered") >= covered)
+    s = scored(df, id_column, text, exemplars).where(F.col("covered") >= covered)
     return s.groupBy("id").agg(F.max("covered").alias("covered"), F.max_by("label", "covered").alias("label")).withColumnRenamed("id", id_column)

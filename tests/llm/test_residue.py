@@ -22,6 +22,20 @@ CASES = [
     f"Medications:\n{REAL}\n\nFollow-up:\n<<medication list>> <<dose>> <<labs>>\n\nPhysical Exam:\n{REAL}",
     f"Medications: {REAL} Follow-up: asdf qwer zxcv asd fgh jkl; asdf Physical Exam: {REAL}",
 ]
+#: Everyday wording that no test table was read for.
+EVERYDAY = [
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation.",
+    "404 page not found. The requested URL was not found on this server.",
+    "Exception in thread \"main\" java.lang.NullPointerException\n\tat com.acme.chart.Loader.load(Loader.java:42)\n\tat com.acme.chart.Main.main(Main.java:7)",
+    "[PATIENT NAME] was treated with [DRUG] and discharged on [DATE].",
+    "Scripting is turned off. Switch on scripting in your browser to continue.",
+    "Replace this text with your summary. Your content goes here.",
+    "Checking your browser before accessing the site. This process is automatic.",
+    "SQLSTATE[42S02]: relation does not exist",
+    "Sie müssen JavaScript in Ihrem Browser aktivieren, um diese Seite anzuzeigen.",
+    "Traceback (most recent call last):\n  File \"/srv/app/view.py\", line 12, in render\nKeyError: 'note'",
+    "502 Bad Gateway\nnginx/1.18.0",
+]
 REAL_CASES = [
     None,
     "",
@@ -44,7 +58,7 @@ REAL_CASES = [
 @pytest.fixture(scope="module")
 def flagged(spark):
     # the frequencies need a corpus: real notes many times, residue rarely
-    texts = [REAL + f" Sample {i}." for i in range(300)] + REAL_CASES + CASES
+    texts = [REAL + f" Sample {i}." for i in range(300)] + REAL_CASES + EVERYDAY + CASES
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, CASES[0], "x", 1), (len(texts) - 1, CASES[-1], "x", 1)]
     got = residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string, section string, tf int"))
     ids = [r["doc_id"] for r in got.collect()]
@@ -57,6 +71,11 @@ def test_found(flagged, text):
     assert text in flagged
 
 
+@pytest.mark.parametrize("text", EVERYDAY)
+def test_everyday_wording(flagged, text):
+    assert text in flagged
+
+
 @pytest.mark.parametrize("text", REAL_CASES)
 def test_kept(flagged, text):
     assert text not in flagged
@@ -84,5 +103,11 @@ def test_the_exemplar_of_most_weight(spark):
     texts = [REAL + f" Sample {i}." for i in range(300)] + [f"Service Unavailable. {ids}"]
     got = residue.residue(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert [r["doc_id"] for r in got.collect()] == [300]
-    by = residue.retrieved([["not", "found", "bad", "request"]])[0]
+    by = residue.retrieved([["permission", "denied", "server", "error"]])[0]
     assert len(by) > 1
+
+
+def test_exemplars_of_the_caller(spark):
+    df = spark.createDataFrame([(1, "Record sealed by court order."), (2, REAL), (3, "TBD")], "doc_id bigint, text string")
+    got = residue.residue(df, exemplars=[("sealed", "Record sealed by order of the court.")])
+    assert [(r["doc_id"], r["label"]) for r in got.collect()] == [(1, "sealed")]
