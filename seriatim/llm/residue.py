@@ -30,10 +30,12 @@ PLACEHOLDER = regex.compile(
     r"""\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|\$\{[^{}\n]{0,80}\}|\[\[[^\[\]\n]{0,80}\]\]|<<[^<>\n]{0,80}>>|&lt;[\w .-]{1,60}&gt;"""
     r"""|\[(?i:insert|enter|type|add|select|choose|your|fill|specify)\b[^\[\]\n]{0,80}\]|\[\p{Lu}[\p{Lu} _/'-]{2,40}\]|<[^<>\n]{1,80} goes here>|@[A-Z][A-Z0-9_]{1,40}@|%[A-Z][A-Z0-9_]{1,40}%|\#[A-Z][A-Z0-9_]{2,40}\#|(?<!\w)__[A-Z][A-Z0-9_]{1,40}__(?!\w)"""
 )
-_TERM = regex.compile(
-    r"\x01|(?<=Error: )'[^'\n]{1,80}'|(?:[\p{L}_$][\w$]*\.)+\w*(?:Error|Exception|Fault)\b|(?:/[\w.-]+){2,}|[\w$]+\.(?:java|kt|py|js|ts|cs|php|rb|go|cpp|c|sql)\b(?::\d+)?|[\p{L}_$][\w$]*(?:\.[\p{L}_$<][\w$>]*)+(?=\()"
-    r"|(?<!\p{L})[0-9a-f]*\d[0-9a-f]*(?:[.,:/]\d+)*(?!\p{L})|[\p{L}\p{M}][\p{L}\p{M}']*\d*|\d+"
-)
+_TEXT = r"\x01|(?<!\p{L})[0-9a-f]*\d[0-9a-f]*(?:[.,:/]\d+)*(?!\p{L})|[\p{L}\p{M}][\p{L}\p{M}']*\d*|\d+"
+_FAULT = r"(?:[\p{L}_$][\w$]*\.)+\w*(?:Error|Exception|Fault)\b"
+_FILE = r"(?:/[\w.-]+){2,}|[\w$]+\.(?:java|kt|py|js|ts|cs|php|rb|go|cpp|c|sql)\b(?::\d+)?"
+_TERM = regex.compile(_TEXT)
+#: Terms of a text that has traces of a program, and what tells such a text.
+_TERM_CODE = regex.compile(r"Error|Exception|Fault|, in |/[\w.-]+/[\w.-]|\.(?:java|kt|py|js|ts|cs|php|rb|go|cpp|c|sql)\b|\.[\p{L}_$<][\w$>]*\(")
 _COLON = regex.compile(r" ?:(?=\s|$)")
 #: What stands before a heading's colon; a heading is at most HEADING characters and WORDS words long.
 _HEADING = regex.compile(r"(?:^|(?<=\n)|(?<=[.!?>\]})%@\x01] ))[ \t\ufeff]*\p{Lu}[\p{L}'’-]*(?: [\p{L}'’-]+){0,4}$")
@@ -88,9 +90,9 @@ def _term(t: str) -> str:
         return HOLE
     if t in ("FAULT", "PATH", "FILE"):
         return {"FAULT": FAULT, "PATH": PATH, "FILE": FILE}[t]
-    if t[0] == "/" or regex.fullmatch(r"[\w$]+\.(?:java|kt|py|js|ts|cs|php|rb|go|cpp|c|sql)(?::\d+)?", t):
+    if regex.fullmatch(_FILE, t):
         return FILE
-    if regex.fullmatch(r"(?:[\p{L}_$][\w$]*\.)+\w*(?:Error|Exception|Fault)", t):
+    if regex.fullmatch(_FAULT, t):
         return FAULT
     if t[0] in "'<" or "." in t and not any(c in t for c in ",:/") and t[0].isalpha():
         return PATH
@@ -109,9 +111,11 @@ def _term(t: str) -> str:
 _TRACED = regex.compile(r"(?<=\bline \d+, in )[\w<>]+")
 
 
-def terms(window: str) -> list[str]:
-    """Terms of a window, in order."""
-    return [_term(t) for t in _TERM.findall(_TRACED.sub("PATH", window) if ", in " in window else window)]
+def terms(window: str, code: bool = True) -> list[str]:
+    """Terms of a window, in order; calls, files and error classes only if it may have code."""
+    if not code:
+        return [_term(t) for t in _TERM.findall(window)]
+    return [_term(t) for t in _TERM_CODE.findall(_TRACED.sub("PATH", window))]
 
 
 def _named(before: str, heads: frozenset[str]) -> int:
@@ -140,8 +144,9 @@ def sections(text: str, heads: frozenset[str] = frozenset()) -> list[list[list[s
             last = colon.end()
     parts.append(plain[last:])
     out = []
+    code = _CODE.search(plain) is not None
     for part in parts:
-        windows = [t for w in _WINDOW.split(part) if (t := terms(w))]
+        windows = [t for w in _WINDOW.split(part) if (t := terms(w, code))]
         if windows:
             out.append(windows)
     return out
@@ -171,7 +176,8 @@ def index(exemplars: tuple[tuple[str, str], ...] = tuple(EXEMPLARS)) -> Index:
 
 def _pseudo_latin(windows: list[list[str]]) -> list[list[str]]:
     """The words of a section count as pseudo-Latin where nearly all of them can be put together from its pieces."""
-    words = {t for w in windows for t in w if t.isalpha()}
+    words = set().union(*windows)
+    words = {t for t in words if t.isalpha()}
     if len(words) < LATIN_WORDS and not {"lorem", "ipsum"} & words:
         return windows
     if sum(map(latin, words)) < LATIN_SHARE * len(words):
