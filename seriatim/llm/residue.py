@@ -35,7 +35,8 @@ _FAULT = r"(?:[\p{L}_$][\w$]*\.)+\w*(?:Error|Exception|Fault)\b"
 _FILE = r"(?:/[\w.-]+){2,}|[\w$]+\.(?:java|kt|py|js|ts|cs|php|rb|go|cpp|c|sql)\b(?::\d+)?"
 _TERM = regex.compile(_TEXT)
 #: Terms of a text that has traces of a program, and what tells such a text.
-_TERM_CODE = regex.compile(r"Error|Exception|Fault|, in |/[\w.-]+/[\w.-]|\.(?:java|kt|py|js|ts|cs|php|rb|go|cpp|c|sql)\b|\.[\p{L}_$<][\w$>]*\(")
+_TERM_CODE = regex.compile(rf"(?<=Error: )'[^'\n]{{1,80}}'|{_FAULT}|{_FILE}|[\p{{L}}_$][\w$]*(?:\.[\p{{L}}_$<][\w$>]*)+(?=\()|{_TEXT}")
+_CODE = regex.compile(r"Error|Exception|Fault|, in |/[\w.-]+/[\w.-]|\.(?:java|kt|py|js|ts|cs|php|rb|go|cpp|c|sql)\b|\.[\p{L}_$<][\w$>]*\(")
 _COLON = regex.compile(r" ?:(?=\s|$)")
 #: What stands before a heading's colon; a heading is at most HEADING characters and WORDS words long.
 _HEADING = regex.compile(r"(?:^|(?<=\n)|(?<=[.!?>\]})%@\x01] ))[ \t\ufeff]*\p{Lu}[\p{L}'’-]*(?: [\p{L}'’-]+){0,4}$")
