@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.functions.text import word_windows
 from seriatim.session import cut, partitions
 
 #: Queries of a block, documents of a matrix product, decimals of a score before any comparison.
@@ -42,6 +41,11 @@ def raw_idf(df: str, n: int) -> Column:
     return F.log(F.lit(float(n)) - F.col(df) + 0.5) - F.log(F.col(df) + 0.5)
 
 
+def word_windows(words: list, size: int, stride: int) -> list[list]:
+    """Windows of a word list: all of it if it is short, else every stride until the end is reached; never none."""
+    return [words[at : at + size] for at in range(0, max(1, stride * -(-(len(words) - size) // stride) + 1), stride)]
+
+
 class Block:
     """A block of queries as a matrix over its terms."""
 

@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seriatim.functions import text as tx
 from seriatim.sources.tables import require
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentences(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: tx.sentences(s) if isinstance(s, str) else [])
-
-
-@F.pandas_udf(T.BooleanType())
-def prose_form(s: pd.Series) -> pd.Series:
-    return s.map(tx.is_prose_form)
-
-
-@F.pandas_udf(T.StringType())
-def removed(doc: pd.Series, queries: pd.Series) -> pd.Series:
-    return pd.Series([tx.remove_spans(d, list(q)) if isinstance(d, str) else None for d, q in zip(doc, queries)], dtype=object)
-
-
-@F.pandas_udf(T.IntegerType())
-def located(doc: pd.Series, query: pd.Series) -> pd.Series:
-    return pd.Series([tx.locate_span(d, q) if isinstance(d, str) and isinstance(q, str) else -1 for d, q in zip(doc, query)], dtype="int32")
-
-
-@F.pandas_udf(T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("chunks", T.IntegerType())]))
-def chunk_at(doc: pd.Series, offset: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([tx.chunk_of(d, int(o)) if isinstance(d, str) else (-1, 0) for d, o in zip(doc, offset)], columns=["chunk", "chunks"], dtype="int32")
-
 
 def norm_key(c: Column | str) -> Column:
-    """functions.text.norm_key inside the JVM."""
+    """Lower case, digits gone, everything but a-z a blank, blanks single: the key of near-equal texts."""
     plain = F.regexp_replace(F.lower(c), r"\p{Nd}", "")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, "[^a-z ]", " "), " +", " "))
 
@@ -68,8 +44,10 @@ def deduplicated(df: DataFrame, id_column: str, text: str, least: int = 0) -> Da
 
 
 def sentence_table(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Sentences in order: id, pos, sentence, key."""
-    s = df.select(F.col(id_column).alias("id"), F.posexplode(sentences(text)).alias("pos", "sentence"))
+    """Sentences in order: id, pos, sentence, key. Three projections, so that each step's array is built once."""
+    own = df.select(F.col(id_column).alias("id"), tx.lines(F.col(text)).alias("own"))
+    whole = own.select("id", tx.unwrapped(F.col("own")).alias("whole"))
+    s = whole.select("id", F.posexplode(tx.sentences(F.col("whole"))).alias("pos", "sentence"))
     return s.withColumn("key", sentence_key("sentence"))
 
 
@@ -81,7 +59,7 @@ def frequent_keys(table: DataFrame, more_than: int = tx.MAX_DOCUMENTS, least_wor
 
 def prose(table: DataFrame) -> DataFrame:
     """The sentences that are prose and rare: no key of theirs stands in more than MAX_DOCUMENTS documents."""
-    return table.where(prose_form("sentence")).join(frequent_keys(table).select("key"), "key", "left_anti")
+    return table.where(tx.is_prose_form(F.col("sentence"))).join(frequent_keys(table).select("key"), "key", "left_anti")
 
 
 def prose_runs(p: DataFrame) -> DataFrame:
@@ -120,17 +98,69 @@ def drawn_windows(w: DataFrame, id_column: str, k: int, seed: str = "s") -> Data
     return w.withColumn("_n", F.count("*").over(by)).withColumn("_k", F.row_number().over(by.orderBy(order))).where((F.col("_n") >= k) & (F.col("_k") <= k)).drop("_n", "_k")
 
 
+def removed(df: DataFrame, text: str, queries: Sequence[str], name: str = "target") -> DataFrame:
+    """Rows with `name`: the text without the stretch that each query was taken from, in turn, blanks single.
+
+    Texts are compared by letters alone. Of the first start with a qualifying stretch the best is
+    cut out (the shortest on ties). Failing that, the longest beginning of the query that stands in
+    the text goes with twice as many words; else nothing goes. A null query takes nothing.
+    """
+    df = df.withColumn("_w", tx.tokens(F.col(text)))
+    for query in queries:
+        df = df.withColumn("_q", tx.content(F.coalesce(query, F.lit("")))).withColumn("_c", F.transform("_w", tx.letters))
+        df = df.withColumn("_s", tx.stretches(F.col("_c"), F.col("_q"))).withColumn("_b", F.when(F.col("_s").isNull(), tx.longest_beginning(F.col("_c"), F.col("_q"))))
+        df = df.withColumn("_s", F.array_max("_s"))
+        start = F.coalesce(F.col("_s.start"), -F.col("_b.minus"))
+        stop = F.coalesce(F.col("_s.stop"), -F.col("_b.minus") + 2 * F.col("_b.n"))
+        left = F.concat(F.slice("_w", 1, start), F.slice("_w", stop + 1, F.greatest(F.size("_w"), F.lit(1))))
+        df = df.withColumn("_w", F.when(start.isNull(), F.col("_w")).otherwise(left))
+    return df.withColumn(name, F.array_join("_w", " ")).drop("_w", "_q", "_c", "_s", "_b")
+
+
+def located(df: DataFrame, text: str, query: str, name: str = "at") -> DataFrame:
+    """Rows with `name`: the character at which the first qualifying stretch begins, or -1."""
+    df = df.withColumn("_q", tx.content(F.coalesce(query, F.lit("")))).withColumn("_p", F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0)))
+    df = df.withColumn("_c", F.transform("_p", tx.letters)).withColumn("_s", F.try_element_at(tx.stretches(F.col("_c"), F.col("_q")), F.lit(1))["start"])
+    before = F.length(F.array_join(F.slice("_p", 1, F.col("_s")), ""))
+    own = F.try_element_at("_p", F.col("_s") + 1)
+    at = before + F.length(own) - F.length(F.regexp_replace(own, r"^\s+", ""))
+    return df.withColumn(name, F.coalesce(at, F.lit(-1))).drop("_q", "_p", "_c", "_s")
+
+
+def chunk_at(text: str, offset: Column, size: int = 510, stride: int = 384) -> tuple[Column, Column]:
+    """The chunk of words that first holds a character, and the number of chunks; -1 and 0 without words."""
+    n = F.size(tx.tokens(F.col(text)))
+    word = F.size(F.regexp_extract_all(F.substring(text, F.lit(1), offset + 1), F.lit(r"\S+"), F.lit(0))) - 1
+    chunks = F.when(n == 0, 0).otherwise(1 + F.ceil(F.greatest(F.lit(0), n - size) / stride)).cast("int")
+    holds = F.when(word < size, 0).otherwise(F.least(F.floor((word - size + stride) / stride), chunks - 1))
+    return F.when(n == 0, -1).otherwise(holds).cast("int"), chunks
+
+
 def pairs(df: DataFrame, id_column: str, text: str, queries: DataFrame, least: int = 100) -> DataFrame:
     """Queries with the target they are removed from, and why a pair is not usable: id, query, target, reason.
 
     reason: ok, no_query, gutted (target too short), leak (the target still holds the query's beginning).
     """
-    j = df.select(id_column, text).where(F.col(text).isNotNull()).join(queries, id_column, "left")
-    t = j.withColumn("target", removed(text, F.when(F.col("query").isNotNull(), F.array("query")).otherwise(F.array())))
+    t = removed(df.select(id_column, text).where(F.col(text).isNotNull()).join(queries, id_column, "left"), text, ["query"])
     reason = F.when(F.col("query").isNull(), "no_query").when(F.length("target") < least, "gutted").when(leaks(F.col("query"), F.col("target")), "leak").otherwise("ok")
     return t.select(id_column, "query", "target", reason.alias("reason"))
 
 
+def several_removed(df: DataFrame, id_column: str, text: str, queries: DataFrame, k: int, least: int = 100) -> DataFrame:
+    """Documents with k queries (id, window, query), all taken out in the order of their windows: id, target, reason.
+
+    reason: gutted (target too short), leak (it still holds the beginning of any of them), ok.
+    """
+    n = F.row_number().over(Window.partitionBy(id_column).orderBy("window"))
+    wide = queries.withColumn("_n", n).where(F.col("_n") <= k).groupBy(id_column).agg(*[F.max(F.when(F.col("_n") == i, F.col("query"))).alias(f"_q{i}") for i in range(1, k + 1)])
+    names = [f"_q{i}" for i in range(1, k + 1)]
+    t = removed(df.select(id_column, text).where(F.col(text).isNotNull()).join(wide, id_column), text, names)
+    leak = F.lit(False)
+    for q in names:
+        leak = leak | F.coalesce(leaks(F.col(q), F.col("target")), F.lit(False))
+    return t.select(id_column, "target", F.when(F.length("target") < least, "gutted").when(leak, "leak").otherwise("ok").alias("reason"))
+
+
 def word_frequency(df: DataFrame, id_column: str, text: str, pattern: str = "[a-z]{3,}") -> DataFrame:
     """Documents that hold each word: word, documents."""
     return df.select(F.explode(F.array_distinct(words(text, pattern))).alias("word")).groupBy("word").agg(F.count("*").alias("documents"))

@@ -152,6 +152,7 @@ _WINDOW = exposures._WIN.format(b=0)
 _RANK = "rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0"
 
 ORACLE = {
+    "extraction_accounting": retrieval.ORACLE["extraction_accounting"],
     "hourly_warmup": """with x as (select stay_id, epoch_us(charttime) // 3600000000 as hour, max(case when itemid = 220045 then valuenum end) as a, max(case when itemid = 220210 then valuenum end) as b, max(case when itemid = 220277 then valuenum end) as c from chartevents where itemid in (220045, 220210, 220277) and stay_id is not null and charttime is not null group by 1, 2),
 s as (select stay_id, min(hour) as h0 from x where a is not null and b is not null and c is not null group by 1)
 select stay_id, count(*) as hours, max(hour - h0) as last from x join s using (stay_id) where hour - h0 >= 0 and hour - h0 < 720 group by 1 having count(*) >= 12""",

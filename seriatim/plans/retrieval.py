@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriatim.operators import dense, infer, lexical, strata, text
+from seriatim.plans import extraction
 from seriatim.session import partitions
 from seriatim.sources.tables import table
 
@@ -64,8 +65,29 @@ def query_removed(spark, root):
 
 def query_position(spark, root):
     n = _notes(spark, root)
-    j = n.join(text.narrative_queries(n, "note_id", "text"), "note_id").withColumn("at", text.located("text", "query"))
-    return j.withColumn("c", text.chunk_at("text", "at")).select("note_id", "at", "c.chunk", "c.chunks")
+    j = text.located(n.join(text.narrative_queries(n, "note_id", "text"), "note_id"), "text", "query")
+    chunk, chunks = text.chunk_at("text", F.col("at"))
+    return j.select("note_id", "at", chunk.alias("chunk"), chunks.alias("chunks"))
+
+
+def sentence_frequency(spark, root):
+    """Keys of sentences of six words or more, with the number of notes that hold them."""
+    return text.frequent_keys(text.sentence_table(_notes(spark, root), "note_id", "text"), 0)
+
+
+def prose_runs(spark, root):
+    """The runs of neighbouring rare prose sentences of each note, with their first sentence's place."""
+    r = text.prose_runs(text.prose(text.sentence_table(_notes(spark, root), "note_id", "text")))
+    first = F.min("pos").alias("first")
+    return r.groupBy(F.col("id").alias("note_id"), "run").agg(F.count("*").alias("sentences"), first).select("note_id", "sentences", "first")
+
+
+def eligible_share(spark, root):
+    """The share of notes with five windows or more, and how many a note has on average."""
+    n = _notes(spark, root)
+    w = text.windows(n, "note_id", "text").groupBy("note_id").agg(F.count("*").alias("n"))
+    own = F.coalesce("n", F.lit(0))
+    return n.select("note_id").join(w, "note_id", "left").agg(F.round(F.avg((own >= 5).cast("double")), 6).alias("share"), F.round(F.avg(own), 6).alias("mean"), F.count("*").alias("notes"))
 
 
 def eligible_windows(spark, root):
@@ -159,7 +181,7 @@ def dispersion(spark, root):
     return dense.dispersion(c).select("doc", "n", r("pair_cosine"), r("centroid_cosine"), r("effective_rank"))
 
 
-QUERIES = {f.__name__: f for f in (dedup_norm_key, sentence_df, word_df_idf, leak_flag, query_extract, query_removed, query_position, eligible_windows, drawn_windows, bm25_rank_optimistic, bm25_rank_pessimistic, bm25_windowed, bm25_windowed_dfdoc, geo_rank_ratio, dense_rank_margin, dense_same_group_masked, dense_mean_pool, dense_centered, dense_random_chunk, dispersion)}
+QUERIES = {f.__name__: f for f in (dedup_norm_key, sentence_df, word_df_idf, leak_flag, sentence_frequency, prose_runs, eligible_share, query_extract, query_removed, query_position, eligible_windows, drawn_windows, bm25_rank_optimistic, bm25_rank_pessimistic, bm25_windowed, bm25_windowed_dfdoc, geo_rank_ratio, dense_rank_margin, dense_same_group_masked, dense_mean_pool, dense_centered, dense_random_chunk, dispersion)}
 
 _KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '\\p{{Nd}}', '', 'g'), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g'))"
 _DOCS = f"docs as (select min(doc_id) as doc_id, arg_min(text, doc_id) as text from documents where text is not null and length(text) >= 400 group by md5({_KEY.format(c='text')}))"
@@ -204,6 +226,7 @@ _REST = "list_transform(list_zip(sm, qs.v), lambda x: x[1] - x[2])"
 _CENTRE = "(select list(x order by k) as m from (select k, avg(v[k]) as x from ch, range(1, 65) as r(k) group by 1))"
 
 ORACLE = {
+    **extraction.oracle(_KEY),
     "dedup_norm_key": f"with {_DOCS} select doc_id from docs",
     "sentence_df": """with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \\n\\t]+', '\\1' || chr(1), 'g'), chr(1))) as s from documents where text is not null),
 k as (select distinct doc_id, trim(regexp_replace(regexp_replace(lower(s), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')) as key from s where len(regexp_split_to_array(trim(s), ' +')) >= 6) select key, count(*) as documents from k group by 1""",

@@ -65,7 +65,7 @@ def test_windowed_equals_brute_force(spark):
     docs = [" ".join(f"w{k}" for k in rng.integers(0, 40, rng.integers(1, 60))) for _ in range(30)]
     asked = [(i, i, " ".join(docs[i].split()[:6])) for i in range(30)]
     got = {r["query"]: r for r in lexical.outcomes(_docs(spark, docs), _asked(spark, asked), window=(16, 12)).collect()}
-    from seriatim.functions.text import word_windows
+    from seriatim.operators.lexical import word_windows
 
     units = [(i, u) for i, d in enumerate(docs) for u in word_windows(d.split(), 16, 12)]
     n, mean = len(units), np.mean([len(u) for _, u in units])
