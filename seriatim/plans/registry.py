@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriatim.plans import analyses, core, exposures, inference, retrieval
+from seriatim.plans import analyses, core, exposures, inference, retrieval, scores
 
+AREAS = (core, exposures, scores, inference, retrieval, analyses)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**core.QUERIES, **exposures.QUERIES, **inference.QUERIES, **retrieval.QUERIES, **analyses.QUERIES}
+    return {k: v for area in AREAS for k, v in area.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**core.ORACLE, **exposures.ORACLE, **inference.ORACLE, **retrieval.ORACLE, **analyses.ORACLE}
+    return {k: v for area in AREAS for k, v in area.ORACLE.items()}
