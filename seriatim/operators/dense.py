@@ -2,7 +2,8 @@
 
 Chunks are partitioned and sorted by document, so a document's score is final inside one task;
 a stated query set in blocks meets all chunks as matrix products, and only counts per query
-leave a partition. Nothing of size queries x documents exists.
+leave a partition. Nothing of size queries x documents exists; one pass over the chunks serves up
+to PER_JOB queries.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriatim.operators.lexical import gathered, passes
 from seriatim.session import cut, partitions
 from seriatim.sources.tables import require
 
-QUERIES, DIGITS = 512, 9
+#: Queries of a block and of a pass, decimals of a score, and rows of a matrix product with one block.
+QUERIES, PER_JOB, DIGITS, ROWS = 512, 25_600, 9, 8192
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -90,25 +93,38 @@ class Block:
         return s
 
 
-def _targets(block: Block):
+def _targets(sent):
     def of(batches):
-        for d, _, s in _runs(batches, block.scores):
-            at, j = np.nonzero(d[:, None] == block.targets[None, :])
-            yield pa.RecordBatch.from_pydict({"j": pa.array(j, pa.int32()), "target_score": pa.array(s[at, j], pa.float64())})
+        blocks: list[Block] = sent.value
+        for b in batches:
+            for k, block in enumerate(blocks):
+                near = np.flatnonzero(np.isin(b.column(0).to_numpy(), block.targets))
+                if not len(near):
+                    continue
+                for d, _, s in _runs(iter([b.take(pa.array(near))]), block.scores):
+                    at, j = np.nonzero(d[:, None] == block.targets[None, :])
+                    yield pa.RecordBatch.from_pydict({"j": pa.array(j + k * QUERIES, pa.int32()), "target_score": pa.array(s[at, j], pa.float64())})
 
     return of
 
 
-def _counts(block: Block, target: np.ndarray, masked: bool, within: bool):
+def _counts(sent, target: np.ndarray, masked: bool, within: bool):
+    """Counts of all blocks in one pass. The scores of every query are worked out for a batch at once, so that a document cut by a batch is carried over once."""
+
     def of(batches):
+        blocks: list[Block] = sent.value
         n = len(target)
+        targets, groups = np.concatenate([x.targets for x in blocks]), np.concatenate([x.groups for x in blocks])
         above, equal, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
-        for d, g, s in _runs(batches, block.scores):
-            out = d[:, None] == block.targets[None, :]
+        scores = lambda v, chunk, doc: np.concatenate([x.scores(v, chunk, doc) for x in blocks], axis=1)
+        few = max(1, ROWS // max(1, len(blocks)))
+        small = (b.slice(at, few) for b in batches for at in range(0, b.num_rows, few))
+        for d, g, s in _runs(small, scores):
+            out = d[:, None] == targets[None, :]
             if within:
-                out = out | (np.asarray(g, float)[:, None] != block.groups[None, :])
+                out = out | (np.asarray(g, float)[:, None] != groups[None, :])
             if masked:
-                out = out | (np.asarray(g, float)[:, None] == block.groups[None, :])
+                out = out | (np.asarray(g, float)[:, None] == groups[None, :])
             above += ((s > target) & ~out).sum(axis=0)
             equal += ((s == target) & ~out).sum(axis=0)
             best = np.maximum(best, np.where(out, -np.inf, s).max(axis=0, initial=-np.inf))
@@ -128,22 +144,18 @@ def outcomes(chunks: DataFrame, queries: DataFrame, masked: bool = False, pooled
     query, target, target_score, n_above, n_equal, best_other (null if there is none); queries
     whose target has no (other) chunk are left out.
     """
+    spark = chunks.sparkSession
     ordered = cut(by_document(chunks))
-    queries = cut(queries)
-    blocks = max(1, -(-queries.count() // QUERIES))
-    asked = queries.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):  # blocks of a bounded number of queries
-        rows = asked.where(F.col("_b") == b).collect()
-        if not rows:
-            continue
-        block = Block(rows, pooled)
-        first = {r["j"]: r["target_score"] for r in ordered.mapInArrow(_targets(block), "j int, target_score double").collect()}
+    out = spark.createDataFrame([], "query bigint, target bigint, target_score double, n_above bigint, n_equal bigint, best_other double")
+    for rows in passes(queries, PER_JOB):
+        blocks = [Block(rows[a : a + QUERIES], pooled) for a in range(0, len(rows), QUERIES)]
+        sent = spark.sparkContext.broadcast(blocks)
+        got = ordered.mapInArrow(_targets(sent), "j int, target_score double").groupBy("j").agg(F.max("target_score").alias("s")).collect()  # one row per query of the pass
+        first = {r["j"]: r["s"] for r in got}
         scores = np.array([first.get(j, np.nan) for j in range(len(rows))])
-        counted = ordered.mapInArrow(_counts(block, scores, masked, within), "j int, n_above bigint, n_equal bigint, best_other double").groupBy("j").agg(F.sum("n_above").alias("n_above"), F.sum("n_equal").alias("n_equal"), F.max("best_other").alias("best_other"))
-        head = chunks.sparkSession.createDataFrame([(j, q, int(t), float(s)) for j, (q, t, s) in enumerate(zip(block.ids, block.targets, scores)) if s > -2], "j int, query bigint, target bigint, target_score double")
-        part = head.join(counted, "j").drop("j").withColumn("best_other", F.when(F.col("best_other") > F.lit(float("-inf")), F.col("best_other")))
-        out = part if out is None else out.unionByName(part)
+        counted = ordered.mapInArrow(_counts(sent, scores, masked, within), "j int, n_above bigint, n_equal bigint, best_other double")
+        part = gathered(spark, [r["query"] for r in rows], [r["target"] for r in rows], scores, counted)
+        out = out.unionByName(part.withColumn("best_other", F.when(F.col("best_other") > F.lit(float("-inf")), F.col("best_other"))))
     return out
 
 

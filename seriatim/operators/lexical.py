@@ -3,7 +3,8 @@
 Ranks need no score table: for each query the score of its own document is found first, then
 every partition of documents counts how many of its documents score higher or equal, and these
 counts add up. What moves is (queries x partitions) rows. Inside a partition a block of documents
-meets a block of queries as one matrix product over the terms of the query block.
+meets the query blocks one after the other as matrix products over the terms of a query block;
+one pass over the documents serves up to PER_JOB queries, whose terms are what tasks are sent.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from seriatim.session import cut, partitions
 
-#: Queries of a block, documents of a matrix product, decimals of a score before any comparison.
-QUERIES, DOCUMENTS, DIGITS = 512, 256, 9
+#: Queries of a block and of a pass, documents of a matrix product, decimals of a score before any comparison.
+QUERIES, PER_JOB, DOCUMENTS, DIGITS = 512, 51_200, 256, 9
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
@@ -46,36 +47,58 @@ def word_windows(words: list, size: int, stride: int) -> list[list]:
     return [words[at : at + size] for at in range(0, max(1, stride * -(-(len(words) - size) // stride) + 1), stride)]
 
 
+class Weights:
+    """Term weights of some documents (or their windows) over the vocabulary of a query set."""
+
+    def __init__(self, docs: list[list[str]], vocabulary: dict[str, int], mean: float, window: tuple[int, int] | None):
+        parts = [word_windows(d, *window) for d in docs] if window else [[d] for d in docs]
+        units = [u for p in parts for u in p]
+        self.n = len(units)
+        self.first = np.r_[0, np.cumsum([len(p) for p in parts])[:-1]] if window else None
+        known = [[vocabulary[t] for t in u if t in vocabulary] for u in units]
+        row = np.repeat(np.arange(self.n), [len(k) for k in known])
+        width = max(1, len(vocabulary))
+        key, tf = np.unique(row * width + np.array([t for k in known for t in k], np.int64), return_counts=True)
+        self.row, self.term = key // width, key % width
+        size = np.array([len(u) for u in units], float)
+        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.row] / mean))
+
+
 class Block:
     """A block of queries as a matrix over its terms."""
 
-    def __init__(self, queries: list, idf: dict[str, float], mean: float, once: bool, window: tuple[int, int] | None):
+    def __init__(self, queries: list, vocabulary: dict[str, int], idf: dict[str, float], once: bool):
         self.ids = [q for q, _, _ in queries]
         self.targets = np.array([t for _, t, _ in queries], np.int64)
-        self.terms = {t: i for i, t in enumerate(sorted({t for _, _, ts in queries for t in ts} & idf.keys()))}
-        self.matrix = np.zeros((len(self.terms), len(queries)))
+        own = sorted({vocabulary[t] for _, _, ts in queries for t in ts if t in vocabulary})
+        self.place = np.full(len(vocabulary) + 1, -1, np.int32)
+        self.place[own] = np.arange(len(own))
+        self.matrix = np.zeros((len(own), len(queries)))
         for j, (_, _, ts) in enumerate(queries):
             for t in set(ts) if once else ts:
-                if t in self.terms:
-                    self.matrix[self.terms[t], j] += idf[t]
-        self.mean, self.window = mean, window
+                if t in vocabulary:
+                    self.matrix[self.place[vocabulary[t]], j] += idf[t]
 
-    def scores(self, docs: list[list[str]]) -> np.ndarray:
+    def scores(self, w: Weights) -> np.ndarray:
         """Scores (documents, queries); with windows the best of a document's windows."""
-        parts = [word_windows(d, *self.window) for d in docs] if self.window else [[d] for d in docs]
-        units = [u for p in parts for u in p]
-        tf = np.zeros((len(units), max(1, len(self.terms))))
-        for i, u in enumerate(units):
-            for t in u:
-                k = self.terms.get(t)
-                if k is not None:
-                    tf[i, k] += 1
-        size = np.array([len(u) for u in units], float)[:, None]
-        w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
-        s = np.round(w[:, : len(self.terms)] @ self.matrix, DIGITS)
-        if self.window:
-            s = np.maximum.reduceat(s, np.r_[0, np.cumsum([len(p) for p in parts])[:-1]], axis=0)
-        return s
+        k = self.place[w.term]
+        keep = k >= 0
+        dense = np.zeros((w.n, len(self.matrix)))
+        dense[w.row[keep], k[keep]] = w.weight[keep]
+        s = np.round(dense @ self.matrix, DIGITS)
+        return s if w.first is None else np.maximum.reduceat(s, w.first, axis=0)
+
+
+class QuerySet:
+    """Blocks of queries with one vocabulary; a query's number is its place in the set."""
+
+    def __init__(self, queries: list, idf: dict[str, float], mean: float, once: bool, window: tuple[int, int] | None):
+        self.vocabulary = {t: i for i, t in enumerate(sorted({t for _, _, ts in queries for t in ts} & idf.keys()))}
+        self.blocks = [Block(queries[a : a + QUERIES], self.vocabulary, idf, once) for a in range(0, len(queries), QUERIES)]
+        self.mean, self.window, self.n = mean, window, len(queries)
+
+    def weights(self, docs: list[list[str]]) -> Weights:
+        return Weights(docs, self.vocabulary, self.mean, self.window)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
@@ -85,31 +108,55 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
             yield part.column(0).to_numpy().astype(np.int64), part.column(1).to_pylist()
 
 
-def _targets(block: Block):
+def _targets(sent):
     def of(batches):
+        asked: QuerySet = sent.value
         for ids, docs in _batches(batches):
-            s = block.scores(docs)
-            at, j = np.nonzero(ids[:, None] == block.targets[None, :])
-            yield pa.RecordBatch.from_pydict({"j": pa.array(j, pa.int32()), "target_score": pa.array(s[at, j], pa.float64())})
+            w = asked.weights(docs)
+            for k, block in enumerate(asked.blocks):
+                at, j = np.nonzero(ids[:, None] == block.targets[None, :])
+                if len(at):
+                    yield pa.RecordBatch.from_pydict({"j": pa.array(j + k * QUERIES, pa.int32()), "target_score": pa.array(block.scores(w)[at, j], pa.float64())})
 
     return of
 
 
-def _counts(block: Block, target: np.ndarray):
+def _counts(sent, target: np.ndarray):
     def of(batches):
+        asked: QuerySet = sent.value
         n = len(target)
         above, equal, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
         for ids, docs in _batches(batches):
-            s = block.scores(docs)
-            own = ids[:, None] == block.targets[None, :]
-            above += ((s > target) & ~own).sum(axis=0)
-            equal += ((s == target) & ~own).sum(axis=0)
-            best = np.maximum(best, np.where(own, -np.inf, s).max(axis=0, initial=-np.inf))
+            w = asked.weights(docs)
+            for k, block in enumerate(asked.blocks):
+                z = slice(k * QUERIES, k * QUERIES + len(block.ids))
+                s = block.scores(w)
+                own = ids[:, None] == block.targets[None, :]
+                above[z] += ((s > target[z]) & ~own).sum(axis=0)
+                equal[z] += ((s == target[z]) & ~own).sum(axis=0)
+                best[z] = np.maximum(best[z], np.where(own, -np.inf, s).max(axis=0, initial=-np.inf))
         yield pa.RecordBatch.from_pydict({"j": pa.array(np.arange(n), pa.int32()), "n_above": above, "n_equal": equal, "best_other": pa.array(best, pa.float64())})
 
     return of
 
 
+def passes(asked: DataFrame, per: int) -> Iterator[list]:
+    """Rows of a query set in parts of `per` at most on average, by hash; each part is what one pass over the documents serves."""
+    shares = max(1, -(-asked.count() // per))
+    share = asked.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(shares))) if shares > 1 else asked
+    for b in range(shares):
+        rows = (share.where(F.col("_b") == b) if shares > 1 else share).collect()
+        if rows:
+            yield rows
+
+
+def gathered(spark, ids: list, targets: np.ndarray, scores: np.ndarray, counted: DataFrame) -> DataFrame:
+    """Queries with a target score beside their added-up counts."""
+    head = spark.createDataFrame([(j, int(q), int(t), float(s)) for j, (q, t, s) in enumerate(zip(ids, targets, scores)) if s > -2], "j int, query bigint, target bigint, target_score double")
+    total = counted.groupBy("j").agg(F.sum("n_above").alias("n_above"), F.sum("n_equal").alias("n_equal"), F.max("best_other").alias("best_other"))
+    return head.join(total, "j").drop("j")
+
+
 def outcomes(docs: DataFrame, queries: DataFrame, once: bool = False, window: tuple[int, int] | None = None, document_idf: bool = False) -> DataFrame:
     """Each query's target among all documents: query, target, target_score, n_above, n_equal, best_other.
 
@@ -117,30 +164,30 @@ def outcomes(docs: DataFrame, queries: DataFrame, once: bool = False, window: tu
     once. window scores a document by its best word window, with term statistics of windows, or,
     with document_idf, document frequencies and counts of documents. Negative idf become FLOOR
     times the vocabulary's mean. A document that shares no term scores 0. Scores are rounded to
-    nine decimals before they are compared. Queries without a target in docs are left out.
+    nine decimals before they are compared. Queries without a target in docs are left out. docs is
+    read once for the statistics and twice a pass, so it should be cut before.
     """
-    docs = cut(docs.select(F.col("doc").cast("bigint").alias("doc"), "tokens").repartition(partitions(docs), "doc"))  # read once for statistics, targets and counts
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc").cast("bigint").alias("doc"), "tokens")
     units = docs.select(F.explode(window_tokens("tokens", *window)).alias("tokens")) if window else docs
     df, n, mean, average = statistics(units)
     if window and document_idf:
         df, n, _, average = statistics(docs)
     value = raw_idf("df", n)
     idf = df.select("term", F.when(value < 0, FLOOR * average).otherwise(value).alias("idf"))
-    asked = cut(queries.select("query", F.col("target").cast("bigint").alias("target"), "tokens"))
-    blocks = -(-asked.count() // QUERIES)
-    asked = asked.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(max(1, blocks))))
-    out = None
-    for b in range(max(1, blocks)):  # blocks of a bounded number of queries
-        own = asked.where(F.col("_b") == b)
-        terms = own.select(F.explode("tokens").alias("term")).distinct().join(idf, "term")  # the terms of a block
-        block = Block([(r["query"], r["target"], r["tokens"]) for r in own.collect()], {r["term"]: r["idf"] for r in terms.collect()}, mean, once, window)
-        mine = docs.join(F.broadcast(own.select(F.col("target").alias("doc")).distinct()), "doc", "left_semi")  # at most QUERIES rows
-        first = {r["j"]: r["target_score"] for r in mine.mapInArrow(_targets(block), "j int, target_score double").collect()}
-        scores = np.array([first.get(j, np.nan) for j in range(len(block.ids))])
-        counted = docs.mapInArrow(_counts(block, scores), "j int, n_above bigint, n_equal bigint, best_other double").groupBy("j").agg(F.sum("n_above").alias("n_above"), F.sum("n_equal").alias("n_equal"), F.max("best_other").alias("best_other"))
-        head = docs.sparkSession.createDataFrame([(j, q, int(t), float(s)) for j, (q, t, s) in enumerate(zip(block.ids, block.targets, scores)) if s == s], "j int, query bigint, target bigint, target_score double")
-        part = head.join(counted, "j").drop("j")
-        out = part if out is None else out.unionByName(part)
+    asked = queries.select("query", F.col("target").cast("bigint").alias("target"), "tokens")
+    empty = "query bigint, target bigint, target_score double, n_above bigint, n_equal bigint, best_other double"
+    out = spark.createDataFrame([], empty)
+    for rows in passes(asked, PER_JOB):
+        terms = spark.createDataFrame([(t,) for t in {t for r in rows for t in r["tokens"]}], "term string")
+        known = {r["term"]: r["idf"] for r in idf.join(F.broadcast(terms), "term").collect()}  # the terms of a pass
+        a_set = QuerySet([(r["query"], r["target"], r["tokens"]) for r in rows], known, mean, once, window)
+        sent = spark.sparkContext.broadcast(a_set)
+        wanted = spark.createDataFrame([(int(t),) for t in {r["target"] for r in rows}], "doc bigint")  # at most PER_JOB rows
+        first = {r["j"]: r["target_score"] for r in docs.join(F.broadcast(wanted), "doc", "left_semi").mapInArrow(_targets(sent), "j int, target_score double").collect()}
+        scores = np.array([first.get(j, np.nan) for j in range(len(rows))])
+        counted = docs.mapInArrow(_counts(sent, scores), "j int, n_above bigint, n_equal bigint, best_other double")
+        out = out.unionByName(gathered(spark, [r["query"] for r in rows], [r["target"] for r in rows], scores, counted))
     return out
 
 

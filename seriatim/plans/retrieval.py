@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriatim.operators import dense, infer, lexical, strata, text
 from seriatim.plans import extraction
-from seriatim.session import partitions
+from seriatim.session import cut, partitions
 from seriatim.sources.tables import table
 
 
@@ -99,8 +99,9 @@ def drawn_windows(spark, root):
 
 
 def _slice(spark, root):
-    """Documents of 40 tokens or more: tokens 21-32 are the query, the rest is the target."""
+    """Documents of 40 tokens or more: tokens 21-32 are the query, the rest is the target. The tokens are cut once."""
     d = _documents(spark, root).select(F.col("doc_id").alias("doc"), text.words("text").alias("t")).where(F.size("t") >= 40)
+    d = cut(d.repartition(partitions(d), "doc"))
     docs = d.select("doc", F.concat(F.slice("t", 1, 20), F.expr("slice(t, 33, size(t))")).alias("tokens"))
     asked = d.where("doc % 100 = 0").select(F.col("doc").alias("query"), F.col("doc").alias("target"), F.slice("t", 21, 12).alias("tokens"))
     return docs, asked
