@@ -115,7 +115,7 @@ def _counts(sent, target: np.ndarray, masked: bool, within: bool):
         blocks: list[Block] = sent.value
         n = len(target)
         targets, groups = np.concatenate([x.targets for x in blocks]), np.concatenate([x.groups for x in blocks])
-        above, equal, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
+        above, equal, sooner, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
         scores = lambda v, chunk, doc: np.concatenate([x.scores(v, chunk, doc) for x in blocks], axis=1)
         few = max(1, ROWS // max(1, len(blocks)))
         small = (b.slice(at, few) for b in batches for at in range(0, b.num_rows, few))
@@ -127,8 +127,9 @@ def _counts(sent, target: np.ndarray, masked: bool, within: bool):
                 out = out | (np.asarray(g, float)[:, None] == groups[None, :])
             above += ((s > target) & ~out).sum(axis=0)
             equal += ((s == target) & ~out).sum(axis=0)
+            sooner += ((s == target) & ~out & (d[:, None] < targets[None, :])).sum(axis=0)
             best = np.maximum(best, np.where(out, -np.inf, s).max(axis=0, initial=-np.inf))
-        yield pa.RecordBatch.from_pydict({"j": pa.array(np.arange(n), pa.int32()), "n_above": above, "n_equal": equal, "best_other": pa.array(best, pa.float64())})
+        yield pa.RecordBatch.from_pydict({"j": pa.array(np.arange(n), pa.int32()), "n_above": above, "n_equal": equal, "n_sooner": sooner, "best_other": pa.array(best, pa.float64())})
 
     return of
 
@@ -141,19 +142,19 @@ def outcomes(chunks: DataFrame, queries: DataFrame, masked: bool = False, pooled
     query is removed from its target. masked leaves out other documents of the query's group,
     within those of any other group (an index per cell).
     pooled: v is the sum of a document's unit chunks. Cosines rounded to nine decimals. Result:
-    query, target, target_score, n_above, n_equal, best_other (null if there is none); queries
+    query, target, target_score, n_above, n_equal, n_sooner, best_other (null if there is none); queries
     whose target has no (other) chunk are left out.
     """
     spark = chunks.sparkSession
     ordered = cut(by_document(chunks))
-    out = spark.createDataFrame([], "query bigint, target bigint, target_score double, n_above bigint, n_equal bigint, best_other double")
+    out = spark.createDataFrame([], "query bigint, target bigint, target_score double, n_above bigint, n_equal bigint, n_sooner bigint, best_other double")
     for rows in passes(queries, PER_JOB):
         blocks = [Block(rows[a : a + QUERIES], pooled) for a in range(0, len(rows), QUERIES)]
         sent = spark.sparkContext.broadcast(blocks)
         got = ordered.mapInArrow(_targets(sent), "j int, target_score double").groupBy("j").agg(F.max("target_score").alias("s")).collect()  # one row per query of the pass
         first = {r["j"]: r["s"] for r in got}
         scores = np.array([first.get(j, np.nan) for j in range(len(rows))])
-        counted = ordered.mapInArrow(_counts(sent, scores, masked, within), "j int, n_above bigint, n_equal bigint, best_other double")
+        counted = ordered.mapInArrow(_counts(sent, scores, masked, within), "j int, n_above bigint, n_equal bigint, n_sooner bigint, best_other double")
         part = gathered(spark, [r["query"] for r in rows], [r["target"] for r in rows], scores, counted)
         out = out.unionByName(part.withColumn("best_other", F.when(F.col("best_other") > F.lit(float("-inf")), F.col("best_other"))))
     return out

@@ -20,6 +20,10 @@ from seriatim.operators.ranking import cumulative
 from seriatim.session import cut
 
 
+#: Most different values of a logistic regressor.
+CELLS = 100_000
+
+
 @dataclass
 class Fit:
     """Coefficients with their cluster-robust (CR1) covariance."""
@@ -89,6 +93,12 @@ def linearity(df: DataFrame, y: str, stratum: str, cluster: str) -> tuple[float,
     return wald(fit, np.array([[0, -2.0, 1, 0], [0, -3.0, 0, 1]]))
 
 
+def contrasts(df: DataFrame, y: str, stratum: str, cluster: str, levels: Sequence[int] = (2, 3, 4)) -> list[tuple]:
+    """Difference of each level's mean from the first stratum's, from one model with a dummy for each: (level, beta, se, z)."""
+    d, names = dummies(df.where(F.col(stratum).isin(1, *levels)), stratum, levels)
+    return [(level, beta, se, z) for level, (_, beta, se, z, *_) in zip(levels, ols(d, y, names, cluster).table()[1:])]
+
+
 def slope(df: DataFrame, y: str, x: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
     """Univariate slope with CR1 standard error, all in SQL: by columns, n, clusters, beta, se, z.
 
@@ -101,7 +111,7 @@ def slope(df: DataFrame, y: str, x: str, cluster: str, by: Sequence[str] = ()) -
     mean_x, mean_y = F.col("t_sx") / F.col("t_n"), F.col("t_sy") / F.col("t_n")
     t = t.withColumn("xx", F.col("t_sxx") - F.col("t_sx") * mean_x).withColumn("beta", (F.col("t_sxy") - F.col("t_sx") * mean_y) / F.nullif("xx", F.lit(0.0)))
     t = t.withColumn("mx", mean_x).withColumn("alpha", mean_y - F.col("beta") * mean_x)
-    joined = per.join(F.broadcast(t), key) if key else per.crossJoin(F.broadcast(t))  # one row of totals per group
+    joined = per.join(t, key) if key else per.crossJoin(F.broadcast(t))  # without groups one row of totals
     score = F.col("sxy") - F.col("alpha") * F.col("sx") - F.col("beta") * F.col("sxx") - F.col("mx") * (F.col("sy") - F.col("alpha") * F.col("n") - F.col("beta") * F.col("sx"))
     out = joined.withColumn("u", score).groupBy(*key, "t_n", "g", "xx", "beta").agg(F.sum(F.col("u") * F.col("u")).alias("meat"))
     factor = F.col("g") / F.nullif(F.col("g") - 1, F.lit(0)) * (F.col("t_n") - 1) / F.nullif(F.col("t_n") - 2, F.lit(0))
@@ -119,7 +129,7 @@ def stratum_means(df: DataFrame, y: str, stratum: str, cluster: str, within: boo
     per = rows.groupBy("stratum", "_c").agg(F.count("*").alias("n"), F.sum("_y").alias("sy"))
     t = per.groupBy("stratum").agg(F.sum("n").alias("tn"), F.sum("sy").alias("tsy"), F.count("*").alias("g"))
     u = F.col("sy") - F.col("n") * F.col("tsy") / F.col("tn")
-    m = per.join(F.broadcast(t), "stratum").groupBy("stratum", "tn", "tsy", "g").agg(F.sum(u * u).alias("meat"))
+    m = per.join(t, "stratum").groupBy("stratum", "tn", "tsy", "g").agg(F.sum(u * u).alias("meat"))
     if within:
         factor = F.col("g") / F.nullif(F.col("g") - 1, F.lit(0)) * (F.col("tn") - 1) / F.nullif(F.col("tn") - 2, F.lit(0))
     else:
@@ -210,11 +220,13 @@ def kendall(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 def logit(df: DataFrame, y: str, x: str, cluster: str, rounds: int = 100) -> Fit:
     """Logistic regression on one regressor by reweighted least squares, with CR1 covariance.
 
-    The likelihood needs only (x, n, sum y), so rows collapse to distinct x first: bounded for a
-    stratum or score regressor.
+    The likelihood needs only (x, n, sum y), so rows collapse to distinct x first: at most CELLS,
+    as a stratum or a score has; more are an error.
     """
     rows = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.col(cluster).alias("c")).dropna()
-    cells = rows.groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("s")).toPandas()
+    cells = rows.groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("s")).limit(CELLS + 1).toPandas()
+    if len(cells) > CELLS:
+        raise ValueError(f"more than {CELLS} different values of {x}: bin it first")
     X = np.column_stack([np.ones(len(cells)), cells["x"]])
     n, s = cells["n"].to_numpy(float), cells["s"].to_numpy(float)
     b = np.zeros(2)

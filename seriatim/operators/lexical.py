@@ -125,7 +125,7 @@ def _counts(sent, target: np.ndarray):
     def of(batches):
         asked: QuerySet = sent.value
         n = len(target)
-        above, equal, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
+        above, equal, sooner, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
         for ids, docs in _batches(batches):
             w = asked.weights(docs)
             for k, block in enumerate(asked.blocks):
@@ -134,8 +134,9 @@ def _counts(sent, target: np.ndarray):
                 own = ids[:, None] == block.targets[None, :]
                 above[z] += ((s > target[z]) & ~own).sum(axis=0)
                 equal[z] += ((s == target[z]) & ~own).sum(axis=0)
+                sooner[z] += ((s == target[z]) & (ids[:, None] < block.targets[None, :])).sum(axis=0)
                 best[z] = np.maximum(best[z], np.where(own, -np.inf, s).max(axis=0, initial=-np.inf))
-        yield pa.RecordBatch.from_pydict({"j": pa.array(np.arange(n), pa.int32()), "n_above": above, "n_equal": equal, "best_other": pa.array(best, pa.float64())})
+        yield pa.RecordBatch.from_pydict({"j": pa.array(np.arange(n), pa.int32()), "n_above": above, "n_equal": equal, "n_sooner": sooner, "best_other": pa.array(best, pa.float64())})
 
     return of
 
@@ -153,12 +154,12 @@ def passes(asked: DataFrame, per: int) -> Iterator[list]:
 def gathered(spark, ids: list, targets: np.ndarray, scores: np.ndarray, counted: DataFrame) -> DataFrame:
     """Queries with a target score beside their added-up counts."""
     head = spark.createDataFrame([(j, int(q), int(t), float(s)) for j, (q, t, s) in enumerate(zip(ids, targets, scores)) if s > -2], "j int, query bigint, target bigint, target_score double")
-    total = counted.groupBy("j").agg(F.sum("n_above").alias("n_above"), F.sum("n_equal").alias("n_equal"), F.max("best_other").alias("best_other"))
+    total = counted.groupBy("j").agg(F.sum("n_above").alias("n_above"), F.sum("n_equal").alias("n_equal"), F.sum("n_sooner").alias("n_sooner"), F.max("best_other").alias("best_other"))
     return head.join(total, "j").drop("j")
 
 
 def outcomes(docs: DataFrame, queries: DataFrame, once: bool = False, window: tuple[int, int] | None = None, document_idf: bool = False) -> DataFrame:
-    """Each query's target among all documents: query, target, target_score, n_above, n_equal, best_other.
+    """Each query's target among all documents: query, target, target_score, n_above, n_equal, n_sooner, best_other.
 
     docs: doc (bigint), tokens; queries: query, target, tokens. once counts a repeated query term
     once. window scores a document by its best word window, with term statistics of windows, or,
@@ -176,7 +177,7 @@ def outcomes(docs: DataFrame, queries: DataFrame, once: bool = False, window: tu
     value = raw_idf("df", n)
     idf = df.select("term", F.when(value < 0, FLOOR * average).otherwise(value).alias("idf"))
     asked = queries.select("query", F.col("target").cast("bigint").alias("target"), "tokens")
-    empty = "query bigint, target bigint, target_score double, n_above bigint, n_equal bigint, best_other double"
+    empty = "query bigint, target bigint, target_score double, n_above bigint, n_equal bigint, n_sooner bigint, best_other double"
     out = spark.createDataFrame([], empty)
     for rows in passes(asked, PER_JOB):
         terms = spark.createDataFrame([(t,) for t in {t for r in rows for t in r["tokens"]}], "term string")
@@ -186,7 +187,7 @@ def outcomes(docs: DataFrame, queries: DataFrame, once: bool = False, window: tu
         wanted = spark.createDataFrame([(int(t),) for t in {r["target"] for r in rows}], "doc bigint")  # at most PER_JOB rows
         first = {r["j"]: r["target_score"] for r in docs.join(F.broadcast(wanted), "doc", "left_semi").mapInArrow(_targets(sent), "j int, target_score double").collect()}
         scores = np.array([first.get(j, np.nan) for j in range(len(rows))])
-        counted = docs.mapInArrow(_counts(sent, scores), "j int, n_above bigint, n_equal bigint, best_other double")
+        counted = docs.mapInArrow(_counts(sent, scores), "j int, n_above bigint, n_equal bigint, n_sooner bigint, best_other double")
         out = out.unionByName(gathered(spark, [r["query"] for r in rows], [r["target"] for r in rows], scores, counted))
     return out
 
@@ -194,9 +195,10 @@ def outcomes(docs: DataFrame, queries: DataFrame, once: bool = False, window: tu
 def ranked(o: DataFrame, ties: str = "optimistic", cutoff: int = 10) -> DataFrame:
     """Outcomes with rank, reciprocal rank, hit and margin.
 
-    optimistic: one more than the documents above; pessimistic: equal ones rank before the target.
+    optimistic: one more than the documents above; pessimistic: equal ones rank before the
+    target; by_id: equal ones of a smaller id do.
     """
-    rank = F.col("n_above") + (F.col("n_equal") if ties == "pessimistic" else F.lit(0)) + 1
+    rank = F.col("n_above") + {"optimistic": F.lit(0), "pessimistic": F.col("n_equal"), "by_id": F.col("n_sooner")}[ties] + 1
     o = o.withColumn("rank", rank)
     top = F.col("rank") <= cutoff
     return o.withColumn("rr", F.when(top, 1 / F.col("rank")).otherwise(0.0)).withColumn("hit", top.cast("int")).withColumn("margin", F.col("target_score") - F.col("best_other"))

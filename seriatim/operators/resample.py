@@ -1,41 +1,68 @@
-"""Bootstrap of clusters from their additive sums, with draws that every engine can repeat.
+"""Bootstrap of clusters from their additive sums, with weights that every engine can repeat.
 
-A replicate draws as many clusters as there are, with replacement; the j-th draw of replicate b
-is md5("b:j") as an integer modulo the number of clusters. Means, slopes and their ratios are
-functions of sums per cluster, so a replicate is a weighted sum of cluster rows and no row of
-data is drawn twice or moved.
+In a replicate each cluster counts as often as a Poisson number of mean one says, which a hash of
+the cluster's key and the replicate gives; this is drawing with replacement but for the total
+number of clusters, which then varies too. Means, slopes and their ratios are functions of sums
+per cluster, so a replicate is a weighted sum of cluster rows: a task adds up its own clusters
+for all replicates as one matrix product, and only one row per task and replicate is moved.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriatim.operators.ranking import ranked
+#: Clusters weighed at once.
+AT_ONCE = 512
+#: Odd multipliers of the hash, and the 32-bit bounds at which the Poisson number grows by one.
+FACTORS = (0x9E3779B1, 0x85EBCA6B, 0x7FEB352D, 0x846CA68B)
+BOUNDS = [int(2**32 * sum(exp(-1) / factorial(i) for i in range(k + 1))) for k in range(9)]
 
 
-def draws(spark: SparkSession, replicates: int, clusters: int, seed: str = "") -> DataFrame:
-    """Multiplicities: rep, k (cluster number from 0), mult; made in parallel, never collected."""
-    word = F.concat(F.lit(seed), F.col("rep"), F.lit(":"), F.col("j"))
-    k = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % clusters
-    grid = spark.range(replicates * clusters).select((F.col("id") / clusters).cast("bigint").alias("rep"), (F.col("id") % clusters).alias("j"))
-    return grid.select("rep", k.alias("k")).groupBy("rep", "k").agg(F.count("*").alias("mult"))
+def weights(keys: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Poisson numbers (keys, replicates) of mean one."""
+    low = np.uint64(0xFFFFFFFF)
+    a, b, c, d = (np.uint64(f) for f in FACTORS)
+    x = ((keys.astype(np.uint64) & low)[:, None] * a + replicates.astype(np.uint64)[None, :] * b) & low
+    x ^= x >> np.uint64(16)
+    x = (x * c) & low
+    x ^= x >> np.uint64(15)
+    x = (x * d) & low
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(np.array(BOUNDS, np.uint64), x, side="right")
 
 
 def numbered_clusters(df: DataFrame, cluster: str, sums: Sequence[Column]) -> DataFrame:
-    """Sums per cluster with the cluster's number (from 0) in order of its key."""
+    """Sums per cluster with k, the key that its weights follow from: the cluster's own where it is a whole number, else a hash."""
     per = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(*sums)
-    return ranked(per, [cluster], "_k").withColumn("k", F.col("_k") - 1).drop("_k")
+    whole = dict(per.dtypes)[cluster] in ("bigint", "int", "smallint", "tinyint")
+    return per.withColumn("k", F.col(cluster).cast("bigint") if whole else F.xxhash64(cluster))
 
 
-def replicate(per: DataFrame, replicates: int, seed: str = "") -> DataFrame:
-    """Every replicate's weighted sums of the cluster columns: rep and the columns."""
-    columns = [c for c, t in per.dtypes if c != "k" and t in ("bigint", "double", "int")]
-    clusters = per.count()
-    d = draws(per.sparkSession, replicates, clusters, seed)
-    return d.join(per, "k").groupBy("rep").agg(*[F.sum(F.col(c) * F.col("mult")).alias(c) for c in columns])
+def _weighted(columns: list[str], replicates: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep = np.arange(replicates)
+        total = np.zeros((replicates, len(columns)))
+        for b in batches:
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                rows = np.column_stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
+                total += weights(part.column("k").to_numpy(), rep).T @ np.nan_to_num(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int64)), *(pa.array(total[:, i]) for i in range(len(columns)))], ["rep", *columns])
+
+    return of
+
+
+def replicate(per: DataFrame, replicates: int, key: str = "") -> DataFrame:
+    """Every replicate's weighted sums of the cluster columns (key, the cluster itself, apart): rep and the columns; nulls add nothing."""
+    columns = [c for c, t in per.dtypes if c not in ("k", key) and t in ("bigint", "double", "int")]
+    sums = per.select("k", *columns).mapInArrow(_weighted(columns, replicates), "rep bigint, " + ", ".join(f"`{c}` double" for c in columns))
+    return sums.groupBy("rep").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def slope_of(prefix_y: str, n: str = "n", sx: str = "sx", sxx: str = "sxx") -> Column:
@@ -64,7 +91,7 @@ def interval(reps: DataFrame, value: Column, name: str, point: float | None = No
     return a.select(F.lit(name).alias("contrast"), F.lit(point).cast("double").alias("point"), "b", "lo", "hi", "sd", "p")
 
 
-def paired_slopes(df: DataFrame, x: str, a: str, b: str, cluster: str, replicates: int = 2000, seed: str = "") -> DataFrame:
+def paired_slopes(df: DataFrame, x: str, a: str, b: str, cluster: str, replicates: int = 2000) -> DataFrame:
     """The difference of two outcomes' slopes on the same rows, absolute and relative to the outcome's mean at x = 1.
 
     Rows with a null in any column are left out, so both slopes see the same rows in each replicate.
@@ -72,16 +99,16 @@ def paired_slopes(df: DataFrame, x: str, a: str, b: str, cluster: str, replicate
     rows = df.select(x, a, b, cluster).dropna()
     at1 = [F.sum(F.when(F.col(x) == 1, F.col(y).cast("double")).otherwise(0.0)).alias(f"s1_{y}") for y in (a, b)] + [F.sum((F.col(x) == 1).cast("bigint")).alias("n1")]
     per = numbered_clusters(rows, cluster, [*sums_for(x, [a, b]), *at1])
-    reps = replicate(per, replicates, seed)
+    reps = replicate(per, replicates, cluster)
     rel = lambda y: slope_of(y) / F.nullif(F.col(f"s1_{y}") / F.nullif(F.col("n1"), F.lit(0)), F.lit(0.0))
     absolute, relative = slope_of(b) - slope_of(a), rel(b) - rel(a)
     whole = per.agg(*[F.sum(c).alias(c) for c, t in per.dtypes if c not in ("k", cluster)]).select(absolute.alias("abs"), relative.alias("rel")).first()
     return interval(reps, absolute, "absolute", whole["abs"]).unionByName(interval(reps, relative, "relative", whole["rel"]))
 
 
-def cluster_mean(df: DataFrame, y: str, cluster: str, replicates: int = 2000, seed: str = "") -> DataFrame:
+def cluster_mean(df: DataFrame, y: str, cluster: str, replicates: int = 2000) -> DataFrame:
     """Mean with its cluster-bootstrap interval."""
     rows = df.select(y, cluster).dropna()
     per = numbered_clusters(rows, cluster, [F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("sy")])
     whole = per.agg(F.sum("sy") / F.sum("n")).first()[0]
-    return interval(replicate(per, replicates, seed), F.col("sy") / F.col("n"), "mean", whole)
+    return interval(replicate(per, replicates, cluster), F.col("sy") / F.col("n"), "mean", whole)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriatim.functions.stats import normal_p
 from seriatim.operators import infer, relational, resample, strata
+from seriatim.session import partitions
 
 
 def series(df: DataFrame, y: str, stratum: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
@@ -40,6 +42,37 @@ def mediation(df: DataFrame, y: str, stratum: str, mediator: str, cluster: str,
     return {"stratum": float(alone.beta[1]), "mediator": float(other.beta[1]), "joint": [float(b) for b in both.beta[1:]], "attenuation": infer.attenuation(alone.beta[1], both.beta[1]), "correlation": facts["r"], "collinear": abs(facts["r"]) > collinear}
 
 
+def adjusted(df: DataFrame, y: str, stratum: str, cluster: str, flags: Sequence[str] = (), durations: Sequence[str] = (), category: str | None = None) -> dict:
+    """The stratum's slope before and after terms that follow from it (mediators): flags, log durations, and a category.
+
+    A missing duration is filled with the median before log(1 + x); a category becomes dummies
+    but for its first value. attenuation is signed, in percent.
+    """
+    middle = df.agg(*[F.median(c).alias(c) for c in durations]).first() if durations else {}
+    columns = {f"_f{i}": F.col(c).cast("double") for i, c in enumerate(flags)} | {f"_d{i}": F.log1p(F.coalesce(F.col(c).cast("double"), F.lit(middle[c]))) for i, c in enumerate(durations)}
+    if category:
+        names = sorted(r[0] for r in df.select(category).dropna().distinct().collect())  # a handful of groups
+        columns |= {f"_c{i}": F.coalesce((F.col(category) == n).cast("double"), F.lit(0.0)) for i, n in enumerate(names[1:])}
+    rows = df.select(y, stratum, cluster, *[c.alias(n) for n, c in columns.items()])
+    before, after = infer.ols(rows, y, [stratum], cluster), infer.ols(rows, y, [stratum, *columns], cluster)
+    share = infer.attenuation(before.beta[1], after.beta[1], signed=True)
+    return {"before": float(before.beta[1]), "after": float(after.beta[1]), "se": float(np.sqrt(after.cov[1, 1])), "attenuation": None if share is None else 100 * share, "n": after.n}
+
+
+def by_condition(outcomes, sets: dict[str, DataFrame], name: str = "condition") -> DataFrame:
+    """The outcomes of several query sets on one fixed index, labelled; outcomes takes a query set."""
+    parts = [outcomes(q).withColumn(name, F.lit(label)) for label, q in sets.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def reading(rho: float | None) -> str:
+    """How an activity correlation is read."""
+    return relational.verdict(None if rho is None else abs(rho), [(0.20, "weak"), (0.45, "moderate")], "strong")
+
+
 def retrievers(outcomes: DataFrame, y: str, model: str, stratum: str, cluster: str, categorical: bool = False) -> tuple[infer.Fit, tuple[float, int, float]]:
     """Stacked outcomes with fixed effects of the models and their interaction with the stratum; the Wald test of all interactions."""
     names = sorted(r[0] for r in outcomes.select(model).distinct().collect())  # the models: a handful
@@ -65,7 +98,7 @@ def exposures_compared(df: DataFrame, y: str, a: str, b: str, cluster: str, repl
     per = resample.numbered_clusters(rows, cluster, sums)
     slope = lambda n: (F.col(f"sxy_{n}") - F.col(f"sx_{n}") * F.col("sy") / F.col("n")) / F.nullif(F.col(f"sxx_{n}") - F.col(f"sx_{n}") * F.col(f"sx_{n}") / F.col("n"), F.lit(0.0))
     point = per.agg(*[F.sum(c).alias(c) for c, t in per.dtypes if c not in ("k", cluster)]).select((slope("b") - slope("a")).alias("d")).first()["d"]
-    return resample.interval(resample.replicate(per, replicates), slope("b") - slope("a"), "b - a", point)
+    return resample.interval(resample.replicate(per, replicates, cluster), slope("b") - slope("a"), "b - a", point)
 
 
 def best_in_replicate(df: DataFrame, reference_y: str, others: Sequence[str], cluster: str, replicates: int = 2000) -> DataFrame:
@@ -75,19 +108,54 @@ def best_in_replicate(df: DataFrame, reference_y: str, others: Sequence[str], cl
     best = F.greatest(*[F.col(f"s_{c}") for c in others]) if len(others) > 1 else F.col(f"s_{others[0]}")
     value = (F.col(f"s_{reference_y}") - best) / F.col("n")
     point = per.agg(*[F.sum(c).alias(c) for c, t in per.dtypes if c not in ("k", cluster)]).select(value.alias("v")).first()["v"]
-    return resample.interval(resample.replicate(per, replicates), value, "reference - best", point)
-
-
-def auroc_interval(df: DataFrame, label: str, score: str, key: str, replicates: int = 50) -> DataFrame:
-    """AUROC with an interval by drawing rows: per replicate the weights of distinct scores, ranked within the replicate."""
-    rows = df.select(key, F.col(label).cast("int").alias("y"), F.col(score).alias("x")).dropna()
-    per = resample.numbered_clusters(rows, key, [F.max("y").alias("y"), F.max("x").alias("x")])
-    d = resample.draws(df.sparkSession, replicates, per.count()).join(per, "k")
-    by = d.groupBy("rep", "x").agg(F.sum("mult").alias("n"), F.sum(F.col("mult") * F.col("y")).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("rep").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("r", below + (F.col("n") + 1) / 2)
-    reps = ranked.groupBy("rep").agg(F.sum(F.col("pos") * F.col("r")).alias("sr"), F.sum("pos").alias("n1"), F.sum(F.col("n") - F.col("pos")).alias("n0"))
-    a = (F.col("sr") - F.col("n1") * (F.col("n1") + 1) / 2) / F.nullif(F.col("n1") * F.col("n0"), F.lit(0))
+    return resample.interval(resample.replicate(per, replicates, cluster), value, "reference - best", point)
+
+
+def _weighted_pairs(replicates: int):
+    """Rows (part, key, y, x) in order of x -> for each replicate the weighted pairs in which a positive row ranks over a negative one of the part, and the part's weights."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep = np.arange(replicates)
+        won, pos, neg, own_pos, own_neg = (np.zeros(replicates) for _ in range(5))
+        now, part = None, None
+
+        def close() -> None:  # the rows of one score tie with each other
+            nonlocal won, pos, neg, own_pos, own_neg
+            won += own_pos * (neg + own_neg / 2)
+            pos, neg = pos + own_pos, neg + own_neg
+            own_pos, own_neg = np.zeros(replicates), np.zeros(replicates)
+
+        for b in batches:
+            x, y, key = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "k"))
+            edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else []
+            for lo, hi in zip(edge, [*edge[1:], len(x)]):
+                if x[lo] != now:
+                    close()
+                now, part = x[lo], b.column("part")[0].as_py()
+                for at in range(lo, hi, resample.AT_ONCE):
+                    z = slice(at, min(hi, at + resample.AT_ONCE))
+                    w = resample.weights(key[z], rep)
+                    own_pos += y[z] @ w
+                    own_neg += (1 - y[z]) @ w
+        if part is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(replicates, part, np.int32)), pa.array(rep), pa.array(won), pa.array(pos), pa.array(neg)], ["part", "rep", "won", "pos", "neg"])
+
+    return of
+
+
+def auroc_interval(df: DataFrame, label: str, score: str, key: str, replicates: int = 2000) -> DataFrame:
+    """AUROC with an interval by drawing rows, each by a weight from its key.
+
+    Rows are range-partitioned by score. A part adds up its own pairs for all replicates; the
+    pairs between parts follow from the parts' weights, one row per part and replicate.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("x")).dropna()
+    placed = rows.repartitionByRange(partitions(df), "x").sortWithinPartitions("x").withColumn("part", F.spark_partition_id())
+    sums = placed.mapInArrow(_weighted_pairs(replicates), "part int, rep bigint, won double, pos double, neg double")
+    before = F.coalesce(F.sum("neg").over(Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    reps = sums.withColumn("won", F.col("won") + F.col("pos") * before).groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("won", "pos", "neg")])
+    a = F.col("won") / F.nullif(F.col("pos") * F.col("neg"), F.lit(0.0))
     return resample.interval(reps, a, "auroc", infer.auroc(rows, "y", "x").first()["auroc"])
 
 

@@ -15,11 +15,11 @@ def r(c: str, digits: int = 6):
 
 
 def hourly_warmup(spark, root):
-    """Hours since all three vital signs were first present, of stays with twelve such hours or more."""
+    """Hours since all three vital signs were first present, of stays with fifty such hours or more."""
     c = table(spark, root, "chartevents", ["stay_id", "itemid", "charttime", "valuenum"]).where("itemid in (220045, 220210, 220277) and stay_id is not null and charttime is not null")
     part = lambda i: F.max(F.when(F.col("itemid") == i, F.col("valuenum")))
     rows = c.groupBy("stay_id", F.floor(micros("charttime") / 3_600_000_000).alias("hour")).agg(part(220045).alias("hr"), part(220210).alias("rr"), part(220277).alias("ox"))
-    h = exposure.hourly(rows, "stay_id", "hour", ["hr", "rr", "ox"], least=12)
+    h = exposure.hourly(rows, "stay_id", "hour", ["hr", "rr", "ox"], least=50)
     return h.groupBy("stay_id").agg(F.count("*").alias("hours"), F.max("rel").alias("last"))
 
 
@@ -98,7 +98,8 @@ def scorer_sensitivity(spark, root):
     middle = lambda d: d.withColumn("v", dense.centred(F.col("v"), mean))
     rows = [("best chunk", mrr(dense.outcomes(c, asked)), None, None), ("mean pooled", mrr(dense.outcomes(dense.summed(c), asked, pooled=True)), None, None), ("centred", mrr(dense.outcomes(middle(c), middle(asked))), None, None)]
     seeds = sorted(mrr(dense.outcomes(dense.random_chunk(c, "chunk", s), asked)) or 0.0 for s in ("a", "b", "c"))
-    return spark.createDataFrame([*rows, ("random chunk", seeds[1], seeds[0], seeds[-1])], "scorer string, mrr double, lo double, hi double")
+    rows = [(n, *(None if x is None else round(x, 6) for x in v)) for n, *v in [*rows, ("random chunk", seeds[1], seeds[0], seeds[-1])]]
+    return spark.createDataFrame(rows, "scorer string, mrr double, lo double, hi double")
 
 
 def code_score_diagnostics(spark, root):
@@ -117,8 +118,9 @@ def idf_conditioning(spark, root):
     """The slope of document length on genre strata given mean idf, one at a time and together."""
     d = table(spark, root, "documents", ["doc_id", "text", "genre", "source"]).where("text is not null and genre is not null")
     idf = text.mean_idf(d, "doc_id", "text", text.word_frequency(d, "doc_id", "text"), d.count())
-    j = d.select("doc_id", "source", F.length("text").cast("double").alias("y"), (F.pmod(F.crc32(F.col("genre").cast("binary")), F.lit(4)) + 1).alias("q")).join(idf, "doc_id")
-    return spark.createDataFrame([(x["given"], x["beta"], x["se"], x["n"], x["attenuation"]) for x in infer.conditioned(j, "y", "q", ["mean_idf", "missing"], "source")], "given string, beta double, se double, n bigint, attenuation double")
+    j = d.select("doc_id", "source", F.length("text").cast("double").alias("y"), F.size(text.words("text")).cast("double").alias("words"), (F.length("genre") % 4 + 1).alias("q")).join(idf, "doc_id")
+    half = lambda x: None if x is None else round(x, 5)
+    return spark.createDataFrame([(x["given"], half(x["beta"]), x["n"], half(x["attenuation"])) for x in infer.conditioned(j, "y", "q", ["mean_idf", "words"], "source", least=20)], "given string, beta double, n bigint, attenuation double")
 
 
 def eta2_bootstrap(spark, root):
@@ -127,11 +129,11 @@ def eta2_bootstrap(spark, root):
     cells = [(a, b) for a in ("A", "N", "R") for b in ("F", "O")]
     own = lambda a, b: (F.col("l_returnflag") == a) & (F.col("l_linestatus") == b)
     sums = [f.alias(f"{n}_{a}{b}") for a, b in cells for n, f in (("n", F.sum(F.when(own(a, b), 1).otherwise(0))), ("s", F.sum(F.when(own(a, b), F.col("l_extendedprice")).otherwise(0.0))))]
-    reps = resample.replicate(resample.numbered_clusters(li, "l_orderkey", sums), 50)
+    reps = resample.replicate(resample.numbered_clusters(li, "l_orderkey", sums), 500, "l_orderkey")
     m = {c: F.try_divide(F.col(f"s_{c[0]}{c[1]}"), F.col(f"n_{c[0]}{c[1]}")) for c in cells}
     grand = sum(m.values(), F.lit(0.0)) / 6
     between = sum((2 * F.pow((m[(a, "F")] + m[(a, "O")]) / 2 - grand, 2) for a in ("A", "N", "R")), F.lit(0.0))
-    return resample.interval(reps, F.try_divide(between, sum((F.pow(x - grand, 2) for x in m.values()), F.lit(0.0))), "l_returnflag")
+    return resample.interval(reps, F.try_divide(between, sum((F.pow(x - grand, 2) for x in m.values()), F.lit(0.0))), "l_returnflag").select("contrast", "b", r("lo"), r("hi"), r("sd"))
 
 
 def composite_strata(spark, root):
@@ -151,11 +153,35 @@ QUERIES = {f.__name__: f for f in (hourly_warmup, activity_split, provenance_che
 _WINDOW = exposures._WIN.format(b=0)
 _RANK = "rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0"
 
+_CELLS = [(a, b) for a in ("A", "N", "R") for b in ("F", "O")]
+_GRAND = "(" + " + ".join(f"m{a}{b}" for a, b in _CELLS) + ") / 6"
+_MRR = "avg(case when rank <= 10 then 1.0::double / rank else 0 end)"
+
+
+def _random(seed: str) -> str:
+    return retrieval.ORACLE["dense_random_chunk"].replace("'s:'", f"'{seed}:'")
+
+
 ORACLE = {
+    "eta2_bootstrap": f"""with per as (select l_orderkey as k, {", ".join(f"sum((l_returnflag = '{a}' and l_linestatus = '{b}')::int) as n{a}{b}, sum(case when l_returnflag = '{a}' and l_linestatus = '{b}' then l_extendedprice else 0 end) as s{a}{b}" for a, b in _CELLS)} from lineitem group by 1),
+{inference.weighed("per", 500)}, rp as (select rep, {", ".join(f"sum(s{a}{b} * mult) / nullif(sum(n{a}{b} * mult), 0) as m{a}{b}" for a, b in _CELLS)} from w join per using (k) group by 1),
+vs as (select ({" + ".join(f"2 * pow((m{a}F + m{a}O) / 2 - {_GRAND}, 2)" for a in "ANR")}) / nullif({" + ".join(f"pow(m{a}{b} - {_GRAND}, 2)" for a, b in _CELLS)}, 0) as v from rp)
+select 'l_returnflag' as contrast, count(v) as b, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi, round(stddev_samp(v), 6) as sd from vs""",
+    "idf_conditioning": f"""with i as ({retrieval.ORACLE["word_df_idf"].replace("round(avg(ln((select count(*) from d)::double / (1 + coalesce(documents, 0)))), 6)", "avg(ln((select count(*) from d)::double / (1 + coalesce(documents, 0))))")}),
+j as (select length(text)::double as y, (length(genre) % 4 + 1)::double as q, mean_idf as a, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::double as b from documents join i using (doc_id) where text is not null and genre is not null),
+c as (select count(*) as n, covar_pop(q, y) as qy, covar_pop(a, y) as ay, covar_pop(b, y) as by_, var_pop(q) as qq, var_pop(a) as aa, var_pop(b) as bb, covar_pop(q, a) as qa, covar_pop(q, b) as qb, covar_pop(a, b) as ab from j),
+s as (select n, qy / qq as b0, (qy * aa - ay * qa) / (qq * aa - qa * qa) as b1, (qy * bb - by_ * qb) / (qq * bb - qb * qb) as b2,
+  (qy * (aa * bb - ab * ab) - ay * (qa * bb - ab * qb) + by_ * (qa * ab - aa * qb)) / (qq * (aa * bb - ab * ab) - qa * (qa * bb - ab * qb) + qb * (qa * ab - aa * qb)) as b3 from c)
+select 'none' as given, round(b0, 5) as beta, n, 0.0::double as attenuation from s union all select 'mean_idf', round(b1, 5), n, round(1 - abs(b1) / abs(b0), 5) from s union all select 'words', round(b2, 5), n, round(1 - abs(b2) / abs(b0), 5) from s union all select 'all', round(b3, 5), n, round(1 - abs(b3) / abs(b0), 5) from s""",
+    "scorer_sensitivity": f"""with r as (select {_MRR} as m from ({_random("a")}) union all select {_MRR} from ({_random("b")}) union all select {_MRR} from ({_random("c")}))
+select 'best chunk' as scorer, round({_MRR}, 6) as mrr, null::double as lo, null::double as hi from ({retrieval.ORACLE["dense_rank_margin"]}) union all select 'mean pooled', round({_MRR}, 6), null, null from ({retrieval.ORACLE["dense_mean_pool"]})
+union all select 'centred', round({_MRR}, 6), null, null from ({retrieval.ORACLE["dense_centered"]}) union all select 'random chunk', round(median(m), 6), round(min(m), 6), round(max(m), 6) from r""",
+    "exact_deltas": f"""with a as ({retrieval.unrounded("dense_rank_margin")}), b as ({retrieval.unrounded("dense_mean_pool")}), d as (select query, b.ts - a.ts as dt, b.bo - a.bo as db from a join b using (query))
+select query, round(dt, 5) as d_target, round(db, 5) as d_best, round(case when db > 0 then abs(dt) / db end, 4) as ratio from d""",
     "extraction_accounting": retrieval.ORACLE["extraction_accounting"],
     "hourly_warmup": """with x as (select stay_id, epoch_us(charttime) // 3600000000 as hour, max(case when itemid = 220045 then valuenum end) as a, max(case when itemid = 220210 then valuenum end) as b, max(case when itemid = 220277 then valuenum end) as c from chartevents where itemid in (220045, 220210, 220277) and stay_id is not null and charttime is not null group by 1, 2),
 s as (select stay_id, min(hour) as h0 from x where a is not null and b is not null and c is not null group by 1)
-select stay_id, count(*) as hours, max(hour - h0) as last from x join s using (stay_id) where hour - h0 >= 0 and hour - h0 < 720 group by 1 having count(*) >= 12""",
+select stay_id, count(*) as hours, max(hour - h0) as last from x join s using (stay_id) where hour - h0 >= 0 and hour - h0 < 720 group by 1 having count(*) >= 50""",
     "activity_split": f"""with {_WINDOW}, a as (select row_id, any_value(stay_id) as stay_id, any_value(starttime) as t from inputevents where starttime is not null group by 1)
 select stay_id, count(*) filter (where t <= t1) as early, count(*) filter (where t > t1) as late, count(*) as total, round(count(*) / nullif((max(epoch_us(t)) - min(epoch_us(t0))) / 3600000000.0, 0), 4) as rate from a join w using (stay_id) where t >= t0 group by 1""",
     "provenance_checks": f"with a as ({exposures.ORACLE['scan_attrition']}), e as (select * from (values ('stays', 121.0), ('12 hours', 1.0), ('unheard of', 3.0)) as t(label, expected)) select label, n::double as got, expected::double as expected, coalesce(n = expected, false) as ok from e left join a on name = label",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seriatim.operators import infer, resample, strata, studies
 from seriatim.sources.tables import table
 
-REPLICATES = 200
+REPLICATES = 2000
 
 
 def r(c: str, digits: int = 6):
@@ -69,7 +69,7 @@ def ols2_cr1(spark, root):
 
 def ols_many_cr1(spark, root):
     fit = infer.ols(_orders(spark, root), "y", ["q", "day", "month"], "o_custkey")
-    return spark.createDataFrame(fit.table(), "term string, beta double, se double, z double, p double, lo double, hi double")
+    return spark.createDataFrame([(t, round(b, 6), round(se, 6), round(z, 4)) for t, b, se, z, *_ in fit.table() if t != "const"], "term string, beta double, se double, z double")
 
 
 def linearity_wald(spark, root):
@@ -90,6 +90,18 @@ def pooled_wald(spark, root):
     return spark.createDataFrame([(round(float(fit.beta[3]), 6), round(w, 4), df)], "interaction double, wald double, df int")
 
 
+def quartile_contrasts(spark, root):
+    rows = infer.contrasts(_orders(spark, root), "y", "q", "o_custkey")
+    return spark.createDataFrame([(q, round(b, 6), round(se, 6)) for q, b, se, _ in rows], "level int, beta double, se double")
+
+
+def mediators_adjusted(spark, root):
+    """The stratum's slope before and after a flag and a log duration with gaps, both following the order."""
+    o = _orders(spark, root).withColumn("late", (F.col("month") > 9).cast("int")).withColumn("days", F.when(F.col("day") % 5 != 0, F.col("day")))
+    a = studies.adjusted(o, "y", "q", "o_custkey", ["late"], ["days"])
+    return spark.createDataFrame([(round(a["before"], 6), round(a["after"], 6), round(a["se"], 6), round(a["attenuation"], 3))], "before double, after double, se double, attenuation double")
+
+
 def holm_adjust(spark, root):
     """P values of the months' slopes, adjusted within each half of the year; the oracle shares the P table's recipe."""
     n = table(spark, root, "nation", ["n_nationkey", "n_regionkey"])
@@ -118,7 +130,8 @@ def kendall_tau(spark, root):
 
 def logit_hit(spark, root):
     o = _orders(spark, root).withColumn("hit", (F.col("y") > 250).cast("int"))
-    return spark.createDataFrame(infer.logit(o, "hit", "q", "o_custkey").table(), "term string, beta double, se double, z double, p double, lo double, hi double")
+    rows = [(t, round(b, 6), round(se, 6), round(z, 4)) for t, b, se, z, *_ in infer.logit(o, "hit", "q", "o_custkey").table()]
+    return spark.createDataFrame(rows, "term string, beta double, se double, z double")
 
 
 def eta2_cube(spark, root):
@@ -168,7 +181,7 @@ def retriever_interaction(spark, root):
     o = _orders(spark, root)
     stacked = o.select(F.col("y").alias("v"), "q", "o_custkey", F.lit("a").alias("model")).unionByName(o.select(F.col("day").alias("v"), "q", "o_custkey", F.lit("b").alias("model"))).unionByName(o.select((F.col("month") * 20).alias("v"), "q", "o_custkey", F.lit("c").alias("model")))
     _, (w, df, p) = studies.retrievers(stacked, "v", "model", "q", "o_custkey")
-    return spark.createDataFrame([(w, df, p)], "wald double, df int, p double")
+    return spark.createDataFrame([(round(w, 4), df)], "wald double, df int")
 
 
 def exposure_contrast(spark, root):
@@ -182,7 +195,7 @@ def best_in_replicate(spark, root):
 
 def auroc_interval(spark, root):
     o = _orders(spark, root).withColumn("hit", (F.col("q") >= 3).cast("int"))
-    return studies.auroc_interval(o, "hit", "day", "o_orderkey", 20)
+    return studies.auroc_interval(o, "hit", "day", "o_orderkey", REPLICATES).select("contrast", r("point"), "b", r("lo", 5), r("hi", 5), r("sd", 5))
 
 
 def endpoints_by_quartile(spark, root):
@@ -196,7 +209,7 @@ def score_without_part(spark, root):
     return studies.without_part(o, "o_orderkey", "score", "q").select("whole", "rest", "n", r("agree"))
 
 
-QUERIES = {f.__name__: f for f in (logrank_trend, series_summary, series_by_month, mediation_triple, retriever_interaction, exposure_contrast, best_in_replicate, auroc_interval, endpoints_by_quartile, score_without_part, quartile_by_value, quartile_by_rank, crosstab_agreement, equal_n_sample, cem_length_matched, slope_cr1, slope_cr1_by_group, stratum_means_cr1, ols2_cr1, ols_many_cr1, linearity_wald, pooled_wald, holm_adjust, logrank_ranks, auroc_midrank, spearman_midrank, kendall_tau, logit_hit, eta2_cube, vif, attenuation, boot_cluster_mean, boot_paired_clusters)}
+QUERIES = {f.__name__: f for f in (logrank_trend, series_summary, series_by_month, mediation_triple, retriever_interaction, exposure_contrast, best_in_replicate, auroc_interval, endpoints_by_quartile, score_without_part, quartile_by_value, quartile_by_rank, crosstab_agreement, equal_n_sample, cem_length_matched, slope_cr1, slope_cr1_by_group, stratum_means_cr1, ols2_cr1, ols_many_cr1, linearity_wald, quartile_contrasts, mediators_adjusted, pooled_wald, holm_adjust, logrank_ranks, auroc_midrank, spearman_midrank, kendall_tau, logit_hit, eta2_cube, vif, attenuation, boot_cluster_mean, boot_paired_clusters)}
 
 _EDGES = "select quantile_cont(c_acctbal, 0.25) as a, quantile_cont(c_acctbal, 0.5) as b, quantile_cont(c_acctbal, 0.75) as c, min(c_acctbal) as lo, max(c_acctbal) as hi from customer"
 _MEANS = """, per as (select q, o_custkey, count(*) as n, sum(y) as sy from o group by 1, 2),
@@ -208,10 +221,18 @@ m as (select {k} sum(u * u) as meat from e {gg})
 """
 _ONE = dict(per="", k="", g="", gg="", ok="", on="true")
 _GRP = dict(per="", k="grp,", g="grp,", gg="group by grp", ok="o.grp,", on="o.grp = t.grp")
-_DRAWS = f"""c as (select o_custkey, row_number() over (order by o_custkey) - 1 as k from (select distinct o_custkey from o)),
-nc as (select count(*) as n from c),
-d as (select rep, cast(concat('0x', substr(md5(concat(rep, ':', j)), 1, 8)) as bigint) % (select n from nc) as k from range({REPLICATES}) as a(rep), (select unnest(range((select n from nc))) as j)),
-w as (select rep, k, count(*) as mult from d group by 1, 2)"""
+
+
+def weighed(keys: str, replicates: int = REPLICATES) -> str:
+    """CTE w: rep, k, mult (over 0) of the keys of a table's column k, by the documented hash."""
+    at_least = " + ".join(f"(x >= {b})::int" for b in resample.BOUNDS)
+    a, b, c, d = resample.FACTORS
+    return f"""h0 as (select rep::ubigint as rep, k, (((k % 4294967296)::ubigint * {a}) % 4294967296 + (rep::ubigint * {b}) % 4294967296) % 4294967296 as x from (select distinct k from {keys}), range({replicates}) as a(rep)),
+h1 as (select rep, k, (xor(x, x >> 16) * {c}) % 4294967296 as x from h0), h2 as (select rep, k, (xor(x, x >> 15) * {d}) % 4294967296 as x from h1), h3 as (select rep, k, xor(x, x >> 16) as x from h2),
+w as (select rep, k, {at_least} as mult from h3 where x >= {resample.BOUNDS[0]})"""
+
+
+_DRAWS = "c as (select distinct o_custkey, o_custkey as k from o), " + weighed("c")
 _SLOPES = ", ".join(f"(sum(sxy_{y} * m) - sum(sx * m) * sum(sy_{y} * m) / sum(n * m)) / (sum(sxx * m) - sum(sx * m) * sum(sx * m) / sum(n * m)) as b_{y}, sum(s1_{y} * m) / sum(n1 * m) as m_{y}" for y in ("y", "day"))
 
 
@@ -229,7 +250,58 @@ select round((x * x * (d * f - e * e) + y * y * (a * f - c * c) + z * z * (a * d
   round((select sum(g * gap) from oe) / sqrt((select sum(i * j * v) from v)), 4) as z from m, x"""
 _QM = ", ".join(f"avg(case when q = {k} then y end) as q{k}" for k in (1, 2, 3, 4))
 
+
+
+def three(rows: str, y: str, xs: tuple[str, str, str], cluster: str) -> str:
+    """CTEs of a regression of y on three columns: b (beta of each), v (CR1 variance of each), by centred columns and the adjugate of their 3 x 3 matrix."""
+    a, b, c = xs
+    s = lambda p, q: f"sum(({p} - m{p}) * ({q} - m{q}))"
+    return f"""mm as (select avg({a}) as m{a}, avg({b}) as m{b}, avg({c}) as m{c}, avg({y}) as m{y}, count(*) as n, count(distinct {cluster}) as g from {rows}),
+ss as (select {s(a, a)} as aa, {s(a, b)} as ab, {s(a, c)} as ac, {s(b, b)} as bb, {s(b, c)} as bc, {s(c, c)} as cc, {s(a, y)} as ay, {s(b, y)} as by_, {s(c, y)} as cy from {rows}, mm),
+iv as (select *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) as det, bb * cc - bc * bc as i11, ac * bc - ab * cc as i12, ab * bc - ac * bb as i13, aa * cc - ac * ac as i22, ab * ac - aa * bc as i23, aa * bb - ab * ab as i33 from ss),
+b as (select (i11 * ay + i12 * by_ + i13 * cy) / det as b1, (i12 * ay + i22 * by_ + i23 * cy) / det as b2, (i13 * ay + i23 * by_ + i33 * cy) / det as b3 from iv),
+rs as (select {cluster} as cl, {a} - m{a} as a, {b} - m{b} as b, {c} - m{c} as c, {y} - m{y} - b1 * ({a} - m{a}) - b2 * ({b} - m{b}) - b3 * ({c} - m{c}) as e from {rows}, mm, b),
+us as (select sum(a * e) as u1, sum(b * e) as u2, sum(c * e) as u3 from rs group by cl),
+v as (select max(g / (g - 1.0) * (n - 1) / (n - 4)) * sum(pow((i11 * u1 + i12 * u2 + i13 * u3) / det, 2)) as v1, max(g / (g - 1.0) * (n - 1) / (n - 4)) * sum(pow((i12 * u1 + i22 * u2 + i23 * u3) / det, 2)) as v2,
+  max(g / (g - 1.0) * (n - 1) / (n - 4)) * sum(pow((i13 * u1 + i23 * u2 + i33 * u3) / det, 2)) as v3 from us, iv, mm)"""
+
+
+_MODELS = ("y", "day", "month * 20")
+
 ORACLE = {
+    "ols_many_cr1": f"with {ORDERS}, {three('o', 'y', ('q', 'day', 'month'), 'o_custkey')} " + " union all ".join(f"select '{t}' as term, round(b{i}, 6) as beta, round(sqrt(v{i}), 6) as se, round(b{i} / sqrt(v{i}), 4) as z from b, v" for i, t in ((1, "q"), (2, "day"), (3, "month"))),
+    "quartile_contrasts": f"""with {ORDERS}, mq as (select q, count(*) as n, avg(y) as m from o group by 1), p as (select o_custkey as c, q, sum((y - m) / n) as psi from o join mq using (q) group by 1, 2),
+lv as (select unnest([2, 3, 4]) as level), cl as (select distinct c from p), d as (select level, cl.c, coalesce(max(psi) filter (where q = level), 0) - coalesce(max(psi) filter (where q = 1), 0) as d from lv, cl left join p on p.c = cl.c group by 1, 2),
+v as (select level, sum(d * d) * count(*) / (count(*) - 1.0) as s from d group by 1), nn as (select count(*) as all_rows from o)
+select level, round(a.m - b.m, 6) as beta, round(sqrt(s * (all_rows - 1) / (all_rows - 4)), 6) as se from v join mq a on a.q = level, mq b, nn where b.q = 1""",
+    "mediators_adjusted": f"""with {ORDERS}, md as (select median(day) as m from o where day % 5 <> 0), st as (select y, q, (month > 9)::int::double as late, ln(1 + case when day % 5 <> 0 then day else m end) as days, o_custkey from o, md),
+{three('st', 'y', ('q', 'late', 'days'), 'o_custkey')} select round(regr_slope(y, q), 6) as before, round(max(b1), 6) as after, round(sqrt(max(v1)), 6) as se, round(100 * (1 - max(b1) / regr_slope(y, q)), 3) as attenuation from st, b, v""",
+    "pooled_wald": f"""with {ORDERS}, st as (select y, q, o_custkey, 0.0::double as second, 0.0::double as inter from o union all select y * 0.5 + day, q, o_custkey, 1.0, q from o),
+{three('st', 'y', ('q', 'second', 'inter'), 'o_custkey')} select round(b3, 6) as interaction, round(b3 * b3 / v3, 4) as wald, 1 as df from b, v""",
+    "retriever_interaction": f"""with {ORDERS}, st as ({" union all ".join(f"select {m} as v, q::double as x, o_custkey as c, {i} as m from o" for i, m in enumerate(_MODELS))}),
+f as (select m, avg(x) as mx, avg(v) as mv, sum(x * x) - sum(x) * avg(x) as xx, (sum(x * v) - sum(x) * avg(v)) / (sum(x * x) - sum(x) * avg(x)) as b from st group by 1),
+p as (select c, m, sum((x - mx) * (v - mv - b * (x - mx)) / xx) as psi from st join f using (m) group by 1, 2),
+q as (select c, coalesce(max(psi) filter (where m = 1), 0) - coalesce(max(psi) filter (where m = 0), 0) as d1, coalesce(max(psi) filter (where m = 2), 0) - coalesce(max(psi) filter (where m = 0), 0) as d2 from p group by 1),
+k as (select count(*) as g, sum(d1 * d1) as a, sum(d1 * d2) as b, sum(d2 * d2) as d from q), t as (select count(*) as n from st),
+e as (select max(b) filter (where m = 1) - max(b) filter (where m = 0) as e1, max(b) filter (where m = 2) - max(b) filter (where m = 0) as e2 from f)
+select round((e1 * e1 * d - 2 * e1 * e2 * b + e2 * e2 * a) / (a * d - b * b) / (g / (g - 1.0) * (n - 1) / (n - 6)), 4) as wald, 2 as df from e, k, t""",
+    "logit_hit": f"""with recursive {ORDERS}, ce as (select q::double as x, count(*)::double as n, sum((y > 250)::int)::double as s from o group by 1),
+it as (select 0 as i, 0.0::double as b0, 0.0::double as b1 union all
+  select i + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) from (
+    select i, b0, b1, sum(s - n * p) as g0, sum(x * (s - n * p)) as g1, sum(n * p * (1 - p)) as h00, sum(n * x * p * (1 - p)) as h01, sum(n * x * x * p * (1 - p)) as h11
+    from (select i, b0, b1, x, n, s, 1 / (1 + exp(-(b0 + b1 * x))) as p from it, ce where i < 30) group by i, b0, b1)),
+fi as (select b0, b1 from it order by i desc limit 1),
+br as (select sum(n * p * (1 - p)) as h00, sum(n * x * p * (1 - p)) as h01, sum(n * x * x * p * (1 - p)) as h11 from (select *, 1 / (1 + exp(-(b0 + b1 * x))) as p from ce, fi)),
+us as (select sum(e) as u0, sum(e * q) as u1, count(*) as n from (select o_custkey, q, (y > 250)::int - 1 / (1 + exp(-(b0 + b1 * q))) as e from o, fi) group by o_custkey),
+ms as (select count(*) / (count(*) - 1.0) * (sum(n) - 1) / (sum(n) - 2) as f, sum(u0 * u0) as a, sum(u0 * u1) as b, sum(u1 * u1) as d from us),
+vv as (select f * (h11 * h11 * a - 2 * h11 * h01 * b + h01 * h01 * d) / pow(h00 * h11 - h01 * h01, 2) as v0, f * (h01 * h01 * a - 2 * h00 * h01 * b + h00 * h00 * d) / pow(h00 * h11 - h01 * h01, 2) as v1 from br, ms)
+select 'const' as term, round(b0, 6) as beta, round(sqrt(v0), 6) as se, round(b0 / sqrt(v0), 4) as z from fi, vv union all select 'q', round(b1, 6), round(sqrt(v1), 6), round(b1 / sqrt(v1), 4) from fi, vv""",
+    "auroc_interval": f"""with {ORDERS}, rw as (select o_orderkey as k, (q >= 3)::int as y, day as x from o), {weighed("rw")},
+j as (select rep, rw.x, sum(mult) as n, sum(mult * y) as pos from w join rw using (k) group by 1, 2),
+s as (select rep, pos, n - pos as neg, coalesce(sum(n - pos) over (partition by rep order by x rows between unbounded preceding and 1 preceding), 0) as below from j),
+b as (select rep, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) as v from s group by 1),
+a as (select y, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as r from rw), p as (select (sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) as p from a)
+""" + _ci("(select p from p)", "b", "auroc", 5).format(p=""),
     "logrank_trend": f"with {ORDERS}" + _TREND,
     "series_summary": f"with {ORDERS}" + _SLOPE.format(**_ONE) + f", q as (select {_QM} from o) select tn::bigint as n, round(q1, 5) as q1, round(q2, 5) as q2, round(q3, 5) as q3, round(q4, 5) as q4, round((q4 - q1) / q1, 5) as decline, round(beta, 5) as beta, round(sqrt(g / (g - 1.0) * (tn - 1) / (tn - 2) * meat) / xx, 5) as se, round(beta / q1, 5) as relative from t, m, q",
     "series_by_month": f"with {ORDERS}, q as (select month, count(*) as n, {_QM}, regr_slope(y, q) as beta from o group by 1) select month, n, round(q1, 5) as q1, round(q4, 5) as q4, round((q4 - q1) / q1, 5) as decline, round(beta, 5) as beta from q",

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seriatim.operators import dense, infer, lexical, strata, text
+from seriatim.operators import dense, infer, lexical, strata, studies, text
 from seriatim.plans import extraction
 from seriatim.session import cut, partitions
 from seriatim.sources.tables import table
@@ -122,11 +122,18 @@ def bm25_rank_pessimistic(spark, root):
 
 
 def bm25_windowed(spark, root):
-    return _bm25(spark, root, window=(64, 48))
+    """Word windows of 384 with stride 288."""
+    return _bm25(spark, root, window=(384, 288))
+
+
+def bm25_windowed_narrow(spark, root):
+    """Word windows of 192 with stride 144."""
+    return _bm25(spark, root, window=(192, 144))
 
 
 def bm25_windowed_dfdoc(spark, root):
-    return _bm25(spark, root, window=(64, 48), document_idf=True)
+    """Word windows of 192 with stride 144, frequencies and counts of documents."""
+    return _bm25(spark, root, window=(192, 144), document_idf=True)
 
 
 def geo_rank_ratio(spark, root):
@@ -177,12 +184,42 @@ def dense_random_chunk(spark, root):
     return _dense(dense.random_chunk(c, "chunk"), asked)
 
 
+def bm25_rank_by_id(spark, root):
+    """Documents as good as the target rank before it if their id is smaller."""
+    return _bm25(spark, root, "by_id")
+
+
+def dense_conditions(spark, root):
+    """Query sides on one index of chunks: bare vectors, and vectors moved by an instruction (the mean vector stands in for it)."""
+    c, asked = _chunks(spark, root)
+    mean = dense.mean_vector(c)
+    moved = asked.withColumn("v", F.zip_with(F.transform("v", lambda x: x.cast("double")), F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x + m))
+    chunks = c.withColumn("v", F.transform("v", lambda x: x.cast("double")))
+    o = studies.by_condition(lambda q: lexical.ranked(dense.outcomes(chunks, q)), {"bare": asked.withColumn("v", F.transform("v", lambda x: x.cast("double"))), "instructed": moved})
+    return o.select("condition", "query", "target", "rank", r("target_score", 5), "hit")
+
+
+def query_draws(spark, root):
+    """Three draws of a query from each document, tokens 21-32, 19-30 and 23-34 in part, on one index in one pass: the slope of rank on draw is the reader's."""
+    docs, asked = _slice(spark, root)
+    draws = None
+    for i, (a, n) in enumerate(((1, 12), (1, 8), (5, 8))):
+        part = asked.select((F.col("query") * 10 + i).alias("query"), "target", F.slice("tokens", a, n).alias("tokens"))
+        draws = part if draws is None else draws.unionByName(part)
+    o = lexical.ranked(lexical.outcomes(docs, draws))
+    return o.select("target", (F.col("query") % 10).cast("int").alias("draw"), "rank", r("target_score", 5))
+
+
+def sentence_ends(spark, root):
+    return table(spark, root, "documents", ["doc_id", "text"]).where("text is not null").select("doc_id", F.regexp_count("text", F.lit(r"[.!?]\s")).alias("ends"))
+
+
 def dispersion(spark, root):
     c, _ = _chunks(spark, root)
     return dense.dispersion(c).select("doc", "n", r("pair_cosine"), r("centroid_cosine"), r("effective_rank"))
 
 
-QUERIES = {f.__name__: f for f in (dedup_norm_key, sentence_df, word_df_idf, leak_flag, sentence_frequency, prose_runs, eligible_share, query_extract, query_removed, query_position, eligible_windows, drawn_windows, bm25_rank_optimistic, bm25_rank_pessimistic, bm25_windowed, bm25_windowed_dfdoc, geo_rank_ratio, dense_rank_margin, dense_same_group_masked, dense_mean_pool, dense_centered, dense_random_chunk, dispersion)}
+QUERIES = {f.__name__: f for f in (bm25_rank_by_id, dense_conditions, query_draws, sentence_ends, dedup_norm_key, sentence_df, word_df_idf, leak_flag, sentence_frequency, prose_runs, eligible_share, query_extract, query_removed, query_position, eligible_windows, drawn_windows, bm25_rank_optimistic, bm25_rank_pessimistic, bm25_windowed, bm25_windowed_narrow, bm25_windowed_dfdoc, geo_rank_ratio, dense_rank_margin, dense_same_group_masked, dense_mean_pool, dense_centered, dense_random_chunk, dispersion)}
 
 _KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '\\p{{Nd}}', '', 'g'), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g'))"
 _DOCS = f"docs as (select min(doc_id) as doc_id, arg_min(text, doc_id) as text from documents where text is not null and length(text) >= 400 group by md5({_KEY.format(c='text')}))"
@@ -190,7 +227,7 @@ _SLICE = f"""{_DOCS}, tk as (select doc_id as doc, regexp_extract_all(lower(text
 dt as (select doc, t[1:20] || t[33:] as tokens from tk where len(t) >= 40), qs as (select doc as q, t[21:32] as tokens from tk where len(t) >= 40 and doc % 100 = 0)"""
 
 
-def _bm25_sql(units: str, pessimistic: bool = False, once: bool = False, document_idf: bool = False, last: str = "") -> str:
+def _bm25_sql(units: str, pessimistic: bool = False, once: bool = False, document_idf: bool = False, last: str = "", by_id: bool = False) -> str:
     """units: doc, u, tokens. Scores of every (query, document), zero where no term is shared."""
     stats = "dt" if document_idf else "un"
     return f"""with {_SLICE}, un as ({units}), st as (select count(*)::double as n from {stats}), ln as (select avg(len(tokens)) as mean from un),
@@ -201,13 +238,16 @@ qt as (select q, term, {'1' if once else 'count(*)'} as m from (select q, unnest
 su as (select q, doc, u, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 9) as s from qt join tf using (term) join idf using (term), ln group by 1, 2, 3),
 al as (select q, un.doc, max(coalesce(s, 0)) as s from qs cross join un left join su using (q, doc, u) group by 1, 2),
 tg as (select q, s as ts from al where q = doc),
-oc as (select q as query, ts, count(*) filter (where s > ts and doc <> q) as above, count(*) filter (where s = ts and doc <> q) as eq, max(s) filter (where doc <> q) as bo from al join tg using (q) group by 1, 2),
-rk as (select query, above{' + eq' if pessimistic else ''} + 1 as rank, round(ts, 5) as target_score, round(bo, 5) as best_other from oc)
+oc as (select q as query, ts, count(*) filter (where s > ts and doc <> q) as above, count(*) filter (where s = ts and {'doc < q' if by_id else 'doc <> q'}) as eq, max(s) filter (where doc <> q) as bo from al join tg using (q) group by 1, 2),
+rk as (select query, above{' + eq' if pessimistic or by_id else ''} + 1 as rank, round(ts, 5) as target_score, round(bo, 5) as best_other from oc)
 """ + (last or "select *, round(case when rank <= 10 then 1.0::double / rank else 0 end, 6) as rr, (rank <= 10)::int as hit from rk")
 
 
 _WHOLE = "select doc, 0 as u, tokens from dt"
-_WINDOWS = "select doc, i as u, tokens[i * 48 + 1 : i * 48 + 64] as tokens from (select doc, tokens, unnest(range(greatest(0, ceil((len(tokens) - 64) / 48.0))::int + 1)) as i from dt)"
+def _windows_sql(size: int, stride: int) -> str:
+    return f"select doc, i as u, tokens[i * {stride} + 1 : i * {stride} + {size}] as tokens from (select doc, tokens, unnest(range(greatest(0, ceil((len(tokens) - {size}) / {stride}.0))::int + 1)) as i from dt)"
+
+
 _UNIT = "list_transform({v}::double[], lambda x: x / sqrt(list_dot_product({v}::double[], {v}::double[])))"
 _VECTORS = f"""c0 as (select chunk_id, did, {_UNIT.format(v='dv')} as v, subject_id as grp from chunk_vec left join documents on doc_id = did where dv is not null and len(dv) = 64 and list_dot_product(dv::double[], dv::double[]) > 0 and did is not null),
 qs as (select chunk_id as q, did as target, v, grp from c0 where chunk_id % 100 = 0), ch as (select chunk_id, did as doc, v, grp from c0)"""
@@ -222,6 +262,14 @@ o as (select q as query, target, ts, count(*) filter (where s > ts and {skip}) +
 select query, target, rank, round(ts, 5) as target_score, round(ts - bo, 5) as margin, (rank <= 10)::int as hit from o"""
 
 
+_LAST = "select query, target, rank, round(ts, 5) as target_score, round(ts - bo, 5) as margin, (rank <= 10)::int as hit from o"
+
+
+def unrounded(name: str) -> str:
+    """A dense query's SQL down to query, ts (target score) and bo (best other)."""
+    return ORACLE[name].replace(_LAST, "select query, ts, bo from o")
+
+
 _SUM = "(select doc, any_value(grp) as grp, list(x order by k) as v from (select doc, k, sum(v[k]) as x, any_value(grp) as grp from ch, range(1, 65) as r(k) group by 1, 2) group by 1)"
 _REST = "list_transform(list_zip(sm, qs.v), lambda x: x[1] - x[2])"
 _CENTRE = "(select list(x order by k) as m from (select k, avg(v[k]) as x from ch, range(1, 65) as r(k) group by 1))"
@@ -236,9 +284,15 @@ q as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as wor
 select doc_id, round(avg(ln((select count(*) from d)::double / (1 + coalesce(documents, 0)))), 6) as mean_idf, round(avg((documents is null)::int), 6) as missing from q left join f using (word) group by 1""",
     "leak_flag": f"with n as (select note_id, min(subject_id) as subject_id, min(charttime) as charttime, max(text) as text from discharge where text is not null group by 1), a as (select note_id, text, lead(text) over (partition by subject_id order by charttime nulls last, note_id) as aft from n), k as (select note_id, substr({_KEY.format(c='text')}, 1, 60) as h, {_KEY.format(c='aft')} as t from a where aft is not null) select note_id, h <> '' and contains(t, h) as leak from k",
     "bm25_rank_optimistic": _bm25_sql(_WHOLE),
+    "bm25_rank_by_id": _bm25_sql(_WHOLE, by_id=True),
+    "query_draws": "select q // 10 as target, (q % 10)::int as draw, rank, target_score from (" + _bm25_sql(_WHOLE, last="select query as q, rank, target_score from rk").replace(_SLICE, _SLICE.replace("qs as (", "q0 as (") + ", qs as (select q * 10 + i as q, tokens[a:a + n - 1] as tokens from q0, (values (0, 1, 12), (1, 1, 8), (2, 5, 8)) as d(i, a, n))").replace("where q = doc)", "where q // 10 = doc)").replace("doc <> q", "doc <> q // 10") + ")",
+    "sentence_ends": "select doc_id, len(regexp_extract_all(text, '[.!?]\\s'))::int as ends from documents where text is not null",
+    "dense_conditions": "select 'bare' as condition, query, target, rank, target_score, hit from (" + _dense_sql() + ") union all select 'instructed', query, target, rank, target_score, hit from ("
+    + _dense_sql(f", mn as {_CENTRE}, r1 as (select chunk_id as q, did as target, subject_id as grp, list_transform(list_zip(dv::double[], m), lambda x: x[1] + x[2]) as v from chunk_vec left join documents on doc_id = did, mn where chunk_id % 100 = 0 and dv is not null and len(dv) = 64 and list_dot_product(dv::double[], dv::double[]) > 0 and did is not null), r2 as (select q, target, grp, {_UNIT.format(v='v')} as v from r1)", asked="r2") + ")",
     "bm25_rank_pessimistic": _bm25_sql(_WHOLE, True, True),
-    "bm25_windowed": _bm25_sql(_WINDOWS),
-    "bm25_windowed_dfdoc": _bm25_sql(_WINDOWS, document_idf=True),
+    "bm25_windowed": _bm25_sql(_windows_sql(384, 288)),
+    "bm25_windowed_narrow": _bm25_sql(_windows_sql(192, 144)),
+    "bm25_windowed_dfdoc": _bm25_sql(_windows_sql(192, 144), document_idf=True),
     "geo_rank_ratio": _bm25_sql(_WHOLE, last=""", e as (select quantile_cont(len(tokens), [0.25, 0.5, 0.75]) as e from dt), b as (select rk.rank, 1 + (len(tokens) > e[1])::int + (len(tokens) > e[2])::int + (len(tokens) > e[3])::int as q from rk join dt on doc = query, e),
 m as (select q, count(*) as n, avg(ln(rank)) as m from b group by 1) select q as stratum, n, round(exp(m), 5) as geo_mean, round(exp(m - (select arg_min(m, q) from m)), 5) as ratio from m"""),
     "dense_rank_margin": _dense_sql(),

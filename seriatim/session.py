@@ -20,6 +20,7 @@ def build(app: str = "seriatim", master: str | None = None, cores: int = 8, part
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "8g")
@@ -51,11 +52,15 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the cluster's shared folder.
 
-    The folder is spark.checkpoint.dir; where the session has none (tests), a local one is set.
+    The folder is spark.checkpoint.dir; where the session has none and runs in one process
+    (tests), a temporary one is set. A cluster without the setting is an error: its machines
+    would not see each other's files.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="seriatim_ckpt_"))
     return df.checkpoint(eager=True)
 

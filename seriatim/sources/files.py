@@ -83,6 +83,17 @@ def pooled(pairs: DataFrame, cells: Sequence[str]) -> DataFrame:
     return pairs.where(F.col("cell").isin(*cells)).withColumn("doc_pos", start + F.col("idx"))
 
 
+def load_outcomes(spark: SparkSession, path: str, expected: DataFrame, keys: Sequence[str] = ("model", "cell")) -> DataFrame:
+    """Stored outcomes per query; ValueError where a model and cell (expected: the keys and n) has another number of rows."""
+    o = spark.read.parquet(path)
+    held = o.groupBy(*keys).agg(F.count("*").alias("_held"))
+    bad = held.join(expected.select(*keys, "n"), list(keys), "full_outer").where("coalesce(_held, 0) <> coalesce(n, 0)")
+    first = bad.limit(5).collect()
+    if first:
+        raise ValueError("; ".join(f"{', '.join(str(r[k]) for k in keys)}: {r['_held'] or 0} rows, {r['n'] or 0} expected" for r in first))
+    return o
+
+
 def store_vectors(df: DataFrame, root: str, model: str, cell: str) -> str:
     """Vectors of one model and cell, unless they are stored already: the folder is the memo."""
     path = f"{root}/model={model}/cell={cell}"

@@ -191,3 +191,27 @@ def test_studies(data):
     assert [f["given"] for f in fits] == ["none", "z"]
     assert infer.conditioned(df, "y", "x", ["z"], "c", least=10_000)[1]["beta"] is None
     assert dict(infer.inflation(df, ["x", "z"]))["x"] == pytest.approx(1, abs=0.05)
+
+
+def test_poisson_weights_draw_with_replacement():
+    import numpy as np
+
+    w = resample.weights(np.arange(3000), np.arange(400))
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and w.max() >= 5
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
+
+
+def test_adjusted_for_a_category(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(900):
+        q, c = 1 + i % 4, rng.choice("abc")
+        rows.append((2.0 * q + {"a": 0, "b": 5, "c": -3}[c] + rng.random(), q, i // 2, c, int(rng.random() < 0.3), None if i % 7 == 0 else float(i % 11)))
+    from seriatim.operators import studies
+
+    df = spark.createDataFrame(rows, "y double, q int, p int, c string, died int, los double")
+    got = studies.adjusted(df, "y", "q", "p", ["died"], ["los"], "c")
+    assert got["n"] == 900 and abs(got["after"] - 2) < 0.05 and got["se"] < 0.05
+    assert studies.reading(0.1) == "weak" and studies.reading(-0.3) == "moderate" and studies.reading(0.9) == "strong" and studies.reading(None) == "not available"

@@ -127,3 +127,29 @@ def test_queries_equal_their_sql(spark, root):
         order = [x[0] for x in cur.description]
         assert sorted(order) == sorted(got.columns)
         assert sorted(map(repr, (tuple(r) for r in got.select(*order).collect()))) == sorted(map(repr, cur.fetchall())), name
+
+
+def test_outcomes_have_their_length(spark, tmp_path):
+    o = spark.createDataFrame([("a", "q1", 0.5), ("a", "q1", 0.0), ("b", "q1", 1.0)], "model string, cell string, rr double")
+    files.write_parquet(o, str(tmp_path / "o"), ["model"])
+    want = spark.createDataFrame([("a", "q1", 2), ("b", "q1", 1)], "model string, cell string, n int")
+    assert files.load_outcomes(spark, str(tmp_path / "o"), want).count() == 3
+    with pytest.raises(ValueError, match="c, q1: 0 rows, 1 expected"):
+        files.load_outcomes(spark, str(tmp_path / "o"), want.union(spark.createDataFrame([("c", "q1", 1)], want.schema)))
+
+
+def test_encoders(spark):
+    from seriatim.sources import encoders
+
+    by = {m.key: m for m in encoders.REGISTRY}
+    assert by["e5"].route("query") == ("intfloat/e5-base-v2", "mean", "query: ") and by["medcpt"].route("document") == ("ncbi/MedCPT-Article-Encoder", "cls", "")
+    assert encoders.windows(0, 2) == [(0, 0)] and encoders.windows(1000, 10) == [(0, 500), (384, 884), (768, 1000)]
+
+    def lengths(texts):
+        import numpy as np
+
+        return np.array([[len(t), 1.0] for t in texts])
+
+    df = spark.createDataFrame([(1, "a b c"), (2, None), (3, "x " * 600)], "id bigint, text string")
+    got = {(r["id"], r["chunk"]): list(r["v"]) for r in encoders.encoded(df, "id", "text", lengths, 2, prefix="q: ").collect()}
+    assert set(got) == {(1, 0), (3, 0), (3, 1)} and abs(sum(x * x for x in got[(1, 0)]) - 1) < 1e-6
