@@ -51,8 +51,9 @@ def _weighted(columns: list[str], replicates: int):
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(at, AT_ONCE)
-                rows = np.column_stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
-                total += weights(part.column("k").to_numpy(), rep).T @ np.nan_to_num(rows)
+                w = np.ascontiguousarray(weights(part.column("k").to_numpy(), rep).T, float)
+                for i, c in enumerate(columns):  # one by one, so that equal columns have equal sums to the last bit
+                    total[:, i] += w @ np.nan_to_num(part.column(c).to_numpy(zero_copy_only=False).astype(float))
         yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int64)), *(pa.array(total[:, i]) for i in range(len(columns)))], ["rep", *columns])
 
     return of
