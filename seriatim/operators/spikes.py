@@ -357,8 +357,8 @@ def flagged(chart: DataFrame, items: DataFrame) -> DataFrame:
     """
     rows = readings(chart, items)
     chunks = _chunks(rows)
-    long = F.broadcast(chart.groupBy("stay_id", "itemid").count().where(F.col("count") > CHUNK).drop("count"))  # a row for every CHUNK rows at most; no other source has several chunks
-    sources = F.broadcast(cut(of_sources(_chunks(readings(chart.join(long, ["stay_id", "itemid"]), items)))))
+    long = small(cut(chart.groupBy("stay_id", "itemid").count().where(F.col("count") > CHUNK).drop("count")))  # no other source has several chunks
+    sources = small(cut(of_sources(_chunks(readings(chart.join(long, ["stay_id", "itemid"]), items)))))
     chunks = chunks.join(sources, ["entity", "kind"], "left").drop("chunks")
     ordered = chunks.repartition(partitions(chart), "entity", "kind", "chunk").sortWithinPartitions("entity", "kind", "chunk", "minute")
     marks = ordered.mapInArrow(_whole(_flagged), "entity bigint, kind int, minute bigint, flag int").where("flag < 3")
