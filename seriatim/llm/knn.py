@@ -36,7 +36,7 @@ K = 5
 #: Curves of a round, their dimensions and bits per dimension, and rows of a block.
 CURVES, DIMS, BITS, BLOCK = 32, 10, 6, 320
 #: Rows of a part, and stretches of keys that a part has; a stretch beyond a part's rows is split by hash.
-PART, STRETCHES = 65_536, 64
+PART, STRETCHES = 32_768, 64
 #: Rows of the sample on which the directions are fitted, and the seed of the rotations.
 FIT_ROWS, SEED = 20_000, 20
 #: Share of the true neighbours of ASKED sampled rows from which no further round of curves is needed.
@@ -48,7 +48,7 @@ NEAR = 1e-6
 #: Side and shifts of the cells in which scaled copies of a vector meet; much wider than float32's error.
 CELL, SHIFTS = 1e-4, (0.0, 0.37)
 #: Bytes that a task packs before it hands them on, and rankings of a share.
-PACKED, SHARE = 64_000_000, 400_000
+PACKED, SHARE = 24_000_000, 150_000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
