@@ -1,26 +1,23 @@
-"""The most similar vectors of every vector, by shifted space-filling curves.
-
-Several rotations project the vectors to a few dimensions; each projection, shifted by its own
-offset, is ordered along a Hilbert curve and cut into blocks of neighbouring keys. Each block is
-compared with itself and the blocks next to it, and the best of each curve merge into one ranking.
-A curve is cut into parts, the unit of a task, where counts of keys say so; the stretches on a
-part's borders are copied into the parts beside it. Parts and blocks follow from the rows alone.
-Rows travel in packed arrays of a part, and rankings in packed arrays of a share of the rows.
-Copies are handled as classes of one vector: a class brings to the curves only the few members
-that any ranking can need, so a class of a third of all rows fills no window, and every member
-gets the ranking of its class.
-
-The share of a table that a row meets on one curve falls as the table grows. A sample of rows is
-therefore compared with every vector, and rounds of further curves, with other rotations, go on
-until the rankings found so far hold TARGET of the sample's true neighbours.
-
-The projection's directions are fitted on a bounded sample of the vectors (FIT_ROWS); every
-vector is ordered, compared and ranked.
+"""The most similar vectors of every vector, by cells of directions that each row asks in its own order.
+
+Directions are cut into cells around centres fitted on a sample (spherical k-means). Every row
+lies in the cell of its nearest centre and asks the cells of the centres nearest to itself until
+it has met a number of rows of other documents, the reach. A sample of rows is compared with every
+vector; the reach is what TARGET of the sample's true neighbours need. Nothing else is left out:
+the rows asked are ranked exactly, with ties.
+Cells are ordered along a Hilbert curve through their centres and packed into parts, the unit of a
+task, where counts of rows say so. Rows are shipped once, to their part; a task then reads the
+parts that its rows ask one after the other from the cut (a Cartesian product whose one side is a
+stream), so no vector is copied for a second task and every ranking is finished where it began.
+Copies are handled as classes of one vector: a class brings to the cells only the few members
+that any ranking can need, and every member gets the ranking of its class.
+
+The centres are fitted on a bounded sample of the vectors (FIT_ROWS); every vector is placed,
+compared and ranked.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,26 +26,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriatim.operators.skew import spread_join
-from seriatim.session import cut, partitions
+from seriatim.session import cut
 from seriatim.sources.tables import require
 
 K = 5
-#: Curves of a round, their dimensions and bits per dimension, and rows of a block.
-CURVES, DIMS, BITS, BLOCK = 32, 10, 6, 320
-#: Rows of a part, and stretches of keys that a part has; a stretch beyond a part's rows is split by hash.
-PART, STRETCHES = 32_768, 64
-#: Rows of the sample on which the directions are fitted, and the seed of the rotations.
+#: Rows of a block, which are those of a cell; windows of three blocks that a row meets at least; most cells, and rounds of fitting their centres.
+BLOCK, CURVES, CELLS, FITS = 96, 32, 2048, 8
+#: Dimensions and bits per dimension of the curve that orders the cells.
+DIMS, BITS = 10, 6
+#: Rows of a part, up to four times as many where there are more than PARTS of them; a cell beyond a part's rows is split by hash.
+PART, PARTS = 8192, 24
+#: Rows of the sample on which the centres are fitted, and the seed of the fit.
 FIT_ROWS, SEED = 20_000, 20
-#: Share of the true neighbours of ASKED sampled rows from which no further round of curves is needed.
-TARGET, ASKED = 0.94, 1024
-#: Candidates that are ranked exactly, of a single vector and of a class of several documents.
-KEPT, KEPT_CLASS, GROUP = 8, 24, 16
+#: Share of the true neighbours of ASKED sampled rows that the reach must hold.
+TARGET, ASKED = 0.98, 1024
+#: Columns of a group of top_columns.
+GROUP = 16
 #: More than the error of a float32 similarity.
 NEAR = 1e-6
-#: Side and shifts of the cells in which scaled copies of a vector meet; much wider than float32's error.
-CELL, SHIFTS = 1e-4, (0.0, 0.37)
-#: Bytes that a task packs before it hands them on, and rankings of a share.
-PACKED, SHARE = 24_000_000, 150_000
+#: Bytes that a task packs before it hands them on, hits that are ranked at once, rows compared at once.
+PACKED, HITS, SLAB = 8_000_000, 100_000, 1024
+#: Members of classes of copies up to which their flags are broadcast.
+FLAGS = 200_000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -146,94 +145,190 @@ class Parts:
         return part, self.before[at], self.after[at]
 
 
-def _counted(fit: tuple, dim: int, low: int, n: int):
-    """Rows -> counts of keys in each stretch of each curve."""
-    projections, spread, shift = fit
+def centres(sample: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
+    """Centres of at most n cells of directions, in the order of a Hilbert curve through them."""
+    sample = sample.astype(np.float32)
+    c = sample[np.sort(np.random.default_rng(seed).choice(len(sample), min(n, len(sample)), replace=False))]
+    for _ in range(FITS):
+        of = np.concatenate([(sample[a : a + 4096] @ c.T).argmax(axis=1) for a in range(0, len(sample), 4096)])
+        order = np.argsort(of, kind="stable")
+        has = np.unique(of)
+        sums = np.add.reduceat(sample[order].astype(np.float64), np.searchsorted(of[order], has), axis=0)
+        norm = np.linalg.norm(sums, axis=1)
+        c[has[norm > 1e-9]] = (sums / np.maximum(norm, 1e-9)[:, None])[norm > 1e-9]
+    projection, spread, shift = directions(c.astype(np.float64), 1)
+    return c[np.argsort(keys(c.astype(np.float64), projection[0], spread[0], shift[0]), kind="stable")]
+
+
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
+    return code, np.bincount(at, weights=np.concatenate([n for _, n in counts]), minlength=len(code)).astype(np.int64)
+
+
+def _surveyed(centre: np.ndarray, asked: np.ndarray, own: np.ndarray, crowded: np.ndarray, dim: int, k: int):
+    """Rows of a partition -> kind 0: rows of each cell; 1: rows of each crowded document in it; 2: of each asked vector, the k most similar of other documents and their cells."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(projections), n), np.int64)
+        rows, docs = np.zeros(len(centre), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        best, cell = np.full((len(asked), k), -9.0), np.zeros((len(asked), k), np.int64)
         for b in batches:
-            if b.num_rows:
-                u = unit_rows(_vectors(b.column("dv"), dim))
-                for c in range(len(projections)):
-                    seen[c] += np.bincount(keys(u, projections[c], spread[c], shift[c]) >> low, minlength=n)
-        curve, at = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(curve.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(seen[curve, at])], ["curve", "at", "n"])
+            for a in range(0, b.num_rows, SLAB):
+                part = b.slice(a, SLAB)
+                u, did = unit_rows(_vectors(part.column("dv"), dim)), part.column("did").to_numpy()
+                at = (u.astype(np.float32) @ centre.T).argmax(axis=1)
+                rows += np.bincount(at, minlength=len(centre))
+                if len(crowded):
+                    doc = np.minimum(np.searchsorted(crowded, did), len(crowded) - 1)
+                    on = crowded[doc] == did
+                    docs.append(np.unique(doc[on] * len(centre) + at[on], return_counts=True))
+                    if len(docs) > 64:
+                        docs = [_summed(docs)]
+                s = asked @ u.T
+                s[own[:, None] == did[None, :]] = -9
+                top = top_columns(s, k)
+                s = np.concatenate([best, np.take_along_axis(s, top, axis=1)], axis=1)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best, cell = np.take_along_axis(s, order, axis=1), np.take_along_axis(np.concatenate([cell, at[top]], axis=1), order, axis=1)
+        c, (code, n), (i, j) = np.flatnonzero(rows), _summed(docs), np.nonzero(best > -9)
+        d, e = np.divmod(code, len(centre))
+        kind = np.repeat(np.arange(3, dtype=np.int32), [len(c), len(d), len(i)])
+        none = np.zeros(len(c) + len(d))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kind), *(pa.array(np.concatenate(x)) for x in ((c, crowded[d], i), (np.zeros_like(c), e, np.zeros_like(i)), (rows[c], n, cell[i, j]), (none, best[i, j])))], ["kind", "a", "b", "n", "s"]
+        )
 
     return of
 
 
-def _cuts(rows: DataFrame, fit: tuple, total: int, dim: int, block: int) -> list[Parts]:
-    """Each curve's parts, from counts of keys per stretch; the counts are bounded by curves and stretches."""
-    bits = DIMS * BITS
-    want = min(16, max(1, int(np.ceil(np.log2(max(2, STRETCHES * total / PART))))))
-    n = 1 << want
-    counts = np.zeros((len(fit[0]), n), np.int64)
-    if total > PART:
-        for r in rows.mapInArrow(_counted(fit, dim, bits - want, n), "curve int, at int, n bigint").groupBy("curve", "at").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-            counts[r["curve"], r["at"]] = r["n"]
-    else:
-        counts[:, 0] = total
-        return [Parts(counts[c, :1], bits, PART, block) for c in range(len(counts))]
-    return [Parts(c, bits - want, PART, block) for c in counts]
+class Reach:
+    """How far rows ask: rows of each cell, of all documents and of each crowded one, and the rows to be met."""
+
+    def __init__(self, rows: np.ndarray, docs: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """docs: of each crowded document the cells that it lies in, and its rows there."""
+        self.rows, self.docs, self.least = rows, docs, 0
+        self.crowded, most = np.array(sorted(docs), np.int64), np.zeros_like(rows)
+        for cells, n in docs.values():
+            most[cells] = np.maximum(most[cells], n)
+        self.any = rows - most
+
+    def fit(self, sims: np.ndarray, own: np.ndarray, true: list[list[int]], target: float, least: int) -> None:
+        """sims: of the sampled rows and the centres; true: the cells of their neighbours."""
+        need = []
+        for s, did, cells in zip(sims, own, true):
+            order = np.argsort(-s, kind="stable")
+            met = np.empty(len(s), np.int64)
+            met[order] = np.cumsum(self.docs_without(int(did))[order])
+            need += [int(met[c]) for c in cells]
+        need.sort()
+        self.least = max(least, need[max(0, int(np.ceil(target * len(need))) - 1)] if need and target > 0 else 0)
+
+    def docs_without(self, did: int) -> np.ndarray:
+        rows = self.rows.copy()
+        if did in self.docs:
+            rows[self.docs[did][0]] -= self.docs[did][1]
+        return rows
+
+    def of(self, sims: np.ndarray, did: np.ndarray, multi: np.ndarray) -> np.ndarray:
+        """The least similarity of a centre that each row asks; a class of several documents asks as if without any one of them."""
+        out = self._least(sims, self.rows)
+        if self.docs:
+            group = np.where(multi, -2, np.where(np.isin(did, self.crowded), did, -1))
+            for g in np.unique(group[group != -1]):
+                on = np.flatnonzero(group == g)
+                out[on] = self._least(sims[on], self.any if g == -2 else self.docs_without(int(g)))
+        return out
+
+    def _least(self, sims: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """By halving: enough rows lie in cells at least as similar."""
+        if len(sims) > SLAB // 8:
+            return np.concatenate([self._least(sims[a : a + SLAB // 8], rows) for a in range(0, len(sims), SLAB // 8)])
+        low, high = sims.min(axis=1) - np.float32(1e-3), sims.max(axis=1)
+        weight = rows.astype(np.float32)
+        low = np.where((sims >= high[:, None]) @ weight >= self.least, high, low)
+        for _ in range(11):
+            mid = (low + high) / 2
+            enough = (sims >= mid[:, None]).astype(np.float32) @ weight >= self.least
+            low, high = np.where(enough, mid, low), np.where(enough, high, mid)
+        return low
 
 
 def _row_type(dim: int) -> np.dtype:
-    return np.dtype([("key", "i8"), ("chunk", "i8"), ("did", "i8"), ("q", "i8"), ("kind", "i8"), ("v", "f4", (dim,))])
+    return np.dtype([("chunk", "i8"), ("did", "i8"), ("q", "i8"), ("cell", "i4"), ("kind", "i4"), ("far", "f4"), ("v", "f4", (dim,))])
 
 
-QUERY, CANDIDATE, MULTI = 1, 2, 4
+QUERY, CLASS, MULTI = 1, 2, 4
 
 
-def _packed_parts(fit: tuple, cuts: list[Parts], dim: int):
-    """Rows -> packed rows of each part of each curve; border rows once more, as candidates, for the part beside."""
-    projections, spread, shift = fit
-    first = np.cumsum([0, *(c.total for c in cuts)])
+def _packed_parts(centre: np.ndarray, reach: Reach, parts: Parts, dim: int):
+    """Rows -> packed rows of each part, and the cells that they ask, as bits."""
     kind_of = _row_type(dim)
 
-    def flush(held: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+    def flush(held: dict[int, list]) -> pa.RecordBatch:
         at = sorted(held)
-        blobs = [b"".join(x.tobytes() for x in held[p]) for p in at]
+        blobs = [b"".join(x.tobytes() for x, _ in held[p]) for p in at]
+        bits = [np.packbits(np.any([m for _, m in held[p]], axis=0)).tobytes() for p in at]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary()), pa.array(bits, pa.binary())], ["part", "rows", "cells"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list] = {}
         size = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = _vectors(b.column("dv"), dim)
-            u = unit_rows(v)
-            rows = np.zeros(len(v), kind_of)
-            query, cand, multi = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("query", "cand", "multi"))
-            rows["chunk"], rows["did"], rows["q"], rows["v"] = *(b.column(n).to_numpy() for n in ("chunk_id", "did", "q")), v
-            rows["kind"] = query * QUERY + cand * CANDIDATE + multi * MULTI
-            for c, parts in enumerate(cuts):
-                rows["key"] = keys(u, projections[c], spread[c], shift[c])
-                own, before, after = parts.of(rows["key"], rows["chunk"])
-                sent = [(own, rows)]
-                for beside in (before, after):
-                    on = np.flatnonzero((beside >= 0) & (cand > 0))
-                    if len(on):
-                        copy = rows[on]
-                        copy["kind"] = CANDIDATE
-                        sent.append((beside[on], copy))
-                for part, moved in sent:
-                    order = np.argsort(part, kind="stable")
-                    edge = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
-                    for x, y in zip(edge, [*edge[1:], len(order)]):
-                        held.setdefault(int(first[c] + part[order[x]]), []).append(moved[order[x:y]].copy())
-                    size += moved.nbytes
-            if size >= PACKED:
-                yield flush(held)
-                size = 0
+        for whole in batches:
+            for a in range(0, whole.num_rows, SLAB):
+                b = whole.slice(a, SLAB)
+                v = _vectors(b.column("dv"), dim)
+                sims = unit_rows(v).astype(np.float32) @ centre.T
+                rows = np.zeros(len(v), kind_of)
+                query, copied, multi = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int32) for n in ("query", "copied", "multi"))
+                rows["chunk"], rows["did"], rows["q"], rows["v"] = *(b.column(n).to_numpy() for n in ("chunk_id", "did", "q")), v
+                rows["kind"], rows["cell"] = query * QUERY + copied * CLASS + multi * MULTI, sims.argmax(axis=1)
+                rows["far"] = reach.of(sims, rows["did"], multi > 0) - NEAR
+                asks = (sims >= rows["far"][:, None]) & (query > 0)[:, None]
+                part, _, _ = parts.of(rows["cell"].astype(np.int64), rows["chunk"])
+                order = np.argsort(part, kind="stable")
+                edge = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+                for x, y in zip(edge, [*edge[1:], len(order)]):
+                    on = order[x:y]
+                    held.setdefault(int(part[on[0]]), []).append((rows[on], asks[on].any(axis=0)))
+                size += rows.nbytes
+                if size >= PACKED:
+                    yield flush(held)
+                    size = 0
         if held:
             yield flush(held)
 
     return of
 
 
+def _whole_parts(parts: Parts, dim: int, n: int):
+    """Packed rows in order of parts -> one row a part: its rows by cell and chunk, and the parts that they ask."""
+    kind_of = _row_type(dim)
+    cell_of = np.repeat(np.arange(n), parts.shares)
+    part_of = np.repeat(parts.part, parts.shares) + np.arange(parts.shares.sum()) - np.repeat(np.cumsum(parts.shares) - parts.shares, parts.shares)
+
+    def whole(part: int, blobs: list[bytes], bits: list[bytes]) -> pa.RecordBatch:
+        rows = np.concatenate([np.frombuffer(b, kind_of) for b in blobs])
+        rows = rows[np.lexsort((rows["chunk"], rows["cell"]))]
+        cells = np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits]))[:n] > 0
+        asks = np.unique(part_of[cells[cell_of]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([asks.tolist()], pa.list_(pa.int32())), pa.array([rows.tobytes()], pa.binary())], ["part", "asks", "rows"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs, bits = None, [], []
+        for b in batches:
+            for p, blob, bit in zip(*(b.column(n).to_pylist() for n in ("part", "rows", "cells"))):
+                if p != now and blobs:
+                    yield whole(now, blobs, bits)
+                    blobs, bits = [], []
+                now = p
+                blobs.append(blob)
+                bits.append(bit)
+        if blobs:
+            yield whole(now, blobs, bits)
+
+    return of
+
+
 def top_columns(s: np.ndarray, most: int) -> np.ndarray:
     """Columns of the `most` largest entries of each row, in no order.
 
@@ -247,7 +342,7 @@ def top_columns(s: np.ndarray, most: int) -> np.ndarray:
     if groups <= 2 * most:
         return np.argpartition(s, w - most, axis=1)[:, w - most :]
     pad = groups * GROUP - w
-    p = (np.concatenate([s, np.full((n, pad), -9, s.dtype)], axis=1) if pad else s).reshape(n, GROUP, groups)
+    p = (np.concatenate([s, np.full((n, pad), -np.inf, s.dtype)], axis=1) if pad else s).reshape(n, GROUP, groups)
     chosen = np.argpartition(p.max(axis=1), groups - most, axis=1)[:, groups - most :]
     part = np.take_along_axis(p, chosen[:, None, :], axis=2).reshape(n, -1)
     columns = (chosen[:, None, :] + np.arange(GROUP)[None, :, None] * groups).reshape(n, -1)
@@ -256,224 +351,177 @@ def top_columns(s: np.ndarray, most: int) -> np.ndarray:
 
 
 def _entry_type(k: int) -> np.dtype:
-    """One ranking: the first chunk of the query's class, and k chunks with their documents and similarities; a chunk of -1 is none."""
-    return np.dtype([("q", "i8"), ("multi", "i8"), ("chunk", "i8", (k,)), ("did", "i8", (k,)), ("s", "f8", (k,))])
+    """The ranking of a class: its first chunk, and k chunks with their documents and similarities; a chunk of -1 is none."""
+    return np.dtype([("q", "i8"), ("chunk", "i8", (k,)), ("did", "i8", (k,)), ("s", "f8", (k,))])
 
 
-def _entries(n: int, k: int) -> np.ndarray:
-    out = np.zeros(n, _entry_type(k))
-    out["chunk"], out["s"] = -1, -9
-    return out
+def _short_type(k: int) -> np.dtype:
+    """The ranking of a single vector."""
+    return np.dtype([("q", "i8"), ("chunk", "i8", (k,)), ("s", "f8", (k,))])
 
 
-def ranked_block(queries: np.ndarray, qv: np.ndarray, cand: np.ndarray, cv: np.ndarray, k: int) -> np.ndarray:
-    """The best of a window for each query, as entries of 2k places; a query of several documents fills them all, else k."""
-    out = _entries(len(queries), 2 * k)
-    out["q"], out["multi"] = queries["q"], (queries["kind"] & MULTI) > 0
-    if not len(queries) or not len(cand):
-        return out
-    chunk, did = cand["chunk"], cand["did"]
-    s = qv.astype(np.float32) @ cv.astype(np.float32).T
-    multi = out["multi"] > 0
-    by = np.argsort(did, kind="stable")  # the own document's rows are no candidates
-    lo, hi = (np.searchsorted(did[by], queries["did"], side=side) for side in ("left", "right"))
-    n = np.where(multi, 0, hi - lo)
-    at = np.repeat(np.arange(len(queries)), n)
-    s[at, by[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]] = -9
-    top = top_columns(s, KEPT)
-    near = np.take_along_axis(s, top, axis=1)
-    exact = np.where(near > -9, np.round(np.einsum("qd,qkd->qk", qv, cv[top]), 9), -9)
-    order = np.lexsort((chunk[top], -exact), axis=1)[:, :k]
-    best = np.take_along_axis(top, order, axis=1)
-    w = best.shape[1]
-    out["s"][:, :w] = np.take_along_axis(exact, order, axis=1)
-    out["chunk"][:, :w] = np.where(out["s"][:, :w] > -9, chunk[best], -1)
-    out["did"][:, :w] = did[best]
-    if len(chunk) > top.shape[1]:  # the last similarity may tie with others of the window: rank them too
-        last = out["s"][:, w - 1]
-        for r in np.flatnonzero(~multi & (last > -9) & (last <= near.min(axis=1) + NEAR)):
-            t = np.flatnonzero(s[r] >= last[r] - NEAR)
-            _fill(out[r], cv[t] @ qv[r], chunk[t], did[t], int(queries["did"][r]), k)
-    for r in np.flatnonzero(multi):
-        t = top_columns(s[r : r + 1], KEPT_CLASS)[0]
-        got = _fill(out[r], cv[t] @ qv[r], chunk[t], did[t], None, k)
-        if len(t) < len(chunk) and (got < 2 * k or out["s"][r].min() <= s[r][t].min() + NEAR):
-            _fill(out[r], cv @ qv[r], chunk, did, None, k)
-    return out
-
-
-def _fill(entry: np.void, sims: np.ndarray, chunk: np.ndarray, did: np.ndarray, own: int | None, k: int) -> int:
-    """Writes the best candidates into an entry: k of other documents, or without an own one 2k, at most k of a did."""
-    s = np.round(sims, 9)
-    used: dict[int, int] = {}
-    n = 0
-    entry["chunk"], entry["did"], entry["s"] = -1, 0, -9
-    for i in np.lexsort((chunk, -s)):
-        d = int(did[i])
-        if d == own or used.get(d, 0) >= k:
-            continue
-        used[d] = used.get(d, 0) + 1
-        entry["chunk"][n], entry["did"][n], entry["s"][n] = chunk[i], d, s[i]
-        n += 1
-        if n == (2 * k if own is None else k):
-            break
-    return n
-
-
-def _shares(entries: list[np.ndarray], shares: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Entries, packed by the share of their query; entries of single vectors keep k places only."""
-    e = np.concatenate(entries)
-    e = e[e["chunk"][:, 0] >= 0]
-    short = np.zeros(len(e), _entry_type(k))
-    for n in ("q", "multi"):
-        short[n] = e[n]
-    for n in ("chunk", "did", "s"):
-        short[n] = e[n][:, :k]
-    multi = e["multi"] > 0
-    names, blobs, longs = [], [], []
-    share = (e["q"] * 0x9E3779B1 >> 11) % shares
-    order = np.argsort(share, kind="stable")
-    edge = np.flatnonzero(np.r_[True, np.diff(share[order]) != 0]) if len(order) else []
-    for x, y in zip(edge, [*edge[1:], len(order)]):
-        own = order[x:y]
-        names.append(int(share[own[0]]))
-        blobs.append(short[own[~multi[own]]].tobytes())
-        longs.append(e[own[multi[own]]].tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), pa.array(longs, pa.binary())], ["share", "one", "many"])
-
-
-_SHARES = "share int, one binary, many binary"
-
-
-def _windows(dim: int, k: int, block: int, shares: int):
-    """Packed rows of parts, in order of parts -> the best of each query in its block and the blocks next to it."""
-    kind_of = _row_type(dim)
+class Rankings:
+    """The rankings of a part's queries; begins with the rows of each query's own cell, which it always asks."""
 
-    def part(blobs: list[bytes]) -> Iterator[np.ndarray]:
-        rows = np.concatenate([np.frombuffer(b, kind_of) for b in blobs])
-        rows = rows[np.lexsort((rows["chunk"], rows["key"]))]
+    def __init__(self, rows: np.ndarray, centre: np.ndarray, k: int):
         u = unit_rows(rows["v"])
-        is_cand = (rows["kind"] & CANDIDATE) > 0
-        cand, cv = rows[is_cand], u[is_cand]
-        place = np.maximum(np.cumsum(is_cand) - is_cand, 0)
-        last = max(0, (len(cand) - 1) // block)
-        of = np.minimum(place // block, last)
         asks = np.flatnonzero(rows["kind"] & QUERY)
-        edge = np.flatnonzero(np.r_[True, np.diff(of[asks]) != 0]) if len(asks) else []
-        for x, y in zip(edge, [*edge[1:], len(asks)]):
-            b = int(of[asks[x]])
-            z = slice(max(0, (b - 1) * block), (b + 2) * block)
-            yield ranked_block(rows[asks[x:y]], u[asks[x:y]], cand[z], cv[z], k)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now, out, size = [], None, [], 0
-        for b in batches:
-            for p, blob in zip(b.column("part").to_pylist(), b.column("rows").to_pylist()):
-                if p != now and held:
-                    out += part(held)
-                    held = []
-                    size = sum(x.nbytes for x in out)
-                    if size >= PACKED:
-                        yield from _shares(out, shares, k)
-                        out = []
-                now = p
-                held.append(blob)
+        self.k, self.centre, self.rows, self.u = k, centre, rows[asks], u[asks]
+        self.u32, self.multi = self.u.astype(np.float32), (self.rows["kind"] & MULTI) > 0
+        self.best = np.zeros(len(asks), _entry_type(2 * k))  # of a single vector k places only
+        self.best["q"], self.best["chunk"], self.best["s"] = self.rows["q"], -1, -9
+        self.floor = np.full(len(asks), -9, np.float32)
+        c32 = u.astype(np.float32)
+        edge = np.flatnonzero(np.r_[True, np.diff(rows["cell"]) != 0])
+        first = np.searchsorted(asks, [*edge, len(rows)])
+        for n, (x, y) in enumerate(zip(edge, [*edge[1:], len(rows)])):
+            for a in range(first[n], first[n + 1], SLAB):
+                at = np.arange(a, min(a + SLAB, first[n + 1]))
+                s = self.u32[at] @ c32[x:y].T
+                s[~self.multi[at][:, None] & (rows["did"][x:y][None, :] == self.rows["did"][at][:, None])] = -9
+                if y - x > k:  # the best of a class may be those of few documents: all of them
+                    least = np.take_along_axis(s, top_columns(s, k), axis=1).min(axis=1) - NEAR
+                    i, j = np.nonzero(s >= np.where(self.multi[at], -8, np.maximum(least, -8))[:, None])
+                else:
+                    i, j = np.nonzero(s > -8)
+                self._take(at[i], x + j, rows["chunk"], rows["did"], u)
+        self.meet(rows, True)
+
+    def meet(self, rows: np.ndarray, own: bool = False) -> None:
+        """Ranks the rows of a part, in order of cells, for the queries that ask them; of their own part without their own cell."""
+        cu = unit_rows(rows["v"])
+        c32 = cu.astype(np.float32)
+        edge = np.flatnonzero(np.r_[True, np.diff(rows["cell"]) != 0])
+        asked = self.u32 @ self.centre[rows["cell"][edge]].T >= self.rows["far"][:, None]
+        if own:
+            asked &= rows["cell"][edge][None, :] != self.rows["cell"][:, None]
+        qs, cs, held = [], [], 0
+        for n, (x, y) in enumerate(zip(edge, [*edge[1:], len(rows)])):
+            at = np.flatnonzero(asked[:, n])
+            step = max(1, SLAB * SLAB // max(SLAB, y - x))
+            for a in range(0, len(at), step):
+                ask = at[a : a + step]
+                s = self.u32[ask] @ c32[x:y].T
+                on = np.flatnonzero(s.max(axis=1) >= self.floor[ask])
+                if len(on):
+                    i, j = np.nonzero(s[on] >= self.floor[ask[on]][:, None])
+                    qs.append(ask[on[i]])
+                    cs.append(x + j)
+                    held += len(i)
+                if held >= HITS:
+                    self._take(np.concatenate(qs), np.concatenate(cs), rows["chunk"], rows["did"], cu)
+                    qs, cs, held = [], [], 0
         if held:
-            out += part(held)
-        if out:
-            yield from _shares(out, shares, k)
-
-    return of
-
-
-def _best(k: int):
-    """Packed rankings of a share, in order of shares -> one ranking per query: k entries; of several documents 2k, at most k of a did."""
-    short, long = _entry_type(k), _entry_type(2 * k)
-
-    def single(e: np.ndarray) -> np.ndarray:
-        q = np.repeat(e["q"], k)
-        chunk, did, s = e["chunk"].ravel(), e["did"].ravel(), e["s"].ravel()
-        keep = chunk >= 0
-        q, chunk, did, s = q[keep], chunk[keep], did[keep], s[keep]
-        order = np.lexsort((chunk, -s, q))
-        q, chunk, did, s = q[order], chunk[order], did[order], s[order]
-        new = np.r_[True, (q[1:] != q[:-1]) | (chunk[1:] != chunk[:-1])] if len(q) else np.zeros(0, bool)
-        q, chunk, did, s = q[new], chunk[new], did[new], s[new]
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
-        rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-        keep = rank < k
-        of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(q)]))
-        out = np.zeros(len(start), short)
-        out["chunk"], out["s"], out["q"] = -1, -9, q[start]
-        for name, x in (("chunk", chunk), ("did", did), ("s", s)):
-            out[name][of[keep], rank[keep]] = x[keep]
-        return out
-
-    def several(e: np.ndarray) -> np.ndarray:
-        qs = np.unique(e["q"])
-        out = _entries(len(qs), 2 * k)
-        for i, q in enumerate(qs):
-            own = e[e["q"] == q]
-            chunk, did, s = own["chunk"].ravel(), own["did"].ravel(), own["s"].ravel()
-            _, one = np.unique(chunk, return_index=True)
-            one = one[chunk[one] >= 0]
-            _fill(out[i], s[one], chunk[one], did[one], None, k)
-            out["q"][i], out["multi"][i] = q, 1
-        return out
+            self._take(np.concatenate(qs), np.concatenate(cs), rows["chunk"], rows["did"], cu)
+
+    def _take(self, i: np.ndarray, j: np.ndarray, chunk: np.ndarray, did: np.ndarray, cu: np.ndarray) -> None:
+        """Ranks candidates j for queries i; of many ties those of the smallest chunks first, as they rule out most of the others."""
+        keep = self.multi[i] | (did[j] != self.rows["did"][i])
+        i, j = i[keep], j[keep]
+        order = np.lexsort((chunk[j], i)) if len(i) > HITS else np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        if len(i) <= HITS:
+            self._rank(i, j, chunk, did, cu)
+            return
+        start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        n = np.diff(np.r_[start, len(i)])
+        early = np.arange(len(i)) - np.repeat(start, n) < 8 * self.k
+        for on in (early, ~early):
+            a, b = i[on], j[on]
+            # no similarity is over one, so where the last is one only smaller chunks can enter
+            full = self.multi[a] | (self.best["s"][a, self.k - 1] < 1) | (chunk[b] < self.best["chunk"][a, self.k - 1])
+            a, b = a[full], b[full]
+            at = 0
+            while at < len(a):
+                z = min(at + HITS, len(a))
+                self._rank(a[at:z], b[at:z], chunk, did, cu)
+                at = z
+
+    def _rank(self, i: np.ndarray, j: np.ndarray, chunk: np.ndarray, did: np.ndarray, cu: np.ndarray) -> None:
+        if not len(i):
+            return
+        k, best, many = self.k, self.best, self.multi[i]
+        s = np.round(np.einsum("nd,nd->n", self.u[i], cu[j]), 9)
+        for these, width in ((~many, k), (many, 2 * k)):
+            a, b = i[these], j[these]
+            on = np.unique(a)
+            if not len(on):
+                continue
+            q, c, d, x = np.r_[np.repeat(on, width), a], np.r_[best["chunk"][on, :width].ravel(), chunk[b]], np.r_[best["did"][on, :width].ravel(), did[b]], np.r_[best["s"][on, :width].ravel(), s[these]]
+            order = np.lexsort((c, -x, q))
+            if width > k:  # at most k of a did
+                by = order[np.lexsort((d[order], q[order]))]
+                start = np.flatnonzero(np.r_[True, (q[by][1:] != q[by][:-1]) | (d[by][1:] != d[by][:-1])])
+                late = np.zeros(len(q), bool)
+                late[by] = np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)])) >= k
+                order = order[~late[order] | (c[order] < 0)]
+            start = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0])
+            first = order[(start[:, None] + np.arange(width)).ravel()]  # a query has its old places at least
+            for name, y in (("chunk", c), ("did", d), ("s", x)):
+                best[name][on, :width] = y[first].reshape(-1, width)
+            self.floor[on] = np.where(best["chunk"][on, width - 1] >= 0, best["s"][on, width - 1] - NEAR, -9)
+
+    def packed(self) -> pa.RecordBatch:
+        alone = (self.rows["kind"] & CLASS) == 0
+        short = np.zeros(int(alone.sum()), _short_type(self.k))
+        short["q"] = self.best["q"][alone]
+        for n in ("chunk", "s"):
+            short[n] = self.best[n][alone, : self.k]
+        return pa.RecordBatch.from_arrays([pa.array([short.tobytes()], pa.binary()), pa.array([self.best[~alone].tobytes()], pa.binary())], ["one", "many"])
+
+
+def _ranked(centre: np.ndarray, dim: int, k: int):
+    """Pairs of a part and one that it asks; the rows of the part itself come with part -1, first unless the cluster orders otherwise."""
+    kind_of = _row_type(dim)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list[bytes], list[bytes]] = ([], [])
-        now = None
-
-        def row() -> pa.RecordBatch:
-            one, many = single(np.frombuffer(b"".join(held[0]), short)), several(np.frombuffer(b"".join(held[1]), long))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([one.tobytes()], pa.binary()), pa.array([many.tobytes()], pa.binary())], ["share", "one", "many"])
-
+        held: dict[int, Rankings] = {}
+        early: dict[int, list[bytes]] = {}  # of a cluster that orders otherwise
         for b in batches:
-            for share, one, many in zip(b.column("share").to_pylist(), b.column("one").to_pylist(), b.column("many").to_pylist()):
-                if share != now and now is not None:
-                    yield row()
-                    held = ([], [])
-                now = share
-                held[0].append(one)
-                held[1].append(many)
-        if now is not None:
-            yield row()
+            for n in range(b.num_rows):
+                own, part = b.column("own")[n].as_py(), b.column("part")[n].as_py()
+                blob = b.column("rows")[n].as_buffer()
+                if part == -1:
+                    held[own] = Rankings(np.frombuffer(blob, kind_of), centre, k)
+                    for x in early.pop(own, []):
+                        held[own].meet(np.frombuffer(x, kind_of))
+                elif part != own and own in held:
+                    held[own].meet(np.frombuffer(blob, kind_of))
+                elif part != own:
+                    early.setdefault(own, []).append(blob.to_pybytes())
+        for own in sorted(held):
+            yield held[own].packed()
 
     return of
 
 
-def _unpacked(k: int, only: np.ndarray | None = None):
-    """Packed rankings -> rows q, chunk, did, s; of the queries in `only` if given."""
-    short, long = _entry_type(k), _entry_type(2 * k)
+def _unpacked(k: int):
+    """Packed rankings of single vectors -> chunk_id, near, rank, similarity."""
+    short = _short_type(k)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for column, kind, w in (("one", short, k), ("many", long, 2 * k)):
-                for blob in b.column(column).to_pylist():
-                    e = np.frombuffer(blob, kind)
-                    if only is not None:
-                        e = e[np.isin(e["q"], only)]
-                    q, chunk = np.repeat(e["q"], w), e["chunk"].ravel()
-                    keep = chunk >= 0
-                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (q, chunk, e["did"].ravel(), e["s"].ravel())], ["q", "chunk", "did", "s"])
+            for blob in b.column("one").to_pylist():
+                e = np.frombuffer(blob, short)
+                chunk = e["chunk"].ravel()
+                keep = chunk >= 0
+                rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(e))
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (np.repeat(e["q"], k), chunk, rank, e["s"].ravel())], ["chunk_id", "near", "rank", "similarity"])
 
     return of
 
 
-def _packs(k: int, shares: int):
-    """Rows of lists (q, multi, l) -> packed rankings."""
+def _listed(k: int):
+    """Packed rankings of classes -> q, chunk, did, s."""
+    long = _entry_type(2 * k)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = _entries(b.num_rows, 2 * k)
-            for i, (q, multi, l) in enumerate(zip(*(b.column(n).to_pylist() for n in ("q", "multi", "l")))):
-                out["q"][i], out["multi"][i] = q, multi
-                s, chunk, did = (np.array([x[n] for x in l]) for n in ("s", "chunk", "did"))
-                _fill(out[i], -s, chunk, did, None if multi else -(1 << 62), k)
-                out["q"][i], out["multi"][i] = q, multi
-            if len(out):
-                yield from _shares([out], shares, k)
+            for blob in b.column("many").to_pylist():
+                e = np.frombuffer(blob, long)
+                chunk = e["chunk"].ravel()
+                keep = chunk >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (np.repeat(e["q"], 2 * k), chunk, e["did"].ravel(), e["s"].ravel())], ["q", "chunk", "did", "s"])
 
     return of
 
@@ -485,58 +533,22 @@ def members(df: DataFrame, dim: int) -> DataFrame:
     return df.select("chunk_id", "did", F.col("dv").cast("array<float>").alias("dv")).dropna().where(sound).withColumn("c1", F.xxhash64("dv")).withColumn("c2", F.xxhash64(F.lit(1), "dv"))
 
 
-def representatives(rows: DataFrame, k: int) -> DataFrame:
-    """The members of each class that some ranking can need: of the smallest chunk ids, k of a did, 2k in all.
+def representatives(rows: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """Single rows, and the members of each class that some ranking can need: of the smallest chunk ids, k of a did, 2k in all.
 
     Whichever did a query excludes, at least k of the others remain, and they are the smallest.
+    copies: the members of classes without their vectors. The flags of few are broadcast, so that
+    vectors stay where they are read; of many they are joined, and the result is cut.
     """
-    by_did = Window.partitionBy("c1", "c2", "did").orderBy("chunk_id")
-    by_class = Window.partitionBy("c1", "c2").orderBy("chunk_id")
-    few = rows.withColumn("r", F.row_number().over(by_did)).where(F.col("r") <= k).withColumn("q", F.row_number().over(by_class)).where(F.col("q") <= 2 * k)
-    whole = Window.partitionBy("c1", "c2")
-    return few.select("c1", "c2", "chunk_id", "did", "dv", (F.col("q") == 1).alias("query"), (F.col("r") == 1).alias("first"), F.min("chunk_id").over(whole).alias("q"), (F.min("did").over(whole) != F.max("did").over(whole)).alias("multi"))
-
-
-def _true_sims(asked: np.ndarray, own: np.ndarray, dim: int, k: int):
-    """Rows of a partition -> for each asked vector, its k largest similarities among them, without its own did."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((len(asked), k), -9.0)
-        for b in batches:
-            for a in range(0, b.num_rows, 4096):
-                part = b.slice(a, 4096)
-                s = asked @ unit_rows(_vectors(part.column("dv"), dim)).T
-                s[own[:, None] == part.column("did").to_numpy()[None, :]] = -9
-                best = -np.sort(-np.concatenate([best, s], axis=1), axis=1)[:, :k]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), k)), pa.array(best.ravel())], ["asked", "s"])
-
-    return of
-
-
-def _sampled(reps: DataFrame, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled rows (chunk_id, did) and their k largest similarities by comparison with every vector; -9 where there are fewer."""
-    t = reps.where("query").orderBy(F.xxhash64("chunk_id", "c2"), "chunk_id").select("chunk_id", "did", "dv").limit(ASKED).toArrow().combine_chunks()
-    asked, own = unit_rows(_vectors(t["dv"].combine_chunks(), dim)), t["did"].to_numpy()
-    sims = reps.select("did", "dv").mapInArrow(_true_sims(asked, own, dim, k), "asked bigint, s double").groupBy("asked").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, k).alias("s"))
-    true = np.full((len(own), k), -9.0)
-    for r in sims.collect():
-        true[r["asked"]] = r["s"]
-    return t["chunk_id"].to_numpy(), own, true
-
-
-def _recall(merged: DataFrame, asked: np.ndarray, own: np.ndarray, true: np.ndarray, k: int) -> float:
-    """Share of the sampled rows' true neighbours that are found; one as similar as the k-th is as good."""
-    t = merged.mapInArrow(_unpacked(k, asked), "q bigint, chunk bigint, did bigint, s double").toArrow().to_pandas()
-    wanted = (true > -9).sum(axis=1)
-    if not wanted.any():
-        return 1.0
-    got = {q: g for q, g in t.groupby("q")}
-    hits = 0
-    for i, q in enumerate(asked):
-        if wanted[i] and q in got:
-            s = np.sort(got[q]["s"].to_numpy()[got[q]["did"].to_numpy() != own[i]])[::-1][:k]
-            hits += min(int(wanted[i]), int((s >= true[i, wanted[i] - 1] - 1e-6).sum()))
-    return hits / int(wanted.sum())
+    by_did = Window.partitionBy("q", "did").orderBy("chunk_id")
+    by_class = Window.partitionBy("q").orderBy("chunk_id")
+    few = copies.withColumn("r", F.row_number().over(by_did)).where(F.col("r") <= k).withColumn("n", F.row_number().over(by_class)).where(F.col("n") <= 2 * k)
+    kept = few.select("c1", "c2", "chunk_id", "did", (F.col("n") == 1).alias("query"))
+    flags = cut(copies.join(kept, ["c1", "c2", "chunk_id", "did"], "left"))
+    small = flags.count() <= FLAGS
+    found = rows.join(F.broadcast(flags) if small else flags, ["c1", "c2", "chunk_id", "did"], "left").where("q is null or query is not null")
+    reps = found.select("c1", "chunk_id", "did", "dv", F.coalesce("query", F.lit(True)).alias("query"), F.col("q").isNotNull().alias("copied"), F.coalesce("multi", F.lit(False)).alias("multi"), F.coalesce("q", "chunk_id").alias("q"))
+    return reps if small else cut(reps)
 
 
 def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, block: int = BLOCK, target: float = TARGET) -> DataFrame:
@@ -545,117 +557,61 @@ def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, bloc
     Cosine similarity rounded to nine decimals, ties to the smaller chunk_id. Rows with a null
     id, did or vector, with null or non-finite numbers, of another length, or all zero are left
     out; chunk ids are not negative. Copies are ranked like any other chunk of another document.
-    Chunks with fewer than k others get fewer. Approximate: rounds of `curves` curves follow each
-    other until `target` of the true neighbours of a sample are found.
+    Chunks with fewer than k others get fewer. Approximate: a row meets `curves` windows of three
+    blocks at least, and as many more rows as `target` of the true neighbours of a sample need.
     """
-    rows = cut(members(df, dim))
-    reps = cut(representatives(rows, k))
-    total = reps.count()
-    if not total:
+    rows, least = members(df, dim), max(3 * curves * block, block + 2 * k)
+    ids = rows.select("c1", "c2", "chunk_id", "did")
+    classes = cut(ids.groupBy("c1", "c2").agg(F.min("chunk_id").alias("q"), F.count("*").alias("n"), (F.min("did") != F.max("did")).alias("multi")).where("n > 1"))
+    copies = cut(spread_join(ids, classes, ["c1", "c2"], "n").select("c1", "c2", "chunk_id", "did", "q", "n", "multi"))
+    reps = representatives(rows, copies.drop("n"), k)
+    held = reps.groupBy("did").count().agg(F.sum("count").alias("n"), F.collect_list(F.when(F.col("count") > least // 8, F.col("did"))).alias("crowded")).first()
+    if not held["n"]:
         return df.sparkSession.createDataFrame([], "chunk_id bigint, near bigint, rank int, similarity double")
-    sample = reps.orderBy(F.xxhash64("c1", "chunk_id")).select("dv").limit(FIT_ROWS).toArrow()
+    place = F.xxhash64("c1", "chunk_id")
+    early = int(-(2**63) + min(1.0, 2 * FIT_ROWS / held["n"]) * (2**64 - 2**12))  # twice the sample, so that tasks need not ship a sample each
+    sample = reps.where(F.col("query") & (place <= F.lit(early))).orderBy(place, "chunk_id").select("did", "dv").limit(FIT_ROWS).toArrow().combine_chunks()
     vectors = unit_rows(_vectors(sample["dv"].combine_chunks(), dim))
-    asked, own, true = _sampled(reps, dim, k)
-    crowded = _crowded(reps, block)
-    shares = max(1, -(-total * curves // SHARE))
-    merged = _directions_shared(reps, k, dim).mapInArrow(_packs(k, shares), _SHARES)
-    recall, turn = -1.0, 0
-    while recall < target:
-        lists = _round(reps, directions(vectors, curves, seed=SEED + turn), total, crowded, k, dim, block, shares)
-        ordered = lists.unionByName(merged).repartition(max(1, min(shares, 8 * partitions(reps))), "share").sortWithinPartitions("share")
-        merged = cut(ordered.mapInArrow(_best(k), _SHARES))
-        before, recall, turn = recall, _recall(merged, asked, own, true, k), turn + 1
-        if before >= recall:
-            warnings.warn(f"further curves find nothing more: recall {recall:.3f} on the sample after {turn} rounds", stacklevel=2)
-            break
-    lists = merged.mapInArrow(_unpacked(k), "q bigint, chunk bigint, did bigint, s double")
+    centre = centres(vectors, max(1, min(CELLS, held["n"] // block)))
+    asked, own = vectors[:ASKED], sample["did"].to_numpy()[:ASKED]
+    reach = _reach(reps, centre, asked, own, np.sort(np.array(held["crowded"], np.int64)), k, dim)
+    reach[0].fit(asked.astype(np.float32) @ centre.T, own, reach[1], target, least)
+    ranked = cut(_asked(reps, centre, reach[0], k, dim))
+    alone = ranked.mapInArrow(_unpacked(k), "chunk_id bigint, near bigint, rank int, similarity double")
     # single vectors rank for themselves; of a class every member takes the ranking of its first chunk
-    classes = cut(rows.groupBy("c1", "c2").agg(F.min("chunk_id").alias("q"), F.count("*").alias("n")).where("n > 1"))
-    copies = cut(spread_join(rows.select("chunk_id", F.col("did").alias("own"), "c1", "c2"), classes, ["c1", "c2"], "n").select("chunk_id", "own", "q"))
-    alone = lists.join(copies.select("q").distinct(), "q", "left_anti").select(F.col("q").alias("chunk_id"), "chunk", "s")
-    listed = lists.join(copies.select("q").distinct(), "q", "left_semi").groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "chunk", "did"))).alias("l"), F.lit(0).alias("_"))  # at most 2k entries
-    sized = cut(listed.join(classes.select("q", F.col("n").alias("n")), "q").drop("_"))
-    mine = spread_join(copies, sized, ["q"], "n").select("chunk_id", F.explode(F.slice(F.filter("l", lambda x: x["did"] != F.col("own")), 1, k)).alias("x"))
-    every = alone.unionByName(mine.select("chunk_id", "x.chunk", (-F.col("x.s")).alias("s")))
-    rank = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("s").desc(), "chunk"))
-    return every.select("chunk_id", F.col("chunk").alias("near"), rank.alias("rank"), F.col("s").alias("similarity"))
-
-
-def _celled(dim: int):
-    """Class representatives -> the hash of the cell of their direction, in each shifted grid."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                u = unit_rows(_vectors(b.column("dv"), dim))
-                for g, shift in enumerate(SHIFTS):
-                    cell = [r.tobytes() for r in np.floor(u / CELL + shift).astype(np.int32)]
-                    own = [b.column(n) for n in ("c1", "c2", "chunk_id", "did", "multi", "query", "dv")]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), g, np.int32)), pa.array(cell, pa.binary()), *own], ["grid", "cell", "c1", "c2", "chunk_id", "did", "multi", "query", "dv"])
-
-    return of
-
-
-def _paired(dim: int):
-    """Rows with a member of their cell -> their similarity."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                s = np.round((unit_rows(_vectors(b.column("dv"), dim)) * unit_rows(_vectors(b.column("ov"), dim))).sum(axis=1), 9)
-                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in ("q", "multi", "chunk", "other")], pa.array(-s)], ["q", "multi", "chunk", "other", "s"])
-
-    return of
-
-
-def _directions_shared(reps: DataFrame, k: int, dim: int) -> DataFrame:
-    """Of vectors of one direction and different norms, the smallest chunks, whatever the size of the group: q, multi, l.
-
-    Their similarities to each other tie at one, so k of a did and 2k in all hold every ranking inside a group.
-    """
-    cells = cut(reps.mapInArrow(_celled(dim), "grid int, cell binary, c1 bigint, c2 bigint, chunk_id bigint, did bigint, multi boolean, query boolean, dv array<float>").withColumn("cell", F.xxhash64("cell")))
-    classes = cut(cells.groupBy("grid", "cell").agg(F.min("c1").alias("a"), F.max("c1").alias("z"), F.count("*").alias("n")).where("a <> z").select("grid", "cell", "n"))
-    shared = spread_join(cells, classes, ["grid", "cell"], "n")
-    by_did = Window.partitionBy("grid", "cell", "did").orderBy("chunk_id")
-    by_cell = Window.partitionBy("grid", "cell").orderBy("chunk_id")
-    few = shared.withColumn("r", F.row_number().over(by_did)).where(F.col("r") <= k).withColumn("q", F.row_number().over(by_cell)).where(F.col("q") <= 2 * k)
-    few = few.select("grid", "cell", "n", F.struct(F.col("chunk_id").alias("chunk"), F.col("did").alias("other"), F.col("dv").alias("ov")).alias("x"))
-    few = cut(few.groupBy("grid", "cell").agg(F.max("n").alias("size"), F.collect_list("x").alias("xs")))  # at most 2k
-    pairs = spread_join(shared.where("query").drop("n"), few, ["grid", "cell"], "size").select(F.col("chunk_id").alias("q"), "did", "multi", "dv", F.explode("xs").alias("x"))
-    sims = pairs.where("multi or did <> x.other").select("q", "multi", "dv", "x.ov", "x.chunk", "x.other").mapInArrow(_paired(dim), "q bigint, multi boolean, chunk bigint, other bigint, s double")
-    return sims.groupBy("q", "multi").agg(F.collect_set(F.struct("s", "chunk", F.col("other").alias("did"))).alias("l"))
-
-
-def _crowded(reps: DataFrame, block: int) -> list[tuple[int, int]]:
-    """The documents that could fill half a window, with their rows.
-
-    A window is at least a block, so rows of any other document meet half a block of others.
-    """
-    hot = reps.groupBy("did").count().where(F.col("count") > block // 2).orderBy("did").collect()
-    return [(r["did"], r["count"]) for r in hot]
-
-
-def _round(reps: DataFrame, fit: tuple, total: int, crowded: list[tuple[int, int]], k: int, dim: int, block: int, shares: int) -> DataFrame:
-    """The best of each class on each of a round's curves, packed.
-
-    The rows of a document that fills windows also ask curves on which it has no rows.
-    """
-    lists = _asked(reps.withColumn("cand", F.lit(True)), fit, total, k, dim, block, shares)
-    for did, own in crowded:
-        if own < total:
-            without = reps.withColumn("cand", F.col("did") != did).withColumn("query", (F.col("did") == did) & F.col("first"))
-            lists = lists.unionByName(_asked(without.where("cand or query"), fit, total - own, k, dim, block, shares))
-    return lists
-
-
-def _asked(reps: DataFrame, fit: tuple, total: int, k: int, dim: int, block: int, shares: int) -> DataFrame:
-    """Curves of the rows that are candidates (total of them), asked by those that are queries."""
-    cuts = _cuts(reps.where("cand"), fit, total, dim, block)
-    parts = sum(c.total for c in cuts)
-    width = max(1, min(parts, 8 * partitions(reps)))
-    packed = reps.mapInArrow(_packed_parts(fit, cuts, dim), "part int, rows binary")
-    ordered = packed.repartitionById(width, F.col("part") % width).sortWithinPartitions("part")
-    return ordered.mapInArrow(_windows(dim, k, block, shares), _SHARES)
+    lists = ranked.mapInArrow(_listed(k), "q bigint, chunk bigint, did bigint, s double")
+    listed = lists.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "chunk", "did"))).alias("l"))  # at most 2k entries
+    sized = cut(listed.join(classes.select("q", "n"), "q"))
+    mine = spread_join(copies.select("chunk_id", F.col("did").alias("own"), "q"), sized, ["q"], "n").select("chunk_id", F.posexplode(F.slice(F.filter("l", lambda x: x["did"] != F.col("own")), 1, k)).alias("at", "x"))
+    return alone.unionByName(mine.select("chunk_id", F.col("x.chunk").alias("near"), (F.col("at") + 1).cast("int").alias("rank"), (-F.col("x.s")).alias("similarity")))
+
+
+def _reach(reps: DataFrame, centre: np.ndarray, asked: np.ndarray, own: np.ndarray, crowded: np.ndarray, k: int, dim: int) -> tuple[Reach, list[list[int]]]:
+    """Rows of the cells, in all and of the documents that could fill them, and the cells of the sampled rows' true neighbours."""
+    seen = reps.select("did", "dv").mapInArrow(_surveyed(centre, asked, own, crowded, dim, k), "kind int, a bigint, b bigint, n bigint, s double")
+    best = F.slice(F.sort_array(F.collect_list(F.when(F.col("kind") == 2, F.struct("s", "n"))), asc=False), 1, k)
+    rows, docs, true = np.zeros(len(centre), np.int64), {}, [[] for _ in asked]
+    for r in seen.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), best.alias("l")).collect():
+        if r["kind"] == 0:
+            rows[r["a"]] = r["n"]
+        elif r["kind"] == 1:
+            docs.setdefault(r["a"], []).append((r["b"], r["n"]))
+        else:
+            true[r["a"]] = [x["n"] for x in r["l"]]
+    return Reach(rows, {d: tuple(np.array(x, np.int64) for x in zip(*n)) for d, n in docs.items()}), true
+
+
+def _asked(reps: DataFrame, centre: np.ndarray, reach: Reach, k: int, dim: int) -> DataFrame:
+    """The rankings of all queries, packed: each part with the parts that it asks."""
+    parts = Parts(reach.rows, 0, max(PART, min(4 * PART, int(reach.rows.sum()) // PARTS)), 0)
+    sent = reps.mapInArrow(_packed_parts(centre, reach, parts, dim), "part int, rows binary, cells binary")
+    ordered = sent.repartitionById(parts.total, F.col("part")).sortWithinPartitions("part")
+    packed = cut(ordered.mapInArrow(_whole_parts(parts, dim, len(centre)), "part int, asks array<int>, rows binary"))
+    # the stream: a row before the first part, at which a task gets its own rows, then every part
+    stream = packed.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(b"").alias("rows")).unionByName(packed.select("part", "rows")).coalesce(1)
+    asks = packed.select(F.col("part").alias("own"), "asks", F.col("rows").alias("own_rows")).hint("shuffle_replicate_nl")
+    pairs = stream.join(asks, (F.col("part") == -1) | F.array_contains("asks", F.col("part")))
+    return pairs.select("own", "part", F.when(F.col("part") == -1, F.col("own_rows")).otherwise(F.col("rows")).alias("rows")).mapInArrow(_ranked(centre, dim, k), "one binary, many binary")
 
 
 def found(df: DataFrame, k: int = K, dim: int = 64) -> DataFrame:

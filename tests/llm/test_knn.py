@@ -183,3 +183,54 @@ def test_one_document_fills_the_windows(spark):
         s[did == did[i]] = -9
         hits += sum((ids[i], ids[j]) in got for j in np.lexsort((ids, -s))[:5])
     assert hits / 3000 >= 0.8
+
+
+def test_vectors_are_shipped_once(spark, tmp_path):
+    """What is shuffled and cut stays under four times the vectors, with cells far smaller than the table and several parts."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(60, 64))
+    v = (centre[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 64)) * 0.6).astype(np.float32)
+    v[:40] = v[40:80]
+    did, ids = np.arange(6000) // 2, np.arange(6000)
+    df, sc = _frame(spark, _rows(ids, did, v)), spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in (sc.statusStore().executorList(False).apply(i) for i in range(sc.statusStore().executorList(False).size())))
+
+    was, before = sc.getCheckpointDir(), shuffled()
+    part, fit, knn.PART, knn.FIT_ROWS = knn.PART, knn.FIT_ROWS, 1000, 600
+    try:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        got = {tuple(r) for r in knn.found(df).collect()}
+    finally:
+        knn.PART, knn.FIT_ROWS = part, fit
+        if was.isDefined():
+            spark.sparkContext.setCheckpointDir(was.get())
+    cuts = sum(p.stat().st_size for p in tmp_path.rglob("part-*"))
+    assert shuffled() - before + cuts < 4 * v.nbytes
+    want = brute(ids, did, v.astype(float))
+    assert len(got & want) / len(want) >= 0.96
+
+
+def test_every_vector_has_copies(spark):
+    """Each vector in three documents: every class ranks for several documents, over several parts."""
+    rng = np.random.default_rng(12)
+    v = np.tile(rng.normal(size=(150, 64)).astype(np.float32), (3, 1))
+    did, ids = np.arange(450) // 2, rng.permutation(2000)[:450]
+    part, knn.PART = knn.PART, 100
+    try:
+        got = {tuple(r) for r in knn.found(_frame(spark, _rows(ids, did, v))).collect()}
+    finally:
+        knn.PART = part
+    assert got == brute(ids, did, v.astype(float))
+
+
+def test_reach_counts_other_documents():
+    """A document that fills the nearest cells does not use up the reach of its rows."""
+    rows = np.array([100, 100, 10, 10])
+    reach = knn.Reach(rows, {7: (np.array([0, 1]), np.array([95, 100]))})
+    reach.least = 15
+    sims = np.array([[0.9, 0.8, 0.7, 0.6]] * 3, np.float32)
+    far = reach.of(sims, np.array([3, 7, 3]), np.array([False, False, True]))
+    assert [int((s >= f).sum()) for s, f in zip(sims, far)] == [1, 3, 3]
