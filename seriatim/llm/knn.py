@@ -46,6 +46,8 @@ GROUP = 16
 NEAR = 1e-6
 #: Bytes that a task packs before it hands them on, hits that are ranked at once, rows compared at once.
 PACKED, HITS, SLAB = 8_000_000, 100_000, 1024
+#: Bytes of an Arrow batch of the stream of parts, so that two tasks of an executor hold little of it.
+BATCH, STREAMED = "spark.sql.execution.arrow.maxBytesPerBatch", "12m"
 #: Members of classes of copies up to which their flags are broadcast.
 FLAGS = 200_000
 
@@ -576,7 +578,13 @@ def nearest(df: DataFrame, k: int = K, dim: int = 64, curves: int = CURVES, bloc
     asked, own = vectors[:ASKED], sample["did"].to_numpy()[:ASKED]
     reach = _reach(reps, centre, asked, own, np.sort(np.array(held["crowded"], np.int64)), k, dim)
     reach[0].fit(asked.astype(np.float32) @ centre.T, own, reach[1], target, least)
-    ranked = cut(_asked(reps, centre, reach[0], k, dim))
+    spark = df.sparkSession
+    was = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, STREAMED)  # the cut plans and runs it at once
+    try:
+        ranked = cut(_asked(reps, centre, reach[0], k, dim))
+    finally:
+        spark.conf.set(BATCH, was)
     alone = ranked.mapInArrow(_unpacked(k), "chunk_id bigint, near bigint, rank int, similarity double")
     # single vectors rank for themselves; of a class every member takes the ranking of its first chunk
     lists = ranked.mapInArrow(_listed(k), "q bigint, chunk bigint, did bigint, s double")
